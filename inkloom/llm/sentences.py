@@ -1,24 +1,29 @@
 """Sentence units across languages and scripts, in SQL expressions.
 
 Dots that end nothing (abbreviations, initials, decimals, addresses, ordinals,
-list marks) are masked by a private-use sign of the same length, so positions
+list marks) are masked by a placeholder of the same length, so positions
 stay; terminator patterns per kind of script then set end marks, marks inside
 a quotation are taken back, the text is split at the marks, and each piece's
 place gives the restored sentence out of the unmasked body.
 
 Defined results: null, empty and blank bodies give no row; a line end always ends
 a sentence; repeated rows give each sentence once; positions count code points
-from 1; extra columns are ignored.  Private-use signs of a body that equal the
-masks are read as another sign of the same length.
+from 1; extra columns are ignored.  Control signs of a body that equal the masks
+are read as another sign of the same length.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-DOT, END, GERMAN, PLAIN_A, PLAIN_B = "", "", "", "", ""
-OPEN = "“„«「『" + PLAIN_A
-CLOSE = "”»」』" + GERMAN + PLAIN_B
+# The masking placeholder and the end mark are private-use signs.  Classes of signs
+# are first brought to one control sign each, so that the patterns test single
+# bytes.  Lengths stay.
+DOT, END = "\ue000", "\ue001"
+OPENED, CLOSED, HARD, LOW, HIGH, SOFT = "\x01", "\x02", "\x03", "\x05", "\x06", "\x04"
+#: (signs, the sign they are read as)
+CLASSES = [("«「『", OPENED), ("”»」』", CLOSED), ("„", LOW), ("“", HIGH), ("。！？｡．।॥؟", HARD), ("…⋯", SOFT), ("）】", ")"), ("（", "("), ("【", "["), (" 　 ", " "), ("：", ":"), ("\x01\x02\x03\x04\x05\x06\ue000\ue001", "\x7f")]
+OPEN, CLOSE = OPENED + LOW + HIGH, CLOSED
 # Short forms whose dot never ends a sentence ...
 ALWAYS = "Mr|Mrs|Ms|Dr|Prof|Eng|St|Hr|Fr|Sr|Jr|cf|incl|vs|e\\.g|i\\.e|z\\. ?B|d\\. ?h|u\\. ?a|p\\. ex|bzw|ca|Ing|Dipl|Mio|Mrd|zzgl|ggf|vgl|Vgl|inkl|approx|env|напр|см|См|им|ул|проф|акад|инж|डॉ|प्रो|श्री|उदा|z|d|т"
 # ... and those whose dot ends none before a number.
@@ -26,27 +31,28 @@ BEFORE_NUMBER = "no|No|Nos|nos|Fig|Figs|fig|figs|Sec|sec|Ch|ch|Eq|eq|vol|Vol|pp|
 #: Words before a German ordinal.
 ORDINAL = "[Aa]m|[Vv]om|[Zz]um|[Ii]m|[Dd]er|[Dd]em|[Dd]en"
 CAMEL = "\\p{Ll}{1,2}\\p{Lu}"
-STRONG = "。！？｡．।॥؟…⋯!?"
-HARD = "。！？｡．।॥؟"
-BRACKETS = ")）\\]】"
-AFTER = f"\\p{{Lu}}\\p{{Lo}}\\p{{N}}{OPEN}(（\\[【#$•*{{<"
+STRONG = HARD + SOFT + "!?"
+BRACKETS = ")\\]"
+AFTER = f"\\p{{Lu}}\\p{{Lo}}\\p{{N}}{OPEN}(\\[#$•*{{<"
+HAN = "\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af"
 
-#: (pattern, replacement, signs of which one must occur) in order.
+#: (pattern, replacement, sign that must occur) in order.
 STEPS = [
-    ("„([^„“”\\n]{0,600})“", f"„$1{GERMAN}", "„"),
-    ('"([^"\\n]*)"', f"{PLAIN_A}$1{PLAIN_B}", '"'),
-    # masks
-    (f"\\.(?<=[\\p{{L}}\\p{{N}}_]\\.)(?=[\\p{{Ll}}\\p{{N}}])(?!{CAMEL})(?<![\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af]\\.)", DOT, "."),
+    (f"{LOW}([^{OPEN}{CLOSE}\\n]*+){HIGH}", f"{OPENED}$1{CLOSED}", LOW),
+    ('"([^"\\n]*+)"', f"{OPENED}$1{CLOSED}", '"'),
+    # masks: inside of numbers, addresses and names; short forms, initials, ordinals; list marks
+    (f"\\.(?=[\\p{{Ll}}\\p{{N}}])(?!{CAMEL})(?<=[\\p{{L}}\\p{{N}}_]\\.)(?<![{HAN}]\\.)", DOT, "."),
     (f"\\.(?:(?<=(?<![\\p{{L}}\\p{{N}}])(?:{ALWAYS})\\.)(?=[^\\n])|(?<=(?<![\\p{{L}}\\p{{N}}])(?:{BEFORE_NUMBER})\\.)(?=\\s?\\p{{N}})|(?<=(?<![\\p{{L}}\\p{{N}}°.])(?<!\\p{{N}} )\\p{{Lu}}\\.)(?=\\s?\\p{{Lu}})|(?<=(?<!\\p{{L}})(?:{ORDINAL}) \\p{{N}}{{1,3}}\\.)(?= \\p{{Lu}}))", DOT, "."),
-    ("(?m)^([\\s\\u3000#*•›>·–-]*(?:\\p{N}{1,3}|\\p{Lu}|\\p{Ll}|[IVX]{2,5}|[ivx]{2,5}))\\.(?=[\\s\\u3000]|\\p{L})", f"$1{DOT}", "."),
-    # ends
-    (f"([:：][\\s\\u00a0]?[{OPEN}][^{OPEN}{CLOSE}\\n]{{0,600}}[.{STRONG}][ \\u00a0\\u202f]?[{CLOSE}][{BRACKETS}]*)(?=[ \\t\\u00a0\\u3000]*(?:[{AFTER}]|{CAMEL}))(?![ \\u3000]*[とって])", f"$1{END}", CLOSE),
-    (f"[{CLOSE}]+[{BRACKETS}]*(?<=[.{STRONG}][ \\u00a0\\u202f]?[{CLOSE}]{{1,3}}[{BRACKETS}]{{0,2}})(?=[ \\t\\u00a0\\u3000]+(?:\\p{{Lu}}|{CAMEL}|[{OPEN}])|[{OPEN}])", f"$0{END}", CLOSE),
-    (f"([{HARD}][.{STRONG}]*[{BRACKETS}]*)(?=[ \\t\\u00a0\\u3000]*[\\p{{L}}{AFTER}])", f"$1{END}", HARD),
-    (f"((?:[!?…⋯]|\\.(?=\\.))[.{STRONG}]*[{BRACKETS}]*)(?=[ \\t\\u00a0\\u3000]*(?:[{AFTER}]|{CAMEL}))", f"$1{END}", "!?…⋯."),
-    (f"\\.(?:(?<=[\\p{{L}}\\p{{M}}\\p{{N}}%°℃)）\\]]\\.)([{BRACKETS}]*)(?=[ \\t\\u00a0\\u3000]+(?:[{AFTER}]|{CAMEL}))|(?<=\\p{{Ll}}\\p{{Ll}}\\.|[%)）\\]]\\.)(?=\\p{{Lu}}|{CAMEL}|[{OPEN}]|\\p{{Lo}})|(?<=\\p{{N}}\\.)(?=\\p{{Lu}}[\\p{{Ll}}\\s]|[{OPEN}]|\\p{{Lo}})|(?<=\\p{{Lo}}\\.)(?=[{AFTER}]))", f".$1{END}", "."),
+    ("(?m)^([\\s#*•›>·–-]*(?:\\p{N}{1,3}|\\p{L}|[IVX]{2,5}|[ivx]{2,5}))\\.(?=\\s|\\p{L})", f"$1{DOT}", "."),
+    # ends: of a quotation after a colon, or before a new start; behind hard signs,
+    # soft signs and single dots
+    (f"(:\\s?[{OPEN}][^{OPEN}{CLOSE}\\n]*+(?<=[.{STRONG}] ?){CLOSE}[{BRACKETS}]*+)(?=[ \\t]*+(?:[{AFTER}]|{CAMEL}))(?! *[とって])", f"$1{END}", CLOSE),
+    (f"{CLOSE}++[{BRACKETS}]*+(?<=[.{STRONG}] ?{CLOSE}{{1,3}}[{BRACKETS}]{{0,2}})(?=[ \\t]++(?:\\p{{Lu}}|{CAMEL}|[{OPEN}])|[{OPEN}])", f"$0{END}", CLOSE),
+    (f"{HARD}[.{STRONG}]*+[{BRACKETS}]*+(?=[ \\t]*+[\\p{{L}}{AFTER}])", f"$0{END}", HARD),
+    (f"(?:[!?{SOFT}]|\\.(?=\\.))[.{STRONG}]*+[{BRACKETS}]*+(?=[ \\t]*+(?:[{AFTER}]|{CAMEL}))", f"$0{END}", "."),
+    (f"\\.(?:(?<=[\\p{{L}}\\p{{M}}\\p{{N}}%°℃)\\]]\\.)([{BRACKETS}]*+)(?=[ \\t]++(?:[{AFTER}]|{CAMEL}))|(?<=\\p{{Ll}}\\p{{Ll}}\\.|[%)\\]]\\.)(?=\\p{{Lu}}|{CAMEL}|[{OPEN}]|\\p{{Lo}})|(?<=\\p{{N}}\\.)(?=\\p{{Lu}}[\\p{{Ll}}\\s]|[{OPEN}]|\\p{{Lo}})|(?<=\\p{{Lo}}\\.)(?=[{AFTER}]))", f".$1{END}", "."),
     # marks within a quotation
-    (f"{END}(?=[^{OPEN}{CLOSE}\\n]*+[{CLOSE}])", "", CLOSE),
+    (f"{END}(?=[^{OPEN}{CLOSE}\\n]*+{CLOSE})", "", CLOSE),
 ]
 
 #: White space and signs that are drawn as nothing, at the ends of a sentence.
@@ -61,13 +67,13 @@ def _lit(s: str) -> str:
 def marked(body: str) -> str:
     """SQL expression: ``body`` masked, with END behind each sentence that ends
     inside a line."""
-    e = f"translate({body}, {_lit(DOT + END + GERMAN + PLAIN_A + PLAIN_B)}, {_lit(chr(0xE0FF) * 5)})"
+    signs = "".join(c for c, _ in CLASSES)
+    e = f"translate({body}, {_lit(signs)}, {_lit(''.join(to * len(c) for c, to in CLASSES))})"
     for pattern, to, needs in STEPS:
-        there = f"t rlike {_lit('[' + needs + ']')}" if len(needs) > 1 else f"contains(t, {_lit(needs)})"
-        if needs != ".":
-            e = f"transform(array({e}), t -> if({there}, regexp_replace(t, {_lit(pattern)}, {_lit(to)}), t))[0]"
-        else:
+        if needs == ".":
             e = f"regexp_replace({e}, {_lit(pattern)}, {_lit(to)})"
+        else:
+            e = f"transform(array({e}), t -> if(contains(t, {_lit(needs)}), regexp_replace(t, {_lit(pattern)}, {_lit(to)}), t))[0]"
     return e
 
 

@@ -26,7 +26,7 @@ from .common import written
 
 WINDOW = 8
 #: A chunk ends on one of DIVISOR hash values, so chunks have this many characters on average.
-DIVISOR = 32
+DIVISOR = 64
 LEAST_DOCS = 5
 LEAST_SHARE = 0.1
 SALTS = 16
@@ -93,8 +93,9 @@ def chunk_lines(text: str, window: int = WINDOW, divisor: int = DIVISOR) -> tupl
 
 
 def line_table(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """(site, ref_id, line_no, key, chunks) of each non-blank line."""
-    kept = docs.select(site_of(F.col("url")).alias("site"), "ref_id", "body").where("site is not null and body is not null and ref_id is not null")
+    """(site, ref_id, line_no, key, chunks) of each non-blank line.  ``site`` is a
+    64-bit hash of the host, ``key`` one of the line."""
+    kept = docs.select(site_of(F.col("url")).alias("site"), "ref_id", "body").where("site is not null and body is not null and ref_id is not null").withColumn("site", F.xxhash64("site"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -109,13 +110,13 @@ def line_table(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) ->
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array((full - first[row] + 1).astype(np.int32)), pa.array(keys), pa.ListArray.from_arrays(pa.array(offsets), pa.array(chunks))], ["site", "ref_id", "line_no", "key", "chunks"])
 
     kind = docs.schema["ref_id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"site string, ref_id {kind}, line_no int, key long, chunks array<long>")
+    return kept.mapInArrow(run, f"site long, ref_id {kind}, line_no int, key long, chunks array<long>")
 
 
 def site_sizes(docs: DataFrame) -> DataFrame:
     """(site, docs): distinct documents with a body."""
     kept = docs.where("body is not null and ref_id is not null").select(site_of(F.col("url")).alias("site"), "ref_id").where("site is not null")
-    return kept.distinct().groupBy("site").agg(F.count("*").alias("docs"))
+    return kept.select(F.xxhash64("site").alias("site"), "ref_id").distinct().groupBy("site").agg(F.count("*").alias("docs"))
 
 
 def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE) -> DataFrame:
