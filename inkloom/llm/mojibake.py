@@ -135,6 +135,9 @@ _THREE = rb"(?:\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed
 #: Bytes of which one must occur for a span to count: two signs of three bytes,
 #: four of Cyrillic, or one of a Western text.
 _SIGNAL = re.compile(_THREE + rb"{2}|(?:[\xd0\xd1][\x80-\xbf]){4}")
+#: What each signal begins with, quick to search for.
+_BEGIN3 = re.compile(rb"[\xe0-\xef][\x80-\xbf]{2}[\xe0-\xef][\x80-\xbf]{2}")
+_BEGIN2 = re.compile(rb"[\xd0\xd1][\x80-\xbf][\xd0\xd1][\x80-\xbf][\xd0\xd1][\x80-\xbf][\xd0\xd1]")
 _WESTERN = re.compile(rb"(?<![\x80-\xff])(?:[\xc2-\xc5][\x80-\xbf]|\xe2\x80[\x80-\xbf])")
 _EAST = re.compile("[\u2e80-\uffff]")
 _LETTER = re.compile("[A-Za-z]")
@@ -145,7 +148,7 @@ def _western_lines(text: str) -> list[re.Match]:
     out = []
     for line in _LINE.finditer(text) if _EAST.search(text) else ():
         own = line.group()
-        if not own.isascii() and (east := len(_EAST.findall(own))) and len(_LETTER.findall(own)) >= 4 * east:
+        if 0 < len(own.encode("utf-8", "replace")) - len(own) < 0.7 * len(own) and (east := len(_EAST.findall(own))) and len(_LETTER.findall(own)) >= 4 * east:
             out.append(line)
     return out
 
@@ -153,7 +156,8 @@ def _western_lines(text: str) -> list[re.Match]:
 def _double_spans(text: str, codec: str, western: list[re.Match]) -> list[tuple[int, int, str]]:
     """Spans that are UTF-8 read with a two-byte encoding."""
     out = []
-    strong = _SIGNAL.search(text.encode(codec, "replace"))
+    known = text.encode(codec, "replace")
+    strong = (_BEGIN3.search(known) or _BEGIN2.search(known)) and _SIGNAL.search(known)
     for line in _LINE.finditer(text) if strong else western:
         own = line.group()
         known = own.encode(codec, "replace")

@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lookalike, packing, sentences, site_lines, splitting, tokenizing
+from . import lookalike, mojibake, packing, sentences, site_lines, splitting, templates, tokenizing
 from .common import table, written
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.found_ids(table(spark, sf_dir, "search_results", "id", "content"))
+
+
+def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``search_results`` without the records of p2_found."""
+    rows = table(spark, sf_dir, "search_results")
+    return rows.join(templates.found_ids(rows.select("id", "content")), "id", "left_anti").select("id", "topic_id", "title", "url", "content")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.repeated_lines(table(spark, sf_dir, "source_documents", "ref_id", "url", "body"))
 
@@ -19,6 +29,14 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.without_lines(docs, site_lines.repeated_lines(docs)).select("ref_id", F.col("clean").alias("body")).distinct()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled_ids(table(spark, sf_dir, "search_results", "id", "content"))
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restored(table(spark, sf_dir, "search_results", "id", "content")).distinct()
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of the three fields with their limit in characters."""
     body = table(spark, sf_dir, "source_documents", "ref_id", "body").select(F.lit("SourceDocument.body").alias("field"), F.col("ref_id").cast("long").alias("rec_id"), F.lit(-1).alias("chunk_id"), F.col("body").alias("text"))
