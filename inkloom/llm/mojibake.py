@@ -317,6 +317,21 @@ def restore(text: str) -> str:
     return text
 
 
+@functools.cache
+def _odd() -> re.Pattern:
+    """Signs that text in the scripts of the corpus hardly has."""
+    rows = [bytes([a, b]) for a in range(0xB0, 0xF8) for b in range(0xA1, 0xFF)]
+    usual = set("".join(x.decode("gb2312", "ignore") for x in rows)) | _common()
+    han = "".join(chr(n) for n in range(0x4E00, 0xA000) if chr(n) not in usual)
+    return re.compile(f"[\x80-\x84\x86-\x9f\u3105-\u312f\uac00-\ud7af\ufe30-\ufe6b\uff61-\uff9f�{han}]")
+
+
+def restore_if_odd(text: str) -> str:
+    """restore() for readers that only need long damage mended: text without odd
+    signs is taken as it is."""
+    return restore(text) if _pair().search(text) or _odd().search(text) else text
+
+
 def garbled_ids(results: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
     """(``key``) of the records that hold a garbled stretch."""
     kind = results.schema[key].dataType.simpleString()

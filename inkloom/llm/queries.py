@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lookalike, mojibake, packing, sentences, site_lines, splitting, templates, tokenizing
+from . import boilerplate, lookalike, mojibake, packing, sentences, site_lines, splitting, templates, tokenizing
 from .common import table, written
 
 
@@ -63,6 +63,34 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("field", "rec_id", "chunk_id", "piece", "start", "end", "text")
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Both tables of pages as (k, title, t), each row once, without the records of
+    p2_found."""
+    results = table(spark, sf_dir, "search_results", "id", "title", "content")
+    failed = templates.found_ids(results.select("id", "content"))
+    results = results.join(failed, "id", "left_anti").select(F.col("id").cast("long").alias("k"), "title", F.col("content").alias("t"))
+    docs = table(spark, sf_dir, "source_documents", "ref_id", "title", "body").select(F.col("ref_id").cast("long").alias("k"), "title", F.col("body").alias("t"))
+    return {"search_results": results, "source_documents": docs}
+
+
+def _page_model(spark: SparkSession, sf_dir: str) -> boilerplate.Model:
+    results = table(spark, sf_dir, "search_results", "id", "title", "content").select(F.col("id").cast("long").alias("k"), "title", F.col("content").alias("t"))
+    docs = table(spark, sf_dir, "source_documents", "ref_id", "title", "body").select(F.col("ref_id").cast("long").alias("k"), "title", F.col("body").alias("t"))
+    return boilerplate.fit([results, docs])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _page_model(spark, sf_dir)
+    parts = [boilerplate.chrome_lines(df, model).select(F.lit(name).alias("tbl"), F.col("k").alias("rec_id"), "line_no") for name, df in _pages(spark, sf_dir).items()]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def p6_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _page_model(spark, sf_dir)
+    parts = [boilerplate.main_text(df, model).select(F.lit(name).alias("tbl"), F.col("k").alias("rec_id"), F.col("main").alias("text")) for name, df in _pages(spark, sf_dir).items()]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "source_documents", "ref_id", "body")).distinct()
 
