@@ -18,12 +18,12 @@ page to learn from, the uniform prior keeps every line.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import pages
@@ -35,6 +35,8 @@ ZONES = 8
 IS_CONTENT = np.array([0, 1, 0, 1, 0, 0, 0, 0], bool)
 _STRONG = (pages.PROSE, pages.LONG, pages.TABLE, pages.HEAD)
 _CHROME = (pages.SER, pages.INL, pages.FOO, pages.SCR, pages.CON, pages.BY, pages.NAV, pages.ITEM, pages.CRUMB, pages.BAR, pages.REL)
+#: Kinds that no chrome has: their lines are content wherever they stand.
+_NEVER = (pages.LONG, pages.TABLE)
 #: A line's label agrees with its run's zone with this probability.
 AGREE = 0.95
 LEAST_SEEN = 3
@@ -51,7 +53,8 @@ class Page:
 
 
 def key_of(s: str) -> int:
-    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    n = xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
+    return n - (1 << 64) if n >> 63 else n
 
 
 def read(text: str, title: str | None) -> Page:
@@ -150,45 +153,44 @@ class Model:
     def _together(self, some: list[Page]) -> list[np.ndarray]:
         spines = [runs(p.kinds, p.gaps) for p in some]
         width = max(map(len, spines), default=0)
+        sizes = np.array([len(p.kinds) for p in some])
         if not width:
             return [np.zeros(0) for _ in some]
         n = len(some)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        kinds = np.fromiter((k for p in some for k in p.kinds), np.int64, first[-1])
+        gaps = np.fromiter((g for p in some for g in p.gaps), np.int64, first[-1])
+        keys = np.fromiter((k for p in some for k in p.keys), np.int64, first[-1])
+        begin = np.fromiter((f + a for f, spine in zip(first, spines) for a, _ in spine), np.int64)
+        page = np.repeat(np.arange(n), [len(s) for s in spines])
+        run = np.fromiter((g for s in spines for g in range(len(s))), np.int64, len(begin))
+        # messages of the lines to their run: sum over a line's label of agreement x evidence
+        agree = np.where(IS_CONTENT[:, None] == np.array([False, True]), AGREE, 1 - AGREE)  # zone x label
+        odds = np.where(np.isin(kinds, _NEVER), -5.0, self.chrome_odds(keys))
+        evidence = np.stack([1 / (1 + np.exp(-odds)), 1 / (1 + np.exp(odds))], 1)
+        message = np.log(evidence @ agree.T)
         local = np.zeros((n, width, ZONES))
         gap = np.zeros((n, width), int)
         there = np.zeros((n, width), bool)
-        # messages of the lines to their run: sum over a line's label of agreement x evidence
-        agree = np.where(IS_CONTENT[:, None] == np.array([False, True]), AGREE, 1 - AGREE)  # zone x label
-        evidence = []
-        for i, (p, spine) in enumerate(zip(some, spines)):
-            odds = self.chrome_odds(np.asarray(p.keys, np.int64))
-            e = np.stack([1 / (1 + np.exp(-odds)), 1 / (1 + np.exp(odds))], 1) if len(odds) else np.zeros((0, 2))
-            evidence.append(e)
-            up = np.log(e @ agree.T) + self.emit[:, p.kinds].T
-            if len(spine):
-                local[i, : len(spine)] = np.add.reduceat(up, [a for a, _ in spine])
-                gap[i, : len(spine)] = [p.gaps[a] for a, _ in spine]
-                there[i, : len(spine)] = True
+        local[page, run] = np.add.reduceat(message + self.emit[:, kinds].T, begin)
+        gap[page, run] = gaps[begin]
+        there[page, run] = True
         up = np.zeros((n, width, ZONES))
         up[:, 0] = self.start + local[:, 0]
         for g in range(1, width):
             up[:, g] = _sum_log(up[:, g - 1][:, :, None] + self.step[gap[:, g]], 1) + local[:, g]
         down = np.zeros((n, width, ZONES))
         for g in range(width - 2, -1, -1):
-            message = _sum_log(self.step[gap[:, g + 1]] + (local[:, g + 1] + down[:, g + 1])[:, None, :], 2)
-            down[:, g] = np.where(there[:, g + 1][:, None], message, 0)
+            back = _sum_log(self.step[gap[:, g + 1]] + (local[:, g + 1] + down[:, g + 1])[:, None, :], 2)
+            down[:, g] = np.where(there[:, g + 1][:, None], back, 0)
         zone = up + down
         zone -= _sum_log(zone, 2)[:, :, None]
-        result = []
-        for i, (p, spine) in enumerate(zip(some, spines)):
-            m = np.zeros(len(p.kinds))
-            for g, (a, b) in enumerate(spine):
-                # belief of a run without the line's own message, then agreement and the line's evidence
-                own = np.log(evidence[i][a:b] @ agree.T)
-                rest = np.exp(zone[i, g] - own)
-                label = (rest @ agree) * evidence[i][a:b]
-                m[a:b] = label[:, 1] / label.sum(1)
-            result.append(m)
-        return result
+        # belief of a line's run without the line's own message, then agreement and evidence
+        of_line = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, first[-1])))
+        rest = np.exp(zone[page, run][of_line] - message)
+        label = (rest @ agree) * evidence
+        content = label[:, 1] / label.sum(1)
+        return [content[a:b] for a, b in zip(first[:-1], first[1:])]
 
 
 def _sum_log(x: np.ndarray, axis: int) -> np.ndarray:

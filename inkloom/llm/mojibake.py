@@ -326,10 +326,19 @@ def _odd() -> re.Pattern:
     return re.compile(f"[\x80-\x84\x86-\x9f\u3105-\u312f\uac00-\ud7af\ufe30-\ufe6b\uff61-\uff9f�{han}]")
 
 
+@functools.cache
+def _cluster() -> re.Pattern:
+    """Three neighbouring signs of an upper half that are neither Cyrillic nor
+    usual punctuation."""
+    upper = {chr(c) for codec in SINGLE for c in _single(codec)[0]}
+    upper -= {chr(n) for n in range(0x400, 0x460)} | set("\xa0«»°·…’‘“”„–—•‹›™©®§№")
+    return re.compile("[" + "".join(map(re.escape, sorted(upper))) + "]{3}")
+
+
 def restore_if_odd(text: str) -> str:
     """restore() for readers that only need long damage mended: text without odd
     signs is taken as it is."""
-    return restore(text) if _pair().search(text) or _odd().search(text) else text
+    return restore(text) if _odd().search(text) or _cluster().search(text) else text
 
 
 def garbled_ids(results: DataFrame, key: str = "id", text: str = "content") -> DataFrame:

@@ -6,10 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import boilerplate, lookalike, mojibake, packing, sentences, site_lines, splitting, templates, tokenizing
+from . import boilerplate, clusters, lookalike, mojibake, packing, sentences, site_lines, splitting, templates, tokenizing
 from .common import table, written
 
 
+def _tuple_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(clusters.groups(table(spark, sf_dir, "feature_bank", "tuple_id", *clusters.VIEWS)), "groups")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inside = _tuple_groups(spark, sf_dir).where("group_id is not null").select("tuple_id", "group_id")
+    pairs = table(spark, sf_dir, "judged_pairs", "left_id", "right_id").select(F.least("left_id", "right_id").alias("tuple_a"), F.greatest("left_id", "right_id").alias("tuple_b")).where("tuple_a < tuple_b").distinct()
+    a = inside.select(F.col("tuple_id").alias("tuple_a"), F.col("group_id").alias("ga"))
+    b = inside.select(F.col("tuple_id").alias("tuple_b"), F.col("group_id").alias("gb"))
+    return pairs.join(a, "tuple_a").join(b, "tuple_b").where("ga = gb").select("tuple_a", "tuple_b")
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group's size and most typical tuples."""
+    return clusters.described(_tuple_groups(spark, sf_dir))
+
+
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of each tuple, null for tuples that resemble nothing."""
+    return _tuple_groups(spark, sf_dir).select("tuple_id", "group_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.found_ids(table(spark, sf_dir, "search_results", "id", "content"))
 
