@@ -1 +1 @@
-"""Analytics over evidence-centred text corpora, on Spark."""
+"""Inkloom: analytics over evidence-centred text corpora, on Spark."""
