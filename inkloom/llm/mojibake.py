@@ -69,7 +69,7 @@ def _common() -> frozenset[str]:
 def _likely(c: str) -> bool:
     """A sign that garbled text is likely to stand for."""
     n = ord(c)
-    return 0xA0 <= n <= 0x17F or n in (0x192, 0x2C6, 0x2DC) or 0x391 <= n <= 0x3C9 or 0x401 <= n <= 0x451 or 0x900 <= n <= 0x97F or 0x2010 <= n <= 0x203A or 0x20A0 <= n <= 0x22FF or 0x2500 <= n <= 0x27BF or 0x3000 <= n <= 0x30FF or 0x4E00 <= n <= 0x9FFF or 0xFF01 <= n <= 0xFF5E or n in (0xFEFF, 0xFFFD) or 0x1F300 <= n <= 0x1FAFF
+    return 0x80 <= n <= 0x17F or n in (0x192, 0x2C6, 0x2DC) or 0x391 <= n <= 0x3C9 or 0x401 <= n <= 0x451 or 0x900 <= n <= 0x97F or 0x2010 <= n <= 0x203A or 0x20A0 <= n <= 0x22FF or 0x2500 <= n <= 0x27BF or 0x3000 <= n <= 0x30FF or 0x4E00 <= n <= 0x9FFF or 0xFF01 <= n <= 0xFF5E or n in (0xFEFF, 0xFFFD) or 0x1F300 <= n <= 0x1FAFF
 
 
 def _written(c: str) -> bool:
@@ -289,9 +289,11 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     found += [s for codec in DOUBLE for s in _double_spans(text, codec, western)]
     found += _run_spans(text)
     out: list[tuple[int, int, str]] = []
-    for s in sorted(found, key=lambda s: (s[0] - s[1], s[0])):  # the longest first
-        if all(s[1] <= o[0] or s[0] >= o[1] for o in out):
-            out.append(s)
+    taken = bytearray(len(text))
+    for a, b, now in sorted(found, key=lambda s: (s[0] - s[1], s[0])):  # the longest first
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = b"\1" * (b - a)
+            out.append((a, b, now))
     return sorted(out)
 
 

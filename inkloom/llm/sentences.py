@@ -25,7 +25,7 @@ OPENED, CLOSED, HARD, LOW, HIGH, SOFT = "\x01", "\x02", "\x03", "\x05", "\x06",
 CLASSES = [("«「『", OPENED), ("”»」』", CLOSED), ("„", LOW), ("“", HIGH), ("。！？｡．।॥؟", HARD), ("…⋯", SOFT), ("）】", ")"), ("（", "("), ("【", "["), (" 　 ", " "), ("：", ":"), ("\x01\x02\x03\x04\x05\x06\ue000\ue001", "\x7f")]
 OPEN, CLOSE = OPENED + LOW + HIGH, CLOSED
 # Short forms whose dot never ends a sentence ...
-ALWAYS = "Mr|Mrs|Ms|Dr|Prof|Eng|St|Hr|Fr|Sr|Jr|cf|incl|vs|e\\.g|i\\.e|z\\. ?B|d\\. ?h|u\\. ?a|p\\. ex|bzw|ca|Ing|Dipl|Mio|Mrd|zzgl|ggf|vgl|Vgl|inkl|approx|env|напр|см|См|им|ул|проф|акад|инж|डॉ|प्रो|श्री|उदा|z|d|т"
+ALWAYS = "Mr|Mrs|Ms|Dr|Prof|Eng|St|Hr|Fr|Sr|Jr|cf|incl|vs|e\\.g|i\\.e|z\\. ?B|d\\. ?h|u\\. ?a|p\\. ex|bzw|ca|Ing|Dipl|Mio|Mrd|zzgl|ggf|vgl|Vgl|inkl|approx|env|Env|напр|см|См|им|ул|проф|акад|инж|डॉ|प्रो|श्री|उदा|z|d|т"
 # ... and those whose dot ends none before a number.
 BEFORE_NUMBER = "no|No|Nos|nos|Fig|Figs|fig|figs|Sec|sec|Ch|ch|Eq|eq|vol|Vol|pp|p|art|Art|tabl|Tabl|chap|Abb|Tab|Nr|Kap|Bd|Ziff|Abs|рис|Рис|табл|Табл|гл|стр|п|क्र|सं"
 #: Words before a German ordinal.

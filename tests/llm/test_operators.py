@@ -1,0 +1,336 @@
+"""Small cases of every training-data operator: nulls, empty and long texts, ties,
+repeated rows, empty tables, extra columns with clashing names; each against brute
+force, an exact round trip or known truth."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+
+pytest.importorskip("inkloom.llm")
+from inkloom.llm import boilerplate, clusters, lookalike, mojibake, packing, pages, sentences, site_lines, splitting, templates, tokenizing  # noqa: E402
+
+TEXTS = [None, "", "   ", "Ein Satz.", "系统会在切换" * 4000, "word " * 6000, "a" * 20000, "<|endoftext|> plain", "Ein Satz."]
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+# ---------------------------------------------------------------- tokenizer
+
+
+def test_ids_equal_the_library(spark):
+    import os
+
+    if not os.path.exists(tokenizing.FOLDER):
+        pytest.skip("no vocabulary")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(f"{tokenizing.FOLDER}/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    docs = spark.createDataFrame([(i, x, "ids", 0) for i, x in enumerate(TEXTS)], "doc_id long, text string, ids string, k int")
+    got = {r.doc_id: r.ids for r in tokenizing.encode_documents(docs, leaf=512).collect()}
+    for i, x in enumerate(TEXTS):
+        assert got[i] == (t.encode(x, add_special_tokens=False).ids if x else []), i
+    assert tokenizing.encode_documents(docs.where("false")).count() == 0
+
+
+def test_tree_joins_are_exact():
+    e = tokenizing.encoder()
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh 系统测试。's\n") for _ in range(6000)), "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(5000)), " " * 3000 + "x", "'s" * 2000, "naïve" * 900]
+    for t in texts:
+        for leaf in (50, 400):
+            cut = tokenizing.halves(t, leaf)
+            assert "".join(p for p, _ in cut) == t
+            assert tokenizing.tree_concat([(tokenizing.encode(p), s) for p, s in cut], e).tolist() == e.encode_ordinary(t)
+
+
+# ------------------------------------------------------------------ packing
+
+
+def test_packing_splits_only_the_oversized():
+    rng = random.Random(1)
+    sizes = [rng.randint(1, 900) for _ in range(4000)] + [5000, 512, 0]
+    bins = packing.pack_sizes(sizes, 512)
+    assert all(sum(n for _, _, n in b) <= 512 for b in bins)
+    back = {}
+    for b in bins:
+        for item, start, n in b:
+            back.setdefault(item, []).append((start, n))
+    for i, n in enumerate(sizes):
+        parts = sorted(back.get(i, []))
+        assert sum(p for _, p in parts) == n and (len(parts) <= 1 or n > 512)
+    assert len(bins) <= 1.03 * sum(sizes) / 512 + 1
+
+
+def test_packing_documents(spark):
+    docs = spark.createDataFrame([(i, x, 7) for i, x in enumerate(TEXTS)], "doc_id long, text string, capacity int")
+    got = packing.pack_documents(docs, [512, 2048, None, 512])
+    per = got.where("container_id is not null").groupBy("capacity", "container_id").sum("n_tokens").collect()
+    assert all(r[2] <= r.capacity for r in per)
+    assert {r.doc_id for r in got.where("container_id is null").collect()} == {0, 1}
+    assert packing.pack_documents(docs.where("false"), [512]).count() == 0
+
+
+# ---------------------------------------------------------------- look-alike
+
+
+def test_lookalikes(spark):
+    pairs = [("Ｖｅｌｍｏｎｔ ｶﾞ", "Velmont ガ"), ("Café ﬁn", "Café fin"), ("оpen​", "open"), ("a　b c", "a b c"), ("⼀更", "一更")]
+    data = [(2 * i, a) for i, (a, b) in enumerate(pairs)] + [(2 * i + 1, b) for i, (a, b) in enumerate(pairs)]
+    data += [(100, "x²"), (101, "x2"), (102, "Cafe"), (103, "Café"), (104, "ABC"), (105, "abc"), (106, None), (107, ""), (108, " "), (109, "​"), (110, "same"), (111, "same"), (112, "👩‍🔧"), (113, "👩🔧"), (0, pairs[0][0])]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in data], "doc_id long, text string, look string, canonical string")
+    # 103 and the second pair are different texts
+    assert rows(lookalike.lookalike_pairs(docs)) == [(2 * i, 2 * i + 1) for i in range(len(pairs))]
+    forms = {r.doc_id: r.canonical for r in lookalike.canonical_texts(docs).collect()}
+    assert forms[106] is None and forms[107] == "" and forms[0] == forms[1] == "Velmont ガ"
+    assert lookalike.lookalike_pairs(docs.where("false")).count() == 0
+
+
+# ------------------------------------------------------------------ encoding
+
+GOOD = ["“Café” – naïve façade 3 × 4 ½ Größe «été»\xa0 Ω≈3 √2", "联通公司的路由，每个么", "В\xa0площадке «СССР» Сёрфинг", "हिन्दी पाठ", "検証と観測のデータ ｱｲｳ", "Kube路由 RoCE每", "groß“ und À’", "區塊鏈節點", "", "plain"]
+
+
+def test_correct_text_is_left_alone():
+    for t in GOOD:
+        assert not mojibake.is_garbled(t), t
+        assert mojibake.restore(t) == t
+
+
+@pytest.mark.parametrize("text,written,read_as", [("Téléchargements : l'énergie", "utf-8", "cp1252"), ("Carrières", "utf-8", "mac_roman"), ("Главная страница", "utf-8", "cp1251"), ("长滩市能耗管理现状与需求", "gbk", "latin-1"), ("电力会社のプライバシー", "utf-8", "cp932"), ("质量追溯系统的灰度发布", "utf-8", "latin-1"), ("die Prüfdauer bleibt", "utf-8", "gbk"), ("质量追溯系统的灰度发布", "gbk", "big5")])
+def test_garbled_text_is_restored(text, written, read_as):
+    try:
+        bad = text.encode(written).decode(read_as)
+    except UnicodeDecodeError:
+        bad = text.encode(written).decode(read_as, "replace")
+        assert mojibake.is_garbled(f"ok {bad}")
+        return
+    assert mojibake.is_garbled(bad)
+    assert mojibake.restore(bad) == text
+
+
+def test_garbled_ids(spark):
+    twice = "会员服务".encode().decode("latin-1").encode().decode("latin-1")
+    data = [(1, None), (2, ""), (3, "fine"), (4, "Ors�ne"), (4, "fine"), (5, twice), (5, twice)]
+    df = spark.createDataFrame([(*r, "k") for r in data], "id int, content string, t string")
+    assert rows(mojibake.garbled_ids(df)) == [(4,), (5,)]
+    back = {(r.id, r.content) for r in mojibake.restored(df).collect()}
+    assert (5, "会员服务") in back and (1, None) in back and (2, "") in back
+    assert mojibake.garbled_ids(df.where("false")).count() == 0
+
+
+# ----------------------------------------------------------------- sentences
+
+CASES = {
+    "In the hub, Dr. Orla Venk saw 3.5 km. See Fig. 3, e.g. at docs.velmont.example. “Stop!” was heard. Ms. A. B. Ardane added: “cost is high.” Next.": ["In the hub, Dr. Orla Venk saw 3.5 km.", "See Fig. 3, e.g. at docs.velmont.example.", "“Stop!” was heard.", "Ms. A. B. Ardane added: “cost is high.”", "Next."],
+    "“上线！上线！”值班日志只写了这几个字。港航单位问：“怎么接入？”与上一阶段相比……建议优先！ 好": ["“上线！上线！”值班日志只写了这几个字。", "港航单位问：“怎么接入？”", "与上一阶段相比……", "建议优先！", "好"],
+    "「誰が負担するのか。」と質問した。次の文。": ["「誰が負担するのか。」と質問した。", "次の文。"],
+    "Am 731. Prüftag, z. B. heute. „Wer zahlt?“ fragten sie. Ende?! Ja": ["Am 731. Prüftag, z. B. heute.", "„Wer zahlt?“ fragten sie.", "Ende?!", "Ja"],
+    "« Qui paiera ? » demandaient-ils. Env. 3 km ! Dès lors.": ["« Qui paiera ? » demandaient-ils.", "Env. 3 km !", "Dès lors."],
+    "См. рис. 6. «Кто?» — спросили. Да.": ["См. рис. 6.", "«Кто?» — спросили.", "Да."],
+    "यह वाक्य है। दूसरा वाक्य?": ["यह वाक्य है।", "दूसरा वाक्य?"],
+    "1. Punkt eins\n\n  * Kopf \r\nEnd.As we go": ["1. Punkt eins", "* Kopf", "End.", "As we go"],
+    "etc. See more. Tests ran 9 a.m. to 5 p.m. local time.": ["etc.", "See more.", "Tests ran 9 a.m. to 5 p.m. local time."],
+}
+
+
+def test_sentences(spark):
+    data = list(enumerate(CASES)) + [(90, None), (91, ""), (92, " \n　"), (0, next(iter(CASES)))]
+    df = spark.createDataFrame([(*r, "x") for r in data], "ref_id int, body string, parts string")
+    got = {}
+    for r in sentences.sentences(df.distinct(), text=True).collect():
+        body = data[r.ref_id][1]
+        assert body[r.start_pos - 1 : r.end_pos] == r.sentence == r.sentence.strip()
+        got.setdefault(r.ref_id, []).append((r.start_pos, r.sentence))
+    for i, (_, want) in enumerate(CASES.items()):
+        assert [s for _, s in sorted(got[i])] == want
+    assert set(got) == set(range(len(CASES)))
+    assert sentences.sentences(df.where("false")).count() == 0
+
+
+def test_sentence_places_in_a_long_body(spark):
+    body = "Satz eins. Zwei!\n" * 3000
+    df = spark.createDataFrame([(1, body)], "ref_id int, body string")
+    got = sorted((r.start_pos, r.end_pos) for r in sentences.sentences(df).collect())
+    assert len(got) == 6000 and all(body[a - 1 : b] in ("Satz eins.", "Zwei!") for a, b in got)
+
+
+# ----------------------------------------------------------------- splitting
+
+
+def brute_pieces(text, limit, overlap):
+    at, rank = splitting.ends(text, 0, 0, len(text))
+    return splitting.choose(np.array(at, int), np.array(rank, int), len(text), limit, overlap)
+
+
+@pytest.mark.parametrize("size", [64, 1000])
+def test_ranges_equal_the_whole(spark, size):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["Wort ", "Satz. ", "行。", "\n", "\n\n", "x" * 9]) for _ in range(400)), "y" * 900, "a b\n\nc", None, ""]
+    df = spark.createDataFrame([("F", i, -1, t, 300, 40, "z") for i, t in enumerate(texts)] + [("F", 0, -1, texts[0], 300, 40, "z")], "field string, rec_id long, chunk_id int, text string, max_size int, overlap int, item string")
+    cut = splitting.ranges(splitting.oversized(df), size, 16)
+    got = {}
+    for r in splitting.piece_texts(cut, splitting.pieces(cut, size), size).collect():
+        assert r.text == texts[r.rec_id][r.start : r.end] and len(r.text) <= 300
+        got.setdefault(r.rec_id, []).append((r.start, r.end))
+    assert {k: sorted(v) for k, v in got.items()} == {i: brute_pieces(texts[i], 300, 40) for i in (0, 1)}
+    assert splitting.pieces(splitting.ranges(splitting.oversized(df.where("false")))).count() == 0
+
+
+def test_file_ranges(spark, tmp_path):
+    text = "Ein Satz mit Wörtern. 系统会切换。\n\n" * 400
+    p = tmp_path / "big.txt"
+    p.write_text(text, encoding="utf-8")
+    cut = splitting.file_ranges(spark, [str(p)], 500, 50, size=700, halo=16, block=1111).cache()
+    out = splitting.piece_texts(cut, splitting.pieces(cut, 700), 700).orderBy("piece").collect()
+    assert [(r.start, r.end) for r in out] == brute_pieces(text, 500, 50)
+    assert all(r.text == text[r.start : r.end] for r in out)
+
+
+# ---------------------------------------------------------------- site lines
+
+
+def test_site_lines_against_brute_force(spark):
+    rng = random.Random(2)
+    data = []
+    for i in range(60):
+        lines = [f"Artikel {rng.random()} {rng.random()}", "  Alle  Rechte 20%d " % (i % 7), ""] + (["kurz"] if i % 2 else [])
+        data.append((i, rng.choice(["http://www.A.example:80/x", "a.example/y", "HTTPS://b.test"]), "\n".join(lines)))
+    data += [(70, None, "kurz"), (71, "", "kurz"), (72, "a.example", None), (0, data[0][1], data[0][2])]
+    df = spark.createDataFrame([(*r, 1) for r in data], "ref_id int, url string, body string, site int")
+
+    def site(u):
+        return re.sub(r"^www\.", "", re.sub(r":\d*$", "", re.sub(r"[/?#].*$", "", re.sub(r"^[a-z]+://", "", u.lower()))))
+
+    docs, seen = {}, {}
+    for i, u, b in data:
+        if u and b is not None:
+            docs.setdefault(site(u), set()).add(i)
+            for n, line in enumerate(b.split("\n"), 1):
+                k = re.sub("[0-9]+", "0", " ".join(line.split()).lower())
+                if k:
+                    seen.setdefault((site(u), k), set()).add((i, n))
+    want = sorted({x for (s, _), v in seen.items() if len({i for i, _ in v}) >= 5 and 10 * len({i for i, _ in v}) >= len(docs[s]) for x in v})
+    found = site_lines.repeated_lines(df)
+    assert rows(found) == want
+    clean = {r.ref_id: r.clean for r in site_lines.without_lines(df, found).collect()}
+    assert "Rechte" not in clean[0] and clean[72] is None
+    assert site_lines.repeated_lines(df.where("false")).count() == 0
+
+
+def test_chunks_do_not_depend_on_what_is_around():
+    line = "the same long notice that stands on every single page of this site, word by word, again and again"
+    a = site_lines.chunk_lines("other\n" + line)
+    b = site_lines.chunk_lines(line + "\nsomething else")
+    assert a[1][1] == b[1][0]
+    assert a[2][a[3][1] : a[3][2]].tolist() == b[2][b[3][0] : b[3][1]].tolist()
+
+
+# ------------------------------------------------------------------ templates
+
+
+def test_found_records(spark):
+    prose = "The privacy node in Farwater met requirement No. 5 and kept its target over the whole period."
+    data = [
+        (1, "404 Not Found\nGo back to the start page or contact support"), (2, "Home  News\n请启用JavaScript后继续访问"), (3, "Lorem ipsum dolor sit vesti ultra quaerat"),
+        (4, f"{prose} Built by {{{{company_name}}}} again."), (5, f"In the chart, {{{{ .Values.replicas }}}} is a variable that the engine replaces. {prose}"),
+        (6, f"{prose}\nPlease enable JavaScript for the best experience"), (7, None), (8, ""), (9, f"The proxy logged 404 replies. {prose}"), (10, f"{prose} 由______负责。"),
+        (11, prose), (1, "404 Not Found"), (12, f"{prose} The rate is undefined today."),
+    ]
+    df = spark.createDataFrame([(*r, "u") for r in data], "id int, content string, unit string")
+    assert rows(templates.found_ids(df)) == [(1,), (2,), (3,), (4,), (10,), (12,)]
+    assert templates.found_ids(df.where("false")).count() == 0
+
+
+# ---------------------------------------------------------------- boilerplate
+
+
+def page(i):
+    body = "\n".join(f"Absatz {i} {k} mit vielen Wörtern, die hier stehen bleiben sollen." for k in range(4))
+    return f"[Home](/a{i})\n[Kontakt](/b{i})\nTitel {chr(65 + i % 20)}\nVon Uwe Drachtel, 2022-01-0{1 + i % 9}\n\n{body}\nMeistgelesen\n* Anderer Titel {i}\n* Noch einer\n© 2020 Velmont\n"
+
+
+def test_marginals_equal_enumeration():
+    """Sum-product against all zone assignments of a short page."""
+    import itertools
+
+    labelled = [(p, boilerplate.zones(p.kinds)) for i in range(30) for p in [boilerplate.read(page(i), f"Titel {chr(65 + i % 20)}")]]
+    m = boilerplate.Model(labelled)
+    p = boilerplate.read("[Home](/a1)\nTitel A\n\nEin Satz hier.\n© 2020 Velmont", "Titel A")
+    spine = boilerplate.runs(p.kinds, p.gaps)
+    odds = np.where(np.isin(p.kinds, boilerplate._NEVER), -5.0, m.chrome_odds(np.array(p.keys)))
+    e = np.stack([1 / (1 + np.exp(-odds)), 1 / (1 + np.exp(odds))], 1)
+    total, content = 0.0, np.zeros(len(p.kinds))
+    for zs in itertools.product(range(boilerplate.ZONES), repeat=len(spine)):
+        w = np.exp(m.start[zs[0]]) * np.prod([np.exp(m.step[int(p.gaps[spine[g][0]]), zs[g - 1], zs[g]]) for g in range(1, len(spine))])
+        per = []
+        for (a, b), z in zip(spine, zs):
+            for i in range(a, b):
+                w *= np.exp(m.emit[z, p.kinds[i]])
+                agree = [boilerplate.AGREE if bool(c) == bool(boilerplate.IS_CONTENT[z]) else 1 - boilerplate.AGREE for c in (0, 1)]
+                per.append((agree[0] * e[i, 0], agree[1] * e[i, 1]))
+        full = w * np.prod([x + y for x, y in per])
+        total += full
+        content += [full * y / (x + y) for x, y in per]
+    assert np.allclose(m.marginals([p])[0], content / total)
+
+
+def test_main_content(spark):
+    data = [(i, f"Titel {chr(65 + i % 20)}", page(i)) for i in range(60)] + [(90, None, None), (91, "x", ""), (92, None, page(1)), (0, "Titel A", page(0))]
+    df = spark.createDataFrame([(*r, 1) for r in data], "k long, title string, t string, line_no int")
+    model = boilerplate.fit([df])
+    cut = {}
+    for r in boilerplate.chrome_lines(df, model).distinct().collect():
+        cut.setdefault(r.k, set()).add(r.line_no)
+    assert all(cut[i] == {1, 2, 4, 10, 11, 12, 13} for i in [*range(60), 92])
+    main = {r.k: r.main for r in boilerplate.main_text(df, model).collect()}
+    assert main[90] is None and main[91] == "" and main[3].startswith("Titel D\nAbsatz 3 0")
+    assert boilerplate.chrome_lines(df.where("false"), boilerplate.fit([df.where("false")])).count() == 0
+
+
+# ------------------------------------------------------------------- clusters
+
+
+def bank(n_groups=6, seed=4):
+    rng = np.random.default_rng(seed)
+    sizes, out, truth, k = (32, 16, 32, 24), [], {}, 0
+    centres = [[rng.normal(size=d) for d in sizes] for _ in range(n_groups)]
+    for g in range(n_groups):
+        for j in range(20 + 30 * g):
+            views = [((c / np.linalg.norm(c) + rng.normal(size=len(c)) * 0.3 / np.sqrt(len(c))) * rng.uniform(0.2, 3)).tolist() for c in centres[g]]
+            if j % 17 == 0:
+                views[j % 4] = None
+            elif j % 19 == 0:
+                views[j % 4] = [0.0] * sizes[j % 4]
+            out.append((k, *views))
+            truth[k] = g
+            k += 1
+    for _ in range(5):
+        out.append((k, *[rng.normal(size=d).tolist() for d in sizes]))
+        truth[k] = None
+        k += 1
+    out.append((k, None, None, None, None))
+    truth[k] = None
+    return out, truth
+
+
+def test_groups(spark):
+    data, truth = bank()
+    df = spark.createDataFrame([(*r, 0) for r in [*data, data[0]]], "tuple_id long, vs_emb array<float>, sents_graph_emb array<float>, summarized_emb array<float>, event_emb array<float>, group_id int")
+    got = {r.tuple_id: r.group_id for r in clusters.groups(df).collect()}
+    first = {g: min(i for i, x in truth.items() if x == g) for g in set(truth.values()) - {None}}
+    assert got == {i: None if g is None else first[g] for i, g in truth.items()}
+    told = {r.group_id: (r["size"], r.typical) for r in clusters.described(clusters.groups(df)).collect()}
+    assert {g: n for g, (n, _) in told.items()} == {first[g]: 20 + 30 * g for g in range(6)}
+    assert all(len(t) == 5 and all(got[x] == g for x in t) for g, (_, t) in told.items())
+    assert clusters.groups(df.where("false")).count() == 0
+
+
+def test_kinds_of_lines():
+    kinds = {"[Home](/a1)": pages.NAV, "Video | Home | News": pages.BAR, "© 2020 Velmont Lab": pages.FOO, "Accept all | Reject all": pages.CON, "相关阅读": pages.REL, "相关阅读: 标题": pages.INL, "Ein ganzer Satz steht hier.": pages.PROSE, "404 Not Found": pages.BAD, "Posted by A on 2020-01-01": pages.BY}
+    for line, k in kinds.items():
+        assert pages.kind_of(line, pages.shown(line)) == k, line
