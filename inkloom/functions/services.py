@@ -52,8 +52,8 @@ def json_object(reply: Column, schema: str) -> Column:
     plain = F.when(fenced != "", fenced).otherwise(reply)
     body = F.regexp_extract(plain, r"(?s)(\{.*\})", 1)
     fixed = F.regexp_replace(F.regexp_replace(body, r",\s*([}\]])", "$1"), r"[“”]", '"')
-    twice = F.regexp_replace(fixed, r'\\"', '"')
-    return F.coalesce(F.from_json(F.when(fixed != "", fixed), schema), F.from_json(F.when(twice != "", twice), schema))
+    once = F.when(fixed.rlike(r'^\{\s*\\"'), F.regexp_replace(fixed, r'\\"', '"')).otherwise(fixed)
+    return F.from_json(F.when(once != "", once), schema)
 
 
 def scores(reply: Column, metrics: list[str], low: float = 0.0, high: float = 5.0) -> Column:
@@ -83,7 +83,8 @@ def visible_text(html: str) -> str:
 
     t = re.sub(r"(?is)<(script|style|nav|noscript)\b.*?</\1>|<!--.*?-->", " ", html)
     t = re.sub(r"(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr)\b[^>]*>", "\n", t)
-    return re.sub(r"[^\S\n]+", " ", entities.unescape(re.sub(r"<[^>]+>", "", t))).strip()
+    t = re.sub(r"[^\S\n]+", " ", entities.unescape(re.sub(r"<[^>]+>", "", t)))
+    return re.sub(r" *\n *", "\n", t).strip()
 
 
 def record(value) -> str:

@@ -12,9 +12,9 @@ MARK = r"\[\^\d+\]"
 def distribution(df: DataFrame, key: str, text: str) -> DataFrame:
     """(``key``, total, uniq, dominant, ratio): citations of each text; the first of
     equally frequent ids is dominant (A25)."""
-    ids = df.select(key, F.posexplode(citation_ids(F.col(text))).alias("pos", "id"))
-    per = ids.groupBy(key, "id").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    return per.groupBy(key).agg(F.sum("n").alias("total"), F.count("*").alias("uniq"), F.max_by("id", F.struct(F.col("n"), -F.col("first"))).alias("dominant"), (F.max("n") / F.sum("n")).alias("ratio"))
+    ids = df.select(key, F.posexplode(citation_ids(F.col(text))).alias("_pos", "_cited"))
+    per = ids.groupBy(key, "_cited").agg(F.count("*").alias("_n"), F.min("_pos").alias("_first"))
+    return per.groupBy(key).agg(F.sum("_n").alias("total"), F.count("*").alias("uniq"), F.max_by("_cited", F.struct(F.col("_n"), -F.col("_first"))).alias("dominant"), (F.max("_n") / F.sum("_n")).alias("ratio"))
 
 
 def paragraph_coverage(df: DataFrame, key: str, text: str, least: int = 45) -> DataFrame:
@@ -40,9 +40,9 @@ def sentence_coverage(df: DataFrame, key: str, text: str, least: int = 12) -> Da
 
 
 def invalid(df: DataFrame, key: str, text: str, references: DataFrame, ref: str) -> DataFrame:
-    """(``key``, id) of citations without a reference."""
-    ids = df.select(key, F.explode(F.array_distinct(citation_ids(F.col(text)))).alias("id"))
-    return ids.join(references.select(F.col(ref).alias("id")), "id", "left_anti")
+    """(``key``, cited) of citations without a reference."""
+    ids = df.select(key, F.explode(F.array_distinct(citation_ids(F.col(text)))).alias("cited"))
+    return ids.join(references.select(F.col(ref).alias("cited")), "cited", "left_anti")
 
 
 def unsupported_numbers(claims: DataFrame, evidence: DataFrame) -> DataFrame:

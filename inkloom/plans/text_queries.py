@@ -230,7 +230,7 @@ def sentence_citation_coverage(spark, sf_dir):
 def invalid_citations(spark, sf_dir):
     """Citations of a source without evidence."""
     d = table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")
-    return citations.invalid(d, "doc_id", "text", table(spark, sf_dir, "evidence_chunks", "ref_id").distinct(), "ref_id").select("doc_id", "id")
+    return citations.invalid(d, "doc_id", "text", table(spark, sf_dir, "evidence_chunks", "ref_id").distinct(), "ref_id").select("doc_id", F.col("cited").alias("id"))
 
 
 @query()
