@@ -194,7 +194,8 @@ _RUNS = [
     ("mac", re.compile("[" + "".join(re.escape(bytes([b]).decode("mac_roman")) for b in range(0x80, 0x100)) + "]{4,}"), "mac_roman", "gbk"),
     ("kana", re.compile("(?:[‚ƒ][ -~\x80-\xffŒœŠšŽžŸƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]){2,}"), "cp1252", "cp932"),
     ("kana mac", re.compile("(?:[ÇÉ][" + "".join(re.escape(bytes([b]).decode("mac_roman")) for b in range(0x40, 0x100) if b != 0x7F) + "]){2,}"), "mac_roman", "cp932"),
-    ("cyrillic", re.compile("[À-ÿ¨¸]{4,}"), "cp1252", "cp1251"),
+    ("cyrillic", re.compile("[À-ÿ¨¸]{5,}"), "cp1252", "cp1251"),
+    ("cyrillic koi", re.compile("[À-ÿ£³]{5,}"), "cp1252", "koi8_r"),
     ("han", re.compile("[‐-‧　-ㄯ一-鿿︰-～①-◿]{3,}"), "big5", "gbk"),
     ("han jp", re.compile("[‐-‧　-ㄯ一-鿿︰-～①-◿]{3,}"), "gbk", "cp932"),
 ]
@@ -242,41 +243,111 @@ def _run_spans(text: str) -> list[tuple[int, int, str]]:
                     now = data.decode(target)
                 except UnicodeDecodeError:
                     continue
-                if kind == "cyrillic":
-                    sure = all("а" <= c.lower() <= "я" or c in "Ёё" for c in now) and piece[1:] != piece[1:].upper()
+                if kind.startswith("cyrillic"):
+                    letters = all("а" <= c.lower() <= "я" or c in "Ёё" for c in now)
+                    sure = letters and (now[1:].islower() or now.isupper()) and _cost(now) < 12
                 elif kind.startswith("kana"):
                     sure = sum("ぁ" <= c <= "ヾ" for c in now) >= 2 and all(map(_written, now))
                 else:
-                    sure = len(now) >= 2 and sum(map(_written, now)) >= 0.7 * len(now) and sum("一" <= c <= "鿿" for c in now) >= 2
+                    sure = len(now) >= 2 and sum(map(_written, now)) >= 0.6 * len(now) and sum("一" <= c <= "鿿" for c in now) >= 2
                 if sure:
                     out.append((m.start(), m.start() + len(piece), now))
                     break
     return out
 
 
+#: Fixed value: Han that Chinese text uses most.
+OFTEN = frozenset("的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出就分对成会可主发年动同工也能下过子说产种面而方后多定行学法所民得经十三之进着等部度家电力里如水化高自二理起小物现实加量都两体制机当使点从业本去把性好应开它合还因由其些然前外天政四日那社义事平形相全表间样与关各重新线内数正心反你明看原又么利比或但质气第向道命此变条只没结解问意建月公无系军很情者最立代想已通并提直题党程展五果料象员革位入常文总次品式活设及管特件长求老头基资边流路级少图山统接知较将组见计别她手角期根论运农指几九区强放决西被干做必战先回则任取据处队南给色光门即保治北造百规热领七海口东导器压志世金增争济阶油思术极交受联什认六共权收证改清己美再采转更单风切打白教速花带安场身车例真务具万每目至达走积示议声报斗完类八离华名确才科张信马节话米整空元况今集温传土许步群广石记需段研界拉林律叫且究观越织装影算低持音众书布复容儿须际商非验连断深难近矿千周委素技备半办青省列习响约支般史感劳便团往酸历市克何除消构府称太准精值号率族维划选标写存候毛亲快效斯院查江型眼王按格养易置派层片始却专状育厂京识适属圆包火住调满县局照参红细引听该铁价严")
+
+
+@functools.cache
+def _as(codec: str, target: str) -> dict[str, tuple[str, int]]:
+    """Sign -> (sign that its two bytes are in the other encoding, weight of evidence)."""
+    out = {}
+    for n in [*range(0x2010, 0x2028), *range(0x2460, 0x24A0), *range(0x3000, 0x3130), *range(0x4E00, 0xA000), *range(0xFE30, 0xFE70), *range(0xFF01, 0xFF5F)]:
+        c = chr(n)
+        try:
+            now = c.encode(codec).decode(target)
+        except UnicodeError:
+            continue
+        if len(now) != 1:
+            continue
+        lead = c.encode(codec)[0]
+        # rows of the read-as encoding that its own language hardly uses
+        unused = lead >= 0xC9 if codec == "big5" else 0x81 <= lead <= 0xA0
+        stray = "ㄅ" <= c <= "ㄯ" or "︰" <= c <= "﹫"
+        often, was = now in OFTEN or now in "，。、；：“”（）", c in OFTEN or c in "，。、；：“”（）！？"
+        if not _written(now) or was and not often:
+            w = -2
+        elif unused and "一" <= c or stray and often:
+            w = 2
+        else:
+            w = 1 if often and not was else 0
+        out[c] = (now, w)
+    return out
+
+
 def _han_spans(run: str, at: int, codec: str, target: str) -> list[tuple[int, int, str]]:
-    """Pieces of a run of Han that another encoding reads as common signs."""
-    data = [c.encode(codec, "ignore") for c in run]
+    """Pieces of a run of Han that another encoding reads as common signs: stretches
+    of signs whose bytes speak for it, sign by sign."""
+    table = _as(codec, target)
     out, i = [], 0
     while i < len(run):
-        if not data[i]:
+        if run[i] not in table or table[run[i]][1] <= 0:
             i += 1
             continue
-        j = i
-        while j < len(run) and data[j]:
+        j, score, rare, end, best = i, 0, 0, i, (0, 0)
+        while j < len(run) and run[j] in table:
+            w = table[run[j]][1]
+            if w == -2:
+                break
+            score += w
+            rare += w == 2
             j += 1
-        now = b"".join(data[i:j]).decode(target, "replace")
-        was = run[i:j]
-        if j - i >= 3 and now:
-            good = sum(map(_written, now)) / len(now)
-            rare = sum(c not in _common() for c in was if "一" <= c <= "鿿") + sum("ㄅ" <= c <= "ㄯ" or "︰" <= c <= "﹫" for c in was)
-            half = sum("｡" <= c <= "ﾟ" for c in now)
-            if good >= 0.9 and not half and rare >= max(2, 0.25 * (j - i)):
-                out.append((at + i, at + j, now))
-        i = j
+            if w > 0:
+                end, best = j, (score, rare)
+        odd = sum("一" <= c <= "鿿" and c not in _common() for c in run[i:end])
+        if best[1] and (best[0] >= 4 or odd >= 2 and end - i >= 2):
+            out.append((at + i, at + end, "".join(table[c][0] for c in run[i:end])))
+        i = max(j, i + 1)
     return out
 
 
+#: Fixed value: Russian letters by frequency.
+RUSSIAN = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
+_RANK = {c: i for i, c in enumerate(RUSSIAN)}
+_SWAPPED = re.compile("[А-ЯЁ]{4,}|[а-яё][А-ЯЁ]{3,}|[А-Яа-яЁё]*[а-яё][А-ЯЁ][А-Яа-яЁё]*")
+
+
+def _cost(word: str) -> float:
+    """Mean rank of a word's letters, with a price for four consonants in a row."""
+    low = word.lower()
+    return sum(_RANK.get(c, 33) for c in low) / len(low) + 6 * len(re.findall("[бвгджзйклмнпрстфхцчшщъь]{4}", low)) + 6 * (low[:1] in "ьъы")
+
+
+def _swapped_spans(text: str) -> list[tuple[int, int, str]]:
+    """Cyrillic words that one Cyrillic encoding was read as another: their case is
+    turned round, and their letters make words only in the other encoding."""
+    out = []
+    for m in _SWAPPED.finditer(text):
+        word = m.group()
+        if len(word) < 4:
+            continue
+        mixed = any(c.islower() for c in word) and any(c.isupper() for c in word[1:])
+        tries = []
+        for a, b in (("cp1251", "koi8_r"), ("koi8_r", "cp1251")):
+            try:
+                now = word.encode(a).decode(b)
+            except UnicodeError:
+                continue
+            if now[1:].islower() and all("а" <= c <= "я" or c == "ё" for c in now.lower()):
+                tries.append((_cost(now), now))
+        if tries and min(tries)[0] + (0 if mixed else 4) < _cost(word):
+            out.append((m.start(), m.end(), min(tries)[1]))
+    return out
+
+
+_CYRILLIC = re.compile("[А-ЯЁ]{3}")
 _ANY = re.compile("[^\x00-\x7f]")
 
 
@@ -288,6 +359,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     western = _western_lines(text)
     found += [s for codec in DOUBLE for s in _double_spans(text, codec, western)]
     found += _run_spans(text)
+    found += _swapped_spans(text) if _CYRILLIC.search(text) else []
     out: list[tuple[int, int, str]] = []
     taken = bytearray(len(text))
     for a, b, now in sorted(found, key=lambda s: (s[0] - s[1], s[0])):  # the longest first
@@ -303,6 +375,8 @@ def is_garbled(text: str) -> bool:
     if not _ANY.search(text):
         return False
     western = _western_lines(text)
+    if _CYRILLIC.search(text) and _swapped_spans(text):
+        return True
     return next(_all_single(text), None) is not None or any(_double_spans(text, c, western) for c in DOUBLE) or bool(_run_spans(text))
 
 
