@@ -24,9 +24,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from . import pages
+from .common import bounded_sample
 from .mojibake import restore_if_odd as restore
 
 SAMPLE = 4000
@@ -212,7 +213,7 @@ def fit(tables: list[DataFrame], sample: int = SAMPLE) -> Model:
     """Model of at most ``sample`` pages of each of ``tables`` (k, title, t)."""
     labelled = []
     for df in tables:
-        rows = df.where("length(t) > 0 and length(title) > 0").orderBy(F.xxhash64("k"), "k").limit(sample).select("title", "t").toPandas()
+        rows = bounded_sample(df.where("length(t) > 0 and length(title) > 0 and k is not null"), "k", sample).select("title", "t").toPandas()
         for title, text in zip(rows.title, rows.t):
             page = read(restore(text), title)
             if (z := zones(page.kinds)) is not None:
