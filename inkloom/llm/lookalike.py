@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import written
+
 # Letters of other scripts drawn like a Latin letter, and signs
 # drawn like an ASCII sign.
 ALIKE = {
@@ -126,12 +128,13 @@ def lookalike_pairs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _run(batches, select)
 
-    keys = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, look string, same string")
-    classes = keys.groupBy("look", "same").agg(F.lit(1).alias("n"))
-    mixed = classes.groupBy("look").agg(F.collect_list("same").alias("forms")).where(F.size("forms") > 1)
-    # texts that look alike yet differ: few forms of one look, whatever its copies
-    pairs = mixed.select(F.explode("forms").alias("sa"), "forms").select("sa", F.explode("forms").alias("sb")).where("sa <> sb")
-    members = keys.distinct().join(mixed.select(F.explode("forms").alias("same")), "same", "left_semi")
+    keys = written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, look string, same string"), "looks")
+    classes = keys.select("look", "same").distinct()
+    several = classes.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
+    # texts that look alike yet differ: few spellings of one look, whatever its copies
+    forms = written(classes.join(several, "look", "left_semi"), "spellings")
+    pairs = forms.select("look", F.col("same").alias("sa")).join(forms.select("look", F.col("same").alias("sb")), "look").where("sa <> sb").select("sa", "sb")
+    members = keys.join(forms.select("same"), "same", "left_semi").select("doc_id", "same").distinct()
     left = members.select(F.col("doc_id").alias("doc_a"), F.col("same").alias("sa"))
     right = members.select(F.col("doc_id").alias("doc_b"), F.col("same").alias("sb"))
     return pairs.join(left, "sa").join(right, "sb").where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
