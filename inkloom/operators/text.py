@@ -24,17 +24,18 @@ def normalize(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r"[​﻿]", ""))
 
 
-def grams(run: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(run) - (n - 1)), lambda i: F.substring(run, i, F.lit(n)))
+def grams(c: Column, n: int, sign: str = HAN) -> Column:
+    """All neighbouring ``n`` signs of a kind, by a pattern that looks ahead: linear in
+    the text's length, however long a run is."""
+    return F.regexp_extract_all(c, F.lit(f"(?s)(?=({sign}{{{n}}}))"), 1)
 
 
 def tokens(c: Column) -> Column:
     """Latin words, and one-, two- and three-sign pieces of Han runs."""
     low = F.lower(c)
     latin = F.regexp_extract_all(low, F.lit(r"([a-z][a-z0-9_+.\-]+)"))
-    runs = F.regexp_extract_all(low, F.lit(f"({HAN}+)"))
-    pieces = F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).when(F.length(r) == 2, F.array(r)).otherwise(F.concat(grams(r, 2), grams(r, 3))))
-    return F.concat(latin, F.flatten(pieces))
+    single = F.regexp_extract_all(low, F.lit(f"(?<!{HAN})({HAN})(?!{HAN})"))
+    return F.concat(latin, single, grams(low, 2), grams(low, 3))
 
 
 def anchors(topic: Column) -> Column:

@@ -297,3 +297,20 @@ def claim_best_passage(spark, sf_dir):
     claims, posts = _claims(spark, sf_dir)
     scores = retrieval.lexical_scores(claims, posts, "pid", retrieval.candidates(claims, posts, "pid")).withColumn("score", F.round("score", 9))
     return retrieval.best_passage(scores, "pid").withColumn("score", F.round("score", 6))
+
+
+@query("""WITH f AS (SELECT tuple_id, any_value(topic_id) AS topic, TRY_CAST(any_value(sents_id) AS INTEGER) AS sent_id, any_value(ents) AS entities FROM feature_bank GROUP BY tuple_id), i AS (SELECT topic, sent_id, coalesce(entities, []) AS entities FROM (SELECT *, row_number() OVER (PARTITION BY topic, sent_id ORDER BY tuple_id) AS r FROM f) WHERE r = 1),
+c AS (SELECT ref_id AS sent_id, min(body) AS sentence FROM source_documents WHERE body IS NOT NULL GROUP BY ref_id),
+j AS (SELECT i.*, sentence, len(list_filter(entities, lambda e: contains(sentence, e))) AS h FROM i LEFT JOIN c USING (sent_id)),
+s AS (SELECT topic, sent_id, entities, CASE WHEN sentence IS NULL THEN 'INDEX_OUT_OF_RANGE' WHEN len(entities) = 0 THEN 'NO_KEYWORDS' WHEN h = len(entities) THEN 'FULL_MATCH' WHEN h > 0 THEN 'PARTIAL_MATCH' ELSE 'NO_MATCH' END AS status FROM j),
+e AS (SELECT topic, sent_id, unnest(entities) AS e FROM s WHERE status = 'NO_MATCH'), d AS (SELECT DISTINCT e FROM e WHERE length(e) >= 2), o AS (SELECT e, c.sent_id AS pos FROM d JOIN c ON contains(sentence, e)),
+k AS (SELECT topic, e.sent_id, pos, count(*) AS hits FROM e JOIN o USING (e) GROUP BY ALL), b AS (SELECT topic, sent_id, arg_max(pos, struct_pack(h := hits, a := -pos)) AS pos, max(hits) AS hits FROM k GROUP BY ALL)
+SELECT topic, s.sent_id, CASE WHEN b.pos <> s.sent_id THEN 'NO_MATCH_BY_INDEX' ELSE status END AS status, CASE WHEN b.pos <> s.sent_id THEN b.pos END AS fallback_id, CASE WHEN b.pos <> s.sent_id THEN b.hits END AS hits FROM s LEFT JOIN b ON b.topic = s.topic AND b.sent_id = s.sent_id""".replace("SELECT topic, s.sent_id, CASE", "SELECT s.topic, s.sent_id, CASE"))
+def evidence_match(spark, sf_dir):
+    """Items against the sentence they name, with the best other one."""
+    from ..operators import evidence
+
+    f = sequence.keep_first(table(spark, sf_dir, "feature_bank", "tuple_id", "topic_id", "sents_id", "ents"), ["tuple_id"], ["topic_id"])
+    items = f.select(F.col("topic_id").alias("topic"), F.col("tuple_id").alias("rank"), F.expr("try_cast(sents_id as int)").alias("sent_id"), F.col("ents").alias("entities"))
+    corpus = table(spark, sf_dir, "source_documents", "ref_id", "body").where("body is not null").groupBy(F.col("ref_id").alias("sent_id")).agg(F.min("body").alias("sentence"))
+    return evidence.match_items(items, corpus)
