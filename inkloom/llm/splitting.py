@@ -74,8 +74,20 @@ def oversized(items: DataFrame) -> DataFrame:
 
 def ranges(big: DataFrame, size: int = RANGE, halo: int = HALO) -> DataFrame:
     """One row per range, its text with a halo on both sides."""
-    cut = big.select("item", "field", "rec_id", "chunk_id", "max_size", "overlap", F.length("text").alias("size"), F.posexplode(F.expr(f"transform(sequence(0, (length(text) - 1) div {size}), i -> substring(text, greatest(i * {size} - {halo}, 0) + 1, {size} + {halo} + least(i * {size}, {halo})))")).alias("r", "text"))
-    return cut.withColumn("base", F.greatest(F.col("r") * size - halo, F.lit(0)))
+    kinds = {f.name: f.dataType.simpleString() for f in big.schema}
+    ids = ["item", "field", "rec_id", "chunk_id", "max_size", "overlap"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in enumerate(b.column("text").to_pylist()):
+                bases = [max(at - halo, 0) for at in range(0, len(t), size)]
+                n = len(bases)
+                own = [b.column(c).slice(i, 1).take(pa.array([0] * n)) for c in ids]
+                parts = [t[base : r * size + size + halo] for r, base in enumerate(bases)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(t)] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(parts, pa.string()), pa.array(bases, pa.int32())], [*ids, "size", "r", "text", "base"])
+
+    head = ", ".join(f"{c} {kinds[c]}" for c in ids)
+    return big.select(*ids, "text").mapInArrow(cut, f"{head}, size int, r int, text string, base int")
 
 
 def pieces(cut: DataFrame, size: int = RANGE) -> DataFrame:
