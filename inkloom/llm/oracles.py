@@ -1,5 +1,7 @@
 """DuckDB statements for the queries of this subpackage that SQL can express."""
 
+from .lookalike import form_sql
+
 SITE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^(?:[a-z][a-z0-9+.\-]*:)?//', ''), '[/?#\\].*$', ''), '^.*@', ''), ':\d*$', ''), '^www\.', '')"
 
 SQL = {
@@ -16,5 +18,10 @@ SELECT DISTINCT field, rec_id, chunk_id FROM (
 SELECT 'SourceDocument.body' AS field, CAST(ref_id AS BIGINT) AS rec_id, -1 AS chunk_id, body AS t FROM source_documents
 UNION ALL SELECT 'EvidenceChunk.text', CAST(ref_id AS BIGINT), chunk_id, text FROM evidence_chunks
 UNION ALL SELECT 'Document.text', doc_id, -1, text FROM documents) JOIN size_limits USING (field) WHERE unit = 'char' AND length(t) > max_size
+""",
+    "p10_canonical": f"SELECT doc_id, {form_sql('text')} AS canonical FROM documents",
+    "p10_found": f"""
+WITH f AS (SELECT DISTINCT doc_id, text, {form_sql('text')} AS look FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text WHERE regexp_matches(a.look, '[^\\s]')
 """,
 }
