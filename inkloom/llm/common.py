@@ -41,6 +41,10 @@ def bounded_sample(df: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """One input table, pruned to ``columns``."""
+    """One input table, pruned to ``columns``; over at least as many tasks as there
+    are cores where its texts are read in fewer splits."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    heavy = {"text", "body", "content", "vs_emb"} & set(df.columns)
+    return df.repartition(cores) if heavy and df.rdd.getNumPartitions() < cores else df

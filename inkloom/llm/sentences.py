@@ -84,9 +84,9 @@ def sentences(docs: DataFrame, key: str = "ref_id", body: str = "body", text: bo
     # Starts in two levels, blocks of BLOCK pieces: no quadratic array, no shuffle.
     blocks = kept.select(key, "body", F.expr(f"transform(sequence(0, cast((size(parts) - 1) div {BLOCK} as int)), i -> slice(parts, i * {BLOCK} + 1, {BLOCK}))").alias("blocks"))
     sized = blocks.select(key, "body", "blocks", F.expr("transform(blocks, b -> aggregate(b, 0L, (a, p) -> a + length(p)))").alias("x0"))
-    begun = sized.select(key, *(["body"] if text else []), F.explode(F.arrays_zip(F.col("blocks").alias("b"), F.expr(add.replace("aggregate(x,", "aggregate(x0,").replace("length(p)", "p") + ".s").alias("at"))).alias("z"))
+    begun = sized.select(key, *(["body"] if text else []), F.explode_outer(F.arrays_zip(F.col("blocks").alias("b"), F.expr(add.replace("aggregate(x,", "aggregate(x0,").replace("length(p)", "p") + ".s").alias("at"))).alias("z"))
     rows = begun.select(key, *(["body"] if text else []), F.col("z.at").alias("at"), F.col("z.b").alias("b"), F.expr(add.replace("aggregate(x,", "aggregate(z.b,") + ".s").alias("s"))
-    one = rows.select(key, *(["body"] if text else []), "at", F.explode(F.arrays_zip("b", "s")).alias("p"))
+    one = rows.select(key, *(["body"] if text else []), "at", F.explode_outer(F.arrays_zip("b", "s")).alias("p"))
     tail = F.expr(f"length(trim(leading {_lit(SPACE)} from p.b))")
     both = F.expr(f"length(trim(both {_lit(SPACE)} from p.b))")
     out = one.select(key, *(["body"] if text else []), (F.col("at") + F.col("p.s") + F.length("p.b") - tail + 1).cast("int").alias("start_pos"), both.alias("n")).where("n > 0")
