@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .text import is_boilerplate, normalize, tokens
+from .text import is_boilerplate, normalize, token_count, tokens
 
 #: Weights of the ranking.
 K1, B, RELEVANCE, RELEVANCE_MOST, TITLE, QUERY_MOST = 1.35, 0.72, 0.35, 0.8, 0.25, 2
@@ -15,7 +15,9 @@ K1, B, RELEVANCE, RELEVANCE_MOST, TITLE, QUERY_MOST = 1.35, 0.72, 0.35, 0.8, 0.2
 
 def postings(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
     """(keys, token, tf) (A4)."""
-    return df.select(*keys, F.explode(tokens(text)).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
+    # the outer form: the inner one makes the optimizer work the tokens out twice, to
+    # filter empty lists first
+    return df.select(*keys, F.explode_outer(tokens(text)).alias("token")).where("token is not null").groupBy(*keys, "token").agg(F.count("*").alias("tf"))
 
 
 def lengths(posts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -29,23 +31,41 @@ def document_frequency(posts: DataFrame, n_docs: Column | int) -> DataFrame:
     return counted.withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
-def bm25(posts: DataFrame, keys: Sequence[str], queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query keys…, keys…, score) for ``queries`` (query_id, token, qtf).
+def arrays(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
+    """(keys, dl, tokens): one row a document, nothing exploded; the length is counted
+    by itself, so plans that need no tokens make none."""
+    return df.select(*keys, token_count(text).alias("dl"), tokens(text).alias("tokens"))
 
-    Statistics run over all postings; the postings are cut to query tokens before
-    they are joined, by a broadcast only where the optimizer finds the query side
-    small."""
-    stats = lengths(posts, keys)
-    total = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = queries.select("token").distinct()
-    hit = posts.join(wanted, "token", "left_semi")
-    dfs = hit.groupBy("token").agg(F.count("*").alias("df"))
-    scored = hit.join(dfs, "token").join(stats, list(keys)).crossJoin(F.broadcast(total))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0)))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    part = scored.withColumn("w", weight).join(queries, "token")
-    return part.groupBy("query_id", *keys).agg(F.sum(F.col("w") * F.least(F.col("qtf"), F.lit(QUERY_MOST))).alias("score"))
+
+def totals(docs: DataFrame) -> DataFrame:
+    """One row (n, avgdl) of ``arrays``; documents without a token do not count."""
+    return docs.where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def frequencies(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(token, df) of ``arrays``, of ``wanted`` (token) tokens only if given."""
+    each = docs.select(F.explode_outer(F.array_distinct("tokens")).alias("token")).where("token is not null")
+    return (each.join(wanted, "token", "left_semi") if wanted is not None else each).groupBy("token").agg(F.count("*").alias("df"))
+
+
+def term_weight(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.greatest(avgdl, F.lit(1.0))))
+
+
+def bm25(docs: DataFrame, keys: Sequence[str], queries: DataFrame, on: Sequence[str] = ("token",), k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, keys…, score) of ``arrays`` (docs) for ``queries`` (query_id, token,
+    qtf).  ``on`` may add columns that a query and its documents share.
+
+    Lengths are array sizes, so only tokens that some query has are ever counted:
+    they are cut right behind the explode."""
+    shared = [c for c in on if c != "token"]
+    hit = docs.select(*keys, *shared, "dl", F.explode_outer("tokens").alias("token")).where("token is not null").join(queries.select(*on).distinct(), list(on), "left_semi")
+    tf = hit.groupBy(*keys, *shared, "dl", "token").agg(F.count("*").alias("tf"))
+    df = frequencies(docs, queries.select("token").distinct()) if shared else tf.groupBy("token").agg(F.count("*").alias("df"))
+    scored = tf.join(df, "token").crossJoin(F.broadcast(totals(docs))).join(queries, list(on))
+    w = term_weight(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"), k1, b)
+    return scored.groupBy("query_id", *keys).agg(F.sum(w * F.least(F.col("qtf"), F.lit(QUERY_MOST))).alias("score"))
 
 
 def query_tokens(df: DataFrame, key: str, text: Column) -> DataFrame:
@@ -79,6 +99,16 @@ def select_within_budget(ranked: DataFrame, group: str, order: str, source: str,
     return cut.groupBy(group).applyInPandas(pick, schema)
 
 
+def claim_postings(passages: DataFrame, passage: str, text: Column, claims: DataFrame) -> DataFrame:
+    """(passage, dl, token, tf) of the claims' tokens only, written once: candidates and
+    scores read it several times."""
+    from ..session import kept
+
+    hit = arrays(passages, [passage], text).select(passage, "dl", F.explode_outer("tokens").alias("token")).where("token is not null")
+    own = hit.join(claims.select("token").distinct(), "token", "left_semi")
+    return kept(own.groupBy(passage, "dl", "token").agg(F.count("*").alias("tf")), "claim-postings")
+
+
 def candidates(claims: DataFrame, posts: DataFrame, passage: str, most_postings: int = 2000, k: int = 60) -> DataFrame:
     """(claim, passage, shared, rn): passages by shared distinct tokens (J16, T6);
     tokens in more than ``most_postings`` passages are left out."""
@@ -90,10 +120,10 @@ def candidates(claims: DataFrame, posts: DataFrame, passage: str, most_postings:
 
 
 def lexical_scores(claims: DataFrame, posts: DataFrame, passage: str, pairs: DataFrame) -> DataFrame:
-    """(claim, passage, score) of candidate ``pairs``."""
+    """(claim, passage, score) of candidate ``pairs`` (F13); ``posts`` as of claim_postings."""
     size = claims.groupBy("query_id").agg(F.count("*").alias("q"))
-    length = lengths(posts, [passage])
-    both = pairs.select("query_id", passage).join(claims, "query_id").join(posts, [passage, "token"])
+    length = posts.groupBy(passage).agg(F.max("dl").alias("dl"))
+    both = pairs.select("query_id", passage).join(claims, "query_id").join(posts.drop("dl"), [passage, "token"])
     s = both.groupBy("query_id", passage).agg(F.sum(F.least("qtf", "tf")).alias("overlap"), F.count("*").alias("u"))
     s = s.join(size, "query_id").join(length, passage)
     return s.select("query_id", passage, (F.col("overlap") + 4.0 * F.col("u") / F.col("q") + 2.0 * F.col("u") / F.sqrt(F.col("dl").cast("double"))).alias("score"))

@@ -38,6 +38,14 @@ def tokens(c: Column) -> Column:
     return F.concat(latin, single, grams(low, 2), grams(low, 3))
 
 
+def token_count(c: Column) -> Column:
+    """size(tokens(c)) without making the tokens: a run of n > 1 signs has 2n - 3."""
+    low = F.lower(c)
+    latin = F.size(F.regexp_extract_all(low, F.lit(r"([a-z][a-z0-9_+.\-]+)")))
+    runs = F.regexp_extract_all(low, F.lit(f"({HAN}+)"))
+    return latin + F.aggregate(runs, F.lit(0), lambda s, r: s + F.greatest(2 * F.length(r) - 3, F.lit(1)))
+
+
 def anchors(topic: Column) -> Column:
     """Distinct lexical anchors of a topic (F8)."""
     core = F.lower(topic)

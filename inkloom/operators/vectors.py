@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def length(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
 def unit(v: Column) -> Column:
-    """L2-normalised; a zero vector stays."""
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    """L2-normalised; a zero vector stays (F26).  The length is bound once, not worked
+    out again for each position."""
+    return F.transform(F.array(length(v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))[0]
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def long_form(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -40,9 +44,9 @@ def assign(df: DataFrame, key: str, vector: str, centres: DataFrame) -> DataFram
     (M11).  The centres, whose number is a parameter of the model, are held in one
     array column, so each row is scored in place and nothing is shuffled."""
     packed = centres.agg(F.array_sort(F.collect_list(F.struct("cluster", unit(F.col("centre")).alias("centre")))).alias("_c"))
-    scored = df.crossJoin(F.broadcast(packed)).select(key, F.transform("_c", lambda c: F.struct(dot(unit(F.col(vector)), c["centre"]).alias("cos"), (-c["cluster"]).alias("back"))).alias("_s"))
-    best = scored.select(key, F.array_max("_s").alias("b"))
-    return best.select(key, (-F.col("b.back")).alias("cluster"), F.col("b.cos").alias("cos"))
+    scored = df.crossJoin(F.broadcast(packed)).select(key, F.col(vector).alias("_v"), F.transform("_c", lambda c: F.struct(dot(F.col(vector), c["centre"]).alias("dot"), (-c["cluster"]).alias("back"))).alias("_s"))
+    best = scored.select(key, "_v", F.array_max("_s").alias("b"))
+    return best.select(key, (-F.col("b.back")).alias("cluster"), F.coalesce(F.try_divide(F.col("b.dot"), length(F.col("_v"))), F.lit(0.0)).alias("cos"))
 
 
 def student_t(df: DataFrame, key: str, vector: str, centres: DataFrame) -> DataFrame:

@@ -22,9 +22,8 @@ SELECT doc_id, round(score, 6) AS score FROM r ORDER BY r.score DESC, doc_id LIM
 def bm25_top_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: BM25 over all documents, best ten."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")
-    posts = retrieval.postings(docs, ["doc_id"], F.col("text"))
-    asked = spark.createDataFrame([(1, t, 1) for t in BM25_TERMS], "query_id int, token string, qtf int")
-    scored = retrieval.bm25(posts, ["doc_id"], asked)
+    asked = spark.sql("SELECT 1 AS query_id, token, 1 AS qtf FROM VALUES " + ", ".join(f"('{t}')" for t in BM25_TERMS) + " AS t(token)")
+    scored = retrieval.bm25(retrieval.arrays(docs, ["doc_id"], F.col("text")), ["doc_id"], asked)
     return scored.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -32,9 +31,8 @@ def bm25_top_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_df_idf(spark, sf_dir):
     """Document frequency of every token (A3)."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")
-    posts = retrieval.postings(docs, ["doc_id"], F.col("text"))
-    total = posts.select("doc_id").distinct().agg(F.count("*").alias("n"))
-    counted = posts.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
+    arrays = retrieval.arrays(docs, ["doc_id"], F.col("text"))
+    counted = retrieval.frequencies(arrays).crossJoin(F.broadcast(retrieval.totals(arrays)))
     return counted.select("token", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
@@ -65,21 +63,14 @@ def _topic_ranking(spark, sf_dir) -> DataFrame:
     sources, with the relevance and title bonus (T5, P9)."""
     keys = ["ref_id", "chunk_id"]
     c = sequence.keep_first(table(spark, sf_dir, "evidence_chunks").where("text is not null"), keys, [F.coalesce("title", F.lit("")), F.coalesce("relevance", F.lit(-1.0)), "text"])
-    posts = retrieval.postings(c, keys, F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("text")))
     topics = table(spark, sf_dir, "topics", "id", "title").select(F.col("id").alias("topic_id"), F.trim("title").alias("topic"))
-    asked = retrieval.query_tokens(topics, "topic_id", F.col("topic"))
+    asked = retrieval.query_tokens(topics, "topic_id", F.col("topic")).withColumn("topic_id", F.col("query_id"))
     owner = table(spark, sf_dir, "source_documents", "ref_id", "topic_id").groupBy("ref_id").agg(F.min("topic_id").alias("topic_id"))
-    own = posts.join(owner, "ref_id")
-    stats = posts.groupBy(*keys).agg(F.sum("tf").alias("dl"))
-    total = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    dfs = posts.groupBy("token").agg(F.count("*").alias("df"))
-    hit = own.join(F.broadcast(asked.withColumnRenamed("query_id", "topic_id")), ["topic_id", "token"])
-    hit = hit.join(dfs, "token").join(stats, keys).crossJoin(F.broadcast(total))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = idf * F.col("tf") * 2.35 / (F.col("tf") + 1.35 * (0.28 + 0.72 * F.col("dl") / F.col("avgdl"))) * F.least("qtf", F.lit(2))
-    s = hit.groupBy("topic_id", *keys).agg(F.sum(w).alias("base"))
+    arrays = retrieval.arrays(c, keys, F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("text"))).join(owner, "ref_id", "left")
+    s = retrieval.bm25(arrays, keys, asked, on=("topic_id", "token")).withColumnsRenamed({"query_id": "topic_id", "score": "base"})
+    asked = asked.drop("query_id")
     title = c.select(*keys, F.explode(F.array_distinct(text.tokens(F.coalesce("title", F.lit(""))))).alias("token")).join(owner, "ref_id")
-    bonus = title.join(F.broadcast(asked.withColumnRenamed("query_id", "topic_id")), ["topic_id", "token"]).groupBy(*keys).agg(F.count("*").alias("common"))
+    bonus = title.join(asked, ["topic_id", "token"]).groupBy(*keys).agg(F.count("*").alias("common"))
     out = s.join(c.select(*keys, "relevance", F.length("text").alias("chars")), keys).join(bonus, keys, "left")
     return out.select("topic_id", *keys, "chars", (F.col("base") + 0.35 * F.least(F.lit(0.8), F.coalesce("relevance", F.lit(0.0))) + 0.25 * F.coalesce("common", F.lit(0))).alias("score"))
 
@@ -278,7 +269,7 @@ def _claims(spark, sf_dir):
     topics = table(spark, sf_dir, "topics", "id", "title").select(F.substring("id", 2, 10).cast("int").alias("q"), "title")
     claims = retrieval.query_tokens(topics, "q", F.col("title"))
     passages = table(spark, sf_dir, "evidence_chunks", "ref_id", "chunk_id", "text").where("text is not null").groupBy((F.col("ref_id").cast("long") * 1000 + F.col("chunk_id")).alias("pid")).agg(F.max("text").alias("text"))
-    return claims, retrieval.postings(passages, ["pid"], F.col("text"))
+    return claims, retrieval.claim_postings(passages, "pid", F.col("text"), claims)
 
 
 @query(f"WITH {CLAIMS}, {PASSAGES}, {CANDIDATES} SELECT query_id, pid, shared, CAST(rn AS INTEGER) AS rn FROM k WHERE rn <= 60")

@@ -22,6 +22,8 @@ def one(spark, column, value, kind="string"):
 def test_tokens(spark):
     assert one(spark, text.tokens(F.col("v")), "MQTT v5.0 区块链 a 网") == ["mqtt", "v5.0", "网", "区块", "块链", "区块链"]
     assert one(spark, text.tokens(F.col("v")), "") == []
+    for v in ("MQTT v5.0 区块链 a 网", "", "的", "一二", "一二三四 x yz"):
+        assert one(spark, text.token_count(F.col("v")), v) == len(one(spark, text.tokens(F.col("v")), v))
     assert one(spark, text.tokens(F.col("v")), None) is None
 
 
@@ -123,15 +125,15 @@ def test_budgeted_selection_equals_restatement(spark):
 def test_bm25_equals_formula(spark):
     docs = {1: "alpha beta beta", 2: "beta gamma", 3: "delta", 4: None}
     df = spark.createDataFrame(list(docs.items()), "id int, t string")
-    posts = retrieval.postings(df, ["id"], F.col("t"))
+    docs_ = retrieval.arrays(df, ["id"], F.col("t"))
     asked = spark.createDataFrame([(1, "beta", 3), (1, "gamma", 1)], "query_id int, token string, qtf int")
-    got = {r.id: r.score for r in retrieval.bm25(posts, ["id"], asked).collect()}
+    got = {r.id: r.score for r in retrieval.bm25(docs_, ["id"], asked).collect()}
     n, avg = 3, 2.0
     idf = lambda d: math.log(1 + (n - d + 0.5) / (d + 0.5))
     part = lambda tf, dl: tf * 2.35 / (tf + 1.35 * (0.28 + 0.72 * dl / avg))
     assert got[1] == pytest.approx(idf(2) * part(2, 3) * 2)
     assert got[2] == pytest.approx(idf(2) * part(1, 2) * 2 + idf(1) * part(1, 2))
-    assert retrieval.bm25(posts.where("false"), ["id"], asked).count() == 0
+    assert retrieval.bm25(docs_.where("false"), ["id"], asked).count() == 0
 
 
 def test_recursive_chunks(spark):
