@@ -251,6 +251,8 @@ def test_readers(spark, tmp_path):
     assert [(r.ref_id, r.title, r.source, r.url, r.body) for r in readers.collector_report(df).orderBy("ref_id").collect()] == [(1, "甲", "tavily", "http://a.example/1", "内容一"), (2, "丙", "", "", "内容三")]
     listing = spark.createDataFrame([("Topic 3 (12): 1/build.0/grid/Velmont[ORG]/x[LOC]/7, 2/a/9, 3/b/c/zz",)], "value string")
     assert [(r.topic_no, r.freq, r.verb, r.entities, r.sent_id) for r in readers.cluster_listing(listing).collect()] == [(3, 12, "build.0", ["Velmont"], 7), (3, 12, "a", [], 9)]
+    report = spark.createDataFrame([("Topic 1 x\n[sent_id=4] [FULL] 句子一\n[备选] 不算\nTopic 2\n [sent_id=5] 句子二",), ("[sent_id=6] 无题",)], "value string")
+    assert {tuple(r) for r in readers.matched_sentences(report).collect()} == {("Topic 1", "句子一"), ("Topic 2", "句子二"), (None, "无题")}
     senses = spark.createDataFrame([('[{"lemma":"go-v","senses":[{"definition":"d","examples":["e"]}]}]',), ('{"run":{"senses":[{"definition":"x"},{"definition":"y"}]}}',)], "value string")
     assert {(r.lemma, r.sense_id, r.definition) for r in readers.verb_senses(senses).collect()} == {("go", 0, "d"), ("run", 0, "x"), ("run", 1, "y")}
     for v in ('[{"url":"u"}]', '[[{"url":"u"}]]', '{"results":[{"url":"u"}]}', '{"search_results":[{"url":"u"}]}'):
