@@ -104,7 +104,7 @@ def cluster_listing(df: DataFrame, value: str = "value", least_parts: int = 3) -
 def matched_sentences(df: DataFrame, value: str = "value") -> DataFrame:
     """(topic, sentence) of a match report: only lines with a sentence id count, the
     topic is the header above (S22, W6)."""
-    lines = df.select(F.monotonically_increasing_id().alias("_report"), F.posexplode(F.split(value, r"\r?\n")).alias("pos", "line"))
+    lines = df.withColumn("_report", F.monotonically_increasing_id()).select("_report", F.posexplode(F.split(value, r"\r?\n")).alias("pos", "line"))
     topic = F.when(F.col("line").rlike(r"^Topic \d+"), F.regexp_extract("line", r"^(Topic \d+)", 1))
     filled = lines.withColumn("topic", F.last(topic, ignorenulls=True).over(Window.partitionBy("_report").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     return filled.where(F.col("line").rlike(r"^\s*\[sent_id=")).select("topic", _strip(F.regexp_replace("line", r"^(\s*\[[^\]]*\])+\s*", "")).alias("sentence"))
