@@ -99,7 +99,7 @@ def _run(batches: Iterator[pa.RecordBatch], select: str) -> Iterator[pa.RecordBa
     con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
     for b in batches:
         con.register("part", pa.Table.from_batches([b]))
-        yield from con.execute(select).to_arrow_table().to_batches()
+        yield from con.sql(select).to_arrow_table().to_batches()
         con.unregister("part")
 
 
