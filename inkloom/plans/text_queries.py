@@ -119,7 +119,7 @@ def line_dedup_keep_first(spark, sf_dir):
 def corpus_lines(spark, sf_dir):
     """Non-blank lines of each document with dense ids from 0."""
     w = Window.partitionBy("doc_id").orderBy("pos")
-    return _doc_lines(spark, sf_dir).where("line <> ''").select("doc_id", (F.row_number().over(w) - 1).alias("sent_id"), F.length("line").alias("chars"))
+    return _doc_lines(spark, sf_dir).where("line <> ''").select("doc_id", (F.row_number().over(w) - 1).alias("sent_id"), F.length("line").cast("long").alias("chars"))
 
 
 @query("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
