@@ -5,7 +5,10 @@ standardised and reduced to their main axes; moments and axes cover all rows.  A
 Gaussian mixture with regularised covariances is fitted by expectation
 maximisation: started on a bounded sample with many components, of which those
 are joined whose union lowers the Bayesian information criterion, then run over
-all rows, each iteration adding up sufficient statistics in two levels.  A record
+all rows, each iteration adding up sufficient statistics in two levels.  The rows
+that no component holds are cut into bounded blocks of rows near each other and
+fitted in the same way, their components added by their statistics, until the rows
+left over yield no more; so a group is found however small its share of the table.  A record
 belongs to its likeliest component if most of its views agree in direction with
 that component's; components whose views agree are one group.  A group's members
 of highest density represent it.
@@ -19,6 +22,7 @@ are ignored; an empty table gives no row.
 from __future__ import annotations
 
 import io
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +33,12 @@ from pyspark.sql import DataFrame, functions as F
 from .common import bounded_sample, written
 
 VIEWS = ("vs_emb", "sents_graph_emb", "summarized_emb", "event_emb")
-#: Rows that the mixture is started on, those with the least hash of their id.
+#: Rows that the mixture is started on, those with the least hash of their id; rows of
+#: a block of what it leaves over.
 SAMPLE = 20000
+#: Rounds without a new group, each with other blocks, after which rows of several
+#: blocks are left over for good; rows of one block are after one.
+QUIET = 3
 START = 128
 ITERATIONS = 6
 AXES = 32
@@ -62,25 +70,27 @@ def matrix(columns: list[pa.Array], sizes: list[int]) -> np.ndarray:
     return out
 
 
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    f = io.BytesIO()
+    np.savez(f, *arrays)
+    return f.getvalue()
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    with np.load(io.BytesIO(data)) as z:
+        return [z[k] for k in z.files]
+
+
 def _add_up(df: DataFrame, function, levels: int = 2) -> list[np.ndarray] | None:
     """Sum over all partitions of the list of arrays that ``function`` makes of a
     batch; partitions are added pairwise in groups before the driver adds the rest."""
 
-    def pack(arrays: list[np.ndarray]) -> bytes:
-        f = io.BytesIO()
-        np.savez(f, *arrays)
-        return f.getvalue()
-
-    def unpack(data: bytes) -> list[np.ndarray]:
-        with np.load(io.BytesIO(data)) as z:
-            return [z[k] for k in z.files]
-
     def plus(total, arrays):
         return arrays if total is None else [a + b for a, b in zip(total, arrays)]
 
     def emit(total) -> Iterator[pa.RecordBatch]:
         if total is not None:
-            yield pa.RecordBatch.from_pydict({"b": pa.array([pack(total)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"b": pa.array([_pack(total)], pa.binary())})
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -92,14 +102,14 @@ def _add_up(df: DataFrame, function, levels: int = 2) -> list[np.ndarray] | None
         total = None
         for b in batches:
             for data in b.column(0).to_pylist():
-                total = plus(total, unpack(data))
+                total = plus(total, _unpack(data))
         yield from emit(total)
 
     parts = df.mapInArrow(first, "b binary")
     parts = parts.repartition(8).mapInArrow(again, "b binary")
     total = None
     for row in parts.collect():
-        total = plus(total, unpack(bytes(row.b)))
+        total = plus(total, _unpack(bytes(row.b)))
     return total
 
 
@@ -171,41 +181,47 @@ def _start(z: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return label
 
 
-def _join_by_bic(n: np.ndarray, s: np.ndarray, q: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _join_by_bic(stats: list[np.ndarray], ridge: float, allowed: np.ndarray | None = None) -> list[np.ndarray]:
     """Joins components, best gain first, while the criterion falls: the loss in
-    likelihood of one Gaussian for two against the parameters saved."""
+    likelihood of one Gaussian for two against the parameters saved.  Of ``stats``,
+    sums by component, the first three are those of ``_statistics``; only pairs that
+    ``allowed`` has are joined."""
+    some = stats[0] > 0
+    stats = [a[some].astype(float) for a in stats]
+    n, s, q = stats[:3]
+    allowed = np.ones((len(n), len(n)), bool) if allowed is None else allowed[np.ix_(some, some)]
     total, d = n.sum(), s.shape[1]
     saved = (1 + 2 * d) * np.log(total)
+    means, there = s / n[:, None], np.ones(len(n), bool)
 
     def cost(a: float, b: np.ndarray, c: np.ndarray) -> float:
         mix = _maximise(np.array([max(a, 1.6)]), b[None], c[None], ridge)
         return a * np.log(mix.variance[0]).sum() - 2 * a * np.log(max(a, 1e-9) / total)
 
-    parts = [(a, b, c) for a, b, c in zip(n, s, q) if a > 0]
-    costs = [cost(*p) for p in parts]
+    costs = [cost(*p) for p in zip(n, s, q)]
     gains: dict[tuple[int, int], float] = {}
 
-    def gain(i: int, j: int) -> float:
-        both = tuple(x + y for x, y in zip(parts[i], parts[j]))
-        return costs[i] + costs[j] + saved - cost(*both)
-
-    def near(i: int) -> list[int]:
-        mine = parts[i][1] / parts[i][0]
-        return sorted((j for j in range(len(parts)) if j != i and parts[j] is not None), key=lambda j: ((mine - parts[j][1] / parts[j][0]) ** 2).sum())[:6]
+    def look(i: int) -> None:
+        other = there & allowed[i]
+        other[i] = False
+        at = np.flatnonzero(other)
+        for j in at[np.argsort(((means[at] - means[i]) ** 2).sum(1), kind="stable")[:6]].tolist():
+            gains[min(i, j), max(i, j)] = costs[i] + costs[j] + saved - cost(n[i] + n[j], s[i] + s[j], q[i] + q[j])
 
-    for i in range(len(parts)):
-        for j in near(i):
-            gains[min(i, j), max(i, j)] = gain(min(i, j), max(i, j))
+    for i in range(len(n)):
+        look(i)
     while gains and (best := max(gains, key=gains.get)) and gains[best] > 0:
         i, j = best
-        parts[i] = tuple(x + y for x, y in zip(parts[i], parts[j]))
-        parts[j] = None
-        costs[i] = cost(*parts[i])
+        for a in stats:
+            a[i] += a[j]
+        there[j] = False
+        allowed[i] &= allowed[j]
+        allowed[:, i] = allowed[i]
+        means[i] = s[i] / n[i]
+        costs[i] = cost(n[i], s[i], q[i])
         gains = {k: v for k, v in gains.items() if not {i, j} & set(k)}
-        for k in near(i):
-            gains[min(i, k), max(i, k)] = gain(min(i, k), max(i, k))
-    left = [p for p in parts if p is not None]
-    return np.array([p[0] for p in left]), np.stack([p[1] for p in left]), np.stack([p[2] for p in left])
+        look(i)
+    return [a[there] for a in stats]
 
 
 def fit_sample(z: np.ndarray, ridge: float, start: int = START, iterations: int = ITERATIONS, seed: int = 1) -> Mixture:
@@ -218,7 +234,7 @@ def fit_sample(z: np.ndarray, ridge: float, start: int = START, iterations: int
         r, _ = _posterior(mix.log_density(z))
         mix = _maximise(*_statistics(z, r), ridge)
     r, _ = _posterior(mix.log_density(z))
-    mix = _maximise(*_join_by_bic(*_statistics(z, r), ridge), ridge)
+    mix = _maximise(*_join_by_bic(_statistics(z, r), ridge), ridge)
     for _ in range(2):
         r, _ = _posterior(mix.log_density(z))
         mix = _maximise(*_statistics(z, r), ridge)
@@ -273,16 +289,47 @@ def _present(x: np.ndarray, sizes: list[int]) -> np.ndarray:
     return np.stack([np.abs(x[:, e - n : e]).sum(1) > 0 for n, e in zip(sizes, ends)], 1).astype(float)
 
 
+def _alike(directions: np.ndarray, sizes: list[int], agree: float = 0.8) -> np.ndarray:
+    """Whether two components agree in all views but one."""
+    return agreement(directions, directions, sizes, agree)[0] >= max(1, len(sizes) - 1)
+
+
 def same_direction(directions: np.ndarray, sizes: list[int], agree: float = 0.8) -> np.ndarray:
     """Group of each component: those that agree in all views but one are one."""
     group = np.arange(len(directions))
-    for i in range(len(directions)):
-        for j in range(i):
-            if agreement(directions[i : i + 1], directions[j : j + 1], sizes, agree)[0][0, 0] >= max(1, len(sizes) - 1):
-                group[group == group[i]] = group[j]
+    for i, j in zip(*np.nonzero(np.tril(_alike(directions, sizes, agree), -1))):
+        group[group == group[i]] = group[j]
     return group
 
 
+def components(x: np.ndarray, space: Space, ridge: float, sizes: list[int], start: int = START, iterations: int = ITERATIONS, seed: int = 1) -> list[np.ndarray]:
+    """Statistics of the cohesive components of the rows ``x`` as sums over the rows
+    that each holds: number, ``_statistics``, sums of unit views, number of each view."""
+    parts, left = [], np.ones(len(x), bool)
+    for attempt in range(2):  # what the first mixture leaves over may hold groups that it missed
+        if left.sum() < 2 * LEAST_MEMBERS:
+            break
+        own, here = x[left], _present(x[left], sizes)
+        z = space.reduce(own)
+        mix = fit_sample(z, ridge, max(1, min(start, len(own) // 4)), iterations, seed=seed + attempt)
+        r, _ = _posterior(mix.log_density(z))
+        direct = r.T @ own
+        directions = _unit_views(direct, sizes)
+        directions[~cohesive(direct, r.T @ here, sizes)] = 0
+        best = likeliest(own, mix.log_density(z), directions, sizes)
+        taken = np.flatnonzero(np.bincount(best[best >= 0], minlength=len(directions)) >= LEAST_MEMBERS)
+        ok = np.isin(best, taken)
+        r = (best[ok, None] == taken).astype(float)
+        parts.append([*_statistics(z[ok], r), r.T @ own[ok], r.T @ here[ok]])
+        left[np.flatnonzero(left)[ok]] = False
+    width, views = x.shape[1], len(sizes)
+    return _together(parts) if parts else [np.zeros(0), *[np.zeros((0, w)) for w in (space.axes.shape[1], space.axes.shape[1], width, views)]]
+
+
+def _together(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return [np.concatenate(p) for p in zip(*parts)]
+
+
 def groups(bank: DataFrame, views: tuple[str, ...] = VIEWS, key: str = "tuple_id", sample: int = SAMPLE, start: int = START, iterations: int = ITERATIONS) -> DataFrame:
     """(``key``, group_id, log_density) of each record; ``group_id`` is the least id
     of the group's members, null for records that belong to none."""
@@ -321,47 +368,85 @@ def groups(bank: DataFrame, views: tuple[str, ...] = VIEWS, key: str = "tuple_id
     ridge = RIDGE * float(value[order[:d]].mean())
 
     picked = bounded_sample(rows, key, sample).select("x").toPandas()
-    x = np.stack(picked.x.to_list()).astype(np.float64)
-    parts, left = [], np.ones(len(x), bool)
-    for attempt in range(2):  # what the first mixture leaves over may hold groups that it missed
-        if left.sum() < 2 * LEAST_MEMBERS:
+    stats = components(np.stack(picked.x.to_list()).astype(np.float64), space, ridge, sizes, start, iterations)
+
+    def model(stats: list[np.ndarray]) -> tuple[Mixture, np.ndarray]:
+        return _maximise(*stats[:3], ridge), _unit_views(stats[3], sizes)
+
+    def over_all(stats: list[np.ndarray]) -> list[np.ndarray]:
+        """Two rounds over all rows; each row counts for the components its views agree with."""
+        if len(stats[0]):
+            stats = _join_by_bic(stats, ridge, _alike(_unit_views(stats[3], sizes), sizes))
+        for _ in range(2):
+            if not len(stats[0]):
+                break
+            mix, directions = model(stats)
+
+            def expect(b: pa.RecordBatch) -> list[np.ndarray]:
+                x = plain(b)
+                z = space.reduce(x)
+                log = np.where(agreement(x, directions, sizes)[1], mix.log_density(z), -np.inf)
+                inside = np.isfinite(log).any(1)
+                r, _ = _posterior(log[inside])
+                return [*_statistics(z[inside], r), r.T @ x[inside], r.T @ _present(x[inside], sizes)]
+
+            stats = _add_up(rows.select("x"), expect)
+            keep = (stats[0] > 1.5) & cohesive(stats[3], stats[4], sizes)
+            stats = [a[keep] for a in stats]
+        return stats
+
+    def left_over(stats: list[np.ndarray]) -> DataFrame:
+        """The rows with a view that no component holds."""
+        directions = _unit_views(stats[3], sizes)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = plain(b)
+                there = _present(x, sizes).any(1)
+                yield b.filter(pa.array(there & ~agreement(x, directions, sizes)[1].any(1) if len(directions) else there))
+
+        return written(rows.mapInArrow(cut, rows.schema), "left-over")
+
+    def from_blocks(rest: DataFrame, n: int, turn: int) -> list[np.ndarray]:
+        """Statistics of the components found in blocks of ``rest``: the rows nearest to
+        one of some of them, salted where they are more than a block."""
+        cells = -(-2 * n // sample) if n > sample else 1
+        pivots = np.stack(bounded_sample(rest, key, cells, f"pivots {turn}").select("x").toPandas().x.to_list()).astype(np.float64)
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.append_column("cell", pa.array((plain(b) @ pivots.T).argmax(1).astype(np.int32)))
+
+        def fit(t: pa.Table) -> pa.Table:
+            x = plain(t.combine_chunks().to_batches()[0])
+            return pa.table({"b": pa.array([_pack(components(x, space, ridge, sizes, start, iterations, seed=2 * turn + 1))], pa.binary())})
+
+        celled = written(rest.mapInArrow(near, f"{key} {kind}, x array<float>, cell int"), "cells")
+        many = celled.groupBy("cell").agg(F.ceil(F.count("*") / sample).alias("salts"))
+        salted = celled.join(F.broadcast(many), "cell").withColumn("salt", F.pmod(F.xxhash64(F.lit(turn), key), F.col("salts")))
+        found = salted.select("x", "cell", "salt").groupBy("cell", "salt").applyInArrow(fit, "b binary")
+        return _together([_unpack(bytes(r.b)) for r in found.collect()])
+
+    stats = over_all(stats)
+    rest = left_over(stats)
+    least_left, quiet = rest.count(), 0
+    for turn in itertools.count(1):
+        if least_left < LEAST_MEMBERS:
             break
-        z = space.reduce(x[left])
-        mix = fit_sample(z, ridge, max(1, min(start, int(left.sum()) // 4)), iterations, seed=attempt + 1)
-        r, _ = _posterior(mix.log_density(z))
-        directions = _unit_views(r.T @ x[left], sizes)
-        close = cohesive(r.T @ x[left], r.T @ _present(x[left], sizes), sizes)
-        directions[~close] = 0
-        best = likeliest(x[left], mix.log_density(z), directions, sizes)
-        ok = best >= 0
-        held_by = np.bincount(best[ok], minlength=len(directions))
-        for k in np.flatnonzero(held_by >= LEAST_MEMBERS):
-            parts.append((mix.weight[k] * left.mean(), mix.mean[k], mix.variance[k], directions[k]))
-        keep = np.flatnonzero(left)
-        left[keep[ok]] = False
-    if not parts:
-        return rows.select(key, F.lit(None).cast(kind).alias("group_id"), F.lit(None).cast("double").alias("log_density"))
-    weight = np.array([p[0] for p in parts])
-    mix = Mixture(weight / weight.sum(), np.stack([p[1] for p in parts]), np.stack([p[2] for p in parts]))
-    directions = np.stack([p[3] for p in parts])
-
-    for _ in range(2):  # over all rows; each row counts for the components its views agree with
-        now = (mix, directions)
-
-        def expect(b: pa.RecordBatch) -> list[np.ndarray]:
-            x = plain(b)
-            z = space.reduce(x)
-            log = np.where(agreement(x, now[1], sizes)[1], now[0].log_density(z), -np.inf)
-            inside = np.isfinite(log).any(1)
-            r, _ = _posterior(log[inside])
-            return [*_statistics(z[inside], r), r.T @ x[inside], r.T @ _present(x[inside], sizes)]
-
-        n, s, q, direct, there = _add_up(rows.select("x"), expect)
-        keep = (n > 1.5) & cohesive(direct, there, sizes)
-        if not keep.any():
+        new = from_blocks(rest, least_left, turn)
+        if len(new[0]):
+            grown = over_all(_together([stats, new]))
+            less = left_over(grown)
+            n_less = less.count()
+        if len(new[0]) and n_less < least_left:
+            stats, rest, least_left, quiet = grown, less, n_less, 0
+            continue
+        quiet += 1
+        if least_left <= sample or quiet >= QUIET:
             break
-        mix = _maximise(n[keep], s[keep], q[keep], ridge)
-        directions = _unit_views(direct[keep], sizes)
+    if not len(stats[0]):
+        return rows.select(key, F.lit(None).cast(kind).alias("group_id"), F.lit(None).cast("double").alias("log_density"))
+    mix, directions = model(stats)
     group = same_direction(directions, sizes)
     last = (mix, directions, group)
 

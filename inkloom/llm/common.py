@@ -31,13 +31,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def bounded_sample(df: DataFrame, key: str, size: int) -> DataFrame:
+def bounded_sample(df: DataFrame, key: str, size: int, salt: str = "sample") -> DataFrame:
     """At most ``size`` rows, those of least hash of ``key``.  Only about twice as
     many rows as asked for pass the hash's threshold, so no task sends more."""
     total = df.count()
     if total > 2 * size:
-        df = df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 31)) < int((1 << 31) * (2.0 * size + 200) / total))
-    return df.orderBy(F.xxhash64(F.lit("sample"), F.col(key)), key).limit(size)
+        df = df.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 31)) < int((1 << 31) * (2.0 * size + 200) / total))
+    return df.orderBy(F.xxhash64(F.lit(salt), F.col(key)), key).limit(size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

@@ -330,6 +330,16 @@ def test_groups(spark):
     assert clusters.groups(df.where("false")).count() == 0
 
 
+def test_groups_beyond_the_sample(spark):
+    """Groups too rare for the rows that the mixture is started on, in one block and in several."""
+    data, truth = bank()
+    df = spark.createDataFrame(data, "tuple_id long, vs_emb array<float>, sents_graph_emb array<float>, summarized_emb array<float>, event_emb array<float>")
+    first = {g: min(i for i, x in truth.items() if x == g) for g in set(truth.values()) - {None}}
+    for sample in (60, 12):
+        got = {r.tuple_id: r.group_id for r in clusters.groups(df, sample=sample).collect()}
+        assert got == {i: None if g is None else first[g] for i, g in truth.items()}, sample
+
+
 def test_kinds_of_lines():
     kinds = {"[Home](/a1)": pages.NAV, "Video | Home | News": pages.BAR, "© 2020 Velmont Lab": pages.FOO, "Accept all | Reject all": pages.CON, "相关阅读": pages.REL, "相关阅读: 标题": pages.INL, "Ein ganzer Satz steht hier.": pages.PROSE, "404 Not Found": pages.BAD, "Posted by A on 2020-01-01": pages.BY}
     for line, k in kinds.items():
