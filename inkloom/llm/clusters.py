@@ -39,7 +39,11 @@ SAMPLE = 20000
 #: Rounds without a new group, each with other blocks, after which rows of several
 #: blocks are left over for good; rows of one block are after one.
 QUIET = 3
+#: Components that a fit begins with; twice as many while more than half of them are
+#: left and the criterion falls.
 START = 128
+#: Rows of posterior shares held at a time.
+ROWS = 2048
 ITERATIONS = 6
 AXES = 32
 EXPLAINED = 0.95
@@ -163,6 +167,18 @@ def _maximise(n: np.ndarray, s: np.ndarray, q: np.ndarray, ridge: float) -> Mixt
     return Mixture(n / n.sum(), m, v)
 
 
+def _expect(z: np.ndarray, mix: Mixture) -> tuple[list[np.ndarray], float]:
+    """Statistics of the rows under the mixture, and their log likelihood."""
+    total, likelihood = None, 0.0
+    for at in range(0, len(z), ROWS):
+        part = z[at : at + ROWS]
+        r, l = _posterior(mix.log_density(part))
+        likelihood += l
+        one = _statistics(part, r)
+        total = one if total is None else [a + b for a, b in zip(total, one)]
+    return total, likelihood
+
+
 def _start(z: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """k-means++ centres with a few rounds of Lloyd; labels."""
     k = min(k, len(z))
@@ -174,10 +190,12 @@ def _start(z: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
         far = np.minimum(far, ((z - centres[-1]) ** 2).sum(1))
     c = np.stack(centres)
     for _ in range(8):
-        label = ((c * c).sum(1) - 2 * z @ c.T).argmin(1)
-        for j in range(k):
-            if (m := label == j).any():
-                c[j] = z[m].mean(0)
+        near = (c * c).sum(1)
+        label = np.concatenate([(near - 2 * z[i : i + ROWS] @ c.T).argmin(1) for i in range(0, len(z), ROWS)])
+        n = np.bincount(label, minlength=k)
+        held = n > 0
+        order = np.argsort(label, kind="stable")
+        c[held] = np.add.reduceat(z[order], (np.cumsum(n) - n)[held]) / n[held, None]
     return label
 
 
@@ -224,20 +242,34 @@ def _join_by_bic(stats: list[np.ndarray], ridge: float, allowed: np.ndarray | No
     return [a[there] for a in stats]
 
 
-def fit_sample(z: np.ndarray, ridge: float, start: int = START, iterations: int = ITERATIONS, seed: int = 1) -> Mixture:
-    """Mixture of the rows ``z``, its components chosen by the criterion."""
-    rng = np.random.default_rng(seed)
-    label = _start(z, start, rng)
-    r = np.eye(label.max() + 1)[label]
-    mix = _maximise(*_statistics(z, r), ridge)
+def _fit(z: np.ndarray, ridge: float, start: int, iterations: int, seed: int) -> tuple[Mixture, float]:
+    """Mixture of the rows from ``start`` components, and its criterion."""
+    label = _start(z, start, np.random.default_rng(seed))
+    n = np.bincount(label)
+    order = np.argsort(label, kind="stable")
+    first = (np.cumsum(n) - n)[n > 0]
+    stats = [n[n > 0].astype(float), np.add.reduceat(z[order], first), np.add.reduceat(z[order] ** 2, first)]
+    mix = _maximise(*stats, ridge) if (n > 1.5).any() else _maximise(np.array([float(len(z))]), z.sum(0)[None], (z * z).sum(0)[None], ridge)
     for _ in range(iterations):
-        r, _ = _posterior(mix.log_density(z))
-        mix = _maximise(*_statistics(z, r), ridge)
-    r, _ = _posterior(mix.log_density(z))
-    mix = _maximise(*_join_by_bic(_statistics(z, r), ridge), ridge)
+        mix = _maximise(*_expect(z, mix)[0], ridge)
+    mix = _maximise(*_join_by_bic(_expect(z, mix)[0], ridge), ridge)
     for _ in range(2):
-        r, _ = _posterior(mix.log_density(z))
-        mix = _maximise(*_statistics(z, r), ridge)
+        mix = _maximise(*_expect(z, mix)[0], ridge)
+    return mix, len(mix.weight) * (1 + 2 * z.shape[1]) * np.log(len(z)) - 2 * _expect(z, mix)[1]
+
+
+def fit_sample(z: np.ndarray, ridge: float, start: int = START, iterations: int = ITERATIONS, seed: int = 1) -> Mixture:
+    """Mixture of the rows ``z``, its components chosen by the criterion; begun with
+    twice as many while more than half are left and the criterion falls."""
+    most = max(1, len(z) // 4)
+    start = min(start, most)
+    mix, bic = _fit(z, ridge, start, iterations, seed)
+    while start < most and 2 * len(mix.weight) > start:
+        start = min(2 * start, most)
+        more, lower = _fit(z, ridge, start, iterations, seed)
+        if lower >= bic:
+            break
+        mix, bic = more, lower
     return mix
 
 
@@ -306,21 +338,29 @@ def components(x: np.ndarray, space: Space, ridge: float, sizes: list[int], star
     """Statistics of the cohesive components of the rows ``x`` as sums over the rows
     that each holds: number, ``_statistics``, sums of unit views, number of each view."""
     parts, left = [], np.ones(len(x), bool)
-    for attempt in range(2):  # what the first mixture leaves over may hold groups that it missed
+    for attempt in itertools.count():  # what a mixture leaves over may hold groups that it missed
         if left.sum() < 2 * LEAST_MEMBERS:
             break
         own, here = x[left], _present(x[left], sizes)
         z = space.reduce(own)
-        mix = fit_sample(z, ridge, max(1, min(start, len(own) // 4)), iterations, seed=seed + attempt)
-        r, _ = _posterior(mix.log_density(z))
-        direct = r.T @ own
+        mix = fit_sample(z, ridge, start, iterations, seed=seed + attempt)
+        cut = [slice(at, at + ROWS) for at in range(0, len(own), ROWS)]
+        direct, there = 0, 0
+        for c in cut:
+            r, _ = _posterior(mix.log_density(z[c]))
+            direct, there = direct + r.T @ own[c], there + r.T @ here[c]
         directions = _unit_views(direct, sizes)
-        directions[~cohesive(direct, r.T @ here, sizes)] = 0
-        best = likeliest(own, mix.log_density(z), directions, sizes)
+        directions[~cohesive(direct, there, sizes)] = 0
+        best = np.concatenate([likeliest(own[c], mix.log_density(z[c]), directions, sizes) for c in cut])
         taken = np.flatnonzero(np.bincount(best[best >= 0], minlength=len(directions)) >= LEAST_MEMBERS)
+        if not len(taken):
+            break
         ok = np.isin(best, taken)
-        r = (best[ok, None] == taken).astype(float)
-        parts.append([*_statistics(z[ok], r), r.T @ own[ok], r.T @ here[ok]])
+        sums = []
+        for c in cut:
+            r = (best[c][ok[c], None] == taken).astype(float)
+            sums.append([*_statistics(z[c][ok[c]], r), r.T @ own[c][ok[c]], r.T @ here[c][ok[c]]])
+        parts.append([sum(p) for p in zip(*sums)])
         left[np.flatnonzero(left)[ok]] = False
     width, views = x.shape[1], len(sizes)
     return _together(parts) if parts else [np.zeros(0), *[np.zeros((0, w)) for w in (space.axes.shape[1], space.axes.shape[1], width, views)]]

@@ -340,6 +340,21 @@ def test_groups_beyond_the_sample(spark):
         assert got == {i: None if g is None else first[g] for i, g in truth.items()}, sample
 
 
+def test_more_groups_than_a_fit_begins_with():
+    """Many groups for few components at the start; all are found in one block."""
+    rng = np.random.default_rng(2)
+    sizes, many = [16, 16], 90
+    centres = clusters._unit_views(rng.normal(size=(many, 32)), sizes)
+    truth = np.repeat(np.arange(many), 14)
+    x = clusters._unit_views(centres[truth] + rng.normal(size=(len(truth), 32)) * 0.05, sizes)
+    value, vector = np.linalg.eigh(np.cov(x.T))
+    space = clusters.Space(x.mean(0), np.ones(32), vector)
+    n, _, _, direct, _ = clusters.components(x, space, clusters.RIDGE * float(value.mean()), sizes, start=8)
+    group = clusters.same_direction(clusters._unit_views(direct, sizes), sizes)
+    near = (clusters._unit_views(direct, sizes) @ centres.T).argmax(1)
+    assert len(set(group)) == many and set(near) == set(range(many)) and n.sum() == len(x)
+
+
 def test_kinds_of_lines():
     kinds = {"[Home](/a1)": pages.NAV, "Video | Home | News": pages.BAR, "© 2020 Velmont Lab": pages.FOO, "Accept all | Reject all": pages.CON, "相关阅读": pages.REL, "相关阅读: 标题": pages.INL, "Ein ganzer Satz steht hier.": pages.PROSE, "404 Not Found": pages.BAD, "Posted by A on 2020-01-01": pages.BY}
     for line, k in kinds.items():
