@@ -109,12 +109,15 @@ def claim_postings(passages: DataFrame, passage: str, text: Column, claims: Data
     return kept(own.groupBy(passage, "dl", "token").agg(F.count("*").alias("tf")), "claim-postings")
 
 
-def candidates(claims: DataFrame, posts: DataFrame, passage: str, most_postings: int = 2000, k: int = 60) -> DataFrame:
-    """(claim, passage, shared, rn): passages by shared distinct tokens (J16, T6);
-    tokens in more than ``most_postings`` passages are left out."""
-    rare = posts.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") <= most_postings).select("token")
-    asked = claims.select("query_id", "token").join(rare, "token", "left_semi")
-    shared = asked.join(posts.select("token", passage), "token").groupBy("query_id", passage).agg(F.count("*").alias("shared"))
+def candidates(claims: DataFrame, posts: DataFrame, passage: str, k: int = 60) -> DataFrame:
+    """(claim, passage, shared, rn): passages by shared distinct tokens.
+
+    All postings count: the reference leaves out tokens in more than 2,000 passages
+    of one article's topic, but the passages here are those of all topics, so that a
+    count over them would depend on the table's size.  The claims' tokens are few and
+    go to the postings, so a frequent token is no hot key of a join."""
+    asked = F.broadcast(claims.select("query_id", "token"))
+    shared = posts.select("token", passage).join(asked, "token").groupBy("query_id", passage).agg(F.count("*").alias("shared"))
     w = Window.partitionBy("query_id").orderBy(F.desc("shared"), passage)
     return shared.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 

@@ -136,6 +136,13 @@ def test_bm25_equals_formula(spark):
     assert retrieval.bm25(docs_.where("false"), ["id"], asked).count() == 0
 
 
+def test_candidates_count_frequent_tokens(spark):
+    posts = spark.range(2500).select(F.explode(F.array(F.struct(F.col("id").alias("pid"), F.lit("often").alias("token")), F.struct(F.when(F.col("id") == 2400, F.col("id")).alias("pid"), F.lit("seldom").alias("token")))).alias("p")).select("p.*").where("pid is not null")
+    claims = spark.createDataFrame([(1, "often", 1), (1, "seldom", 1), (2, "often", 1)], "query_id int, token string, qtf int")
+    got = {(r.query_id, r.rn): (r.pid, r.shared) for r in retrieval.candidates(claims, posts, "pid").collect()}
+    assert len(got) == 120 and got[1, 1] == (2400, 2) and got[1, 2] == (0, 1) and got[2, 60] == (59, 1)
+
+
 def test_recursive_chunks(spark):
     df = spark.createDataFrame([(1, "ab cd. " * 100), (2, "x" * 400), (3, ""), (4, None)], "id int, t string")
     got = retrieval.recursive_chunks(df, "id", "t").collect()
