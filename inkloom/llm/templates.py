@@ -5,8 +5,9 @@ fixed depth: a unit's leaf is its number of tokens and its first tokens, with
 numbers as wildcards.  Each leaf's template, its two extreme units with the
 positions at which they differ open, is classified once as failed page, chrome or
 content, and the verdict goes to all units of the leaf; a leaf whose extremes
-differ in verdict is classified unit by unit.  A record is found if it has failed
-units and no content.  Slots that were never filled in are looked for separately
+differ in verdict is classified unit by unit.  Units of over ``LONG`` signs are
+classified at once by their whole text, and only the verdict is kept.  A record is
+found if it has failed units and no content.  Slots that were never filled in are looked for separately
 in every sentence of ordinary records; a sentence that explains the notation is
 left alone.
 
@@ -17,6 +18,7 @@ are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -28,6 +30,8 @@ from .common import written
 from .mojibake import restore_if_odd
 
 DEPTH = 6
+#: Signs of a unit up to which it is mined.
+LONG = 400
 _W = r"[A-Za-z_一-鿿぀-ヿऀ-ॿЀ-ӿ][\w.ऀ-ॿ ]{0,30}"
 #: Notations of a slot, and words that stand where a value was never set.  Each
 #: begins with a plain sign, so that the search skips from one to the next.
@@ -96,7 +100,10 @@ def found_ids(results: DataFrame, depth: int = DEPTH) -> DataFrame:
         for b in batches:
             texts = [restore_if_odd(t) for t in b.column(1).to_pylist()]
             cut = [list(set(units(t))) or [""] for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([has_slot(t) for t in texts], pa.bool_()), pa.array(cut, pa.list_(pa.string()))], ["k", "slot", "units"])
+            flat = [u for c in cut for u in c]
+            both = pa.StructArray.from_arrays([pa.array([u if len(u) <= LONG else None for u in flat], pa.string()), pa.array([verdict(u) if len(u) > LONG else None for u in flat], pa.int32())], ["unit", "verdict"])
+            ends = pa.array([0, *itertools.accumulate(map(len, cut))], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([has_slot(t) for t in texts], pa.bool_()), pa.ListArray.from_arrays(ends, both)], ["k", "slot", "units"])
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,12 +117,13 @@ def found_ids(results: DataFrame, depth: int = DEPTH) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("slot"), pa.array([verdict(u) for u in b.column("unit").to_pylist()], pa.int32())], ["k", "slot", "verdict"])
 
-    read_rows = kept.mapInArrow(read, f"k {kind}, slot boolean, units array<string>").select("k", "slot", F.explode("units").alias("unit"))
-    rows = written(read_rows.select("k", "slot", F.substring("unit", 1, 400).alias("unit"), leaf(F.col("unit"), depth).alias("leaf")), "units")
+    read_rows = kept.mapInArrow(read, f"k {kind}, slot boolean, units array<struct<unit: string, verdict: int>>").select("k", "slot", F.explode("units").alias("u"))
+    all_rows = written(read_rows.select("k", "slot", "u.unit", "u.verdict", leaf(F.col("u.unit"), depth).alias("leaf")), "units")
+    rows = all_rows.where("unit is not null").drop("verdict")
     leaves = rows.groupBy("leaf").agg(F.min("unit").alias("low"), F.max("unit").alias("high"))
     judged = written(leaves.mapInArrow(classify, "leaf long, verdict int"), "templates")
     sure = rows.select("k", "slot", "leaf").join(judged.where("verdict >= 0"), "leaf").select("k", "slot", "verdict")
     open_ = rows.join(judged.where("verdict < 0").select("leaf"), "leaf", "left_semi").select("k", "unit", "slot")
     mixed = open_.mapInArrow(alone, f"k {kind}, slot boolean, verdict int")
-    per = sure.unionByName(mixed).groupBy("k").agg(F.max("slot").alias("slot"), F.count(F.when(F.col("verdict") == FAILED, 1)).alias("failed"), F.count(F.when(F.col("verdict") == CONTENT, 1)).alias("content"))
+    per = sure.unionByName(mixed).unionByName(all_rows.where("verdict is not null").select("k", "slot", "verdict")).groupBy("k").agg(F.max("slot").alias("slot"), F.count(F.when(F.col("verdict") == FAILED, 1)).alias("failed"), F.count(F.when(F.col("verdict") == CONTENT, 1)).alias("content"))
     return per.where("slot or failed > 0 and content = 0").select(F.col("k").alias("id"))

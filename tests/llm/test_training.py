@@ -246,6 +246,13 @@ def test_found_records(spark):
     assert templates.found_ids(df.where("false")).count() == 0
 
 
+def test_long_units_are_read_whole(spark):
+    paragraph = "平台在系统维护中保持服务可用，" + "各节点依次切换并核对数据，" * 40
+    link = f"[the start page](/{'x' * 500})"
+    df = spark.createDataFrame([(1, paragraph), (2, f"404 Not Found\n{link}"), (3, f"A real sentence stands here, and it is long enough.\n404 Not Found\n{link}")], "id int, content string")
+    assert rows(templates.found_ids(df)) == [(2,)]
+
+
 # ---------------------------------------------------------------- boilerplate
 
 
