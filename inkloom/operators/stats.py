@@ -165,18 +165,24 @@ def paired_bootstrap(diff: np.ndarray, resamples: int = 10000, level: float = 0.
     return float(low), float(high)
 
 
-def silhouette(df: DataFrame, key: str, vector: str, cluster: str, most: int = 10000) -> DataFrame:
-    """(``key``, s) of at most ``most`` rows (those of least hash), exact among them."""
+def silhouette(df: DataFrame, key: str, vector: str, cluster: str, most: int = 10000, block: int = 500) -> DataFrame:
+    """(``key``, s) of at most ``most`` rows (those of least hash), exact among them (M22);
+    distances are worked out for ``block`` rows at a time."""
     small = df.orderBy(F.xxhash64(key), key).limit(most).toPandas()
     x = np.stack(small[vector].to_list()).astype(float) if len(small) else np.zeros((0, 1))
-    c = small[cluster].to_numpy()
-    out = []
-    for i in range(len(x)):
-        d = np.sqrt(((x - x[i]) ** 2).sum(1))
-        own = (c == c[i]) & (np.arange(len(x)) != i)
-        if not own.any() or len(set(c)) < 2:
-            out.append(0.0)
-            continue
-        a, b = d[own].mean(), min(d[c == k].mean() for k in set(c) if k != c[i])
-        out.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
+    x -= x.mean(0) if len(x) else 0
+    c, known = pd.factorize(small[cluster], use_na_sentinel=False)
+    member = np.eye(len(known))[c]
+    size, square, out = member.sum(0), (x * x).sum(1), np.zeros(len(x))
+    for at in range(0, len(x) if len(known) > 1 else 0, block):
+        rows = np.arange(at, min(at + block, len(x)))
+        d = np.sqrt(np.maximum(square[rows, None] + square - 2 * x[rows] @ x.T, 0))
+        d[np.arange(len(rows)), rows] = 0
+        total, own = d @ member, c[rows]
+        a = total[np.arange(len(rows)), own] / np.maximum(size[own] - 1, 1)
+        other = total / size
+        other[np.arange(len(rows)), own] = np.inf
+        b = other.min(1)
+        top = np.maximum(a, b)
+        out[rows] = np.where((size[own] > 1) & (top > 0), np.divide(b - a, top, out=np.zeros(len(rows)), where=top > 0), 0.0)
     return df.sparkSession.createDataFrame(pd.DataFrame({key: small[key], "s": out}), f"{key} {df.schema[key].dataType.simpleString()}, s double")

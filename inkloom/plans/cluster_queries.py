@@ -122,7 +122,7 @@ def self_trained_clusters(spark, sf_dir):
 @query()
 def silhouette_sampled(spark, sf_dir):
     """Silhouette of a bounded sample."""
-    return stats.silhouette(_embeddings(spark, sf_dir), "vec_id", "embedding", "label", 2000)
+    return stats.silhouette(_embeddings(spark, sf_dir), "vec_id", "embedding", "label")
 
 
 def _tuples(spark, sf_dir, *columns: str) -> DataFrame:

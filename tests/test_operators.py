@@ -179,6 +179,22 @@ def test_paired_tests():
     assert low < (a - b).mean() < high
 
 
+def test_silhouette_of_more_than_two_thousand(spark, tmp_path):
+    from inkloom.plans import cluster_queries
+
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(size=(2300, 3)), rng.integers(0, 3, 2300)
+    x[np.arange(2300), c] += 2
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, c))], "vec_id long, embedding array<double>, label int")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.s for r in cluster_queries.silhouette_sampled(spark, str(tmp_path)).collect()}
+    assert len(got) == 2300
+    for i in (0, 7, 2299):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        a, b = d[c == c[i]].sum() / ((c == c[i]).sum() - 1), min(d[c == k].mean() for k in range(3) if k != c[i])
+        assert got[i] == pytest.approx((b - a) / max(a, b))
+
+
 def test_summary_reproduces_published_deviation(spark):
     """Mean and sample deviation of ten published-style values."""
     v = [48.1, 50.2, 52.9, 49.5, 51.3, 47.7, 53.0, 50.8, 52.4, 49.58]
