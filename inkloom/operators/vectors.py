@@ -76,9 +76,12 @@ def spherical_kmeans(df: DataFrame, key: str, vector: str, k: int, seed: int = 4
     return best.transform(x).select(key, "cluster")
 
 
-def self_train(df: DataFrame, key: str, vector: str, start: DataFrame, tolerance: float = 0.001, rounds: int = 10) -> DataFrame:
+def self_train(df: DataFrame, key: str, vector: str, start: DataFrame, tolerance: float = 0.001, rounds: int = 50) -> DataFrame:
     """(``key``, cluster): soft shares, target, weighted centres, until less than
-    ``tolerance`` of the labels change (M13 without the encoder)."""
+    ``tolerance`` of the labels change (M13 without the encoder); warns where that is
+    not met in ``rounds``."""
+    import warnings
+
     from ..session import kept
 
     centres, before = start, None
@@ -93,6 +96,7 @@ def self_train(df: DataFrame, key: str, vector: str, start: DataFrame, tolerance
             if moved is None or moved < tolerance:
                 return now
         before = now
+    warnings.warn(f"self_train: labels still moved after {rounds} rounds")
     return before
 
 

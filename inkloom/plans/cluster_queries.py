@@ -116,7 +116,7 @@ def self_trained_clusters(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
     first = vectors.spherical_kmeans(e, "vec_id", "embedding", 10)
     centres = vectors.as_arrays(vectors.mean_vectors(e.join(first, "vec_id"), "cluster", "embedding"), "cluster", "centre")
-    return vectors.self_train(e, "vec_id", "embedding", centres, rounds=3)
+    return vectors.self_train(e, "vec_id", "embedding", centres)
 
 
 @query()

@@ -195,6 +195,23 @@ def test_silhouette_of_more_than_two_thousand(spark, tmp_path):
         assert got[i] == pytest.approx((b - a) / max(a, b))
 
 
+def test_self_training_tells_where_it_did_not_settle(spark, monkeypatch):
+    import inspect
+
+    from inkloom.operators import vectors
+    from inkloom.plans import cluster_queries
+
+    df = spark.createDataFrame([(i, [1.0, i / 40]) for i in range(40)], "id int, v array<double>")
+    start = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "cluster int, centre array<double>")
+    with pytest.warns(UserWarning, match="still moved"):
+        assert vectors.self_train(df, "id", "v", start, rounds=1).count() == 40
+    asked, held = {}, inspect.signature(vectors.self_train)
+    monkeypatch.setattr(vectors, "self_train", lambda *a, **k: asked.update(held.bind(*a, **k).arguments) or a[0])
+    cluster_queries.self_trained_clusters(spark, "/root/testdata/sf0.001")
+    given = {k: asked.get(k, held.parameters[k].default) for k in ("rounds", "tolerance")}
+    assert given["rounds"] >= 50 and given["tolerance"] == 0.001
+
+
 def test_summary_reproduces_published_deviation(spark):
     """Mean and sample deviation of ten published-style values."""
     v = [48.1, 50.2, 52.9, 49.5, 51.3, 47.7, 53.0, 50.8, 52.4, 49.58]
