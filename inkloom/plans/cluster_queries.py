@@ -107,7 +107,7 @@ def cluster_top_items(spark, sf_dir):
 @query()
 def kmeans_spherical(spark, sf_dir):
     """Cosine k-means."""
-    return vectors.spherical_kmeans(_embeddings(spark, sf_dir), "vec_id", "embedding", 10)
+    return vectors.spherical_kmeans(_embeddings(spark, sf_dir), "vec_id", "embedding", 10, runs=5)
 
 
 @query()

@@ -234,7 +234,7 @@ def method_significance(spark, sf_dir):
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf.sort_values("topic")["va"].to_numpy(), pdf.sort_values("topic")["vb"].to_numpy()
         stat, p = stats.wilcoxon(x, y)
-        low, high = stats.paired_bootstrap(np.asarray(x - y), 2000)
+        low, high = stats.paired_bootstrap(np.asarray(x - y))
         return pd.DataFrame({"a": pdf["a"].iloc[:1].to_list(), "b": pdf["b"].iloc[:1].to_list(), "w": [stat], "p": [p], "low": [low], "high": [high]})
 
     return a.join(b, "topic").where("a < b").groupBy("a", "b").applyInPandas(test, "a string, b string, w double, p double, low double, high double")

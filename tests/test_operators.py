@@ -212,6 +212,21 @@ def test_self_training_tells_where_it_did_not_settle(spark, monkeypatch):
     assert given["rounds"] >= 50 and given["tolerance"] == 0.001
 
 
+def test_significance_and_kmeans_take_the_reference_numbers(spark, monkeypatch):
+    from inkloom.operators import vectors
+    from inkloom.plans import cluster_queries, score_queries
+
+    data = "/root/testdata/sf0.001"
+    v = stats.valid_scores(score_queries._event_scores(spark, data)).groupBy("topic", "method").agg(F.avg("score").alias("v")).toPandas().pivot(index="topic", columns="method", values="v").sort_index()
+    r = score_queries.method_significance(spark, data).first()
+    pair = v[[r.a, r.b]].dropna()
+    assert (r.low, r.high) == pytest.approx(stats.paired_bootstrap((pair[r.a] - pair[r.b]).to_numpy(), 10000))
+    asked = {}
+    monkeypatch.setattr(vectors, "spherical_kmeans", lambda *a, **k: asked.update(k))
+    cluster_queries.kmeans_spherical(spark, data)
+    assert asked["runs"] == 5
+
+
 def test_summary_reproduces_published_deviation(spark):
     """Mean and sample deviation of ten published-style values."""
     v = [48.1, 50.2, 52.9, 49.5, 51.3, 47.7, 53.0, 50.8, 52.4, 49.58]
