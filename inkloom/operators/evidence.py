@@ -44,7 +44,7 @@ def match_items(items: DataFrame, corpus: DataFrame) -> DataFrame:
     The first item of a topic and sentence counts.  Items none of whose entities
     stand in their sentence look for the sentence that holds most of them, the
     least id of equals; candidates come from an equi-join on the first two signs of
-    an entity, so no sentence meets every entity."""
+    an entity, or its only one, so no sentence meets every entity."""
     w = Window.partitionBy("topic", "sent_id").orderBy("rank")
     first = items.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("topic", "sent_id", F.coalesce("entities", F.array()).alias("entities"))
     joined = first.join(corpus, "sent_id", "left")
@@ -54,9 +54,10 @@ def match_items(items: DataFrame, corpus: DataFrame) -> DataFrame:
     )
     told = joined.select("topic", "sent_id", "entities", status.alias("status"))
     lost = told.where("status = 'NO_MATCH'").select("topic", "sent_id", F.explode("entities").alias("e"))
-    asked = lost.select("e").distinct().where(F.length("e") >= 2).select("e", F.substring("e", 1, 2).alias("g"))
+    asked = lost.select("e").distinct().where(F.length("e") >= 1).select("e", F.substring("e", 1, 2).alias("g"))
     own = corpus.where("sentence is not null").select(F.col("sent_id").alias("at"), "sentence")
-    near = own.select("at", F.explode(_bigrams(F.col("sentence"))).alias("g")).join(asked, "g").select("e", "at")
+    signs = F.concat(_bigrams(F.col("sentence")), F.array_distinct(grams(F.col("sentence"), 1, ".")))
+    near = own.select("at", F.explode(signs).alias("g")).join(asked, "g").select("e", "at")
     holds = near.join(own, "at").where(F.contains("sentence", "e")).select("e", "at")
     score = lost.join(holds, "e").groupBy("topic", "sent_id", "at").agg(F.count("*").alias("hits"))
     best = score.groupBy("topic", "sent_id").agg(F.max_by(F.struct("at", "hits"), F.struct(F.col("hits"), -F.col("at"))).alias("b"))

@@ -11,6 +11,13 @@ def test_match_items(spark):
     assert evidence.match_items(items.where("false"), corpus).count() == 0
 
 
+def test_match_items_of_one_sign(spark):
+    corpus = spark.createDataFrame([(0, "青岭园区的试点"), (1, "长滩市与云服务商"), (2, "云")], "sent_id int, sentence string")
+    items = spark.createDataFrame([("t", 1, 0, ["云"]), ("t", 2, 2, ["长滩市", "市"])], "topic string, rank int, sent_id int, entities array<string>")
+    got = {r.sent_id: (r.status, r.fallback_id, r.hits) for r in evidence.match_items(items, corpus).collect()}
+    assert got == {0: ("NO_MATCH_BY_INDEX", 1, 1), 2: ("NO_MATCH_BY_INDEX", 1, 2)}
+
+
 def test_excerpt_keeps_the_number():
     passage = "This opening sentence says little. The latency fell to 42 ms in the second phase. Other sentences follow here without it. The final one is also long enough."
     out = evidence.excerpt("Latency reached 42 ms", passage, ["42ms"], 90)
