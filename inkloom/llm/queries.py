@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -64,14 +65,17 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = table(spark, sf_dir, "source_documents", "ref_id", "body").select(F.lit("SourceDocument.body").alias("field"), F.col("ref_id").cast("long").alias("rec_id"), F.lit(-1).alias("chunk_id"), F.col("body").alias("text"))
     chunk = table(spark, sf_dir, "evidence_chunks", "ref_id", "chunk_id", "text").select(F.lit("EvidenceChunk.text").alias("field"), F.col("ref_id").cast("long").alias("rec_id"), F.col("chunk_id").cast("int"), "text")
     docs = table(spark, sf_dir, "documents", "doc_id", "text").select(F.lit("Document.text").alias("field"), F.col("doc_id").alias("rec_id"), F.lit(-1).alias("chunk_id"), "text")
-    limits = {r.field: (r.max_size, r.overlap or 0) for r in table(spark, sf_dir, "size_limits").where("unit = 'char' and max_size > 0").orderBy("max_size").limit(1000).collect()}
-    parts = [df.withColumns({"max_size": F.lit(limits[f][0]), "overlap": F.lit(limits[f][1])}) for f, df in (("SourceDocument.body", body), ("EvidenceChunk.text", chunk), ("Document.text", docs)) if f in limits]
+    limits: dict[str, set] = {}
+    for r in table(spark, sf_dir, "size_limits").where("unit = 'char' and max_size > 0").collect():  # a fixed handful of rows
+        limits.setdefault(r.field, set()).add((r.max_size, r.overlap or 0))
+    parts = []
+    for f, df in (("SourceDocument.body", body), ("EvidenceChunk.text", chunk), ("Document.text", docs)):
+        own = F.array(*(F.struct(F.lit(n).alias("max_size"), F.lit(o).alias("overlap")) for n, o in sorted(limits.get(f, ()))))
+        if f in limits:
+            parts.append(df.select("*", F.explode(F.filter(own, lambda x: F.length("text") > x["max_size"])).alias("l")).select(*df.columns, "l.*"))
     if not parts:
-        return body.withColumns({"max_size": F.lit(0), "overlap": F.lit(0)}).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return body.withColumns({"max_size": F.lit(0), "overlap": F.lit(0)}).where("false")
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +86,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = written(splitting.ranges(splitting.oversized(_items(spark, sf_dir))), "ranges")
     out = splitting.piece_texts(cut, splitting.pieces(cut))
-    return out.select("field", "rec_id", "chunk_id", "piece", "start", "end", "text")
+    return out.select("field", "rec_id", "chunk_id", "max_size", "piece", "start", "end", "text")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -122,7 +126,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    limits = table(spark, sf_dir, "size_limits").where("unit = 'token' and field = 'documents.text'").select("max_size").distinct().limit(1000).collect()
+    limits = table(spark, sf_dir, "size_limits").where("unit = 'token' and field = 'documents.text'").select("max_size").distinct().collect()
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), [r.max_size for r in limits])
 
 

@@ -162,33 +162,56 @@ def test_sentence_places_in_a_long_body(spark):
 # ----------------------------------------------------------------- splitting
 
 
-def brute_pieces(text, limit, overlap):
-    at, rank = splitting.ends(text, 0, 0, len(text))
-    return splitting.choose(np.array(at, int), np.array(rank, int), len(text), limit, overlap)
-
-
-@pytest.mark.parametrize("size", [64, 1000])
+def brute_pieces(text, limit, overlap, size):
+    """The pieces, worked out over the whole text at once."""
+    at, rank = (np.array(x, int) for x in splitting.ends(text, 0, 0, len(text)))
+    span = splitting.span_of(len(text), limit, size)
+    firsts = [splitting.plain_from(text, p) for p in range(0, len(text), span)] + [len(text)]
+    overs = [splitting.handover(at[(at > a) & (at <= b)], rank[(at > a) & (at <= b)], a, b, limit) for a, b in zip(firsts, firsts[1:]) if a < b]
+    begins = [0, *overs[:-1]]
+    out = []
+    for a, b in zip(begins, [*overs[:-1], len(text)]):
+        out += splitting.choose(at[at <= b], rank[at <= b], a, b, limit, overlap) if b > a else []
+    return out
+
+
+@pytest.mark.parametrize("size", [64, 1000, 100000])
 def test_ranges_equal_the_whole(spark, size):
     rng = random.Random(5)
-    texts = ["".join(rng.choice(["Wort ", "Satz. ", "行。", "\n", "\n\n", "x" * 9]) for _ in range(400)), "y" * 900, "a b\n\nc", None, ""]
+    texts = ["".join(rng.choice(["Wort ", "Satz. ", "行。", "\n", "\n\n", "x" * 9, " " * 40, ".”" * 30]) for _ in range(3000)), "y" * 9000, "a b\n\nc", None, ""]
+    for at in (990, 4750, 4790, 4795, 4801):  # runs of blanks over the edge of a range
+        texts.append("w " * (at // 2) + "." + "\n \n" * 350 + "v " * 4000)
     df = spark.createDataFrame([("F", i, -1, t, 300, 40, "z") for i, t in enumerate(texts)] + [("F", 0, -1, texts[0], 300, 40, "z")], "field string, rec_id long, chunk_id int, text string, max_size int, overlap int, item string")
-    cut = splitting.ranges(splitting.oversized(df), size, 16)
+    cut = splitting.ranges(splitting.oversized(df), size)
     got = {}
-    for r in splitting.piece_texts(cut, splitting.pieces(cut, size), size).collect():
+    for r in splitting.piece_texts(cut, splitting.pieces(cut)).collect():
         assert r.text == texts[r.rec_id][r.start : r.end] and len(r.text) <= 300
-        got.setdefault(r.rec_id, []).append((r.start, r.end))
-    assert {k: sorted(v) for k, v in got.items()} == {i: brute_pieces(texts[i], 300, 40) for i in (0, 1)}
+        got.setdefault(r.rec_id, []).append((r.piece, r.start, r.end))
+    assert set(got) == {0, 1, *range(5, len(texts))}
+    for i, rows_ in got.items():
+        rows_.sort()
+        assert [n for n, _, _ in rows_] == list(range(len(rows_)))
+        assert [(a, b) for _, a, b in rows_] == brute_pieces(texts[i], 300, 40, size)
+        ends = [b for _, _, b in rows_]
+        assert rows_[0][1] == 0 and ends[-1] == len(texts[i]) and all(0 < e - a[1] <= 40 for e, a in zip(ends, rows_[1:]))
     assert splitting.pieces(splitting.ranges(splitting.oversized(df.where("false")))).count() == 0
 
 
 def test_file_ranges(spark, tmp_path):
-    text = "Ein Satz mit Wörtern. 系统会切换。\n\n" * 400
-    p = tmp_path / "big.txt"
-    p.write_text(text, encoding="utf-8")
-    cut = splitting.file_ranges(spark, [str(p)], 500, 50, size=700, halo=16, block=1111).cache()
-    out = splitting.piece_texts(cut, splitting.pieces(cut, 700), 700).orderBy("piece").collect()
-    assert [(r.start, r.end) for r in out] == brute_pieces(text, 500, 50)
-    assert all(r.text == text[r.start : r.end] for r in out)
+    texts = ["Ein Satz mit Wörtern. 系统会切换。\n\n" * 900, "w " * 2400 + "\n" * 3000 + "v " * 4000 + "终。", "short", ""]
+    for i, t in enumerate(texts):
+        (tmp_path / f"{i}.txt").write_text(t, encoding="utf-8")
+    for block in (1111, 1 << 20):
+        cut = splitting.file_ranges(spark, str(tmp_path), 500, 50, size=700, block=block).cache()
+        out = splitting.piece_texts(cut, splitting.pieces(cut)).orderBy("piece").collect()
+        got = {}
+        for r in out:
+            got.setdefault(r.rec_id, []).append(r)
+        assert len(got) == 2
+        for rows_ in got.values():
+            t = next(x for x in texts if len(x) == rows_[-1].end)
+            assert [(r.start, r.end) for r in rows_] == brute_pieces(t, 500, 50, 700)
+            assert all(r.text == t[r.start : r.end] for r in rows_)
 
 
 # ---------------------------------------------------------------- site lines
