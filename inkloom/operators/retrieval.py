@@ -73,17 +73,52 @@ def query_tokens(df: DataFrame, key: str, text: Column) -> DataFrame:
     return postings(df.select(F.col(key).alias("query_id"), text.alias("_t")), ["query_id"], F.col("_t")).withColumnRenamed("tf", "qtf")
 
 
-def select_within_budget(ranked: DataFrame, group: str, order: str, source: str, size: str, limit: int = 12, most: int = 14500, per_source: int = 2) -> DataFrame:
-    """Greedy choice of each group (W3): by score, stop at a score of 0, skip what
+def _reachable(frames: Iterator[pd.DataFrame], group: str, by: list[str], ascending: list[bool], source: str, size: str, limit: int, per_source: int) -> Iterator[pd.DataFrame]:
+    """Rows that a greedy choice may still take, batch by batch.
+
+    What is left of a budget never grows, so a row skipped for its size rules out
+    every later row of that size or more.  All earlier rows no larger than a row
+    that is taken were therefore taken or met their source's cap: where these alone
+    fill the limit, the row cannot be taken.  Counting them over a part of the rows
+    only keeps more."""
+    for pdf in frames:
+        pdf = pdf.sort_values([group, *by], ascending=[True, *ascending], kind="stable")
+        keep: list[int] = []
+        held: list[tuple] = []
+        now, bar = object(), float("inf")
+        for at, (g, src, n) in enumerate(zip(pdf[group], pdf[source], pdf[size])):
+            if g != now:
+                now, held, bar = g, [], float("inf")
+            if n >= bar:
+                continue
+            keep.append(at)
+            held.append((n, src))
+            held.sort(key=lambda x: x[0])
+            used: dict = {}
+            full, bar = 0, float("inf")
+            for m, s in held:  # the least size from which on the limit is full
+                used[s] = used.get(s, 0) + 1
+                full += used[s] <= per_source
+                if full >= limit:
+                    bar = m
+                    break
+        yield pdf.iloc[keep]
+
+
+def select_within_budget(ranked: DataFrame, group: str, order: str | Sequence[str], source: str, size: str, limit: int = 12, most: int = 14500, per_source: int = 2) -> DataFrame:
+    """Greedy choice of each group (W3): by score, none at a score of 0, skip what
     exceeds the budget, at most ``per_source`` of a source, the first always.
 
-    Rows that the source cap rules out for certain are cut first: a source's
-    candidates beyond the budget's reach can never be taken."""
+    Each task first drops the rows that no choice can reach, so that a group brings
+    some dozens of rows a batch to its task, however large it is."""
+    by = ["score", *([order] if isinstance(order, str) else order)]
+    ascending = [False, *[True] * (len(by) - 1)]
     cut = ranked.where(F.col("score") > 0)
+    few = cut.mapInPandas(lambda frames: _reachable(frames, group, by, ascending, source, size, limit, per_source), cut.schema)
     schema = T.StructType([*cut.schema.fields, T.StructField("taken", T.IntegerType())])
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", order], ascending=[False, True], kind="stable")
+        pdf = pdf.sort_values(by, ascending=ascending, kind="stable")
         used: dict = {}
         chosen, total = [], 0
         for i, (src, n) in enumerate(zip(pdf[source], pdf[size])):
@@ -96,7 +131,7 @@ def select_within_budget(ranked: DataFrame, group: str, order: str, source: str,
                 break
         return pdf.iloc[chosen].assign(taken=range(1, len(chosen) + 1))
 
-    return cut.groupBy(group).applyInPandas(pick, schema)
+    return few.groupBy(group).applyInPandas(pick, schema)
 
 
 def claim_postings(passages: DataFrame, passage: str, text: Column, claims: DataFrame) -> DataFrame:

@@ -96,8 +96,8 @@ def topic_evidence_ranked(spark, sf_dir):
 @query()
 def topic_evidence_budgeted(spark, sf_dir):
     """Greedy evidence of each topic under the character budget."""
-    r = _topic_ranking(spark, sf_dir).withColumn("at", F.col("ref_id") * 100000 + F.col("chunk_id"))
-    out = retrieval.select_within_budget(r, "topic_id", "at", "ref_id", "chars")
+    r = _topic_ranking(spark, sf_dir)
+    out = retrieval.select_within_budget(r, "topic_id", ["ref_id", "chunk_id"], "ref_id", "chars")
     return out.select("topic_id", "ref_id", "chunk_id", "chars", "taken")
 
 

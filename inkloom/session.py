@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Splits from which on a table is never spread over more tasks.
+FEW = 64
+
+
 def session(app: str = "inkloom", cores: str = "*", **settings: str) -> SparkSession:
     """A session with the settings the operators expect; on a cluster the
     submitting side's settings win."""
@@ -28,9 +32,13 @@ def session(app: str = "inkloom", cores: str = "*", **settings: str) -> SparkSes
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one where none is set."""
+    """The cluster's checkpoint folder, spark.checkpoint.dir.  Where it is unset a
+    local session (tests) gets a temporary folder; on a cluster, whose machines do
+    not share one, that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
         at = "file://" + os.path.join(tempfile.gettempdir(), "inkloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -44,7 +52,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many tasks as there are cores: for heavy work on tables
-    that are read in fewer splits.  Larger tables are left as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    """``df`` over as many tasks as there are cores where it is read in a handful of
+    splits, fewer than FEW: for heavy work on small tables.  A table of more splits
+    is left as it is read, so a large one is never shuffled for this."""
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, FEW)
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
