@@ -31,7 +31,7 @@ def test_ids_equal_the_library(spark):
     t = Tokenizer.from_file(f"{tokenizing.FOLDER}/byte_bpe_50k.json")
     t.encode_special_tokens = True
     docs = spark.createDataFrame([(i, x, "ids", 0) for i, x in enumerate(TEXTS)], "doc_id long, text string, ids string, k int")
-    got = {r.doc_id: r.ids for r in tokenizing.encode_documents(docs, leaf=512).collect()}
+    got = {r.doc_id: r.ids for r in tokenizing.encode_documents(docs, leaf=512, block=2).collect()}
     for i, x in enumerate(TEXTS):
         assert got[i] == (t.encode(x, add_special_tokens=False).ids if x else []), i
     assert tokenizing.encode_documents(docs.where("false")).count() == 0
@@ -41,10 +41,12 @@ def test_tree_joins_are_exact():
     e = tokenizing.encoder()
     rng = random.Random(3)
     texts = ["".join(rng.choice("abcdefgh 系统测试。's\n") for _ in range(6000)), "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(5000)), " " * 3000 + "x", "'s" * 2000, "naïve" * 900]
+    texts += ["0123456789" * 700, "дом" * 2000, "".join(rng.choice("कखगघचछजझ") for _ in range(6000)), "\n" * 4000 + " " * 3000 + "\tx", "-=" * 3000, "?!" * 2500 + "ab" * 2500, "\u3000 " * 2500, " \u00a0\n" * 1500 + "'s", "e\u0301" * 2500]
     for t in texts:
         for leaf in (50, 400):
             cut = tokenizing.halves(t, leaf)
             assert "".join(p for p, _ in cut) == t
+            assert len(cut) > 1 and max(len(p) for p, _ in cut) <= 2 * leaf, t[:20]
             assert tokenizing.tree_concat([(tokenizing.encode(p), s) for p, s in cut], e).tolist() == e.encode_ordinary(t)
 
 
