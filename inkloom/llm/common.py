@@ -9,12 +9,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Splits from which on a table is never spread over more tasks.
+FEW = 64
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: spark.checkpoint.dir, or, where that is
-    unset (local tests), a temporary folder that is then made the checkpoint
-    folder of the session."""
+    """Folder that all executors see: spark.checkpoint.dir.  Where it is unset a local
+    session (tests) gets a temporary folder, made its checkpoint folder; on a cluster
+    that is an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
         set_dir = "file://" + os.path.join(tempfile.gettempdir(), "inkloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     if not spark.sparkContext.getCheckpointDir():
@@ -41,10 +47,11 @@ def bounded_sample(df: DataFrame, key: str, size: int, salt: str = "sample") ->
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """One input table, pruned to ``columns``; over at least as many tasks as there
-    are cores where its texts are read in fewer splits."""
+    """One input table, pruned to ``columns``; over as many tasks as there are cores
+    where its texts are read in a handful of splits, fewer than FEW: a large table is
+    never shuffled for this."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     df = df.select(*columns) if columns else df
-    cores = spark.sparkContext.defaultParallelism
+    cores = min(spark.sparkContext.defaultParallelism, FEW)
     heavy = {"text", "body", "content", "vs_emb"} & set(df.columns)
     return df.repartition(cores) if heavy and df.rdd.getNumPartitions() < cores else df

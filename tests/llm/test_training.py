@@ -68,9 +68,25 @@ def test_packing_splits_only_the_oversized():
     assert len(bins) <= 1.03 * sum(sizes) / 512 + 1
 
 
+@pytest.mark.parametrize("n", [500, 10000])
+def test_packing_of_small_and_large_tasks(n):
+    rng = np.random.default_rng(1)
+    sizes = np.clip(rng.lognormal(6.3, 1.0, n).astype(int), 1, None).tolist()
+    bins = packing.pack_sizes(sizes, 2048)
+    assert sum(sizes) / 2048 / len(bins) > (0.98 if n < 1000 else 0.995)
+
+
 def test_packing_documents(spark):
     docs = spark.createDataFrame([(i, x, 7) for i, x in enumerate(TEXTS)], "doc_id long, text string, capacity int")
-    got = packing.pack_documents(docs, [512, 2048, None, 512])
+    got = packing.pack_documents(docs, [512, 2048, None, 512], group=3)
+    ids = [(r.capacity, r.doc_id, r.piece, r.start_token) for r in got.collect()]
+    assert len(ids) == len(set(ids))
+    for c in (512, 2048):
+        whole = {i: len(tokenizing.encode(x)) for i, x in enumerate(TEXTS)}
+        back = {}
+        for r in got.where(f"capacity = {c}").collect():
+            back[r.doc_id] = back.get(r.doc_id, 0) + r.n_tokens
+        assert back == whole
     per = got.where("container_id is not null").groupBy("capacity", "container_id").sum("n_tokens").collect()
     assert all(r[2] <= r.capacity for r in per)
     assert {r.doc_id for r in got.where("container_id is null").collect()} == {0, 1}
