@@ -35,11 +35,19 @@ FAILED = [
     # filler
     "^lorem ipsum", "your headline here", "short intro in this block", "dummy copy", "text text text", "asdf asdf", "sample text goes here", "test page, please ignore", "loading...", "beispielüberschrift", "見出しが入ります", "本文が入ります", "ここに見出し", "^заголовок$", "शीर्षक यहाँ", "这是一段示例文字", "文字文字文字文字", "测试测试", "默认段落", "请输入文章摘要", "此处为正文", "内容区域占位", "^这里是标题$", "texte d'exemple", "votre titre ici", "faux-texte", "faux texte", "platzhaltertext", "mustertext", "blindtext", "beispieltext", "ダミーテキスト", "この文章は仮", "サンプルテキスト", "текст-заполнитель", "текст-заглушка", "пример текста", "текст для примера", "образец текста", "नमूना पाठ", "पाठ आएगा", "उदाहरण पाठ",
 ]
+# What a notice of a failed page speaks of, and what it says of it.  A
+# unit with one of each close together is such a notice in any wording.
+THINGS = ["page", "url", "link", "website", "this site", "content", "server", "gateway", "upstream", "access", "request", "connection", "session", "javascript", "cookies", "scripts", "browser", "captcha", "robot", "human", "traffic", "account", "you have been", "subscribers", "página", "pagina", "enlace", "contenido", "contenuto", "conteúdo", "acceso", "accesso", "acesso", "servidor", "servizio", "servicio", "serviço", "navegador", "sesión", "sessione", "sitio", "sito", "seite", "zugriff", "sitzung", "dienst", "accès", "serveur", "navigateur", "страниц", "доступ", "сервер", "сайт", "браузер", "ページ", "アクセス", "サーバー", "ブラウザ", "페이지", "접근", "서버", "브라우저", "로그인", "자바스크립트", "사이트", "页面", "网页", "访问", "服务器", "浏览器", "पृष्ठ", "पेज", "सर्वर"]
+STATES = ["not found", "be found", "cannot find", "can't find", "could not find", "couldn't find", "no longer available", "doesn't exist", "does not exist", "no longer exists", "has been removed", "unavailable", "forbidden", "is denied", "been denied", "blocked", "timed out", "timeout", "connect error", "to continue", "must be enabled", "is required to", "please enable", "turn on", "has expired", "not a robot", "are human", "are a human", "unusual traffic", "rate limit", "be right back", "back soon", "overloaded", "please reload", "please log in", "please sign in", "only for subscribers", "no encontrad", "no existe", "no está disponible", "no se pudo", "denegado", "bloquead", "activa javascript", "habilit", "inicia sesión", "vuelve a intentar", "mantenimiento", "non trovata", "non esiste", "non è disponibile", "negato", "bloccat", "attiva javascript", "abilit", "accedi per", "manutenzione", "riprova", "não encontrad", "não existe", "indisponível", "negado", "entre para", "manutenção", "nicht gefunden", "nicht verfügbar", "nicht erreichbar", "verweigert", "abgelaufen", "gesperrt", "introuvable", "indisponible", "refusé", "expiré", "не найден", "недоступ", "запрещ", "не существует", "истек", "見つかりません", "利用できません", "拒否", "有効にして", "찾을 수 없", "존재하지 않", "거부", "차단", "필요합니다", "활성화", "점검 중", "만료", "不存在", "无法访问", "无法打开", "被拒绝", "已过期", "不可用", "नहीं मिला", "उपलब्ध नहीं"]
+#: Signs between the two, at most.
+NEAR = 48
 #: Words of invented Latin that filler is made of.
 LATIN = set("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua sagit vesti ultra quaerat consec erat velit isis morbi luctus tetur bulum pretium tis facil porta ornare varius cursus magnis nulla integ tempor".split())
 
 NAV, ITEM, CRUMB, BAR, KEY, BY, SER, REL, INL, FOO, SCR, CON, PROSE, BULLET, HEAD, NUMBER, SHORT, LONG, TABLE, BAD, TITLE = range(21)
 KINDS = 21
+#: In place of a cue's order: parts of a notice of a failed page.
+SAYS, OF = -1, -2
 _SPACE, _DIGITS = re.compile(r"[\s\u200b\ufeff]+"), re.compile(r"[0-9]+")
 _NAV = re.compile(r"\[[^\]]{1,40}\]\(/[a-z]0\)$")
 _ITEM = re.compile(r"(?:[*•›·–-] ?)?\[[^\]]+\]\([^)]*\)$")
@@ -58,6 +66,9 @@ def _cues() -> ahocorasick.Automaton:
     """All cue words in one automaton; a word's value: (order, kind, text, bound at start, at end)."""
     auto = ahocorasick.Automaton()
     held: dict[str, list] = {}
+    for order, words in ((SAYS, STATES), (OF, THINGS)):
+        for w in words:
+            held.setdefault(w, []).append((order, None, len(w), False, False))
     for order, (kind, words) in enumerate(((BY, BYLINE), (SER, SERIES), (REL, RELATED), (INL, INLINE), (SCR, SCRIPTS), (CON, CONSENT), (FOO, FOOT), (BAD, FAILED))):
         for w in words:
             start, end = w[0] == "^", len(w) > 1 and w[-1] == "$"
@@ -73,6 +84,8 @@ def cue_of(s: str) -> int | None:
     best, n = None, len(s.rstrip(".。!！ "))
     for at, values in _cues().iter(s):
         for order, kind, length, start, end in values:
+            if order < 0:
+                continue
             if start and at != length - 1 or end and at < n - 1:
                 continue
             if kind == REL:
@@ -86,6 +99,22 @@ def cue_of(s: str) -> int | None:
     return best[1] if best else None
 
 
+def failing(s: str) -> bool:
+    """Whether ``s``, a unit as shown(), is a notice of a failed page or filler by its
+    words, whatever its length: a cue, or a thing and what is said of it."""
+    n, things, states = len(s.rstrip(".。!！ ")), [], []
+    for at, values in _cues().iter(s):
+        for order, kind, length, start, end in values:
+            if kind == BAD:
+                if not (start and at != length - 1 or end and at < n - 1):
+                    return True
+            elif order == OF and not (at >= length and s[at - length].isascii() and s[at - length].isalnum() and s[at - length + 1].isascii()):
+                things.append((at - length + 1, at + 1))
+            elif order == SAYS:
+                states.append((at - length + 1, at + 1))
+    return any(a < d + NEAR and c < b + NEAR and (b <= c or d <= a) for a, b in things for c, d in states)
+
+
 def shown(line: str) -> str:
     """A line as it is compared: one blank for white space, lower case, digits as 0."""
     return _DIGITS.sub("0", _SPACE.sub(" ", line).strip().lower())

@@ -288,10 +288,35 @@ def test_found_records(spark):
 
 
 def test_long_units_are_read_whole(spark):
-    paragraph = "平台在系统维护中保持服务可用，" + "各节点依次切换并核对数据，" * 40
+    paragraph = "平台在日常维护中保持服务可用，" + "各节点依次切换并核对数据，" * 40
     link = f"[the start page](/{'x' * 500})"
-    df = spark.createDataFrame([(1, paragraph), (2, f"404 Not Found\n{link}"), (3, f"A real sentence stands here, and it is long enough.\n404 Not Found\n{link}")], "id int, content string")
-    assert rows(templates.found_ids(df)) == [(2,)]
+    notice = "We are very sorry to tell all of our readers, new and old, near and far, on this rainy Tuesday morning in the long month of November, that the page you requested could not, alas, be shown to you at this time."
+    df = spark.createDataFrame([(1, paragraph), (2, f"404 Not Found\n{link}"), (3, f"A real sentence stands here, and it is long enough.\n404 Not Found\n{link}"), (4, notice)], "id int, content string")
+    assert rows(templates.found_ids(df)) == [(2,), (4,)]
+
+
+UNSEEN = ["HTTP 503: upstream connect error or disconnect/reset before headers", "Enable JavaScript and cookies to continue", "Sorry, you have been blocked.", "La página que buscas no existe.", "Pagina non trovata", "페이지를 찾을 수 없습니다", "Our systems have detected unusual traffic from your network"]
+ORDINARY = ["He answered: None of these were read.", "Null results were [redacted] in the report.", "The N/A column is empty.", "See [Smith et al.] for more.", "Access control is distributed over several servers.", "The robot serves 12 pages an hour."]
+
+
+def test_notices_in_other_words(spark):
+    df = spark.createDataFrame(list(enumerate(UNSEEN + ORDINARY)), "id int, content string")
+    assert rows(templates.found_ids(df)) == [(i,) for i in range(len(UNSEEN))]
+
+
+def test_a_messages_company_decides(spark):
+    """A notice in words of no list, on many records without anything else; a notice
+    of the list that stands on every page of a site."""
+    article = "Ein Absatz über das Kraftwerk Nummer {0} steht hier, und er ist lang genug für einen Artikel. " * 4
+    data = [(i, f"Weiter gehts bald.\nKonto {i}") for i in range(24)] + [(100 + i, article.format("abcdefghijklmnopqrstuv"[i]) + "\nVerify you are human") for i in range(22)] + [(200, "Kurzer Satz über Pumpen.\nVerify you are human")]
+    df = spark.createDataFrame(data, "id int, content string")
+    assert rows(templates.found_ids(df)) == [(i,) for i in range(24)]
+
+
+def test_a_word_is_a_slot_where_the_template_has_values(spark):
+    data = [(i, f"The pilot plant in {town} ran for ninety days without interruption at all.") for i, town in enumerate(["Redpine", "North Azure", "Cloudbrook", "null"])] + [(9, "In the field notes the old word null occurs once.")]
+    df = spark.createDataFrame(data, "id int, content string")
+    assert rows(templates.found_ids(df)) == [(3,)]
 
 
 # ---------------------------------------------------------------- boilerplate
