@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 SINGLE = ("cp1252", "mac_roman", "cp1251", "koi8_r", "cp437", "cp850", "cp1250", "cp866")
 #: Encodings of one or two bytes that UTF-8 may have been read with.
 DOUBLE = ("gbk", "big5", "cp932", "euc_kr")
-ROUNDS = 3
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3})+")
 LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 #: Signs that stand beside letters in correct text of any language.
@@ -381,10 +380,11 @@ def is_garbled(text: str) -> bool:
 
 
 def restore(text: str) -> str:
-    for _ in range(ROUNDS):
-        found = spans(text)
-        if not found:
-            break
+    """Restored until no span is left, however often it was garbled.  Restoring makes a
+    text shorter or its words likelier; one that comes back to an earlier form stops."""
+    seen = set()
+    while text not in seen and (found := spans(text)):
+        seen.add(text)
         parts, at = [], 0
         for a, b, now in found:
             parts += [text[at:a], now]

@@ -38,7 +38,7 @@ FAILED = [
 # What a notice of a failed page speaks of, and what it says of it.  A
 # unit with one of each close together is such a notice in any wording.
 THINGS = ["page", "url", "link", "website", "this site", "content", "server", "gateway", "upstream", "access", "request", "connection", "session", "javascript", "cookies", "scripts", "browser", "captcha", "robot", "human", "traffic", "account", "you have been", "subscribers", "página", "pagina", "enlace", "contenido", "contenuto", "conteúdo", "acceso", "accesso", "acesso", "servidor", "servizio", "servicio", "serviço", "navegador", "sesión", "sessione", "sitio", "sito", "seite", "zugriff", "sitzung", "dienst", "accès", "serveur", "navigateur", "страниц", "доступ", "сервер", "сайт", "браузер", "ページ", "アクセス", "サーバー", "ブラウザ", "페이지", "접근", "서버", "브라우저", "로그인", "자바스크립트", "사이트", "页面", "网页", "访问", "服务器", "浏览器", "पृष्ठ", "पेज", "सर्वर"]
-STATES = ["not found", "be found", "cannot find", "can't find", "could not find", "couldn't find", "no longer available", "doesn't exist", "does not exist", "no longer exists", "has been removed", "unavailable", "forbidden", "is denied", "been denied", "blocked", "timed out", "timeout", "connect error", "to continue", "must be enabled", "is required to", "please enable", "turn on", "has expired", "not a robot", "are human", "are a human", "unusual traffic", "rate limit", "be right back", "back soon", "overloaded", "please reload", "please log in", "please sign in", "only for subscribers", "no encontrad", "no existe", "no está disponible", "no se pudo", "denegado", "bloquead", "activa javascript", "habilit", "inicia sesión", "vuelve a intentar", "mantenimiento", "non trovata", "non esiste", "non è disponibile", "negato", "bloccat", "attiva javascript", "abilit", "accedi per", "manutenzione", "riprova", "não encontrad", "não existe", "indisponível", "negado", "entre para", "manutenção", "nicht gefunden", "nicht verfügbar", "nicht erreichbar", "verweigert", "abgelaufen", "gesperrt", "introuvable", "indisponible", "refusé", "expiré", "не найден", "недоступ", "запрещ", "не существует", "истек", "見つかりません", "利用できません", "拒否", "有効にして", "찾을 수 없", "존재하지 않", "거부", "차단", "필요합니다", "활성화", "점검 중", "만료", "不存在", "无法访问", "无法打开", "被拒绝", "已过期", "不可用", "नहीं मिला", "उपलब्ध नहीं"]
+STATES = ["not found", "be found", "cannot find", "can't find", "could not find", "couldn't find", "no longer available", "doesn't exist", "does not exist", "no longer exists", "has been removed", "unavailable", "forbidden", "is denied", "been denied", "blocked", "timed out", "timeout", "connect error", "to continue", "must be enabled", "is required to", "please enable", "turn on", "has expired", "not a robot", "are human", "are a human", "unusual", "rate limit", "be right back", "back soon", "overloaded", "please reload", "please log in", "please sign in", "only for subscribers", "no encontrad", "no existe", "no está disponible", "no se pudo", "denegado", "bloquead", "activa javascript", "habilit", "inicia sesión", "vuelve a intentar", "mantenimiento", "non trovata", "non esiste", "non è disponibile", "negato", "bloccat", "attiva javascript", "abilit", "accedi per", "manutenzione", "riprova", "não encontrad", "não existe", "indisponível", "negado", "entre para", "manutenção", "nicht gefunden", "nicht verfügbar", "nicht erreichbar", "verweigert", "abgelaufen", "gesperrt", "introuvable", "indisponible", "refusé", "expiré", "не найден", "недоступ", "запрещ", "не существует", "истек", "見つかりません", "利用できません", "拒否", "有効にして", "찾을 수 없", "존재하지 않", "거부", "차단", "필요합니다", "활성화", "점검 중", "만료", "不存在", "无法访问", "无法打开", "被拒绝", "已过期", "不可用", "नहीं मिला", "उपलब्ध नहीं"]
 #: Signs between the two, at most.
 NEAR = 48
 #: Words of invented Latin that filler is made of.
