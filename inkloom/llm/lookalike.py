@@ -25,14 +25,24 @@ from .common import written
 # Letters of other scripts drawn like a Latin letter, and signs
 # drawn like an ASCII sign.
 ALIKE = {
+    # Cyrillic
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
     "І": "I", "Ј": "J", "Ѕ": "S", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i",
     "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "ӏ": "l", "Ӏ": "I",
+    "ѵ": "v", "Ѵ": "V", "Ԍ": "G", "Ғ": "F", "ү": "y", "ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï", "ӓ": "ä", "Ӓ": "Ä", "ӧ": "ö", "Ӧ": "Ö",
+    # Greek and Coptic
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϳ": "j", "ϲ": "c", "Ϲ": "C", "ɡ": "g", "ı": "ı",
-    "ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï", "ό": "ó",
+    "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ρ": "p", "ϳ": "j", "ϲ": "c", "Ϲ": "C", "ό": "ó", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c",
+    # Armenian
+    "օ": "o", "Օ": "O", "ո": "n", "ս": "u", "Ս": "U", "Տ": "S", "հ": "h", "ց": "g", "զ": "q", "Լ": "L",
+    # Cherokee
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P",
+    "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    # Latin
+    "ɡ": "g", "ɩ": "i", "ƽ": "5", "Ɩ": "I", "ꜱ": "s",
+    # signs
     "‐": "-", "‑": "-", "﹣": "-", "⁃": "•", "∙": "·", "⋅": "·", "∶": ":", "ʼ": "’", "⁄": "/", "∕": "/", "∣": "|",
-    "µ": "μ", "∆": "Δ", "∑": "Σ", "∏": "Π", "⼀": "一", "゠": "=", "˗": "-", "−": "−", "‚": "‚", "ꞏ": "·", "・": "·",
+    "µ": "μ", "∆": "Δ", "∑": "Σ", "∏": "Π", "⼀": "一", "゠": "=", "˗": "-", "ꞏ": "·", "・": "·", "؍": "/", "٭": "*", "ʹ": "′", "ˈ": "'", "ǃ": "!", "ꓽ": ":",
 }
 #: Signs that are drawn as nothing; joiners between emoji are kept, see JOINED.
 INVISIBLE = "".join(
@@ -115,26 +125,34 @@ def canonical_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def lookalike_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_a, doc_b): documents that look the same but differ in characters.
+def lookalike_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, look, spelling): the documents whose look has at least two spellings,
+    each with its class and its spelling, both as digests.
 
-    Only hashes leave the partitions.  Identical texts are first folded into one
-    class each, so a text with very many copies costs nothing unless another
-    spelling of it exists; class pairs are then expanded to their members."""
-    select = f"""SELECT doc_id, md5(f) AS look, md5(text) AS same FROM
+    Only digests leave the partitions.  Identical texts are first folded into one
+    spelling each, so a text with very many copies costs one row per copy, and nothing
+    unless another spelling of it exists."""
+    select = f"""SELECT doc_id, md5(f) AS look, md5(text) AS spelling FROM
         (SELECT doc_id, text, {form_sql('text')} AS f FROM part WHERE text IS NOT NULL AND doc_id IS NOT NULL)
         WHERE regexp_matches(f, '[^\\s]')"""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _run(batches, select)
 
-    keys = written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, look string, same string"), "looks")
-    classes = keys.select("look", "same").distinct()
-    several = classes.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
-    # texts that look alike yet differ: few spellings of one look, whatever its copies
-    forms = written(classes.join(several, "look", "left_semi"), "spellings")
-    pairs = forms.select("look", F.col("same").alias("sa")).join(forms.select("look", F.col("same").alias("sb")), "look").where("sa <> sb").select("sa", "sb")
-    members = keys.join(forms.select("same"), "same", "left_semi").select("doc_id", "same").distinct()
-    left = members.select(F.col("doc_id").alias("doc_a"), F.col("same").alias("sa"))
-    right = members.select(F.col("doc_id").alias("doc_b"), F.col("same").alias("sb"))
+    keys = written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, look string, spelling string"), "looks")
+    several = keys.select("look", "spelling").distinct().groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
+    return keys.join(several, "look", "left_semi").select("doc_id", "look", "spelling").distinct()
+
+
+def lookalike_pairs(docs: DataFrame) -> DataFrame:
+    """(doc_a, doc_b): documents that look the same but differ in characters: the pairs
+    that ``lookalike_classes`` stands for.  Pairs of spellings are joined first, each
+    then expanded to its members over both sides' own shuffle, so no task holds all
+    members of a look."""
+    members = written(lookalike_classes(docs), "look-members")
+    forms = members.select("look", "spelling").distinct()
+    pairs = forms.select("look", F.col("spelling").alias("sa")).join(forms.select("look", F.col("spelling").alias("sb")), "look").where("sa <> sb").select("sa", "sb")
+    left = members.select(F.col("doc_id").alias("doc_a"), F.col("spelling").alias("sa"))
+    right = members.select(F.col("doc_id").alias("doc_b"), F.col("spelling").alias("sb"))
     return pairs.join(left, "sa").join(right, "sb").where("doc_a < doc_b").select("doc_a", "doc_b").distinct()

@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Encodings of one byte a sign that UTF-8 may have been read with.
-SINGLE = ("cp1252", "mac_roman", "cp1251", "koi8_r", "cp437", "cp850", "cp1250", "cp866")
+SINGLE = ("cp1252", "mac_roman", "cp1251", "koi8_r", "cp437", "cp850", "cp1250", "cp866", "cp1253", "cp1257", "mac_cyrillic")
+#: Such encodings whose signs 80-9F are controls: only tried on texts that have these.
+CONTROLS = ("iso8859_2", "iso8859_5", "iso8859_7", "iso8859_15")
 #: Encodings of one or two bytes that UTF-8 may have been read with.
 DOUBLE = ("gbk", "big5", "cp932", "euc_kr")
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3})+")
@@ -68,7 +70,7 @@ def _common() -> frozenset[str]:
 def _likely(c: str) -> bool:
     """A sign that garbled text is likely to stand for."""
     n = ord(c)
-    return 0x80 <= n <= 0x17F or n in (0x192, 0x2C6, 0x2DC) or 0x391 <= n <= 0x3C9 or 0x401 <= n <= 0x451 or 0x900 <= n <= 0x97F or 0x2010 <= n <= 0x203A or 0x20A0 <= n <= 0x22FF or 0x2500 <= n <= 0x27BF or 0x3000 <= n <= 0x30FF or 0x4E00 <= n <= 0x9FFF or 0xFF01 <= n <= 0xFF5E or n in (0xFEFF, 0xFFFD) or 0x1F300 <= n <= 0x1FAFF
+    return 0x80 <= n <= 0x17F or n in (0x192, 0x2C6, 0x2DC) or 0x384 <= n <= 0x3CE or 0xAC00 <= n <= 0xD7A3 or 0x401 <= n <= 0x451 or 0x900 <= n <= 0x97F or 0x2010 <= n <= 0x203A or 0x20A0 <= n <= 0x22FF or 0x2500 <= n <= 0x27BF or 0x3000 <= n <= 0x30FF or 0x4E00 <= n <= 0x9FFF or 0xFF01 <= n <= 0xFF5E or n in (0xFEFF, 0xFFFD) or 0x1F300 <= n <= 0x1FAFF
 
 
 def _written(c: str) -> bool:
@@ -80,13 +82,13 @@ def _written(c: str) -> bool:
 def _pair() -> re.Pattern:
     """Two neighbouring signs of any one-byte encoding's upper half: without them
     no such encoding's span can be."""
-    upper = {chr(c) for codec in SINGLE for c in _single(codec)[0]}
+    upper = {chr(c) for codec in SINGLE + CONTROLS for c in _single(codec)[0]}
     return re.compile("[" + "".join(map(re.escape, sorted(upper))) + "]{2}")
 
 
 def _all_single(text: str) -> Iterator[tuple[int, int, str]]:
     if _pair().search(text):
-        for codec in SINGLE:
+        for codec in SINGLE + (CONTROLS if LOST.search(text) else ()):
             yield from _single_spans(text, codec)
 
 
@@ -108,10 +110,11 @@ def _likely_parts(data: bytes) -> Iterator[tuple[int, int, str]]:
 
 
 def _single_spans(text: str, codec: str) -> list[tuple[int, int, str]]:
-    """Spans that are UTF-8 read with a one-byte encoding."""
+    """Spans that are UTF-8 read with a one-byte encoding.  In a line that holds one
+    for certain, every well-formed span of the same encoding counts."""
     back, pattern = _single(codec)
-    out = []
-    for m in pattern.finditer(text):
+    out, matches = [], list(pattern.finditer(text))
+    for m in matches:
         for x, y, now in _likely_parts(bytes(back[ord(c)] for c in m.group())):
             was = m.group()[x:y]
             a, b = m.start() + x, m.start() + y
@@ -120,15 +123,41 @@ def _single_spans(text: str, codec: str) -> list[tuple[int, int, str]]:
             stop = 0x2010 <= ord(now[0]) <= 0x203A
             if codec == "cp1252":
                 sure = len(now) > 1 or was[0] in "ÂÃ" or was[0] == "â" and was[1] in "€\x80" or LOST.search(was) or len(was) > 2 and not _BESIDE.issuperset(was[1:])
+            elif codec in CONTROLS:
+                sure = LOST.search(was)
             elif len(now) > 1:
                 sure = not all(c in _BESIDE or c.isascii() for c in was) and len(set(was)) > 2 or len(was) > 5
             else:
                 sure = len(was) == 3 and stop or latin and now.isalpha() and ord(now) < 0x180 or codec == "mac_roman" and was[0] in "√¬" and ord(now) < 0x180
             if sure:
                 out.append((a, b, now))
+    if out and len(matches) > 1:
+        lines = {text.rfind("\n", 0, a) for a, _, _ in out}
+        for m in matches:
+            if text.rfind("\n", 0, m.start()) in lines:
+                out += [(m.start() + u.start(), m.start() + u.end(), u.group().decode("utf-8", "replace")) for u in _UTF8.finditer(bytes(back[ord(c)] for c in m.group()))]
     return out
 
 
+def _beside(text: str, sure: list[tuple[int, int, str]], more: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """``sure`` and those of ``more`` that stand beside such a span with no letter and
+    no line end between."""
+    if not sure or not more:
+        return sure
+    taken = bytearray(len(text))
+    for a, b, _ in sure:
+        taken[a:b] = b"\1" * (b - a)
+    both = sorted([(*x, True) for x in sure] + [(*x, False) for x in more if taken.find(1, x[0], x[1]) < 0])
+    good = [x[3] for x in both]
+    for order in (range(1, len(both)), range(len(both) - 2, -1, -1)):
+        step = -1 if order.step > 0 else 1
+        for i in order:
+            if not good[i] and good[i + step]:
+                low, high = sorted((both[i][:2], both[i + step][:2]))
+                good[i] = not any(c.isalpha() or c == "\n" for c in text[low[1] : high[0]])
+    return [x[:3] for x, ok in zip(both, good) if ok]
+
+
 _LINE = re.compile("[^\n]+")
 _THREE = rb"(?:\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf])"
 #: Bytes of which one must occur for a span to count: two signs of three bytes,
@@ -191,7 +220,7 @@ def _double_spans(text: str, codec: str, western: list[re.Match]) -> list[tuple[
 _RUNS = [
     ("latin", re.compile("[\x80-\xffŒœŠšŽžŸƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]{4,}"), "cp1252", "gbk"),
     ("mac", re.compile("[" + "".join(re.escape(bytes([b]).decode("mac_roman")) for b in range(0x80, 0x100)) + "]{4,}"), "mac_roman", "gbk"),
-    ("kana", re.compile("(?:[‚ƒ][ -~\x80-\xffŒœŠšŽžŸƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]){2,}"), "cp1252", "cp932"),
+    ("kana", re.compile("(?:[‚ƒ\x82\x83][ -~\x80-\xffŒœŠšŽžŸƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]){2,}"), "cp1252", "cp932"),
     ("kana mac", re.compile("(?:[ÇÉ][" + "".join(re.escape(bytes([b]).decode("mac_roman")) for b in range(0x40, 0x100) if b != 0x7F) + "]){2,}"), "mac_roman", "cp932"),
     ("cyrillic", re.compile("[À-ÿ¨¸]{5,}"), "cp1252", "cp1251"),
     ("cyrillic koi", re.compile("[À-ÿ£³]{5,}"), "cp1252", "koi8_r"),
@@ -200,6 +229,14 @@ _RUNS = [
 ]
 
 
+#: The same for short runs, which only count beside such a run.
+_SHORT = [
+    ("cyrillic", re.compile("[À-ÿ¨¸]+"), "cp1252", "cp1251"),
+    ("cyrillic", re.compile("[À-ÿ£³]+"), "cp1252", "koi8_r"),
+    ("han", re.compile("(?:[\x81-\xfeŒœŠšŽžŸƒˆ˜–—‘’‚“”„†‡•…‰‹›€™][@-~\x80-\xfeŒœŠšŽžŸƒˆ˜–—‘’‚“”„†‡•…‰‹›€™])+"), "cp1252", "gbk"),
+]
+
+
 def _back(run: str, codec: str) -> bytes | None:
     if codec == "cp1252":
         back = _single(codec)[0]
@@ -210,7 +247,7 @@ def _back(run: str, codec: str) -> bytes | None:
         return None
 
 
-_KANA_LEAD = re.compile("[‚ƒÇÉ]")
+_KANA_LEAD = re.compile("[‚ƒÇÉ\x82\x83]")
 
 
 @functools.cache
@@ -251,7 +288,29 @@ def _run_spans(text: str) -> list[tuple[int, int, str]]:
                     sure = len(now) >= 2 and sum(map(_written, now)) >= 0.6 * len(now) and sum("一" <= c <= "鿿" for c in now) >= 2
                 if sure:
                     out.append((m.start(), m.start() + len(piece), now))
+                    # a line that the same pair of encodings reads as a whole is garbled as a whole
+                    a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+                    b = b if b >= 0 else len(text)
+                    if not kind.startswith("cyrillic") and (data := _back(text[a:b], codec)) is not None:
+                        try:
+                            now = data.decode(target)
+                        except UnicodeDecodeError:
+                            break
+                        if sum(c.isascii() or _written(c) for c in now) >= 0.9 * len(now):
+                            out.append((a, b, now))
                     break
+    for kind, letters, codec, target in _SHORT if out else ():
+        more = []
+        for m in letters.finditer(text):
+            if (data := _back(m.group(), codec)) is not None:
+                try:
+                    now = data.decode(target)
+                except UnicodeDecodeError:
+                    continue
+                if all("а" <= c.lower() <= "я" or c in "Ёё" for c in now) if kind == "cyrillic" else all(map(_written, now)):
+                    more.append((m.start(), m.end(), now))
+        sure = [x for x in out if _back(text[x[0] : x[1]], codec) is not None and _back(text[x[0] : x[1]], codec).decode(target, "replace") == x[2]]
+        out += _beside(text, sure, more)
     return out
 
 
@@ -343,7 +402,25 @@ def _swapped_spans(text: str) -> list[tuple[int, int, str]]:
                 tries.append((_cost(now), now))
         if tries and min(tries)[0] + (0 if mixed else 4) < _cost(word):
             out.append((m.start(), m.end(), min(tries)[1]))
-    return out
+    if not out:
+        return out
+    extended = []
+    for a, b in (("cp1251", "koi8_r"), ("koi8_r", "cp1251")):
+        sure = [x for x in out if _recoded(text[x[0] : x[1]], a, b) == x[2]]
+        more = [(m.start(), m.end(), now) for m in _WORDS.finditer(text) if (now := _recoded(m.group(), a, b)) and (now.islower() or now[1:].islower() and m.group()[1:].isupper())]
+        extended += _beside(text, sure, more)
+    return extended
+
+
+_WORDS = re.compile("[А-Яа-яЁё]+")
+
+
+def _recoded(word: str, codec: str, target: str) -> str | None:
+    try:
+        now = word.encode(codec).decode(target)
+    except UnicodeError:
+        return None
+    return now if all("а" <= c <= "я" or c == "ё" for c in now.lower()) else None
 
 
 _CYRILLIC = re.compile("[А-ЯЁ]{3}")
@@ -406,7 +483,7 @@ def _odd() -> re.Pattern:
 def _cluster() -> re.Pattern:
     """Three neighbouring signs of an upper half that are neither Cyrillic nor
     usual punctuation."""
-    upper = {chr(c) for codec in SINGLE for c in _single(codec)[0]}
+    upper = {chr(c) for codec in SINGLE[:8] for c in _single(codec)[0]}
     upper -= {chr(n) for n in range(0x400, 0x460)} | set("\xa0«»°·…’‘“”„–—•‹›™©®§№")
     return re.compile("[" + "".join(map(re.escape, sorted(upper))) + "]{3}")
 

@@ -20,6 +20,10 @@ UNION ALL SELECT 'EvidenceChunk.text', CAST(ref_id AS BIGINT), chunk_id, text FR
 UNION ALL SELECT 'Document.text', doc_id, -1, text FROM documents) JOIN size_limits USING (field) WHERE unit = 'char' AND length(t) > max_size
 """,
     "p10_canonical": f"SELECT doc_id, {form_sql('text')} AS canonical FROM documents",
+    "p10_classes": f"""
+WITH f AS (SELECT DISTINCT doc_id, text, {form_sql('text')} AS form FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, md5(form) AS look, md5(text) AS spelling FROM f WHERE regexp_matches(form, '[^\\s]'))
+SELECT DISTINCT doc_id, look, spelling FROM k WHERE look IN (SELECT look FROM k GROUP BY look HAVING count(DISTINCT spelling) > 1)
+""",
     "p10_found": f"""
 WITH f AS (SELECT DISTINCT doc_id, text, {form_sql('text')} AS look FROM documents WHERE text IS NOT NULL)
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text WHERE regexp_matches(a.look, '[^\\s]')

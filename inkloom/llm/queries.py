@@ -134,6 +134,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose look has several spellings, with their class: p10_found folded."""
+    return lookalike.lookalike_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "canonical")
 

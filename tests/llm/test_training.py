@@ -97,7 +97,7 @@ def test_packing_documents(spark):
 
 
 def test_lookalikes(spark):
-    pairs = [("Ｖｅｌｍｏｎｔ ｶﾞ", "Velmont ガ"), ("Café ﬁn", "Café fin"), ("оpen​", "open"), ("a　b c", "a b c"), ("⼀更", "一更")]
+    pairs = [("Ｖｅｌｍｏｎｔ ｶﾞ", "Velmont ガ"), ("Café ﬁn", "Café fin"), ("оpen​", "open"), ("a　b c", "a b c"), ("⼀更", "一更"), ("ρaper օn Ꮯat ѵiew", "paper on Cat view")]
     data = [(2 * i, a) for i, (a, b) in enumerate(pairs)] + [(2 * i + 1, b) for i, (a, b) in enumerate(pairs)]
     data += [(100, "x²"), (101, "x2"), (102, "Cafe"), (103, "Café"), (104, "ABC"), (105, "abc"), (106, None), (107, ""), (108, " "), (109, "​"), (110, "same"), (111, "same"), (112, "👩‍🔧"), (113, "👩🔧"), (0, pairs[0][0])]
     docs = spark.createDataFrame([(*r, "x", "y") for r in data], "doc_id long, text string, look string, canonical string")
@@ -106,6 +106,26 @@ def test_lookalikes(spark):
     forms = {r.doc_id: r.canonical for r in lookalike.canonical_texts(docs).collect()}
     assert forms[106] is None and forms[107] == "" and forms[0] == forms[1] == "Velmont ガ"
     assert lookalike.lookalike_pairs(docs.where("false")).count() == 0
+    classes = lookalike.lookalike_classes(docs).collect()
+    assert {r.doc_id for r in classes} == set(range(2 * len(pairs))) and len({r.look for r in classes}) == len(pairs)
+
+
+def test_forms_against_plain_python(spark):
+    """The form of whole documents, worked out again from the Unicode data."""
+    import os
+    import unicodedata
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    one, to, longer = lookalike.tables()
+    table = {ord(a): b for a, b in zip(one, to)} | {ord(a): b for a, b in longer.items()}
+    keep = lambda c: unicodedata.category(c) not in ("Cf", "Cc") and not 0xFE00 <= ord(c) <= 0xFE0F or c in "\n\t\x0b\x0c\r\x85"
+    for r in lookalike.canonical_texts(spark.read.parquet(path)).collect():
+        if r.text is not None and "\u200d" not in r.text:
+            plain = unicodedata.normalize("NFC", r.text.replace("\r\n", "\n"))
+            want = unicodedata.normalize("NFC", "".join(table.get(ord(c), c) for c in plain if keep(c)))
+            assert r.canonical == want
 
 
 # ------------------------------------------------------------------ encoding
@@ -131,6 +151,23 @@ def test_garbled_text_is_restored(text, written, read_as):
     assert mojibake.restore(bad) == text
 
 
+ROUND = ["Die Prüfung der Größen läuft über drei Tage – „ohne Störung“.", "La qualité des données dépend d'un décodage précis, à vérifier.", "Проверка данных идёт в три этапа, а затем снова с начала.", "系统会在三毫秒内切换到备用路径，并核对数据。", "データの検証は三つの段階で行われ、記録される。", "데이터 품질은 올바른 인코딩에 달려 있다."]
+
+
+@pytest.mark.parametrize("read_as,times", [*((c, 1) for c in ("latin-1", "mac_roman", "cp1251", "koi8_r", "cp437", "cp850", "cp866", "cp1253", "mac_cyrillic")), ("latin-1", 5)])
+def test_utf8_comes_back_whole(read_as, times):
+    for text in ROUND:
+        bad = text
+        try:
+            for _ in range(times):
+                bad = bad.encode().decode(read_as)
+        except UnicodeDecodeError:
+            continue
+        if len(bad) < 20000:
+            assert mojibake.is_garbled(bad), text
+            assert mojibake.restore(bad) == text
+
+
 def test_garbled_ids(spark):
     twice = "会员服务".encode().decode("latin-1").encode().decode("latin-1")
     data = [(1, None), (2, ""), (3, "fine"), (4, "Ors�ne"), (4, "fine"), (5, twice), (5, twice)]
