@@ -1,17 +1,19 @@
 """Grouping records into similarity clusters.
 
 The views of a record are brought to unit length and put side by side,
-standardised and reduced to their main axes; moments and axes cover all rows.  A
+standardised and each reduced to its main axes; moments and axes cover all rows.  A
 Gaussian mixture with regularised covariances is fitted by expectation
 maximisation: started on a bounded sample with many components, of which those
 are joined whose union lowers the Bayesian information criterion, then run over
 all rows, each iteration adding up sufficient statistics in two levels.  The rows
 that no component holds are cut into bounded blocks of rows near each other and
-fitted in the same way, their components added by their statistics, until the rows
-left over yield no more; so a group is found however small its share of the table.  A record
-belongs to its likeliest component if most of its views agree in direction with
-that component's; components whose views agree are one group.  A group's members
-of highest density represent it.
+fitted in the same way, at last started at their densest rows, their components
+added by their statistics, until the rows left over yield no more; so a group is
+found however small its share of the table.  A component has density only where
+most views of a record agree with its direction; a record belongs to the component
+of greatest posterior, in which a view may also be a stray one, and to none where no
+component has density.  Components
+whose views agree are one group.  A group's members of highest density represent it.
 
 Defined results: null, zero and wrongly long vectors are missing views; a record
 without a view, or that resembles no group, has no group (null); a group that only
@@ -45,7 +47,10 @@ START = 128
 #: Rows of posterior shares held at a time.
 ROWS = 2048
 ITERATIONS = 6
-AXES = 32
+#: Axes of a view, at most.
+AXES = 12
+#: Share of views that are not their record's own.
+STRAY = 0.1
 EXPLAINED = 0.95
 #: Covariances are diagonal along the axes; added to them, as a share of the mean variance.
 RIDGE = 0.05
@@ -119,11 +124,30 @@ def _add_up(df: DataFrame, function, levels: int = 2) -> list[np.ndarray] | None
 
 @dataclass
 class Space:
-    """Standardisation and main axes."""
+    """Standardisation and main axes, each of one view; the axes of a view are a slice
+    of ``cuts``, ``spread`` is the variance of all rows along each."""
 
     mean: np.ndarray
     scale: np.ndarray
     axes: np.ndarray
+    cuts: list[slice]
+    spread: np.ndarray
+
+    @classmethod
+    def of(cls, mean: np.ndarray, cov: np.ndarray, sizes: list[int], most: int, explained: float) -> Space:
+        scale = np.sqrt(np.maximum(np.diag(cov), 1e-6))
+        axes, cuts, spread, at = [], [], [], 0
+        for size in sizes:
+            value, vector = np.linalg.eigh((cov / np.outer(scale, scale))[at : at + size, at : at + size])
+            value, vector = np.maximum(value[::-1], 0), vector[:, ::-1]
+            d = int(min(most, size, np.searchsorted(np.cumsum(value) / max(value.sum(), 1e-12), explained) + 1))
+            own = np.zeros((len(mean), d))
+            own[at : at + size] = vector[:, :d]
+            cuts.append(slice(sum(a.shape[1] for a in axes), sum(a.shape[1] for a in axes) + d))
+            axes.append(own)
+            spread.append(value[:d])
+            at += size
+        return cls(mean, scale, np.concatenate(axes, 1), cuts, np.maximum(np.concatenate(spread), 1e-6))
 
     def reduce(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.axes
@@ -139,9 +163,23 @@ class Mixture:
 
     def log_density(self, z: np.ndarray) -> np.ndarray:
         """Log of weight x density: rows by components."""
-        p = 1 / self.variance
-        square = (z * z) @ p.T - 2 * z @ (self.mean * p).T + (self.mean**2 * p).sum(1)
-        return np.log(self.weight) - 0.5 * (square + np.log(self.variance).sum(1) + z.shape[1] * np.log(2 * np.pi))
+        return np.log(self.weight) + _log_normal(z, self.mean, self.variance)
+
+    def robust(self, z: np.ndarray, space: Space) -> np.ndarray:
+        """The same with each view either the component's or, with probability STRAY,
+        any: a view that is missing or belongs to another record outweighs no other."""
+        log = np.log(self.weight) + np.zeros((len(z), 1))
+        for c in space.cuts:
+            own = _log_normal(z[:, c], self.mean[:, c], self.variance[:, c])
+            other = _log_normal(z[:, c], np.zeros((1, c.stop - c.start)), space.spread[None, c])
+            log = log + np.logaddexp(np.log(1 - STRAY) + own, np.log(STRAY) + other)
+        return log
+
+
+def _log_normal(z: np.ndarray, mean: np.ndarray, variance: np.ndarray) -> np.ndarray:
+    p = 1 / variance
+    square = (z * z) @ p.T - 2 * z @ (mean * p).T + (mean**2 * p).sum(1)
+    return -0.5 * (square + np.log(variance).sum(1) + z.shape[1] * np.log(2 * np.pi))
 
 
 def _posterior(log: np.ndarray) -> tuple[np.ndarray, float]:
@@ -288,12 +326,10 @@ def agreement(x: np.ndarray, directions: np.ndarray, sizes: list[int], agree: fl
 
 
 def likeliest(x: np.ndarray, log: np.ndarray, directions: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """Component of each row among those its views agree with, or -1: the one that
-    most views agree with, of several the likeliest."""
-    good, ok = agreement(x, directions, sizes)
-    good = np.where(ok, good, -1)
-    first = (good == good.max(1, keepdims=True)) & ok
-    return np.where(ok.any(1), np.where(first, log, -np.inf).argmax(1), -1)
+    """Component of greatest posterior of each row, or -1: a component has density only
+    where most views of a row agree with its direction."""
+    ok = agreement(x, directions, sizes)[1]
+    return np.where(ok.any(1), np.where(ok, log, -np.inf).argmax(1), -1)
 
 
 def _unit_views(x: np.ndarray, sizes: list[int]) -> np.ndarray:
@@ -316,6 +352,40 @@ def cohesive(direct: np.ndarray, there: np.ndarray, sizes: list[int], least: flo
     return 2 * good > len(sizes)
 
 
+def _near(x: np.ndarray, rows: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Which of ``x`` each of ``rows`` agrees with in all views but one, two at least."""
+    good, _ = agreement(rows, x, sizes)
+    return good >= np.maximum(2, np.minimum(len(sizes) - 1, _present(rows, sizes).sum(1)))[:, None]
+
+
+def seeds(x: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Start labels at the densest rows: each row that others agree with, most of them
+    first, takes those not taken yet; -1 for the rest.  Finds groups far too small for
+    the criterion or a start by distance."""
+    many = np.concatenate([_near(x, x[at : at + ROWS], sizes).sum(1) for at in range(0, len(x), ROWS)])
+    label, k = np.full(len(x), -1), 0
+    for i in np.argsort(-many, kind="stable"):
+        if many[i] < LEAST_MEMBERS:
+            break
+        if label[i] < 0:
+            own = np.flatnonzero(_near(x, x[i : i + 1], sizes)[0] & (label < 0))
+            if len(own) >= LEAST_MEMBERS:
+                label[own], k = k, k + 1
+    return label
+
+
+def fit_seeds(x: np.ndarray, z: np.ndarray, ridge: float, sizes: list[int]) -> Mixture | None:
+    """Mixture of a component for each of ``seeds`` and one for all other rows."""
+    label = seeds(x, sizes)
+    if label.max(initial=-1) < 0:
+        return None
+    label = np.where(label < 0, label.max() + 1, label)
+    n = np.bincount(label)
+    order = np.argsort(label, kind="stable")
+    first = np.cumsum(n) - n
+    return _maximise(n.astype(float), np.add.reduceat(z[order], first), np.add.reduceat(z[order] ** 2, first), ridge)
+
+
 def _present(x: np.ndarray, sizes: list[int]) -> np.ndarray:
     ends = np.cumsum(sizes)
     return np.stack([np.abs(x[:, e - n : e]).sum(1) > 0 for n, e in zip(sizes, ends)], 1).astype(float)
@@ -337,13 +407,15 @@ def same_direction(directions: np.ndarray, sizes: list[int], agree: float = 0.8)
 def components(x: np.ndarray, space: Space, ridge: float, sizes: list[int], start: int = START, iterations: int = ITERATIONS, seed: int = 1) -> list[np.ndarray]:
     """Statistics of the cohesive components of the rows ``x`` as sums over the rows
     that each holds: number, ``_statistics``, sums of unit views, number of each view."""
-    parts, left = [], np.ones(len(x), bool)
+    parts, left, seeded = [], np.ones(len(x), bool), False
     for attempt in itertools.count():  # what a mixture leaves over may hold groups that it missed
-        if left.sum() < 2 * LEAST_MEMBERS:
+        if left.sum() < LEAST_MEMBERS:
             break
         own, here = x[left], _present(x[left], sizes)
         z = space.reduce(own)
-        mix = fit_sample(z, ridge, start, iterations, seed=seed + attempt)
+        mix = fit_seeds(own, z, ridge, sizes) if seeded else fit_sample(z, ridge, start, iterations, seed=seed + attempt)
+        if mix is None:
+            break
         cut = [slice(at, at + ROWS) for at in range(0, len(own), ROWS)]
         direct, there = 0, 0
         for c in cut:
@@ -351,10 +423,13 @@ def components(x: np.ndarray, space: Space, ridge: float, sizes: list[int], star
             direct, there = direct + r.T @ own[c], there + r.T @ here[c]
         directions = _unit_views(direct, sizes)
         directions[~cohesive(direct, there, sizes)] = 0
-        best = np.concatenate([likeliest(own[c], mix.log_density(z[c]), directions, sizes) for c in cut])
+        best = np.concatenate([likeliest(own[c], mix.robust(z[c], space), directions, sizes) for c in cut])
         taken = np.flatnonzero(np.bincount(best[best >= 0], minlength=len(directions)) >= LEAST_MEMBERS)
         if not len(taken):
-            break
+            if seeded:
+                break
+            seeded = True  # nothing more by distance and criterion: try the densest rows
+            continue
         ok = np.isin(best, taken)
         sums = []
         for c in cut:
@@ -400,12 +475,8 @@ def groups(bank: DataFrame, views: tuple[str, ...] = VIEWS, key: str = "tuple_id
     n, s, q = _add_up(rows.select("x"), moments)
     mean = s / n
     cov = q / n - np.outer(mean, mean)
-    scale = np.sqrt(np.maximum(np.diag(cov), 1e-6))
-    value, vector = np.linalg.eigh(cov / np.outer(scale, scale))
-    order = np.argsort(value)[::-1]
-    d = int(min(AXES, np.searchsorted(np.cumsum(value[order]) / value.sum(), EXPLAINED) + 1))
-    space = Space(mean, scale, vector[:, order[:d]])
-    ridge = RIDGE * float(value[order[:d]].mean())
+    space = Space.of(mean, cov, sizes, AXES, EXPLAINED)
+    ridge = RIDGE * float(space.spread.mean())
 
     picked = bounded_sample(rows, key, sample).select("x").toPandas()
     stats = components(np.stack(picked.x.to_list()).astype(np.float64), space, ridge, sizes, start, iterations)
@@ -425,7 +496,7 @@ def groups(bank: DataFrame, views: tuple[str, ...] = VIEWS, key: str = "tuple_id
             def expect(b: pa.RecordBatch) -> list[np.ndarray]:
                 x = plain(b)
                 z = space.reduce(x)
-                log = np.where(agreement(x, directions, sizes)[1], mix.log_density(z), -np.inf)
+                log = np.where(agreement(x, directions, sizes)[1], mix.robust(z, space), -np.inf)
                 inside = np.isfinite(log).any(1)
                 r, _ = _posterior(log[inside])
                 return [*_statistics(z[inside], r), r.T @ x[inside], r.T @ _present(x[inside], sizes)]
@@ -494,7 +565,7 @@ def groups(bank: DataFrame, views: tuple[str, ...] = VIEWS, key: str = "tuple_id
         mix, directions, group = last
         for b in batches:
             x = plain(b)
-            log = mix.log_density(space.reduce(x))
+            log = mix.robust(space.reduce(x), space)
             best = likeliest(x, log, directions, sizes)
             g = pa.array(np.where(best >= 0, group[best], -1).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(key), g, pa.array(log[np.arange(len(x)), best])], [key, "g", "log_density"])

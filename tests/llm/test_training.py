@@ -457,14 +457,34 @@ def test_more_groups_than_a_fit_begins_with():
     centres = clusters._unit_views(rng.normal(size=(many, 32)), sizes)
     truth = np.repeat(np.arange(many), 14)
     x = clusters._unit_views(centres[truth] + rng.normal(size=(len(truth), 32)) * 0.05, sizes)
-    value, vector = np.linalg.eigh(np.cov(x.T))
-    space = clusters.Space(x.mean(0), np.ones(32), vector)
-    n, _, _, direct, _ = clusters.components(x, space, clusters.RIDGE * float(value.mean()), sizes, start=8)
+    space = clusters.Space.of(x.mean(0), np.cov(x.T), sizes, 16, 1.0)
+    n, _, _, direct, _ = clusters.components(x, space, clusters.RIDGE * float(space.spread.mean()), sizes, start=8)
     group = clusters.same_direction(clusters._unit_views(direct, sizes), sizes)
     near = (clusters._unit_views(direct, sizes) @ centres.T).argmax(1)
     assert len(set(group)) == many and set(near) == set(range(many)) and n.sum() == len(x)
 
 
+@pytest.mark.parametrize("plan", [[15] * 400, [250] * 60 + [4] * 30 + [2] * 10])
+def test_groups_of_any_number_and_size(spark, plan):
+    """Hundreds of groups, and very small ones beside large ones: recovered whole."""
+    rng = np.random.default_rng(1)
+    sizes, data, truth = (32, 16, 32, 24), [], []
+    for g, n in enumerate(plan):
+        centres = [rng.normal(size=d) for d in sizes]
+        for _ in range(n):
+            data.append((len(data), *[(c / np.linalg.norm(c) + rng.normal(size=len(c)) * 0.3 / np.sqrt(len(c))).tolist() for c in centres]))
+            truth.append(g)
+    for _ in range(40):
+        data.append((len(data), *[rng.normal(size=d).tolist() for d in sizes]))
+        truth.append(-1)
+    df = spark.createDataFrame(data, "tuple_id long, vs_emb array<float>, sents_graph_emb array<float>, summarized_emb array<float>, event_emb array<float>")
+    got = {r.tuple_id: r.group_id for r in clusters.groups(df, sample=5000).collect()}
+    first = {g: truth.index(g) for g in set(truth) - {-1}}
+    whole = sum(all(got[i] == first[g] for i, x in enumerate(truth) if x == g) for g in first)
+    assert whole >= 0.95 * len(plan)
+    assert sum(got[i] is not None for i, x in enumerate(truth) if x < 0) <= 2
+
+
 def test_kinds_of_lines():
     kinds = {"[Home](/a1)": pages.NAV, "Video | Home | News": pages.BAR, "© 2020 Velmont Lab": pages.FOO, "Accept all | Reject all": pages.CON, "相关阅读": pages.REL, "相关阅读: 标题": pages.INL, "Ein ganzer Satz steht hier.": pages.PROSE, "404 Not Found": pages.BAD, "Posted by A on 2020-01-01": pages.BY}
     for line, k in kinds.items():
