@@ -165,6 +165,11 @@ class Mixture:
         """Log of weight x density: rows by components."""
         return np.log(self.weight) + _log_normal(z, self.mean, self.variance)
 
+    def own(self, z: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Log of weight x density of each row under its own component."""
+        mean, variance = self.mean[which], self.variance[which]
+        return np.log(self.weight)[which] - 0.5 * ((z - mean) ** 2 / variance + np.log(2 * np.pi * variance)).sum(1)
+
     def robust(self, z: np.ndarray, space: Space) -> np.ndarray:
         """The same with each view either the component's or, with probability STRAY,
         any: a view that is missing or belongs to another record outweighs no other."""
@@ -325,11 +330,21 @@ def agreement(x: np.ndarray, directions: np.ndarray, sizes: list[int], agree: fl
     return good, (good >= np.minimum(2, there)) & (2 * good >= there) & (there > 0)
 
 
-def likeliest(x: np.ndarray, log: np.ndarray, directions: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """Component of greatest posterior of each row, or -1: a component has density only
-    where most views of a row agree with its direction."""
+def shares(x: np.ndarray, z: np.ndarray, mix: Mixture, space: Space, directions: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Posterior of each row over the components; a component has density only where
+    most views of a row agree with its direction, so rows of one such component need
+    no density worked out."""
     ok = agreement(x, directions, sizes)[1]
-    return np.where(ok.any(1), np.where(ok, log, -np.inf).argmax(1), -1)
+    out = ok.astype(float)
+    several = ok.sum(1) > 1
+    if several.any():
+        out[several] = _posterior(np.where(ok[several], mix.robust(z[several], space), -np.inf))[0]
+    return out
+
+
+def likeliest(posterior: np.ndarray) -> np.ndarray:
+    """Component of greatest posterior of each row, or -1."""
+    return np.where(posterior.any(1), posterior.argmax(1), -1)
 
 
 def _unit_views(x: np.ndarray, sizes: list[int]) -> np.ndarray:
@@ -423,7 +438,7 @@ def components(x: np.ndarray, space: Space, ridge: float, sizes: list[int], star
             direct, there = direct + r.T @ own[c], there + r.T @ here[c]
         directions = _unit_views(direct, sizes)
         directions[~cohesive(direct, there, sizes)] = 0
-        best = np.concatenate([likeliest(own[c], mix.robust(z[c], space), directions, sizes) for c in cut])
+        best = np.concatenate([likeliest(shares(own[c], z[c], mix, space, directions, sizes)) for c in cut])
         taken = np.flatnonzero(np.bincount(best[best >= 0], minlength=len(directions)) >= LEAST_MEMBERS)
         if not len(taken):
             if seeded:
@@ -496,9 +511,9 @@ def groups(bank: DataFrame, views: tuple[str, ...] = VIEWS, key: str = "tuple_id
             def expect(b: pa.RecordBatch) -> list[np.ndarray]:
                 x = plain(b)
                 z = space.reduce(x)
-                log = np.where(agreement(x, directions, sizes)[1], mix.robust(z, space), -np.inf)
-                inside = np.isfinite(log).any(1)
-                r, _ = _posterior(log[inside])
+                r = shares(x, z, mix, space, directions, sizes)
+                inside = r.any(1)
+                r = r[inside]
                 return [*_statistics(z[inside], r), r.T @ x[inside], r.T @ _present(x[inside], sizes)]
 
             stats = _add_up(rows.select("x"), expect)
@@ -565,10 +580,10 @@ def groups(bank: DataFrame, views: tuple[str, ...] = VIEWS, key: str = "tuple_id
         mix, directions, group = last
         for b in batches:
             x = plain(b)
-            log = mix.robust(space.reduce(x), space)
-            best = likeliest(x, log, directions, sizes)
+            z = space.reduce(x)
+            best = likeliest(shares(x, z, mix, space, directions, sizes))
             g = pa.array(np.where(best >= 0, group[best], -1).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(key), g, pa.array(log[np.arange(len(x)), best])], [key, "g", "log_density"])
+            yield pa.RecordBatch.from_arrays([b.column(key), g, pa.array(mix.own(z, best))], [key, "g", "log_density"])
 
     assigned = written(rows.mapInArrow(assign, f"{key} {kind}, g int, log_density double"), "assigned")
     least = assigned.where("g >= 0").groupBy("g").agg(F.min(key).alias("group_id"), F.count("*").alias("n")).where(F.col("n") >= LEAST_MEMBERS).drop("n")
