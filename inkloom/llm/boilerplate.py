@@ -36,8 +36,6 @@ ZONES = 8
 IS_CONTENT = np.array([0, 1, 0, 1, 0, 0, 0, 0], bool)
 _STRONG = (pages.PROSE, pages.LONG, pages.TABLE, pages.HEAD)
 _CHROME = (pages.SER, pages.INL, pages.FOO, pages.SCR, pages.CON, pages.BY, pages.NAV, pages.ITEM, pages.CRUMB, pages.BAR, pages.REL)
-#: Kinds that no chrome has: their lines are content wherever they stand.
-_NEVER = (pages.LONG, pages.TABLE)
 #: A line's label agrees with its run's zone with this probability.
 AGREE = 0.95
 LEAST_SEEN = 3
@@ -106,7 +104,7 @@ class Model:
     def __init__(self, labelled: list[tuple[Page, list[int]]]):
         self.start = np.ones(ZONES)
         self.step = np.zeros((2, ZONES, ZONES))
-        self.emit = np.ones((ZONES, pages.KINDS)) * 0.2
+        self.emit = np.ones((ZONES, pages.KINDS)) * 0.01
         seen: dict[int, list[int]] = {}
         self.trained = bool(labelled)
         for i, (page, zone) in enumerate(labelled):
@@ -167,7 +165,7 @@ class Model:
         run = np.fromiter((g for s in spines for g in range(len(s))), np.int64, len(begin))
         # messages of the lines to their run: sum over a line's label of agreement x evidence
         agree = np.where(IS_CONTENT[:, None] == np.array([False, True]), AGREE, 1 - AGREE)  # zone x label
-        odds = np.where(np.isin(kinds, _NEVER), -5.0, self.chrome_odds(keys))
+        odds = self.chrome_odds(keys)
         evidence = np.stack([1 / (1 + np.exp(-odds)), 1 / (1 + np.exp(odds))], 1)
         message = np.log(evidence @ agree.T)
         local = np.zeros((n, width, ZONES))

@@ -14,13 +14,13 @@ import ahocorasick
 
 # Cue words, as they stand in lower case with digits as 0.  ^ and $
 # bind a cue to the start and end of a line.
-BYLINE = ["^作者：", "^来源：", "^文 / ", "^文：", "^文/", "^记者", "^编辑：", "^责任编辑", "发布时间：0", "^posted by ", "^written by ", "^автор: ", "^लेखक: ", "^0-0-0 |", "^0-0-0 ｜", "^text: "]
+BYLINE = ["^作者：", "^来源：", "^文 / ", "^文：", "^文/", "^记者", "^编辑：", "^责任编辑", "发布时间：0", "^posted by ", "^written by ", "^автор: ", "^लेखक: ", "^0-0-0 |", "^0-0-0 ｜", "^text: ", "^escrito por ", "^publicado por ", "^scritto da ", "^redazione ", "^글쓴이", "^기자 "]
 SERIES = ["^编者按", "^本系列", "^系列第0", "^series note", "^series 0", "^série 0", "^reihe 0", "^serie 0", "^серия 0", "^цикл 0", "^連載", "^シリーズ", "^特集", "^श्रृंखला", "^शृंखला", "^लेखमाला"]
-RELATED = ["相关阅读", "猜你喜欢", "热门文章", "延伸阅读", "推荐阅读", "you may also like", "most read", "related articles", "les plus lus", "à lire aussi", "mehr zum thema", "meistgelesen", "関連記事", "人気の記事", "और पढ़ें", "सबसे ज़्यादा पढ़े गए", "लोकप्रिय लेख", "संबंधित लेख", "читайте также", "популярное", "по теме", "самое читаемое"]
-INLINE = ["^广告", "^sponsored", "^publicité", "^anzeige", "^реклама", "^विज्ञापन", "^広告", "立即咨询$", "^资料下载：", "^get the paper", "^télécharger", "^herunterladen", "^whitepaper", "^скачать", "^डाउनलोड करें", "^資料ダウンロード", "（pdf，0", "(pdf, 0", "^标签：", "^tags:", "^mots-clés", "^schlagwörter", "^теги", "^метки", "^टैग", "^タグ", "^上一篇", "^下一篇", "^previous:", "^next:", "^précédent", "^suivant :", "^zurück:", "^weiter:", "^назад:", "^далее:", "^पिछला:", "^अगला:", "^前の記事", "^次の記事", "^前へ", "^次へ", "^网友", "^reader no. 0", "^lecteur n", "^leser nr", "^читатель", "^読者", "^पाठक", "[0楼]", "^您的位置", "^you are here", "^vous êtes ici", "^sie sind hier", "^вы здесь", "^現在地", "^आप यहाँ"]
-FOOT = ["服务热线", "书面授权", "法律声明", "收藏 0", "转发 0", "备案号", "转载请注明", "版权所有", "点个赞吧", "已有0人点赞", "^觉得有用", "扫码关注", "^©", "^(c) 0", "the views above are those", "^分享到", "reproduction without written", "^shared 0", "rights reserved", "legal notice", "周报，每周0篇", "^sign up for the", "投资建议", "^share this", "^share:", "^partag", "newsroom, desk", "terms of use apply", "^follow ", "rate this page", "tous droits", "reproduction interdite", "mentions légales", "s'abonner à", "newsletter von", "nachdruck nur", "alle rechte", "meinung des autors", "^teilen", "artikel teilen", "0 mal geteilt", "impressum", "datenschutz", "この記事をシェア", "^いいね 0", "会社概要", "無断転載", "メールマガジン", "個人の見解", "поделиться", "подписаться на", "все права", "перепечатка", "साझा करें", "सर्वाधिकार", "न्यूज़लेटर", "गोपनीयता"]
-SCRIPTS = ["请启用 javascript 以获得", "请启用javascript以获得", "please enable javascript for", "^veuillez activer javascript$", "bitte javascript aktivieren", "^javascript を有効にしてください", "^включите javascript", "कृपया javascript चालू"]
-CONSENT = ["本站使用 cookie", "接受全部 cookie", "仅限必要", "保存信息，可随时", "we use cookies", "accept all |", "reject all", "your privacy matters", "manage your choices", "tout accepter", "tout refuser", "dépose des cookies", "seite verwendet cookies", "alle akzeptieren", "alle ablehnen", "クッキーを使用します", "すべて許可", "файлы cookie", "использует cookie", "принять вс", "вы соглашаетесь", "कुकी", "सभी स्वीकार", "继续访问即表示同意", "by browsing on you agree", "poursuivre vaut accord", "mit der nutzung stimmen sie zu", "閲覧を続けると同意", "продолжая", "आगे बढ़ने पर"]
+RELATED = ["相关阅读", "猜你喜欢", "热门文章", "延伸阅读", "推荐阅读", "you may also like", "most read", "related articles", "les plus lus", "à lire aussi", "mehr zum thema", "meistgelesen", "関連記事", "人気の記事", "और पढ़ें", "सबसे ज़्यादा पढ़े गए", "लोकप्रिय लेख", "संबंधित लेख", "читайте также", "популярное", "по теме", "самое читаемое", "también te puede interesar", "artículos relacionados", "lo más leído", "potrebbe interessarti", "articoli correlati", "i più letti", "leia também", "artigos relacionados", "mais lidas", "관련 기사", "많이 본 기사", "추천 기사"]
+INLINE = ["^广告", "^sponsored", "^publicité", "^anzeige", "^реклама", "^विज्ञापन", "^広告", "立即咨询$", "^资料下载：", "^get the paper", "^télécharger", "^herunterladen", "^whitepaper", "^скачать", "^डाउनलोड करें", "^資料ダウンロード", "（pdf，0", "(pdf, 0", "^标签：", "^tags:", "^mots-clés", "^schlagwörter", "^теги", "^метки", "^टैग", "^タグ", "^上一篇", "^下一篇", "^previous:", "^next:", "^précédent", "^suivant :", "^zurück:", "^weiter:", "^назад:", "^далее:", "^पिछला:", "^अगला:", "^前の記事", "^次の記事", "^前へ", "^次へ", "^网友", "^reader no. 0", "^lecteur n", "^leser nr", "^читатель", "^読者", "^पाठक", "[0楼]", "^您的位置", "^you are here", "^vous êtes ici", "^sie sind hier", "^вы здесь", "^現在地", "^आप यहाँ", "^publicidad", "^patrocinado", "^pubblicità", "^publicidade", "^etiquetas:", "^tag:", "^anterior:", "^siguiente:", "^precedente:", "^successivo:", "^seguinte:", "^está aquí", "^sei qui", "^você está aqui", "^광고", "^태그", "^이전 글", "^다음 글"]
+FOOT = ["服务热线", "书面授权", "法律声明", "收藏 0", "转发 0", "备案号", "转载请注明", "版权所有", "点个赞吧", "已有0人点赞", "^觉得有用", "扫码关注", "^©", "^(c) 0", "the views above are those", "^分享到", "reproduction without written", "^shared 0", "rights reserved", "legal notice", "周报，每周0篇", "^sign up for the", "投资建议", "^share this", "^share:", "^partag", "newsroom, desk", "terms of use apply", "^follow ", "rate this page", "tous droits", "reproduction interdite", "mentions légales", "s'abonner à", "newsletter von", "nachdruck nur", "alle rechte", "meinung des autors", "^teilen", "artikel teilen", "0 mal geteilt", "impressum", "datenschutz", "この記事をシェア", "^いいね 0", "会社概要", "無断転載", "メールマガジン", "個人の見解", "поделиться", "подписаться на", "все права", "перепечатка", "साझा करें", "सर्वाधिकार", "न्यूज़लेटर", "गोपनीयता", "todos los derechos", "tutti i diritti", "todos os direitos", "모든 권리", "aviso legal", "note legali", "política de privacidad", "informativa sulla privacy", "política de privacidade", "개인정보", "무단 전재", "^suscríbete", "suscríbete hoy", "^iscriviti", "^assine ", "^inscreva-se", "뉴스레터", "^compartir", "^condividi", "^compartilh", "^공유", "boletín"]
+SCRIPTS = ["请启用 javascript 以获得", "请启用javascript以获得", "please enable javascript for", "^veuillez activer javascript$", "bitte javascript aktivieren", "^javascript を有効にしてください", "^включите javascript", "कृपया javascript चालू", "active javascript para", "attiva javascript per", "ative o javascript para"]
+CONSENT = ["本站使用 cookie", "接受全部 cookie", "仅限必要", "保存信息，可随时", "we use cookies", "accept all |", "reject all", "your privacy matters", "manage your choices", "tout accepter", "tout refuser", "dépose des cookies", "seite verwendet cookies", "alle akzeptieren", "alle ablehnen", "クッキーを使用します", "すべて許可", "файлы cookie", "использует cookie", "принять вс", "вы соглашаетесь", "कुकी", "सभी स्वीकार", "继续访问即表示同意", "by browsing on you agree", "poursuivre vaut accord", "mit der nutzung stimmen sie zu", "閲覧を続けると同意", "продолжая", "आगे बढ़ने पर", "utilizamos cookies", "usamos cookies", "aceptar todo", "rechazar todo", "utilizziamo i cookie", "accetta tutto", "rifiuta tutto", "aceitar tudo", "쿠키를 사용", "모두 수락"]
 FAILED = [
     # errors, blocks, logins, maintenance
     "^0 not found", "^0 bad gateway", "^0 service", "^0 forbidden", "^0 internal server error", "^0 gateway time", "^0 unauthorized", "^0 too many", "page you requested could not", "page not found", "link has gone missing", "was removed by its publisher", "^access denied", "do not have permission", "too many requests", "verify you are human", "checking your browser", "session expired", "sign in again", "sign in to continue", "log in to continue", "upstream timed out", "error establishing a database", "something went wrong", "down for maintenance", "under maintenance", "start page or contact", "^reference 0$", "^error 0$", '{"code": 0',

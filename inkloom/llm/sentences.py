@@ -20,9 +20,13 @@ from pyspark.sql import DataFrame, functions as F
 # are first brought to one control sign each, so that the patterns test single
 # bytes.  Lengths stay.
 DOT, END = "\ue000", "\ue001"
+# Signs of the Unicode property Sentence_Terminal that end a sentence
+# without a blank behind them, by script: Indic, Arabic, Armenian, Ethiopic, Burmese,
+# Khmer, Tibetan, Mongolian, Syriac, NKo, and other scripts of Asia and Africa.
+TERMINAL = "。！？｡．।॥؟۔։።፧፨။។៕།༎᠃᠉܀܁܂߹᥄᥅᪨᪩᪪᪫᭚᭛᭞᭟᰻᰼᱾᱿⸮꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫﹒﹖﹗"
 OPENED, CLOSED, HARD, LOW, HIGH, SOFT = "\x01", "\x02", "\x03", "\x05", "\x06", "\x04"
 #: (signs, the sign they are read as)
-CLASSES = [("«「『", OPENED), ("”»」』", CLOSED), ("„", LOW), ("“", HIGH), ("。！？｡．।॥؟", HARD), ("…⋯", SOFT), ("）】", ")"), ("（", "("), ("【", "["), (" 　 ", " "), ("：", ":"), ("\x01\x02\x03\x04\x05\x06\ue000\ue001", "\x7f")]
+CLASSES = [("«「『", OPENED), ("”»」』", CLOSED), ("„", LOW), ("“", HIGH), (TERMINAL, HARD), ("‼⁉⁈", "!"), ("⁇", "?"), ("…⋯", SOFT), ("）】", ")"), ("（", "("), ("【", "["), (" 　 ", " "), ("：", ":"), ("\x01\x02\x03\x04\x05\x06\ue000\ue001", "\x7f")]
 OPEN, CLOSE = OPENED + LOW + HIGH, CLOSED
 # Short forms whose dot never ends a sentence ...
 ALWAYS = "Mr|Mrs|Ms|Dr|Prof|Eng|St|Hr|Fr|Sr|Jr|cf|incl|vs|e\\.g|i\\.e|z\\. ?B|d\\. ?h|u\\. ?a|p\\. ex|bzw|ca|Ing|Dipl|Mio|Mrd|zzgl|ggf|vgl|Vgl|inkl|approx|env|Env|напр|см|См|им|ул|проф|акад|инж|डॉ|प्रो|श्री|उदा|z|d|т"

@@ -187,6 +187,11 @@ CASES = {
     "Am 731. Prüftag, z. B. heute. „Wer zahlt?“ fragten sie. Ende?! Ja": ["Am 731. Prüftag, z. B. heute.", "„Wer zahlt?“ fragten sie.", "Ende?!", "Ja"],
     "« Qui paiera ? » demandaient-ils. Env. 3 km ! Dès lors.": ["« Qui paiera ? » demandaient-ils.", "Env. 3 km !", "Dès lors."],
     "См. рис. 6. «Кто?» — спросили. Да.": ["См. рис. 6.", "«Кто?» — спросили.", "Да."],
+    "یہ پہلا جملہ ہے۔ یہ دوسرا ہے؟ تیسرا": ["یہ پہلا جملہ ہے۔", "یہ دوسرا ہے؟", "تیسرا"],
+    "Սա է։ Երկրորդ։": ["Սա է։", "Երկրորդ։"],
+    "ይህ ነው። ሁለተኛ።": ["ይህ ነው።", "ሁለተኛ።"],
+    "ဒါပါ။ဒုတိယ။": ["ဒါပါ။", "ဒုတိယ။"],
+    "Wow‼ Next⁇ End": ["Wow‼", "Next⁇", "End"],
     "यह वाक्य है। दूसरा वाक्य?": ["यह वाक्य है।", "दूसरा वाक्य?"],
     "1. Punkt eins\n\n  * Kopf \r\nEnd.As we go": ["1. Punkt eins", "* Kopf", "End.", "As we go"],
     "etc. See more. Tests ran 9 a.m. to 5 p.m. local time.": ["etc.", "See more.", "Tests ran 9 a.m. to 5 p.m. local time."],
@@ -372,7 +377,7 @@ def test_marginals_equal_enumeration():
     m = boilerplate.Model(labelled)
     p = boilerplate.read("[Home](/a1)\nTitel A\n\nEin Satz hier.\n© 2020 Velmont", "Titel A")
     spine = boilerplate.runs(p.kinds, p.gaps)
-    odds = np.where(np.isin(p.kinds, boilerplate._NEVER), -5.0, m.chrome_odds(np.array(p.keys)))
+    odds = m.chrome_odds(np.array(p.keys))
     e = np.stack([1 / (1 + np.exp(-odds)), 1 / (1 + np.exp(odds))], 1)
     total, content = 0.0, np.zeros(len(p.kinds))
     for zs in itertools.product(range(boilerplate.ZONES), repeat=len(spine)):
@@ -389,6 +394,15 @@ def test_marginals_equal_enumeration():
     assert np.allclose(m.marginals([p])[0], content / total)
 
 
+def test_a_language_without_training_pages():
+    labelled = [(p, boilerplate.zones(p.kinds)) for i in range(60) for p in [boilerplate.read(page(i), f"Titel {chr(65 + i % 20)}")]]
+    m = boilerplate.Model(labelled)
+    lines = ["Inicio | Noticias | Contacto", "Utilizamos cookies. Aceptar todo", "La nueva central del norte", "Escrito por Ana Ruiz, 2022-03-04", "", "La central abrió sus puertas este martes. Los vecinos esperan menos cortes.", "También te puede interesar", "* Otro artículo sobre nubes", "Suscríbete hoy a nuestro boletín.", "© 2021 Diario. Todos los derechos reservados."]
+    p = boilerplate.read("\n".join(lines), "La nueva central del norte")
+    kept = [lines[n - 1] for n, x in zip(p.numbers, m.marginals([p])[0]) if x >= 0.5]
+    assert kept == [lines[2], lines[5]]
+
+
 def test_main_content(spark):
     data = [(i, f"Titel {chr(65 + i % 20)}", page(i)) for i in range(60)] + [(90, None, None), (91, "x", ""), (92, None, page(1)), (0, "Titel A", page(0))]
     df = spark.createDataFrame([(*r, 1) for r in data], "k long, title string, t string, line_no int")
