@@ -1,40 +1,31 @@
-"""Evidence for items and claims (survey A27, A28, A34, F23, H3, J9, J17, J24, J26, J27, T8, T9, W16, W18).
+"""Evidence for items and claims (survey A28, F23, H3, J9, J17, J24, J26, T8, T9, W16).
 
-Greedy choices are plain functions over one claim, source or article, run per group
-in Arrow batches; what can be said by joins is."""
+All of it is said in columns: sentences of a text are an array, greedy choices are
+folds over a sorted array in the JVM, and texts meet over shared tokens."""
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .text import grams
+from .text import citation_ids, grams, normalize, sentence_parts, tokens
 
-_MARK = re.compile(r"\[\^\d+\]")
-_LATIN, _HAN = re.compile(r"[a-z][a-z0-9_+.-]+"), re.compile(r"[一-鿿]+")
+MARK = r"\[\^\d+\]"
 
 
-def words(text: str) -> set[str]:
-    """Distinct tokens of a text, as operators.text.tokens has them."""
-    low = _MARK.sub("", text).lower()
-    out = set(_LATIN.findall(low))
-    for run in _HAN.findall(low):
-        out |= {run} if len(run) <= 2 else {run[i : i + n] for n in (2, 3) for i in range(len(run) - n + 1)}
-    return out
+def words(c: Column) -> Column:
+    """Distinct tokens of a text without its citations."""
+    return F.array_distinct(tokens(F.regexp_replace(c, MARK, "")))
 
 
-def parts(text: str, least: int) -> list[str]:
-    plain = re.sub(r"[​﻿]", "", re.sub(r"\s+", " ", text)).strip()
-    return [p for p in (x.strip() for x in re.split(r"(?<=[。！？；.!?])\s*", plain)) if len(p) >= least]
+def shared(a: Column, b: Column) -> Column:
+    return F.size(F.array_intersect(a, b))
 
 
-def _bigrams(c: Column) -> Column:
-    return F.array_distinct(grams(c, 2, "."))
+def total_length(parts: Column) -> Column:
+    """Length of the parts joined by blanks."""
+    return F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x)) + F.greatest(F.size(parts) - 1, F.lit(0))
 
 
 def match_items(items: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -43,8 +34,8 @@ def match_items(items: DataFrame, corpus: DataFrame) -> DataFrame:
 
     The first item of a topic and sentence counts.  Items none of whose entities
     stand in their sentence look for the sentence that holds most of them, the
-    least id of equals; candidates come from an equi-join on the first two signs of
-    an entity, or its only one, so no sentence meets every entity."""
+    least id of equals.  An entity meets the sentences that hold its rarest pair of
+    signs, or its only sign; a sentence's text is read once for all of them."""
     w = Window.partitionBy("topic", "sent_id").orderBy("rank")
     first = items.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("topic", "sent_id", F.coalesce("entities", F.array()).alias("entities"))
     joined = first.join(corpus, "sent_id", "left")
@@ -54,11 +45,15 @@ def match_items(items: DataFrame, corpus: DataFrame) -> DataFrame:
     )
     told = joined.select("topic", "sent_id", "entities", status.alias("status"))
     lost = told.where("status = 'NO_MATCH'").select("topic", "sent_id", F.explode("entities").alias("e"))
-    asked = lost.select("e").distinct().where(F.length("e") >= 1).select("e", F.substring("e", 1, 2).alias("g"))
-    own = corpus.where("sentence is not null").select(F.col("sent_id").alias("at"), "sentence")
-    signs = F.concat(_bigrams(F.col("sentence")), F.array_distinct(grams(F.col("sentence"), 1, ".")))
-    near = own.select("at", F.explode(signs).alias("g")).join(asked, "g").select("e", "at")
-    holds = near.join(own, "at").where(F.contains("sentence", "e")).select("e", "at")
+    asked = lost.select("e").distinct().where(F.length("e") >= 1)
+    own = asked.select("e", F.explode(F.when(F.length("e") == 1, F.array("e")).otherwise(F.array_distinct(grams(F.col("e"), 2, ".")))).alias("g"))
+    held = corpus.where("sentence is not null").select(F.col("sent_id").alias("at"), "sentence")
+    signs = F.concat(F.array_distinct(grams(F.col("sentence"), 2, ".")), F.array_distinct(grams(F.col("sentence"), 1, ".")))
+    # only pairs that some entity has leave the tasks
+    places = held.select("at", F.explode(signs).alias("g")).join(own.select("g").distinct(), "g", "left_semi")
+    often = own.join(places.groupBy("g").agg(F.count("*").alias("n")), "g", "left").groupBy("e").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+    near = places.join(often, "g").groupBy("at").agg(F.collect_set("e").alias("es"))
+    holds = near.join(held, "at").select("at", F.explode(F.filter("es", lambda e: F.contains(F.col("sentence"), e))).alias("e"))
     score = lost.join(holds, "e").groupBy("topic", "sent_id", "at").agg(F.count("*").alias("hits"))
     best = score.groupBy("topic", "sent_id").agg(F.max_by(F.struct("at", "hits"), F.struct(F.col("hits"), -F.col("at"))).alias("b"))
     best = best.where("b.at <> sent_id").select("topic", "sent_id", F.col("b.at").alias("fallback_id"), F.col("b.hits").alias("hits"))
@@ -66,121 +61,144 @@ def match_items(items: DataFrame, corpus: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("fallback_id").isNotNull(), "NO_MATCH_BY_INDEX").otherwise(F.col("status")))
 
 
-def excerpt(claim: str, passage: str, numbers: Sequence[str] = (), most: int = 900) -> str:
-    """Best sentences of a passage with their neighbours, in their order; one that
-    holds a number of the claim is always among them (T8)."""
-    sentences, query = parts(passage, 12), words(claim)
-    squeeze = lambda s: re.sub(r"\s+", "", s).lower()
-    ranked = []
-    for i, s in enumerate(sentences):
-        shared = len(query & words(s))
-        ranked.append((shared + 3.0 * shared / max(1, len(query)) + 8.0 * sum(n in squeeze(s) for n in numbers), i))
-    ranked.sort(key=lambda r: (-r[0], -r[1]))
-    taken = set(next(([i] for _, i in ranked if any(n in squeeze(sentences[i]) for n in numbers)), []))
-    for score, i in ranked[:4]:
-        if score <= 0:
-            continue
-        taken |= {j for j in (i - 1, i, i + 1) if 0 <= j < len(sentences)}
-        if len(" ".join(sentences[j] for j in sorted(taken))) >= 0.65 * most:
-            break
-    return (" ".join(sentences[j] for j in sorted(taken)) or " ".join(passage.split()))[:most]
-
-
-def snippet(citing: Sequence[str], passages: Sequence[str], most: int = 880, enough: int = 760, count: int = 8, cut: int = 900) -> str:
-    """Evidence sentences that best match the sentences citing them."""
-    sentences = list(dict.fromkeys(p for t in passages for p in parts(t, 18)))
-    scored = []
-    for c in citing:
-        query = words(c)
-        for s in sentences:
-            if shared := len(query & words(s)):
-                scored.append((shared + 2.0 * shared / max(1, len(query)), s))
-    chosen, used = [], 0
-    for _, s in sorted(scored, key=lambda x: -x[0]):
-        more = len(s) + bool(chosen)
-        if s in chosen or chosen and used + more > most:
-            continue
-        chosen.append(s)
-        used += more
-        if used >= enough or len(chosen) >= count:
-            break
-    return (" ".join(chosen) or " ".join((passages[0] if passages else "").split()))[:cut]
-
-
-def snippets(cited: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(ref, snippet) of ``cited`` (ref, pos, sentence) and ``evidence`` (ref, pos, text)."""
-    both = cited.select("ref", F.lit(0).alias("kind"), "pos", F.col("sentence").alias("t")).unionByName(evidence.select("ref", F.lit(1).alias("kind"), "pos", F.col("text").alias("t")))
-    kind = cited.schema["ref"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["kind", "pos"])
-        text = snippet(pdf.t[pdf.kind == 0].tolist(), pdf.t[pdf.kind == 1].tolist())
-        return pd.DataFrame({"ref": pdf.ref.iloc[:1].tolist(), "snippet": [text]})
-
-    return both.where("t is not null").groupBy("ref").applyInPandas(run, f"ref {kind}, snippet string")
-
-
-def ground(article: str, chunks: Sequence[tuple[int, str]], least: int = 4) -> str:
-    """Uncited sentences get the chunk's id that shares most tokens; of equals the one
-    used least so far, which changes as the text is read (J17)."""
-    if not chunks:
-        return article
-    known = [(ref, words(t)) for ref, t in chunks]
-    used = Counter(int(v) for v in re.findall(r"\[\^(\d+)\]", article))
-    lines = []
-    for line in article.split("\n"):
-        if not line.strip() or line.strip()[0] in "#|":
-            lines.append(line)
-            continue
-        done = []
-        for s in re.split(r"(?<=[。！？])", line):
-            if _MARK.search(s) or len(re.sub(r"\W", "", s)) < 14:
-                done.append(s)
-                continue
-            query, best, score = words(s), None, 0
-            for ref, tokens in known:
-                n = len(query & tokens)
-                if n > score or n and n == score and used[ref] < used[best]:
-                    best, score = ref, n
-            if best is not None and score >= least:
-                used[best] += 1
-                s = s[:-1] + f"[^{best}]" + s[-1] if s[-1:] in "。！？" else s + f"[^{best}]"
-            done.append(s)
-        lines.append("".join(done))
-    return "\n".join(lines)
-
-
-def interleave(lists: Sequence[Sequence[str]], most: int) -> list[str]:
-    """First of each list, then second, …; a round ends at an item over the budget,
-    later rounds still try (W16)."""
-    out, total = [], 0
-    for i in range(max(map(len, lists), default=0)):
-        for items in lists:
-            if i < len(items):
-                if total + len(items[i]) > most:
-                    break
-                out.append(items[i])
-                total += len(items[i])
-    return out
+def excerpts(df: DataFrame, claim: str, passage: str, numbers: Column, name: str = "excerpt", most: int = 900, best: int = 4, share: float = 0.65) -> DataFrame:
+    """``df`` with the sentences of ``passage`` that say most of ``claim``, with their
+    neighbours, in their order (T8).
+
+    A sentence weighs its tokens of the claim, their share, and the claim's numbers in
+    it.  The best ``best`` that have any weight join in, each with both neighbours,
+    until ``share`` of the room is used; a sentence with a number of the claim is always
+    among them.  A passage without a weighty sentence gives its beginning."""
+    squeezed = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
+    told = lambda x: F.size(F.filter(numbers, lambda n: F.contains(squeezed(x), n)))
+    df = df.withColumns({"_s": sentence_parts(F.col(passage)), "_q": words(F.col(claim))})
+    weight = lambda x: shared(F.col("_q"), words(x)) * (1 + 3.0 / F.greatest(F.size("_q"), F.lit(1))) + 8.0 * told(x)
+    df = df.withColumn("_o", F.array_sort(F.transform("_s", lambda x, i: F.struct((-weight(x)).alias("w"), (-i).alias("i"), (told(x) > 0).alias("told")))))
+    around = lambda i: F.filter(F.array(i - 1, i, i + 1), lambda k: (k >= 0) & (k < F.size("_s")))
+    text = lambda at: F.transform(F.array_sort(at), lambda k: F.get(F.col("_s"), k))
+    first = F.transform(F.slice(F.filter("_o", lambda o: o["told"]), 1, 1), lambda o: -o["i"])
+    start = F.struct(first.alias("at"), F.lit(False).alias("full"))
+
+    def join_in(acc: Column, o: Column) -> Column:
+        more = F.array_union(acc["at"], around(-o["i"]))
+        skip = acc["full"] | (o["w"] >= 0)
+        return F.struct(F.when(skip, acc["at"]).otherwise(more).alias("at"), F.when(skip, acc["full"]).otherwise(total_length(text(more)) >= share * most).alias("full"))
+
+    df = df.withColumn("_at", F.aggregate(F.slice("_o", 1, best), start, join_in)["at"])
+    chosen = F.when(F.size("_at") > 0, F.array_join(text(F.col("_at")), " ")).otherwise(normalize(F.col(passage)))
+    return df.withColumn(name, F.left(chosen, F.lit(most))).drop("_s", "_q", "_o", "_at")
+
+
+def snippets(cited: DataFrame, evidence: DataFrame, key: str = "ref", most: int = 880, enough: int = 760, count: int = 8, cut: int = 900) -> DataFrame:
+    """(``key``, snippet) of ``cited`` (key, pos, sentence) and ``evidence`` (key, pos,
+    text): the evidence sentences that best match a sentence citing them (T9).
+
+    ``key`` is a reference of one article, so both sides are bounded.  Sentences meet
+    over shared tokens; of each evidence sentence only its best score is kept before
+    the greedy fold, which skips what exceeds ``most`` and stops at ``enough``."""
+    queries = cited.where("sentence is not null").select(key, F.col("pos").alias("c"), words(F.col("sentence")).alias("q"))
+    asked = queries.select(key, "c", F.size("q").alias("n"), F.explode("q").alias("token"))
+    parts = evidence.where("text is not null").select(key, "pos", F.posexplode(sentence_parts(F.col("text"), 18)).alias("k", "s"))
+    own = parts.groupBy(key, "s").agg(F.min(F.struct("pos", "k")).alias("at"))
+    meets = own.select(key, "s", "at", F.explode(words(F.col("s"))).alias("token")).join(asked, [key, "token"]).groupBy(key, "s", "at", "c").agg(F.count("*").alias("m"), F.first("n").alias("n"))
+    score = F.col("m") + 2.0 * F.col("m") / F.greatest(F.col("n"), F.lit(1))
+    best = meets.groupBy(key, "s").agg(F.min(F.struct((-score).alias("w"), "c", "at")).alias("o"))
+    ranked = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "s"))).alias("ranked"))
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("used"))
+
+    def take(acc: Column, x: Column) -> Column:
+        n = F.length(x["s"]) + (F.size(acc["out"]) > 0).cast("int")
+        skip = (acc["used"] >= enough) | (F.size(acc["out"]) >= count) | ((F.size(acc["out"]) > 0) & (acc["used"] + n > most))
+        return F.struct(F.when(skip, acc["out"]).otherwise(F.array_append(acc["out"], x["s"])).alias("out"), F.when(skip, acc["used"]).otherwise(acc["used"] + n).alias("used"))
+
+    folded = ranked.select(key, F.array_join(F.aggregate("ranked", empty, take)["out"], " ").alias("_text"))
+    plain = evidence.where("text is not null").groupBy(key).agg(F.min_by("text", "pos").alias("_first"))
+    out = cited.select(key).unionByName(plain.select(key)).distinct().join(folded, key, "left").join(plain, key, "left")
+    return out.select(key, F.left(F.coalesce("_text", normalize(F.col("_first")), F.lit("")), F.lit(cut)).alias("snippet"))
+
+
+def grounded(articles: DataFrame, chunks: DataFrame, key: str = "doc_id", least: int = 4, shortest: int = 14) -> DataFrame:
+    """(``key``, line, pos, sentence, ref) of ``articles`` (key, text): an uncited
+    sentence gets the chunk of ``chunks`` (key, ord, ref, text) that shares most tokens,
+    ``least`` at least; of equals the reference used least so far in the article (J17).
+
+    Scores come from a join over tokens within the article; only the choice among
+    equals depends on what came before, and is a fold over the article's sentences
+    with a map of uses."""
+    lines = articles.where("text is not null").select(key, F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    body = lines.withColumn("part", F.when(F.trim("raw").rlike(r"^[#|]") | (F.trim("raw") == ""), F.array("raw")).otherwise(F.split("raw", r"(?<=[。！？])(?!$)")))
+    rows = body.select(key, "line", F.posexplode("part").alias("pos", "sentence"))
+    bare = ~F.col("sentence").rlike(MARK) & ~F.trim("sentence").rlike(r"^[#|]") & (F.length(F.regexp_replace("sentence", r"(?U)\W", "")) >= shortest)
+    asked = rows.where(bare).select(key, "line", "pos", F.explode(words(F.col("sentence"))).alias("token"))
+    held = chunks.where("text is not null").select(key, "ord", "ref", F.explode(words(F.col("text"))).alias("token"))
+    n = asked.join(held, [key, "token"]).groupBy(key, "line", "pos", "ord", "ref").agg(F.count("*").alias("n"))
+    per = n.groupBy(key, "line", "pos", "ref").agg(F.max("n").alias("n"), F.min_by("ord", F.struct(-F.col("n"), "ord")).alias("ord")).where(F.col("n") >= least)
+    top = per.groupBy(key, "line", "pos").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "ord", "ref"))).alias("all"))
+    equal = top.select(key, "line", "pos", F.transform(F.filter("all", lambda x: x["m"] == -F.col("n")), lambda x: F.struct(x["ord"].alias("ord"), x["ref"].alias("ref"))).alias("equal"))
+    used = articles.select(key, F.explode(citation_ids(F.col("text"))).alias("ref")).groupBy(key, "ref").agg(F.count("*").cast("int").alias("n"))
+    used = used.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("ref").cast("long"), "n"))).alias("used"))
+    turn = equal.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line", "pos", "equal"))).alias("turns")).join(used, key, "left")
+    none = F.create_map().cast("map<bigint,int>")
+    start = F.struct(F.coalesce("used", none).alias("used"), F.array().cast("array<struct<line:int,pos:int,ref:bigint>>").alias("out"))
+
+    def choose(acc: Column, t: Column) -> Column:
+        count = lambda ref: F.coalesce(F.try_element_at(acc["used"], ref.cast("long")), F.lit(0))
+        best = F.array_min(F.transform(t["equal"], lambda x: F.struct(count(x["ref"]).alias("n"), x["ord"].alias("ord"), x["ref"].cast("long").alias("ref"))))
+        rest = F.map_filter(acc["used"], lambda k, _: k != best["ref"])
+        return F.struct(F.map_concat(rest, F.create_map(best["ref"], best["n"] + 1)).alias("used"), F.array_append(acc["out"], F.struct(t["line"].alias("line"), t["pos"].alias("pos"), best["ref"].alias("ref"))).alias("out"))
+
+    chosen = turn.select(key, F.explode(F.aggregate("turns", start, choose)["out"]).alias("o")).select(key, "o.*")
+    return rows.join(chosen, [key, "line", "pos"], "left")
+
+
+def with_citations(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(``key``, text) of ``grounded`` rows: the reference stands before the end mark."""
+    mark = F.concat(F.lit("[^"), F.col("ref").cast("string"), F.lit("]"))
+    ended = F.right("sentence", F.lit(1)).isin("。", "！", "？")
+    said = F.when(F.col("ref").isNull(), F.col("sentence")).when(ended, F.concat(F.expr("substring(sentence, 1, length(sentence) - 1)"), mark, F.right("sentence", F.lit(1)))).otherwise(F.concat("sentence", mark))
+    lines = sentences.groupBy(key, "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("t")))), lambda x: x["t"]), "").alias("t"))
+    return lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "\n").alias("text"))
+
+
+def interleaved(df: DataFrame, group: str, lists: str, pos: str, item: str, most: int) -> DataFrame:
+    """(``group``, items): first of each list, then second, …; a round ends at an item
+    over the budget, later rounds still try (W16)."""
+    all_ = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("round"), F.col(lists).alias("list"), F.col(item).alias("item")))).alias("x"))
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("used"), F.lit(-1).cast("long").alias("over"))
+
+    def take(acc: Column, x: Column) -> Column:
+        at, n = x["round"].cast("long"), F.length(x["item"])
+        skip, full = acc["over"] == at, acc["used"] + n > most
+        return F.struct(
+            F.when(skip | full, acc["out"]).otherwise(F.array_append(acc["out"], x["item"])).alias("out"),
+            F.when(skip | full, acc["used"]).otherwise(acc["used"] + n).alias("used"), F.when(~skip & full, at).otherwise(acc["over"]).alias("over"),
+        )
+
+    return all_.select(group, F.aggregate("x", empty, take)["out"].alias("items"))
 
 
 def even_split(df: DataFrame, order: str, groups: int) -> DataFrame:
-    """``df`` with grp: even shares in order, the rest to the last."""
-    w = Window.orderBy(order)
-    n = F.count("*").over(Window.partitionBy())
-    share = F.greatest(F.floor(n / groups), F.lit(1))
-    return df.withColumn("grp", F.least(F.floor((F.row_number().over(w) - 1) / share), F.lit(groups - 1)).cast("int"))
+    """``df`` with grp: even shares in order, the rest to the last (J26).  Rows are
+    numbered range by range, so no task orders all of them."""
+    from .sequence import numbered
 
+    n = F.broadcast(df.agg(F.greatest(F.floor(F.count("*") / groups), F.lit(1)).alias("_share")))
+    placed = numbered(df, [order], "_at").crossJoin(n)
+    return placed.withColumn("grp", F.least(F.floor(F.col("_at") / F.col("_share")), F.lit(groups - 1)).cast("int")).drop("_at", "_share")
 
-def expansion_mixes(options: Sequence[Sequence[tuple[str, float]]], top: int = 5, sure: int = 3, weight: float = 1.0, most: int = 100) -> list[tuple[tuple[str, ...], float]]:
-    """Combinations of the words that may stand for each part of a name, weights added;
-    a parameter bounds their number (J24)."""
-    out: list[tuple[tuple[str, ...], float]] = [((), 0.0)]
-    for words_ in options:
-        best = sorted(words_, key=lambda x: -x[1])[:top]
-        kept = [x for i, x in enumerate(best) if i < sure or x[1] >= weight]
-        out = [((*a, w), s + v) for a, s in out for w, v in kept][:most]
-    return [x for x in out if x[0]]
+
+def mixes(options: Column, top: int = 5, sure: int = 3, weight: float = 1.0, most: int = 100) -> Column:
+    """array<struct<words, weight>>: combinations of the words that may stand for each
+    part of a name (array<array<struct<word, weight>>>), weights added; the number of
+    combinations is bounded by a parameter, as it is in the survey (J24)."""
+    empty = F.array(F.struct(F.array().cast("array<string>").alias("words"), F.lit(0.0).alias("weight")))
+
+    def add(acc: Column, part: Column) -> Column:
+        ranked = F.slice(F.array_sort(F.transform(part, lambda x, i: F.struct((-x["weight"]).alias("w"), i.alias("i"), x["word"].alias("word")))), 1, top)
+        kept = F.filter(ranked, lambda x, i: (i < sure) | (-x["w"] >= weight))
+        return F.slice(F.flatten(F.transform(acc, lambda a: F.transform(kept, lambda k: F.struct(F.array_append(a["words"], k["word"]).alias("words"), (a["weight"] - k["w"]).alias("weight"))))), 1, most)
+
+    return F.filter(F.aggregate(options, empty, add), lambda x: F.size(x["words"]) > 0)
 
 
 def evidence_blocks(df: DataFrame, group: str, order: str) -> DataFrame:
@@ -190,10 +208,9 @@ def evidence_blocks(df: DataFrame, group: str, order: str) -> DataFrame:
     return g.select(group, F.array_join(F.transform("x", lambda r: r["b"]), "\n\n").alias("evidence"), "refs")
 
 
-def compact(record: Sequence[str], most: int, steps: Sequence[int] = (2000, 1200, 800, 500, 300)) -> list[str]:
+def compact(texts: Column, most: int, steps: Sequence[int] = (2000, 1200, 800, 500, 300)) -> Column:
     """Longest cut of all texts at which their sum fits, else an even share."""
-    for n in steps:
-        cut = [t[:n] for t in record]
-        if sum(map(len, cut)) <= most:
-            return cut
-    return [t[: max(1, math.floor(most / max(1, len(record))))] for t in record]
+    at = lambda n: F.transform(texts, lambda t: F.left(t, n))
+    size = lambda a: F.aggregate(a, F.lit(0), lambda s, t: s + F.length(t))
+    share = F.greatest(F.lit(1), F.floor(F.lit(most) / F.greatest(F.size(texts), F.lit(1)))).cast("int")
+    return F.coalesce(*(F.when(size(at(F.lit(n))) <= most, at(F.lit(n))) for n in steps), at(share))

@@ -57,6 +57,25 @@ def dense_ids(df: DataFrame, key: str, first: str) -> DataFrame:
     return placed.join(F.broadcast(offset), "_p").select(key, (F.col("_n") - F.col("_low") + F.col("_before")).alias("id"))
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with ``name``, its place in order from 0 (W7).  Ranges are numbered by
+    their own counts, so no task orders all rows; the rows are written once between."""
+    from ..session import kept
+
+    placed = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id()), "numbered")
+    begin = placed.groupBy("_p").agg(F.min("_n").alias("_low"), F.count("*").alias("_rows"))
+    offset = begin.withColumn("_before", F.sum("_rows").over(Window.orderBy("_p")) - F.col("_rows")).drop("_rows")
+    return placed.join(F.broadcast(offset), "_p").withColumn(name, F.col("_n") - F.col("_low") + F.col("_before")).drop("_p", "_n", "_low", "_before")
+
+
+def running_context(df: DataFrame, key: str, seq: str, heading: str, text: str, headings: int = 16, tail: int = 1800) -> DataFrame:
+    """``df`` with what a writer of the next section sees: the last headings before it
+    and the end of the text so far (W18).  The frame reaches back only as many sections
+    as there may be headings, so that a long document costs no more a row."""
+    w = Window.partitionBy(key).orderBy(seq).rowsBetween(-headings, -1)
+    return df.withColumns({"context_headings": F.collect_list(heading).over(w), "context_tail": F.right(F.array_join(F.collect_list(text).over(w), "\n"), F.lit(tail))})
+
+
 def heading_parents(df: DataFrame, doc: str, seq: str, level: str, deepest: int = 4) -> DataFrame:
     """``df`` with parent_seq: the nearest earlier heading of a lower level.
     One running window per level, no self join."""

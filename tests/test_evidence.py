@@ -1,6 +1,8 @@
 """Evidence and contents operators on small fixtures."""
 
-from inkloom.operators import contents, evidence
+from pyspark.sql import functions as F
+
+from inkloom.operators import contents, evidence, sequence
 
 
 def test_match_items(spark):
@@ -18,36 +20,51 @@ def test_match_items_of_one_sign(spark):
     assert got == {0: ("NO_MATCH_BY_INDEX", 1, 1), 2: ("NO_MATCH_BY_INDEX", 1, 2)}
 
 
-def test_excerpt_keeps_the_number():
+def test_excerpt_keeps_the_number(spark):
     passage = "This opening sentence says little. The latency fell to 42 ms in the second phase. Other sentences follow here without it. The final one is also long enough."
-    out = evidence.excerpt("Latency reached 42 ms", passage, ["42ms"], 90)
-    assert "42 ms" in out and len(out) <= 90
-    assert evidence.excerpt("nothing shared", "short") == "short"
+    far = "Latency and the second phase matter here. Nothing of note is said here. Again nothing is said here at all. Some more words without meaning. Only now it reads 42 ms at last."
+    df = spark.createDataFrame([("Latency reached 42 ms", passage, ["42ms"]), ("nothing", "short", []), (None, None, None), ("latency second phase", far, ["42ms"]), ("latency", "", [])], "c string, p string, n array<string>")
+    got = [r.excerpt for r in evidence.excerpts(df.coalesce(1), "c", "p", F.col("n"), most=90).collect()]
+    assert "42 ms" in got[0] and len(got[0]) <= 90 and got[1] == "short" and got[2] is None and got[4] == ""
+    assert "42 ms" in evidence.excerpts(df, "c", "p", F.col("n"), most=900).where("p like 'Latency and%'").first().excerpt
 
 
 def test_snippets(spark):
-    cited = spark.createDataFrame([(1, 0, "系统的平均时延下降明显。"), (2, 0, "别的句子在这里出现。")], "ref int, pos int, sentence string")
-    ev = spark.createDataFrame([(1, 0, "在第二阶段的测试之中，系统的平均时延下降到了四十毫秒。无关的一句话放在这里作为干扰内容而已。"), (3, 0, None)], "ref int, pos int, text string")
+    cited = spark.createDataFrame([(1, 0, "系统的平均时延下降明显。"), (2, 0, "别的句子在这里出现。"), (4, 0, None)], "ref int, pos int, sentence string")
+    ev = spark.createDataFrame([(1, 0, "在第二阶段的测试之中，系统的平均时延下降到了四十毫秒。无关的一句话放在这里作为干扰内容而已。"), (1, 1, "系统的平均时延下降" * 100 + "。"), (3, 0, None)], "ref int, pos int, text string")
     got = {r.ref: r.snippet for r in evidence.snippets(cited, ev).collect()}
-    assert got[1].startswith("在第二阶段的测试之中") and got[2] == ""
+    assert got[1] == "在第二阶段的测试之中，系统的平均时延下降到了四十毫秒。" and got[2] == "" and 3 not in got and got[4] == ""
+    long = {r.ref: r.snippet for r in evidence.snippets(cited, ev.where("pos = 1")).collect()}
+    assert long[1].startswith("系统的平均时延下降系统") and len(long[1]) == 900
+    assert evidence.snippets(cited.where("false"), ev.where("false")).count() == 0
 
 
-def test_grounding_spreads_over_sources():
-    text = "平均时延在第二阶段明显下降到四十毫秒。\n# 平均时延在第二阶段明显下降标题\n平均时延在第二阶段明显下降到四十毫秒。"
-    out = evidence.ground(text, [(1, "平均时延在第二阶段明显下降"), (2, "平均时延在第二阶段明显下降")])
-    assert out.split("\n")[0].endswith("[^1]。") and out.split("\n")[2].endswith("[^2]。") and "[^" not in out.split("\n")[1]
+def test_grounding_spreads_over_sources(spark):
+    text = "平均时延在第二阶段明显下降到四十毫秒。\n# 平均时延在第二阶段明显下降标题\n平均时延在第二阶段明显下降到四十毫秒。已有引用的句子在这里出现，足够长[^2]。"
+    articles = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "这里的句子没有任何相关的证据可以引用。")], "doc_id int, text string")
+    chunks = spark.createDataFrame([(1, 0, 1, "平均时延在第二阶段明显下降"), (1, 1, 2, "平均时延在第二阶段明显下降"), (1, 2, 3, "平均时延在第二阶段明显下降"), (1, 3, 9, None)], "doc_id int, ord int, ref int, text string")
+    out = {r.doc_id: r.text for r in evidence.with_citations(evidence.grounded(articles, chunks)).collect()}
+    lines = out[1].split("\n")
+    assert lines[0].endswith("[^1]。") and "[^3]。已有" in lines[2] and lines[2].endswith("[^2]。") and "[^" not in lines[1]
+    assert out[4] == "这里的句子没有任何相关的证据可以引用。" and out[3] == "" and 2 not in out
 
 
 def test_small_choices(spark):
-    assert evidence.interleave([["aa", "bb"], ["cccc", "d"], ["e"]], 5) == ["aa", "bb", "d"]
+    lists = spark.createDataFrame([("g", 0, 0, "aa"), ("g", 0, 1, "bb"), ("g", 1, 0, "cccc"), ("g", 1, 1, "d"), ("g", 2, 0, "e")], "g string, l int, i int, t string")
+    assert evidence.interleaved(lists, "g", "l", "i", "t", 5).first()["items"] == ["aa", "bb", "d"]
     df = spark.createDataFrame([(i,) for i in range(7)], "i int")
     assert [r.grp for r in evidence.even_split(df, "i", 3).orderBy("i").collect()] == [0, 0, 1, 1, 2, 2, 2]
-    assert evidence.expansion_mixes([[("a", 2.0), ("b", 1.0)], [("c", 0.5)]]) == [(("a", "c"), 2.5), (("b", "c"), 1.5)]
-    assert len(evidence.expansion_mixes([[(str(i), 1.0) for i in range(9)]] * 4)) == 100
-    assert evidence.compact(["x" * 1000, "y" * 100], 700) == ["x" * 500, "y" * 100]
+    kind = "o array<array<struct<word: string, weight: double>>>"
+    some = spark.createDataFrame([([[("a", 2.0), ("b", 1.0)], [("c", 0.5)]],), ([[(str(i), 1.0) for i in range(9)]] * 4,)], kind).coalesce(1).select(evidence.mixes(F.col("o")).alias("m")).collect()
+    assert [(x.words, x.weight) for x in some[0].m] == [(["a", "c"], 2.5), (["b", "c"], 1.5)] and len(some[1].m) == 100
+    texts = spark.createDataFrame([(["x" * 1000, "y" * 100],)], "t array<string>").select(evidence.compact(F.col("t"), 700).alias("c")).first().c
+    assert texts == ["x" * 500, "y" * 100]
     chunks = spark.createDataFrame([("g", 2, 7, None, "u", "t2"), ("g", 1, 3, "T", None, "t1")], "g string, o int, ref_id int, title string, url string, text string")
     r = evidence.evidence_blocks(chunks, "g", "o").first()
     assert r.refs == [3, 7] and r.evidence.startswith("[证据 ^3]\n标题：T")
+    doc = spark.createDataFrame([("d", i, f"h{i}", "x" * 200) for i in range(20)], "k string, i int, h string, t string")
+    last = sequence.running_context(doc, "k", "i", "h", "t").where("i = 19").first()
+    assert last.context_headings == [f"h{i}" for i in range(3, 19)] and len(last.context_tail) == 1800
 
 
 def test_contents(spark):
