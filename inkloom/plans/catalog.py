@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cluster_queries, score_queries, text_queries
+from . import bank_queries, cluster_queries, score_queries, text_queries
 
-_MODULES = (text_queries, score_queries, cluster_queries)
+_MODULES = (text_queries, score_queries, cluster_queries, bank_queries)
 
 
 def queries():

@@ -103,10 +103,10 @@ def resume_anti_join(spark, sf_dir):
     return sequence.resume(table(spark, sf_dir, "source_documents", "ref_id").distinct(), table(spark, sf_dir, "evidence_chunks", "ref_id").distinct(), ["ref_id"])
 
 
-@query("WITH a AS (SELECT DISTINCT topic_id FROM documents WHERE method = 'twp'), b AS (SELECT DISTINCT topic_id FROM search_results WHERE source = 'jina') (SELECT 'left' AS side, topic_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) UNION ALL (SELECT 'right', topic_id FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) UNION ALL (SELECT 'both', topic_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b))")
+@query("WITH a AS (SELECT DISTINCT topic_id FROM documents WHERE method = 'baseline'), b AS (SELECT DISTINCT topic_id FROM search_results WHERE source = 'jina') (SELECT 'left' AS side, topic_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) UNION ALL (SELECT 'right', topic_id FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) UNION ALL (SELECT 'both', topic_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b))")
 def topic_set_operations(spark, sf_dir):
     """Intersection and both differences of two topic sets."""
-    a = table(spark, sf_dir, "documents", "topic_id", "method").where("method = 'twp'").select("topic_id").distinct()
+    a = table(spark, sf_dir, "documents", "topic_id", "method").where("method = 'baseline'").select("topic_id").distinct()
     b = table(spark, sf_dir, "search_results", "topic_id", "source").where("source = 'jina'").select("topic_id").distinct()
     side = lambda name, df: df.select(F.lit(name).alias("side"), "topic_id")
     return side("left", a.subtract(b)).unionByName(side("right", b.subtract(a))).unionByName(side("both", a.intersect(b)))
