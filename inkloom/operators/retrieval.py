@@ -53,16 +53,27 @@ def term_weight(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column, k1
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.greatest(avgdl, F.lit(1.0))))
 
 
+#: Query tokens up to which they are tested inside the tokens' array, before any row is made.
+LITERAL = 5000
+
+
+def asked_only(tokens: Column, queries: DataFrame, most: int = LITERAL) -> Column:
+    """``tokens`` without those no query has, if the queries have at most ``most``."""
+    wanted = [r.token for r in queries.select("token").distinct().limit(most + 1).collect()]
+    return F.filter(tokens, lambda t: t.isin(wanted)) if 0 < len(wanted) <= most else tokens
+
+
 def bm25(docs: DataFrame, keys: Sequence[str], queries: DataFrame, on: Sequence[str] = ("token",), k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, keys…, score) of ``arrays`` (docs) for ``queries`` (query_id, token,
     qtf).  ``on`` may add columns that a query and its documents share.
 
-    Lengths are array sizes, so only tokens that some query has are ever counted:
-    they are cut right behind the explode."""
+    The tokens are worked out once: those that no query has are cut inside their array,
+    and both the counts in a document and those of documents come from what is left."""
     shared = [c for c in on if c != "token"]
-    hit = docs.select(*keys, *shared, "dl", F.explode_outer("tokens").alias("token")).where("token is not null").join(queries.select(*on).distinct(), list(on), "left_semi")
+    cut = docs.select(*keys, *shared, "dl", F.explode_outer(asked_only(F.col("tokens"), queries)).alias("token")).where("token is not null")
+    hit = cut.join(queries.select("token").distinct(), "token", "left_semi")
     tf = hit.groupBy(*keys, *shared, "dl", "token").agg(F.count("*").alias("tf"))
-    df = frequencies(docs, queries.select("token").distinct()) if shared else tf.groupBy("token").agg(F.count("*").alias("df"))
+    df = tf.groupBy("token").agg(F.count("*").alias("df"))
     scored = tf.join(df, "token").crossJoin(F.broadcast(totals(docs))).join(queries, list(on))
     w = term_weight(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"), k1, b)
     return scored.groupBy("query_id", *keys).agg(F.sum(w * F.least(F.col("qtf"), F.lit(QUERY_MOST))).alias("score"))
@@ -139,7 +150,7 @@ def claim_postings(passages: DataFrame, passage: str, text: Column, claims: Data
     scores read it several times."""
     from ..session import kept
 
-    hit = arrays(passages, [passage], text).select(passage, "dl", F.explode_outer("tokens").alias("token")).where("token is not null")
+    hit = arrays(passages, [passage], text).select(passage, "dl", F.explode_outer(asked_only(F.col("tokens"), claims)).alias("token")).where("token is not null")
     own = hit.join(claims.select("token").distinct(), "token", "left_semi")
     return kept(own.groupBy(passage, "dl", "token").agg(F.count("*").alias("tf")), "claim-postings")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -165,24 +165,81 @@ def paired_bootstrap(diff: np.ndarray, resamples: int = 10000, level: float = 0.
     return float(low), float(high)
 
 
+def signed_ranks(pairs: DataFrame, keys: Sequence[str], diff: str) -> DataFrame:
+    """(keys, n, w, z) of paired differences: the lesser sum of signed ranks, zeros
+    dropped, ranks of ties averaged, and its normal score with tie and continuity
+    correction (M24).  Equal differences are counted before they are ranked."""
+    size = F.round(F.abs(diff), 12)
+    counted = pairs.where(F.round(diff, 12) != 0).groupBy(*keys, size.alias("_d")).agg(F.count("*").alias("t"), F.count_if(F.col(diff) > 0).alias("up"))
+    w = Window.partitionBy(*keys).orderBy("_d")
+    rank = F.sum("t").over(w) - F.col("t") + (F.col("t") + 1) / 2
+    s = counted.withColumn("_r", rank).groupBy(*keys).agg(F.sum("t").alias("n"), F.sum(F.col("_r") * F.col("up")).alias("up"), F.sum(F.col("_r") * (F.col("t") - F.col("up"))).alias("down"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
+    n = F.col("n").cast("double")
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
+    low = F.least("up", "down")
+    return s.select(*keys, "n", low.alias("w"), F.when(var > 0, F.greatest(F.lit(0.0), (F.abs(low - n * (n + 1) / 4) - 0.5) / F.sqrt(var))).otherwise(0.0).alias("z"))
+
+
+def bootstrap_intervals(pairs: DataFrame, keys: Sequence[str], unit: str, diff: str, resamples: int = 10000) -> DataFrame:
+    """(keys, low, high) of ``paired_bootstrap`` for each pair of methods (M25).  A pair's
+    differences, one number a unit, meet in one task, as resampling them asks for."""
+    kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
+
+    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = paired_bootstrap(pdf.sort_values(unit)[diff].to_numpy(), resamples)
+        return pdf[list(keys)].iloc[:1].assign(low=low, high=high)
+
+    return pairs.select(*keys, unit, diff).where(F.col(diff).isNotNull()).groupBy(*keys).applyInPandas(interval, f"{kinds}, low double, high double")
+
+
+def two_sided(z: Column) -> Column:
+    """Two-sided probability of a normal score; for the few rows of a table of tests."""
+    @F.pandas_udf("double")
+    def p(s: pd.Series) -> pd.Series:
+        from math import erfc, sqrt
+
+        return s.map(lambda x: min(1.0, erfc(max(x, 0.0) / sqrt(2))))
+
+    return p(z)
+
+
 def silhouette(df: DataFrame, key: str, vector: str, cluster: str, most: int = 10000, block: int = 500) -> DataFrame:
-    """(``key``, s) of at most ``most`` rows (those of least hash), exact among them (M22);
-    distances are worked out for ``block`` rows at a time."""
-    small = df.orderBy(F.xxhash64(key), key).limit(most).toPandas()
+    """(``key``, s) of at most ``most`` rows (those of least hash), exact among them
+    (M22).  The sample, bounded by ``most``, goes to the tasks, each of which scores a
+    share of it, ``block`` rows at a time."""
+    import pyarrow as pa
+
+    total = df.count()
+    few = df.select(key, vector, cluster).where(F.col(vector).isNotNull())
+    if total > 2 * most:  # only about twice as many rows as wanted are ordered
+        few = few.where(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < int((1 << 31) * (2.0 * most + 200) / total))
+    small = few.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 31)), key).limit(most).toPandas()
     x = np.stack(small[vector].to_list()).astype(float) if len(small) else np.zeros((0, 1))
     x -= x.mean(0) if len(x) else 0
     c, known = pd.factorize(small[cluster], use_na_sentinel=False)
-    member = np.eye(len(known))[c]
-    size, square, out = member.sum(0), (x * x).sum(1), np.zeros(len(x))
-    for at in range(0, len(x) if len(known) > 1 else 0, block):
-        rows = np.arange(at, min(at + block, len(x)))
-        d = np.sqrt(np.maximum(square[rows, None] + square - 2 * x[rows] @ x.T, 0))
-        d[np.arange(len(rows)), rows] = 0
-        total, own = d @ member, c[rows]
-        a = total[np.arange(len(rows)), own] / np.maximum(size[own] - 1, 1)
-        other = total / size
-        other[np.arange(len(rows)), own] = np.inf
-        b = other.min(1)
-        top = np.maximum(a, b)
-        out[rows] = np.where((size[own] > 1) & (top > 0), np.divide(b - a, top, out=np.zeros(len(rows)), where=top > 0), 0.0)
-    return df.sparkSession.createDataFrame(pd.DataFrame({key: small[key], "s": out}), f"{key} {df.schema[key].dataType.simpleString()}, s double")
+    member = np.eye(max(len(known), 1))[c]
+    size, square = member.sum(0), (x * x).sum(1)
+    spark = df.sparkSession
+    held = spark.sparkContext.broadcast((x, c, member, size, square))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, c, member, size, square = held.value
+        for b in batches:
+            at = b.column("_i").to_numpy()
+            out = np.zeros(len(at))
+            for k in range(0, len(at) if len(size) > 1 else 0, block):
+                rows = at[k : k + block]
+                d = np.sqrt(np.maximum(square[rows, None] + square - 2 * x[rows] @ x.T, 0))
+                d[np.arange(len(rows)), rows] = 0
+                sums, own = d @ member, c[rows]
+                a = sums[np.arange(len(rows)), own] / np.maximum(size[own] - 1, 1)
+                other = sums / size
+                other[np.arange(len(rows)), own] = np.inf
+                b_ = other.min(1)
+                top = np.maximum(a, b_)
+                out[k : k + block] = np.where((size[own] > 1) & (top > 0), np.divide(b_ - a, top, out=np.zeros(len(rows)), where=top > 0), 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(out)], [key, "s"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = spark.createDataFrame(pd.DataFrame({key: small[key], "_i": np.arange(len(small))}), f"{key} {kind}, _i long")
+    return rows.repartition(min(64, max(1, len(small) // block))).mapInArrow(score, f"{key} {kind}, s double")

@@ -56,8 +56,8 @@ def nearest_centroid_assign(spark, sf_dir):
 q AS (SELECT vec_id, cluster, p, p * p / f AS w FROM p JOIN f USING (cluster)) SELECT vec_id, cluster, round(p, 5) AS p, round(w / sum(w) OVER (PARTITION BY vec_id), 5) AS q FROM q""")
 def student_t_soft_assign(spark, sf_dir):
     """Soft shares and their target."""
-    soft = vectors.student_t(_embeddings(spark, sf_dir), "vec_id", "embedding", _centres(spark, sf_dir))
-    return vectors.target(soft, "vec_id").select("vec_id", "cluster", F.round("p", 5).alias("p"), F.round("q", 5).alias("q"))
+    soft = vectors.soft_target(_embeddings(spark, sf_dir), "vec_id", "embedding", _centres(spark, sf_dir))
+    return soft.select("vec_id", "cluster", F.round("p", 5).alias("p"), F.round("q", 5).alias("q"))
 
 
 @query(f"WITH {ASSIGN} SELECT label, cluster, count(*) AS n FROM a GROUP BY ALL")
@@ -119,10 +119,13 @@ def self_trained_clusters(spark, sf_dir):
     return vectors.self_train(e, "vec_id", "embedding", centres)
 
 
-@query()
+@query("""WITH e AS (SELECT DISTINCT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL), n AS (SELECT label, count(*) AS n FROM e GROUP BY label), d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS d FROM e a, e b GROUP BY ALL),
+m AS (SELECT vec_id, d.label, other, CASE WHEN d.label = other THEN d / greatest(n - 1, 1) ELSE d / n END AS m FROM d JOIN n ON n.label = other), s AS (SELECT vec_id, label, max(CASE WHEN label = other THEN m END) AS a, min(CASE WHEN label <> other THEN m END) AS b FROM m GROUP BY ALL)
+SELECT vec_id, round(CASE WHEN n.n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END, 7) AS s FROM s JOIN n USING (label)""")
 def silhouette_sampled(spark, sf_dir):
-    """Silhouette of a bounded sample."""
-    return stats.silhouette(_embeddings(spark, sf_dir), "vec_id", "embedding", "label")
+    """Silhouette of 10,000 rows at most, the reference's sample (M22); the SQL states
+    it of tables up to that size."""
+    return stats.silhouette(_embeddings(spark, sf_dir), "vec_id", "embedding", "label").withColumn("s", F.round("s", 7) + F.lit(0.0))
 
 
 def _tuples(spark, sf_dir, *columns: str) -> DataFrame:

@@ -222,19 +222,26 @@ def stream_tumbling_counts(spark, sf_dir):
     return windows.tumbling(table(spark, sf_dir, "events", "ts", "event_type"), "1 hour")
 
 
-@query()
-def method_significance(spark, sf_dir):
-    """Wilcoxon and bootstrap of each pair of methods, a task a pair."""
-    import numpy as np
-    import pandas as pd
+PAIRED = f"{SCORES}, o AS (SELECT topic, method, avg(score) AS v FROM v GROUP BY ALL), d AS (SELECT a.method AS a, b.method AS b, a.topic, round(a.v - b.v, 12) AS d FROM o a JOIN o b ON a.topic = b.topic AND a.method < b.method)"
 
+
+def _paired(spark, sf_dir) -> DataFrame:
     v = stats.valid_scores(_event_scores(spark, sf_dir)).groupBy("topic", "method").agg(F.avg("score").alias("v"))
     a, b = v.select("topic", F.col("method").alias("a"), F.col("v").alias("va")), v.select("topic", F.col("method").alias("b"), F.col("v").alias("vb"))
+    return a.join(b, "topic").where("a < b").select("a", "b", "topic", F.round(F.col("va") - F.col("vb"), 12).alias("d"))
+
 
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf.sort_values("topic")["va"].to_numpy(), pdf.sort_values("topic")["vb"].to_numpy()
-        stat, p = stats.wilcoxon(x, y)
-        low, high = stats.paired_bootstrap(np.asarray(x - y))
-        return pd.DataFrame({"a": pdf["a"].iloc[:1].to_list(), "b": pdf["b"].iloc[:1].to_list(), "w": [stat], "p": [p], "low": [low], "high": [high]})
+@query(f"""WITH {PAIRED}, c AS (SELECT a, b, abs(d) AS s, count(*) AS t, count(*) FILTER (d > 0) AS up FROM d WHERE d <> 0 GROUP BY ALL), r AS (SELECT *, sum(t) OVER (PARTITION BY a, b ORDER BY s) - t + (t + 1) / 2.0 AS r FROM c),
+x AS (SELECT a, b, sum(t)::DOUBLE AS n, sum(r * up) AS up, sum(r * (t - up)) AS down, sum(t::DOUBLE ** 3 - t) AS ties FROM r GROUP BY ALL)
+SELECT a, b, CAST(n AS BIGINT) AS n, CAST(least(up, down) AS DOUBLE) AS w, round(greatest(0, (abs(least(up, down) - n * (n + 1) / 4) - 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)), 6) AS z FROM x""")
+def signed_rank_statistics(spark, sf_dir):
+    """Signed ranks of each pair of methods."""
+    return stats.signed_ranks(_paired(spark, sf_dir), ["a", "b"], "d").select("a", "b", "n", "w", F.round("z", 6).alias("z"))
 
-    return a.join(b, "topic").where("a < b").groupBy("a", "b").applyInPandas(test, "a string, b string, w double, p double, low double, high double")
+
+@query()
+def method_significance(spark, sf_dir):
+    """Wilcoxon and bootstrap of each pair of methods."""
+    d = _paired(spark, sf_dir)
+    ranks = stats.signed_ranks(d, ["a", "b"], "d").withColumn("p", stats.two_sided(F.col("z")))
+    return ranks.join(stats.bootstrap_intervals(d, ["a", "b"], "topic", "d"), ["a", "b"]).select("a", "b", "w", "p", "low", "high")

@@ -75,14 +75,17 @@ def _topic_ranking(spark, sf_dir) -> DataFrame:
     return out.select("topic_id", *keys, "chars", (F.col("base") + 0.35 * F.least(F.lit(0.8), F.coalesce("relevance", F.lit(0.0))) + 0.25 * F.coalesce("common", F.lit(0))).alias("score"))
 
 
-@query(f"""WITH c AS (SELECT ref_id, chunk_id, min(struct_pack(a := coalesce(title, ''), b := coalesce(relevance, -1.0), text := text, title := title, relevance := relevance)) AS s FROM evidence_chunks WHERE text IS NOT NULL GROUP BY ALL),
+RANKED = f"""c AS (SELECT ref_id, chunk_id, min(struct_pack(a := coalesce(title, ''), b := coalesce(relevance, -1.0), text := text, title := title, relevance := relevance)) AS s FROM evidence_chunks WHERE text IS NOT NULL GROUP BY ALL),
 e AS (SELECT ref_id, chunk_id, s.text AS text, s.title AS title, s.relevance AS relevance FROM c),
 t AS (SELECT ref_id, chunk_id, unnest({TOKENS.format("coalesce(title, '') || ' ' || text")}) AS token FROM e), p AS (SELECT ref_id, chunk_id, token, count(*) AS tf FROM t GROUP BY ALL),
 q AS (SELECT id AS topic_id, unnest({TOKENS.format("trim(title)")}) AS token FROM topics), qq AS (SELECT topic_id, token, count(*) AS qtf FROM q GROUP BY ALL),
 o AS (SELECT ref_id, min(topic_id) AS topic_id FROM source_documents GROUP BY ref_id), l AS (SELECT ref_id, chunk_id, sum(tf) AS dl FROM p GROUP BY ALL), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l), d AS (SELECT token, count(*) AS df FROM p GROUP BY token),
 b AS (SELECT topic_id, ref_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.35 / (tf + 1.35 * (0.28 + 0.72 * dl / avgdl)) * least(qtf, 2)) AS base FROM p JOIN o USING (ref_id) JOIN qq USING (topic_id, token) JOIN d USING (token) JOIN l USING (ref_id, chunk_id), s GROUP BY ALL),
 tt AS (SELECT ref_id, chunk_id, unnest(list_distinct({TOKENS.format("coalesce(title, '')")})) AS token FROM e), u AS (SELECT ref_id, chunk_id, count(*) AS common FROM tt JOIN o USING (ref_id) JOIN qq USING (topic_id, token) GROUP BY ALL),
-r AS (SELECT topic_id, ref_id, chunk_id, round(base + 0.35 * least(0.8, coalesce(relevance, 0)) + 0.25 * coalesce(common, 0), 6) AS score FROM b JOIN e USING (ref_id, chunk_id) LEFT JOIN u USING (ref_id, chunk_id)),
+r AS (SELECT topic_id, ref_id, chunk_id, round(base + 0.35 * least(0.8, coalesce(relevance, 0)) + 0.25 * coalesce(common, 0), 6) AS score FROM b JOIN e USING (ref_id, chunk_id) LEFT JOIN u USING (ref_id, chunk_id))"""
+
+
+@query(f"""WITH {RANKED},
 k AS (SELECT *, row_number() OVER (PARTITION BY topic_id, ref_id ORDER BY score DESC, chunk_id) AS per, FROM r),
 m AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, ref_id, chunk_id) AS rn FROM k WHERE per <= 2)
 SELECT topic_id, ref_id, chunk_id, score, CAST(rn AS INTEGER) AS rn FROM m WHERE rn <= 12""")
@@ -93,10 +96,15 @@ def topic_evidence_ranked(spark, sf_dir):
     return sequence.top_k(capped, ["topic_id"], [F.desc("score"), "ref_id", "chunk_id"], 12).select("topic_id", "ref_id", "chunk_id", "score", "rn")
 
 
-@query()
+@query(f"""WITH RECURSIVE {RANKED},
+z AS (SELECT topic_id, ref_id, chunk_id, length(e.text) AS chars, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, ref_id, chunk_id) AS i FROM r JOIN e USING (ref_id, chunk_id) WHERE score > 0),
+w AS (SELECT topic_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS total, CAST([] AS INTEGER[]) AS refs, CAST(NULL AS INTEGER) AS ref_id, CAST(NULL AS INTEGER) AS chunk_id, CAST(NULL AS BIGINT) AS chars, false AS ok FROM (SELECT DISTINCT topic_id FROM z)
+UNION ALL SELECT topic_id, n.i, CASE WHEN n.fits THEN n.total + n.chars ELSE n.total END, CASE WHEN n.fits THEN list_append(n.refs, n.ref_id) ELSE n.refs END, n.ref_id, n.chunk_id, n.chars, n.fits FROM
+(SELECT w.topic_id, z.i, w.total, w.refs, z.ref_id, z.chunk_id, z.chars, len(list_filter(w.refs, lambda x: x = z.ref_id)) < 2 AND (len(w.refs) = 0 OR w.total + z.chars <= 14500) AS fits FROM w JOIN z ON z.topic_id = w.topic_id AND z.i = w.i + 1 WHERE len(w.refs) < 12) n)
+SELECT topic_id, ref_id, chunk_id, CAST(chars AS INTEGER) AS chars, len(refs) AS taken FROM w WHERE ok""")
 def topic_evidence_budgeted(spark, sf_dir):
     """Greedy evidence of each topic under the character budget."""
-    r = _topic_ranking(spark, sf_dir)
+    r = _topic_ranking(spark, sf_dir).withColumn("score", F.round("score", 6))
     out = retrieval.select_within_budget(r, "topic_id", ["ref_id", "chunk_id"], "ref_id", "chars")
     return out.select("topic_id", "ref_id", "chunk_id", "chars", "taken")
 
@@ -135,7 +143,15 @@ def chunk_fixed_overlap(spark, sf_dir):
     return retrieval.fixed_chunks(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", 150, 50)
 
 
-@query()
+@query(r"""WITH d AS (SELECT DISTINCT ref_id, body FROM source_documents WHERE length(body) > 0), p AS (SELECT ref_id, body, list_filter(list_transform(regexp_split_to_array(regexp_replace(body, '(?m)^(#{1,4}\s)', chr(1) || '\1', 'g'), '\n\s*\n|\x01'),
+lambda x: trim(regexp_replace(regexp_replace(x, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), '[\x{200b}\x{feff}]', '', 'g'))), lambda x: length(x) >= 30) AS p FROM d),
+f AS (SELECT ref_id, list_reduce(list_transform(p, lambda x: {'done': CAST([] AS VARCHAR[]), 'open': x, 'size': length(x)}), lambda a, x: CASE WHEN length(x.open) > 1800 THEN
+{'done': list_concat(CASE WHEN a.size > 0 AND a.size + length(x.open) > 900 THEN list_append(a.done, a.open) ELSE a.done END, list_filter(list_transform(range(0, (length(x.open) - 1) // 900 + 1), lambda i: substr(x.open, CAST(i * 900 + 1 AS BIGINT), 900)), lambda s: length(s) >= 80)), 'open': CASE WHEN a.size > 0 AND a.size + length(x.open) > 900 THEN '' ELSE a.open END, 'size': CASE WHEN a.size > 0 AND a.size + length(x.open) > 900 THEN 0 ELSE a.size END}
+WHEN a.size > 0 AND a.size + length(x.open) > 900 THEN {'done': list_append(a.done, a.open), 'open': x.open, 'size': length(x.open)}
+WHEN a.size > 0 THEN {'done': a.done, 'open': a.open || chr(10) || x.open, 'size': a.size + length(x.open)} ELSE {'done': a.done, 'open': x.open, 'size': length(x.open)} END, {'done': CAST([] AS VARCHAR[]), 'open': '', 'size': CAST(0 AS BIGINT)}) AS f FROM p),
+c AS (SELECT ref_id, unnest(l) AS chunk, unnest(range(len(l))) AS chunk_id FROM (SELECT ref_id, CASE WHEN f.size > 0 THEN list_append(f.done, f.open) ELSE f.done END AS l FROM f)),
+n AS (SELECT *, sha1(regexp_replace(chunk, '[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}]+', '', 'g')) AS digest, len(regexp_extract_all(chunk, '\[[^\]]+\]\([^\)]+\)')) AS links, len(regexp_extract_all(chunk, '!\[')) AS images FROM c)
+SELECT ref_id, CAST(chunk_id AS INTEGER) AS chunk_id, chunk, digest FROM (SELECT *, row_number() OVER (PARTITION BY ref_id, digest ORDER BY chunk_id) AS r FROM n WHERE NOT (links >= 6 OR images >= 2 OR (links >= 3 AND regexp_matches(chunk, '返回\+|热门推荐|产品与解决方案|行业解决方案|营销资料')))) WHERE r = 1""")
 def evidence_chunks_packed(spark, sf_dir):
     """Packed paragraphs without navigation blocks and repeats."""
     docs = table(spark, sf_dir, "source_documents", "ref_id", "body").where("body is not null").distinct()
@@ -224,7 +240,12 @@ def invalid_citations(spark, sf_dir):
     return citations.invalid(d, "doc_id", "text", table(spark, sf_dir, "evidence_chunks", "ref_id").distinct(), "ref_id").select("doc_id", F.col("cited").alias("id"))
 
 
-@query()
+NUMBERS = r"%|％|ms|Mbps|Gbps|GB|MB|KB|GT/s|秒|分钟|小时|位|台|个|次|倍|年|MPa|℃|V|A|W|kW|MW|kWh|平方米|m²|Pa"
+
+
+@query(rf"""WITH m AS (SELECT doc_id, regexp_replace(text, '(^|[^A-Za-z0-9])([0-9])', '\1' || chr(1) || '\2', 'g') AS t FROM documents WHERE text IS NOT NULL),
+v AS (SELECT doc_id, list_transform(regexp_extract_all(t, '\x01([0-9]+(?:\.\x01?[0-9]+)?(?:\+|(?:\s*[~～—\-]\s*\x01?[0-9]+(?:\.\x01?[0-9]+)?))?\s*(?:{NUMBERS})?)', 1), lambda x: translate(lower(regexp_replace(replace(x, chr(1), ''), '\s+', '', 'g')), '％～—', '%~-')) AS v FROM m)
+SELECT doc_id, CAST(len(list_filter(v, lambda x: regexp_matches(x, '[%a-z℃².+\-~]') OR CAST(regexp_extract(x, '^([0-9]+)', 1) AS HUGEINT) >= 10)) AS INTEGER) AS n_numbers FROM v""")
 def number_tokens(spark, sf_dir):
     """Numbers that say something."""
     d = table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")

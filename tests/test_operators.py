@@ -235,6 +235,21 @@ def test_summary_reproduces_published_deviation(spark):
     assert got["m"] == pytest.approx((np.mean(v), np.std(v, ddof=1))) and got["one"] == (1.0, 0.0)
 
 
+def test_signed_ranks_against_the_plain_form(spark):
+    rng = np.random.default_rng(5)
+    d = np.round(rng.normal(0.1, 1, 60), 1)
+    df = spark.createDataFrame([("x", float(v)) for v in d] + [("zero", 0.0)], "k string, d double")
+    r = stats.signed_ranks(df, ["k"], "d").withColumn("p", stats.two_sided(F.col("z"))).collect()
+    stat, p = stats.wilcoxon(d, np.zeros(60))
+    assert len(r) == 1 and r[0].w == stat and r[0].p == pytest.approx(p)
+
+
+def test_means_of_ragged_and_missing_vectors(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0]), ("a", None), ("b", []), ("a", [5.0, None])], "k string, v array<float>")
+    got = {(r.k, r.pos): r.value for r in vectors.mean_vectors(df, "k", "v").collect()}
+    assert got == {("a", 0): 3.0, ("a", 1): 2.0}
+
+
 def test_soft_assignment_sums_to_one(spark):
     df = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(12)] + [(99, [0.0, 0.0])], "id int, v array<double>")
     centres = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "cluster int, centre array<double>")
