@@ -5,10 +5,15 @@ order, lines hang on their run.  A run has a zone (head, title, byline, article,
 inset, heading of related links, these links, foot), a line is content or chrome.  Potentials tie each run
 to the one before, kinds to zones, and lines to their run; sum-product messages
 up the tree and down again give each line's content marginal, for many pages at
-once.  Potentials are counted from pages labelled by the place of their known
-title and of their last prose; some are counted again without their title, so
-that pages lacking one are read as well.  A table of lines that mostly stand in
-chrome is learned on the way.
+once.
+
+No table has labels, so training pages are labelled by their structure: the place of
+their known title, the last prose behind it, and what is repeated on the pages of
+their site.  From these the share of chrome of each kind of line is counted, and by
+it the zones are set; what a kind's words mean is only a prior for kinds that hardly
+occur.  Potentials are counted from the labelled pages; some are counted again
+without their title, so that pages lacking one are read as well.  A table of lines
+that mostly stand in chrome is learned on the way.
 
 Training reads at most ``sample`` pages a table, those with the least hash of
 their id; every page is then judged.  Defined results: null and blank texts have
@@ -18,24 +23,32 @@ page to learn from, the uniform prior keeps every line.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from . import pages
 from .common import bounded_sample
 from .mojibake import restore_if_odd as restore
+from .site_lines import site_of
 
 SAMPLE = 4000
 HEAD, TITLE, BYLINE, ARTICLE, INSET, RELATED_HEAD, RELATED, FOOT = range(8)
 ZONES = 8
 IS_CONTENT = np.array([0, 1, 0, 1, 0, 0, 0, 0], bool)
-_STRONG = (pages.PROSE, pages.LONG, pages.TABLE, pages.HEAD)
+#: Prior meaning of kinds, which their place and repetition outweigh.
+_CONTENT = (pages.PROSE, pages.LONG, pages.TABLE, pages.HEAD)
 _CHROME = (pages.SER, pages.INL, pages.FOO, pages.SCR, pages.CON, pages.BY, pages.NAV, pages.ITEM, pages.CRUMB, pages.BAR, pages.REL)
+#: Lines that the prior counts as, pages that a site needs to be learned from, pages on
+#: which a line of a site is repeated.
+PRIOR, LEAST_PAGES, REPEATED = 20, 10, 3
+#: Shares of chrome from which on, and up to which, all lines of a kind are labelled alike.
+SURE_CHROME, SURE_CONTENT = 0.75, 0.05
 #: A line's label agrees with its run's zone with this probability.
 AGREE = 0.95
 LEAST_SEEN = 3
@@ -73,28 +86,74 @@ def read(text: str, title: str | None) -> Page:
     return page
 
 
-def zones(kinds: list[int]) -> list[int] | None:
+@dataclass
+class Signs:
+    """What the kinds of lines are, as learned from structure."""
+
+    chrome: frozenset[int]
+    content: frozenset[int]
+    byline: frozenset[int]
+
+
+def repeated_on_site(many: list[Page], sites: list[str | None]) -> list[list[bool]]:
+    """Which lines of each page occur on several pages of its site."""
+    on: dict[tuple, set[int]] = defaultdict(set)
+    for i, (p, s) in enumerate(zip(many, sites)):
+        if s:
+            for k in set(p.keys):
+                on[s, k].add(i)
+    return [[bool(s) and len(on[s, k]) >= REPEATED for k in p.keys] for p, s in zip(many, sites)]
+
+
+def learn_signs(many: list[Page], sites: list[str | None], repeated: list[list[bool]]) -> Signs:
+    """Share of chrome of each kind over the titled pages of sites with enough pages: a
+    line is chrome if it stands before the title or behind the last prose of its own,
+    or is repeated on its site."""
+    pages_of = Counter(s for s in sites if s)
+    n, bad, beside = Counter(), Counter(), Counter()
+    for p, s, again in zip(many, sites, repeated):
+        if pages.TITLE not in p.kinds or not s or pages_of[s] < LEAST_PAGES:
+            continue
+        t = p.kinds.index(pages.TITLE)
+        last = max((i for i in range(t, len(p.kinds)) if p.kinds[i] in (pages.PROSE, pages.LONG, pages.TABLE) and not again[i]), default=t)
+        for i, k in enumerate(p.kinds):
+            if i != t:
+                n[k] += 1
+                bad[k] += i < t or i > last or again[i]
+                beside[k] += i == t + 1
+    prior = {k: 1.0 for k in _CHROME} | {k: 0.0 for k in _CONTENT}
+    share = {k: (bad[k] + PRIOR * prior.get(k, 0.5)) / (n[k] + PRIOR) for k in range(pages.KINDS)}
+    chrome = frozenset(k for k, v in share.items() if v >= SURE_CHROME)
+    byline = frozenset(k for k in chrome if beside[k] + PRIOR * (k == pages.BY) > 0.5 * (n[k] + PRIOR))
+    return Signs(chrome, frozenset(k for k, v in share.items() if v <= SURE_CONTENT), byline)
+
+
+PRIOR_SIGNS = Signs(frozenset(_CHROME), frozenset(_CONTENT), frozenset([pages.BY]))
+_LINKS = frozenset([pages.ITEM, pages.CRUMB, pages.BAR])
+
+
+def zones(kinds: list[int], repeated: list[bool] | None = None, signs: Signs = PRIOR_SIGNS) -> list[int] | None:
     """Zones of a page whose title is known; None for other pages."""
     if pages.TITLE not in kinds:
         return None
     t = kinds.index(pages.TITLE)
-    last = max((i for i in range(t, len(kinds)) if kinds[i] in _STRONG), default=t)
+    again = repeated or [False] * len(kinds)
+    last = max((i for i in range(t, len(kinds)) if kinds[i] in signs.content and not again[i]), default=t)
     out, now = [HEAD] * t + [TITLE], ARTICLE
     for i in range(t + 1, len(kinds)):
         k = kinds[i]
-        if i <= last:
-            out.append(BYLINE if k == pages.BY and out[-1] in (TITLE, BYLINE) else INSET if k in _CHROME else ARTICLE)
-            continue
-        if k == pages.BY and out[-1] in (TITLE, BYLINE):
+        cut = k in signs.chrome or again[i] and k not in signs.content
+        if k in signs.byline and out[-1] in (TITLE, BYLINE):
             out.append(BYLINE)
-            continue
-        if k == pages.REL:
+        elif i <= last:
+            out.append(INSET if cut else ARTICLE)
+        elif k == pages.REL or again[i] and i + 1 < len(kinds) and not again[i + 1] and kinds[i + 1] not in signs.chrome - _LINKS:
             out.append(RELATED_HEAD)
             now = RELATED
-            continue
-        if k in _CHROME and not (now == RELATED and k in (pages.ITEM, pages.CRUMB, pages.BAR)):
-            now = FOOT
-        out.append(now)
+        else:
+            if cut and not (now == RELATED and k in _LINKS and not again[i]):
+                now = FOOT
+            out.append(now)
     return out
 
 
@@ -208,15 +267,17 @@ def runs(kinds: list[int], gaps: list[bool]) -> list[tuple[int, int]]:
 
 
 def fit(tables: list[DataFrame], sample: int = SAMPLE) -> Model:
-    """Model of at most ``sample`` pages of each of ``tables`` (k, title, t)."""
-    labelled = []
-    for df in tables:
-        rows = bounded_sample(df.where("length(t) > 0 and length(title) > 0 and k is not null"), "k", sample).select("title", "t").toPandas()
-        for title, text in zip(rows.title, rows.t):
-            page = read(restore(text), title)
-            if (z := zones(page.kinds)) is not None:
-                labelled.append((page, z))
-    return Model(labelled)
+    """Model of at most ``sample`` pages of each of ``tables`` (k, title, t[, url])."""
+    many: list[Page] = []
+    sites: list[str | None] = []
+    for n, df in enumerate(tables):
+        site = site_of(F.col("url")) if "url" in df.columns else F.lit(None).cast("string")
+        rows = bounded_sample(df.where("length(t) > 0 and length(title) > 0 and k is not null"), "k", sample).select("title", "t", site.alias("site")).toPandas()
+        many += [read(restore(text), title) for title, text in zip(rows.title, rows.t)]
+        sites += [s and f"{n} {s}" for s in rows.site]
+    repeated = repeated_on_site(many, sites)
+    signs = learn_signs(many, sites, repeated)
+    return Model([(p, z) for p, again in zip(many, repeated) if (z := zones(p.kinds, again, signs)) is not None])
 
 
 def chrome_lines(df: DataFrame, model: Model) -> DataFrame:

@@ -62,11 +62,12 @@ _WORD = re.compile(r"[a-z]+")
 
 
 @functools.cache
-def _cues() -> ahocorasick.Automaton:
-    """All cue words in one automaton; a word's value: (order, kind, text, bound at start, at end)."""
+def _cues(notices: bool = False) -> ahocorasick.Automaton:
+    """All cue words in one automaton, with the parts of notices if wanted; a word's
+    value: (order, kind, length, bound at start, at end)."""
     auto = ahocorasick.Automaton()
     held: dict[str, list] = {}
-    for order, words in ((SAYS, STATES), (OF, THINGS)):
+    for order, words in ((SAYS, STATES), (OF, THINGS)) if notices else ():
         for w in words:
             held.setdefault(w, []).append((order, None, len(w), False, False))
     for order, (kind, words) in enumerate(((BY, BYLINE), (SER, SERIES), (REL, RELATED), (INL, INLINE), (SCR, SCRIPTS), (CON, CONSENT), (FOO, FOOT), (BAD, FAILED))):
@@ -79,40 +80,50 @@ def _cues() -> ahocorasick.Automaton:
     return auto
 
 
+def _kind_at(s: str, n: int, at: int, value: tuple) -> tuple[int, int] | None:
+    """(order, kind) of a cue that ends at ``at``, if it may stand there."""
+    order, kind, length, start, end = value
+    if start and at != length - 1 or end and at < n - 1:
+        return None
+    if kind == REL:
+        rest = s[at + 1 :].lstrip()
+        if at != length - 1 or rest and rest[0] not in ":：":
+            return None
+        if len(rest) > 1:
+            kind = INL
+    return order, kind
+
+
 def cue_of(s: str) -> int | None:
     """Kind of the first class of cues that occurs in ``s`` = shown(line)."""
     best, n = None, len(s.rstrip(".。!！ "))
     for at, values in _cues().iter(s):
-        for order, kind, length, start, end in values:
-            if order < 0:
-                continue
-            if start and at != length - 1 or end and at < n - 1:
-                continue
-            if kind == REL:
-                rest = s[at + 1 :].lstrip()
-                if at != length - 1 or rest and rest[0] not in ":：":
-                    continue
-                if len(rest) > 1:
-                    kind = INL
-            if best is None or order < best[0]:
-                best = (order, kind)
+        for v in values:
+            if (best is None or v[0] < best[0]) and (k := _kind_at(s, n, at, v)):
+                best = k
     return best[1] if best else None
 
 
-def failing(s: str) -> bool:
-    """Whether ``s``, a unit as shown(), is a notice of a failed page or filler by its
-    words, whatever its length: a cue, or a thing and what is said of it."""
-    n, things, states = len(s.rstrip(".。!！ ")), [], []
-    for at, values in _cues().iter(s):
-        for order, kind, length, start, end in values:
-            if kind == BAD:
-                if not (start and at != length - 1 or end and at < n - 1):
-                    return True
-            elif order == OF and not (at >= length and s[at - length].isascii() and s[at - length].isalnum() and s[at - length + 1].isascii()):
-                things.append((at - length + 1, at + 1))
+def read_cues(s: str) -> tuple[bool, int | None]:
+    """(whether ``s``, a unit as shown(), is a notice of a failed page or filler by its
+    words, whatever its length; its cue as cue_of has it).  A notice has a cue, or a
+    thing and what is said of it."""
+    best, n, things, states = None, len(s.rstrip(".。!！ ")), [], []
+    failed = False
+    for at, values in _cues(True).iter(s):
+        for v in values:
+            order, kind, length = v[:3]
+            if order == OF:
+                if not (at >= length and s[at - length].isascii() and s[at - length].isalnum() and s[at - length + 1].isascii()):
+                    things.append((at - length + 1, at + 1))
             elif order == SAYS:
                 states.append((at - length + 1, at + 1))
-    return any(a < d + NEAR and c < b + NEAR and (b <= c or d <= a) for a, b in things for c, d in states)
+            elif k := _kind_at(s, n, at, v):
+                failed = failed or kind == BAD
+                if best is None or order < best[0]:
+                    best = k
+    failed = failed or bool(states) and any(a < d + NEAR and c < b + NEAR and (b <= c or d <= a) for a, b in things for c, d in states)
+    return failed, best[1] if best else None
 
 
 def shown(line: str) -> str:
@@ -142,8 +153,8 @@ def is_latin_filler(s: str) -> bool:
     return len(words) >= 3 and sum(w in LATIN for w in words) >= 0.5 * len(words)
 
 
-def kind_of(line: str, s: str, title: str = "") -> int:
-    """Kind of a non-blank line; ``s`` is shown(line)."""
+def kind_of(line: str, s: str, title: str = "", cue: int | None = -1) -> int:
+    """Kind of a non-blank line; ``s`` is shown(line), ``cue`` its cue if known."""
     if title and s.lstrip("#*• ") == title:
         return TITLE
     n = len(s)
@@ -154,7 +165,7 @@ def kind_of(line: str, s: str, title: str = "") -> int:
         if _ITEM.match(s):
             return ITEM
     if n <= 400 and not (end and n > 160):
-        cue = cue_of(s)
+        cue = cue_of(s) if cue == -1 else cue
         if cue is not None and (n <= 160 or cue == BAD):
             return cue
         if s[0] in "bpv" and _SIGNED.match(s):

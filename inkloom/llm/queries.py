@@ -100,8 +100,8 @@ def _pages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _page_model(spark: SparkSession, sf_dir: str) -> boilerplate.Model:
-    results = table(spark, sf_dir, "search_results", "id", "title", "content").select(F.col("id").cast("long").alias("k"), "title", F.col("content").alias("t"))
-    docs = table(spark, sf_dir, "source_documents", "ref_id", "title", "body").select(F.col("ref_id").cast("long").alias("k"), "title", F.col("body").alias("t"))
+    results = table(spark, sf_dir, "search_results", "id", "title", "content", "url").select(F.col("id").cast("long").alias("k"), "title", F.col("content").alias("t"), "url")
+    docs = table(spark, sf_dir, "source_documents", "ref_id", "title", "body", "url").select(F.col("ref_id").cast("long").alias("k"), "title", F.col("body").alias("t"), "url")
     return boilerplate.fit([results, docs])
 
 

@@ -146,9 +146,10 @@ def open_nodes(sentence: str, slot: re.Match) -> list[int]:
 
 def verdict(unit: str) -> int:
     """Class of a message by its words and shape."""
-    if pages.failing(unit):
+    failed, cue = pages.read_cues(unit)
+    if failed:
         return FAILED
-    k = pages.kind_of(unit, unit)
+    k = pages.kind_of(unit, unit, cue=cue)
     if k == pages.PROSE and len(unit) < 24 and sum(c > "⺀" for c in unit) < 9:
         return CHROME  # a name with an end mark
     return FAILED if k == pages.BAD else CONTENT if k in (pages.PROSE, pages.LONG, pages.TABLE) else CHROME
