@@ -10,19 +10,12 @@ from pyspark.sql import SparkSession, functions as F
 
 
 def register(spark: SparkSession) -> None:
-    """canonical_topic(text), char_overlap(a, b), rbo(a, b, p) and the table function
-    sentence_rows(text)."""
+    """canonical_topic(text) and the table function sentence_rows(text)."""
 
     @F.pandas_udf("string")
     def canonical_topic(t: pd.Series) -> pd.Series:
         return t.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKC", x).casefold() if c.isascii() and c.isalnum() or "一" <= c <= "鿿"))
 
-    @F.pandas_udf("double")
-    def rbo(a: pd.Series, b: pd.Series, p: pd.Series) -> pd.Series:
-        from ..operators.units import rank_overlap
-
-        return pd.Series([0.0 if x is None or y is None else rank_overlap(list(x), list(y), z) for x, y, z in zip(a, b, p)])
-
     @F.udtf(returnType="pos int, sentence string")
     class SentenceRows:
         def eval(self, text: str) -> Iterator[tuple[int, str]]:
@@ -32,5 +25,4 @@ def register(spark: SparkSession) -> None:
                 yield i, s
 
     spark.udf.register("canonical_topic", canonical_topic)
-    spark.udf.register("rbo", rbo)
     spark.udtf.register("sentence_rows", SentenceRows)

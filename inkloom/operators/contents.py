@@ -1,4 +1,4 @@
-"""Tables of contents (survey P10-P13, F3, F5, H4, H11, H12, J21, J25-free part of 2.6)."""
+"""Tables of contents (survey P10-P13, F3, F5, H11, H12, J21, K4)."""
 
 from __future__ import annotations
 
@@ -59,3 +59,15 @@ def check(text: str) -> tuple[bool, str]:
 def verdict(reply: str) -> int:
     """Keep (1) or delete (2): the last line that is one of them, else keep."""
     return next((int(x) for x in reversed([y.strip() for y in reply.splitlines()]) if x in ("1", "2")), 1)
+
+
+def renumbered(parts: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``parts`` (group, order…, level, title) of several outlines as one, numbered
+    through: level 1 by its place in the group, level 2 within its first level, deeper
+    ones not (K4)."""
+    w = Window.partitionBy(group).orderBy(*order)
+    top = F.count_if(F.col("level") == 1).over(w)
+    second = F.count_if(F.col("level") == 2).over(Window.partitionBy(group, "_top").orderBy(*order))
+    out = parts.withColumn("_top", top)
+    number = F.when(F.col("level") == 1, F.col("_top").cast("string")).when(F.col("level") == 2, F.concat_ws(".", F.col("_top").cast("string"), second.cast("string")))
+    return out.withColumn("number", number).drop("_top")

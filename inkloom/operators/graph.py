@@ -1,4 +1,4 @@
-"""Term units and their graph (survey A1, A2, A6, A7, A30, A31, J1-J4, J6, M16-M18, M20, W2)."""
+"""Term units and their graph (survey A1, A2, A7, A30, A31, J1, J2, M16-M18, M20, P7, P15, W2)."""
 
 from __future__ import annotations
 
@@ -57,3 +57,40 @@ def modes(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, value, n): most frequent values, all of a tie."""
     n = df.groupBy(group, value).agg(F.count("*").alias("n"))
     return n.withColumn("_r", F.rank().over(Window.partitionBy(group).orderBy(F.desc("n")))).where("_r = 1").drop("_r")
+
+
+#: Fixed value: weight of an edge between a unit's own parts.
+OWN = 9.0
+
+
+def evidence_edges(units: DataFrame, neighbours: DataFrame | None = None, language: str = "zh", least: float = 1.0) -> DataFrame:
+    """(src, dst, weight) of ``units`` (sent_id, verb, object, entities): verb to object
+    and verb to entity, an entity once a sentence, and a lexicon's ``neighbours`` (src,
+    dst, weight, lang) of the wanted language and weight that touch a node (M16, P15).
+    Equal edges keep their greatest weight."""
+    u = units.where("verb is not null")
+    own = u.where("object is not null").select(F.col("verb").alias("src"), F.col("object").alias("dst"))
+    named = u.select("sent_id", "verb", F.explode("entities").alias("dst")).where("dst is not null").groupBy("sent_id", "dst").agg(F.min("verb").alias("src")).select("src", "dst")
+    edges = own.unionByName(named).withColumn("weight", F.lit(OWN))
+    if neighbours is not None:
+        nodes = edges.select(F.explode(F.array("src", "dst")).alias("src")).distinct()
+        near = neighbours.where((F.col("lang") == language) & (F.col("weight") >= least)).select("src", "dst", F.col("weight").cast("double").alias("weight"))
+        edges = edges.unionByName(near.join(nodes, "src", "left_semi"))
+    return edges.where("src <> dst").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+
+
+def average_degree(pairs: DataFrame) -> DataFrame:
+    """One row (nodes, edges, average)."""
+    return degrees(pairs).agg(F.count("*").alias("nodes"), (F.coalesce(F.sum("degree"), F.lit(0)) / 2).cast("long").alias("edges"), F.avg("degree").alias("average"))
+
+
+def salience_flags(units: DataFrame, group: str, parts: dict[str, DataFrame]) -> DataFrame:
+    """Units of which any part is salient in their group, with the flags some and all;
+    ``parts`` names a column and its salient values (group, column) (P7, J2)."""
+    for name, salient in parts.items():
+        units = units.join(salient.select(group, name).distinct().withColumn(f"_{name}", F.lit(True)), [group, name], "left")
+    flags = [F.coalesce(f"_{n}", F.lit(False)) for n in parts]
+    some, all_ = flags[0], flags[0]
+    for f in flags[1:]:
+        some, all_ = some | f, all_ & f
+    return units.withColumns({"any_salient": some, "all_salient": all_}).where("any_salient").drop(*(f"_{n}" for n in parts))

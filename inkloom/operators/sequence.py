@@ -1,4 +1,4 @@
-"""Keep-first, fill-down, top-k, ranks and paths (survey W1-W10, W14-W17, T6, T7, T10, T11, J20-J23, U1-U7)."""
+"""Keep-first, fill-down, top-k, ranks and paths (survey W1-W10, W14, W15, W17, W18, T6, T7, T10, T11, J13, J19-J23, U2)."""
 
 from __future__ import annotations
 
@@ -96,3 +96,12 @@ def matched_or_fail(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     known = dimension.withColumn("_known", F.lit(True))
     joined = df.join(known, key, "left")
     return joined.where(F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("no match for "), F.col(key).cast("string")))).otherwise(True)).drop("_known")
+
+
+def ids_of_urls(df: DataFrame, key: str, urls: str, references: DataFrame) -> DataFrame:
+    """(``key``, ids): sorted distinct ids of the references (url, id) that an array of
+    addresses names, whatever their scheme, case of the host or slash at the end (J19)."""
+    plain = lambda u: F.regexp_replace(F.regexp_replace(F.lower(F.trim(u)), r"^[a-z][a-z0-9+.\-]*://", ""), r"/+$", "")
+    known = references.where("url is not null and url <> ''").select(plain(F.col("url")).alias("_u"), "id").distinct()
+    each = df.select(key, F.explode(urls).alias("_u")).where("_u is not null and _u <> ''").select(key, plain(F.col("_u")).alias("_u")).distinct()
+    return each.join(known, "_u").groupBy(key).agg(F.array_sort(F.collect_set("id")).alias("ids"))

@@ -1,4 +1,4 @@
-"""Score tables, tests and cluster measures (survey A10-A14, A16, A19-A24, A32, M22, M24, M25, W8, W10, K9, P14, J12, J18)."""
+"""Score tables, tests and cluster measures (survey A10-A14, A16, A19-A24, A32, M22, M24, M25, W10, K9, P14, J12, A15)."""
 
 from __future__ import annotations
 
@@ -47,6 +47,14 @@ def best_and_second(df: DataFrame, column: str, value: str, digits: int = 12) ->
     return df.withColumn("mark", F.when(r == 1, "best").when(r == 2, "second"))
 
 
+def category_stats(df: DataFrame, book: str, category: str, seq: str) -> DataFrame:
+    """(category, books, mean_at, median_at, p90_at, mean_n) over books: where a category
+    stands in a book on average, as a share of its length, and how often (A15)."""
+    longest = df.groupBy(book).agg(F.max(seq).alias("_max"))
+    per = df.join(longest, book).groupBy(book, category).agg(F.avg(F.col(seq) / F.col("_max")).alias("at"), F.count("*").alias("n"))
+    return per.groupBy(category).agg(F.count("*").alias("books"), F.avg("at").alias("mean_at"), F.percentile("at", F.lit(0.5)).alias("median_at"), F.percentile("at", F.lit(0.9)).alias("p90_at"), F.avg("n").alias("mean_n"))
+
+
 def balance(df: DataFrame) -> DataFrame:
     """Of (k, silhouette, dbi, small_ratio): quality, support and their harmonic mean."""
     per = df.groupBy("k").agg(F.avg("silhouette").alias("sil"), F.avg("dbi").alias("dbi"), F.avg("small_ratio").alias("small"))

@@ -1,4 +1,4 @@
-"""Text columns and line predicates (survey F1-F12, F15, F18, F20, F21, F25, F29; P1-P4, P8-P10, P13)."""
+"""Text columns and line predicates (survey F1-F12, F15, F20, F21, F25, F29; P1-P4, P8, P9; U5, W11)."""
 
 from __future__ import annotations
 
@@ -11,6 +11,10 @@ HAN = r"[\x{4e00}-\x{9fff}]"
 GENERIC = ("技术白皮书", "白皮书", "技术", "发展", "研究", "系统", "平台", "方案")
 #: Marks of a navigation block.
 NAV_MARKS = ("返回+", "热门推荐", "产品与解决方案", "行业解决方案", "营销资料")
+#: Units of a number that says something, and signs between two numbers
+#: of a range.
+UNITS = ("%", "％", "ms", "Mbps", "Gbps", "GB", "MB", "KB", "GT/s", "秒", "分钟", "小时", "位", "台", "个", "次", "倍", "年", "MPa", "℃", "V", "A", "W", "kW", "MW", "kWh", "平方米", "m²", "Pa")
+RANGE_SIGNS = r"~～—\-"
 CITATION = r"\[\^(\d+)\]"
 
 
@@ -127,8 +131,8 @@ def sentence_parts(c: Column, least: int = 12) -> Column:
 
 def numeric_values(c: Column) -> Column:
     """Numbers that say something: with a unit, sign or point, or from 10 on."""
-    units = "%|％|ms|Mbps|Gbps|GB|MB|KB|GT/s|秒|分钟|小时|位|台|个|次|倍|年|MPa|℃|V|A|W|kW|MW|kWh|平方米|m²|Pa"
-    pattern = rf"(?<![A-Za-z0-9])([0-9]+(?:\.[0-9]+)?(?:\+|(?:\s*[~～—\-]\s*[0-9]+(?:\.[0-9]+)?))?\s*(?:{units})?)"
+    one = r"\d+(?:\.\d+)?"
+    pattern = rf"(?<!\p{{Alnum}})({one}(?:\+|\s*[{RANGE_SIGNS}]\s*{one})?\s*(?:{'|'.join(UNITS)})?)"
     compact = lambda v: F.translate(F.lower(F.regexp_replace(v, r"\s+", "")), "％～—", "%~-")
     told = lambda v: v.rlike(r"[%a-z℃².+\-~]") | (F.regexp_extract(v, r"^([0-9]+)", 1).cast("decimal(38,0)") >= 10)
     return F.filter(F.transform(F.regexp_extract_all(c, F.lit(pattern), 1), compact), told)
@@ -177,3 +181,30 @@ def cosine(a: Column, b: Column) -> Column:
     dot = total(F.zip_with(a, b, lambda p, q: (p * q).cast("double")))
     norm = lambda v: F.sqrt(total(F.transform(v, lambda p: p.cast("double") * p.cast("double"))))
     return F.coalesce(F.when(F.size(a) == F.size(b), F.try_divide(dot, norm(a) * norm(b))), F.lit(0.0))
+
+
+def long_enough(c: Column, least: int = 50) -> Column:
+    """Whether a text has at least ``least`` signs without white space at its ends."""
+    return F.coalesce(F.length(strip(c)) >= least, F.lit(False))
+
+
+def ordered_union(*lists: Column) -> Column:
+    """Distinct items of several lists in order of first appearance; null lists are
+    empty (U5)."""
+    return F.array_distinct(F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull())))
+
+
+def token_windows(n: Column, width: int = 510, keep: int = 255) -> Column:
+    """array<struct<start, end>> of windows over ``n`` tokens that share ``keep``."""
+    step = width - keep
+    last = F.greatest(F.lit(0), F.ceil((n - width) / step).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step).alias("start"), F.least(n, i * step + width).cast("int").alias("end")))
+
+
+def window_of(n: Column, token: Column, width: int = 510, keep: int = 255) -> Column:
+    """(window, offset) of a token's place: the last window that holds it, where it has
+    most to its left (W11)."""
+    step = width - keep
+    last = F.greatest(F.lit(0), F.ceil((n - width) / step).cast("int"))
+    at = F.least(last, F.floor(token / step).cast("int"))
+    return F.struct(at.alias("window"), (token - at * step).alias("offset"))

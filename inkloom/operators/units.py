@@ -1,4 +1,4 @@
-"""Subject-verb-object units out of a token table, and sense scores (survey M2, M3, F14-F17, J5, M26, A36, H22).
+"""Subject-verb-object units out of a token table (survey M1-M3, H22, J25).
 
 The rules work on one sentence's tokens (i, text, lemma, pos, dep, head); a parser
 is plugged in where one is at hand.
@@ -6,12 +6,11 @@ is plugged in where one is at hand.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 SUBJECTS, PASSIVE, OBJECTS = {"nsubj", "csubj"}, {"nsubjpass", "nsubj:pass"}, {"dobj", "obj", "attr", "oprd", "pobj"}
 AGENTS, NEGATION = {"agent", "obl:agent"}, {"neg"}
@@ -137,37 +136,13 @@ def extract_units(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("sent_id").applyInPandas(run, "sent_id long, svo_id int, subject string, verb string, negated boolean, object string, object_head string")
 
 
-def rank_overlap(a: Sequence[str], b: Sequence[str], p: float = 0.9) -> float:
-    """Rank-biased overlap of two lists, extrapolated (F16)."""
-    depth = min(len(a), len(b))
-    if not depth:
-        return 0.0
-    x, y, total, overlap = set(), set(), 0.0, 0
-    for d in range(1, depth + 1):
-        x.add(a[d - 1])
-        y.add(b[d - 1])
-        overlap = len(x & y)
-        total += (p**d) * overlap / d
-    return (1 - p) / p * total + (overlap / depth) * p**depth
-
-
-def sense_score(mention: Sequence[float], sense: Sequence[float], mention_words: Sequence[str], sense_words: Sequence[str]) -> float:
-    """0.6 cosine + 0.3 rank overlap + 0.1 best overlap of signs."""
-    na, nb = math.sqrt(sum(v * v for v in mention)), math.sqrt(sum(v * v for v in sense))
-    cos = sum(p * q for p, q in zip(mention, sense)) / (na * nb) if na and nb else 0.0
-    signs = max((len(set(m) & set(s)) / len(set(m) | set(s)) for m in mention_words[:5] for s in sense_words[:5] if m and s), default=0.0)
-    return 0.6 * cos + 0.3 * rank_overlap(mention_words, sense_words) + 0.1 * signs
-
-
-def expansion_scores(examples: Sequence[Sequence[str]]) -> dict[str, float]:
-    """Sum of 1 / ln(1 + rank) of each lemma, its first rank in each example."""
-    out: dict[str, float] = {}
-    for words in examples:
-        for w in dict.fromkeys(words):
-            out[w] = out.get(w, 0.0) + 1 / math.log(2 + list(words).index(w))
-    return out
-
-
-def batches(rows: Sequence, size: int) -> Iterator[Sequence]:
-    for i in range(0, len(rows), size):
-        yield rows[i : i + size]
+def parsed(sentences: DataFrame, parser: Callable[[str], list[Token]]) -> DataFrame:
+    """Token table of ``sentences`` (sent_id, sentence) by a parser that is loaded in the
+    tasks (M1); null sentences have no token."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(s, t.i, t.text, t.lemma, t.pos, t.dep, t.head) for s, text in zip(pdf["sent_id"], pdf["sentence"]) if text for t in parser(text)]
+            yield pd.DataFrame(rows, columns=["sent_id", "i", "text", "lemma", "pos", "dep", "head"])
+
+    return sentences.select(F.col("sent_id").cast("long"), "sentence").mapInPandas(run, "sent_id long, i int, text string, lemma string, pos string, dep string, head int")

@@ -59,11 +59,13 @@ def assign(df: DataFrame, key: str, vector: str, centres: DataFrame) -> DataFram
     return best.select(key, (-F.col("b.back")).alias("cluster"), F.coalesce(F.try_divide(F.col("b.dot"), length(F.col("_v"))), F.lit(0.0)).alias("cos"))
 
 
-def soft_arrays(df: DataFrame, key: str, vector: str, centres: DataFrame) -> DataFrame:
+def soft_arrays(df: DataFrame, key: str, vector: str, centres: DataFrame, normalise: bool = True) -> DataFrame:
     """(``key``, soft array<struct<cluster, p>>): Student-t shares over the distance to
-    each of few centres (M11), in place: one row a row, no window."""
-    packed = centres.agg(F.array_sort(F.collect_list(F.struct("cluster", unit(F.col("centre")).alias("centre")))).alias("_c"))
-    near = df.select(key, unit(F.col(vector)).alias("_v")).crossJoin(F.broadcast(packed))
+    each of few centres (M11), in place: one row a row, no window.  Without
+    ``normalise`` lengths count, as in the two-view baseline (M15)."""
+    form = unit if normalise else lambda v: v
+    packed = centres.agg(F.array_sort(F.collect_list(F.struct("cluster", form(F.col("centre")).alias("centre")))).alias("_c"))
+    near = df.select(key, form(F.col(vector)).alias("_v")).crossJoin(F.broadcast(packed))
     d2 = lambda c: F.aggregate(F.zip_with("_v", c["centre"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     raw = near.select(key, F.transform("_c", lambda c: F.struct(c["cluster"].alias("cluster"), (1 / (1 + d2(c))).alias("w"))).alias("_w"))
     whole = raw.withColumn("_total", F.aggregate("_w", F.lit(0.0), lambda s, x: s + x["w"]))
@@ -221,3 +223,27 @@ def tf_idf(posts: DataFrame, key: str) -> DataFrame:
     raw = posts.join(df, "token").crossJoin(F.broadcast(n)).withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
     return raw.join(norm, key).select(key, "token", (F.col("w") / F.col("l")).alias("weight"))
+
+
+def projected(df: DataFrame, vector: str, size: int = 768, seed: int = 42) -> DataFrame:
+    """``df`` with ``vector`` brought to ``size`` positions: shorter ones get zeros, longer
+    ones a random projection that depends on the seed and their length alone (F27)."""
+    import numpy as np
+    import pyarrow as pa
+
+    at = df.columns.index(vector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for b in batches:
+            out = []
+            for v in b.column(at).to_pylist():
+                if v is not None and len(v) > size:
+                    if len(v) not in known:
+                        known[len(v)] = np.random.default_rng(seed).normal(size=(len(v), size)) / np.sqrt(size)
+                    v = (np.asarray(v, float) @ known[len(v)]).tolist()
+                out.append(None if v is None else [*v, *[0.0] * (size - len(v))])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64())) if i == at else c for i, c in enumerate(b.columns)], b.schema.names)
+
+    kinds = ", ".join(f"`{f.name}` {'array<double>' if f.name == vector else f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, kinds)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators import anchors, bank, sequence, text
+from ..operators import anchors, bank, graph, sequence, stats, text
 from ..sources import results
 from .common import registry, table
 
@@ -232,3 +232,107 @@ def collapsed_sources(spark, sf_dir):
     """One reference a source out of the bound passages."""
     seg, passages = _segments(spark, sf_dir)
     return anchors.by_source(anchors.rebound(seg, passages, "topic"), passages)
+
+
+@query(f"""WITH u AS (SELECT DISTINCT tuple_id, TRY_CAST(sents_id AS INTEGER) AS sent_id, verb_sense AS verb, obj_head AS object, ents FROM feature_bank WHERE verb_sense IS NOT NULL), o AS (SELECT verb AS src, object AS dst FROM u WHERE object IS NOT NULL),
+n AS (SELECT sent_id, verb, unnest(ents) AS dst FROM u), e AS (SELECT min(verb) AS src, dst FROM n WHERE dst IS NOT NULL GROUP BY sent_id, dst) SELECT DISTINCT src, dst, CAST(9 AS DOUBLE) AS weight FROM (SELECT * FROM o UNION ALL SELECT src, dst FROM e) WHERE src <> dst""")
+def evidence_edges(spark, sf_dir):
+    """Edges of verbs to objects and entities, an entity once a sentence."""
+    u = table(spark, sf_dir, "feature_bank", "tuple_id", "sents_id", "verb_sense", "obj_head", "ents").select(F.expr("try_cast(sents_id as int)").alias("sent_id"), F.col("verb_sense").alias("verb"), F.col("obj_head").alias("object"), F.col("ents").alias("entities"))
+    return graph.evidence_edges(u)
+
+
+@query(f"WITH {UNITS}, p AS (SELECT DISTINCT least(verb_sense, obj_head) AS a, greatest(verb_sense, obj_head) AS b FROM u WHERE verb_sense <> obj_head), d AS (SELECT node, count(*) AS d FROM (SELECT a AS node FROM p UNION ALL SELECT b FROM p) GROUP BY node) SELECT count(*) AS nodes, CAST(coalesce(sum(d), 0) // 2 AS BIGINT) AS edges, round(avg(d), 6) AS average FROM d")
+def average_degree(spark, sf_dir):
+    """Average degree of the graph of units."""
+    pairs = graph.undirected(_units(spark, sf_dir).where("verb_sense is not null and obj_head is not null").select(F.col("verb_sense").alias("src"), F.col("obj_head").alias("dst")))
+    return graph.average_degree(pairs).withColumn("average", F.round("average", 6))
+
+
+@query(f"""WITH {UNITS}, v AS (SELECT topic_id, verb_sense FROM u WHERE verb_sense IS NOT NULL GROUP BY ALL HAVING sum(tuple_freq) >= 4), o AS (SELECT topic_id, obj_head FROM u WHERE obj_head IS NOT NULL GROUP BY ALL HAVING count(*) >= 3),
+f AS (SELECT tuple_id, v.verb_sense IS NOT NULL AS a, o.obj_head IS NOT NULL AS b FROM u LEFT JOIN v USING (topic_id, verb_sense) LEFT JOIN o USING (topic_id, obj_head)) SELECT tuple_id, a AND b AS all_salient FROM f WHERE a OR b""")
+def units_with_salient_part(spark, sf_dir):
+    """Units with a salient verb or object, and whether both are."""
+    u = _units(spark, sf_dir)
+    verbs = u.where("verb_sense is not null").groupBy("topic_id", "verb_sense").agg(F.sum("tuple_freq").alias("n")).where("n >= 4")
+    objects = u.where("obj_head is not null").groupBy("topic_id", "obj_head").agg(F.count("*").alias("n")).where("n >= 3")
+    return graph.salience_flags(u, "topic_id", {"verb_sense": verbs, "obj_head": objects}).select("tuple_id", "all_salient")
+
+
+@query(rf"""WITH {HEADS}, s AS (SELECT source, doc_id, seq, length(regexp_extract(line, '^(#+)', 1)) AS level, regexp_replace(line, '^#+\s*', '') AS title FROM h JOIN (SELECT DISTINCT doc_id, source FROM documents WHERE source IS NOT NULL) d USING (doc_id)),
+t AS (SELECT *, count(*) FILTER (level = 1) OVER (PARTITION BY source ORDER BY doc_id, seq) AS top FROM s) SELECT source, doc_id, seq, CASE WHEN level = 1 THEN CAST(top AS VARCHAR) WHEN level = 2 THEN top || '.' || count(*) FILTER (level = 2) OVER (PARTITION BY source, top ORDER BY doc_id, seq) END AS number FROM t""")
+def outlines_merged(spark, sf_dir):
+    """Outlines of a source's documents as one, numbered through (K4)."""
+    from ..operators import contents
+
+    d = table(spark, sf_dir, "documents", "doc_id", "source").where("source is not null").distinct()
+    parts = _headings(spark, sf_dir).join(d, "doc_id").withColumn("level", F.length(F.regexp_extract("line", "^(#+)", 1)))
+    return contents.renumbered(parts, "source", ["doc_id", "seq"]).select("source", "doc_id", "seq", "number")
+
+
+@query(r"""WITH u AS (SELECT DISTINCT topic_id, regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://', ''), '/+$', '') AS u FROM search_results WHERE url IS NOT NULL AND url <> '' AND topic_id IS NOT NULL), r AS (SELECT DISTINCT regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://', ''), '/+$', '') AS u, ref_id AS id FROM source_documents WHERE url IS NOT NULL AND url <> '')
+SELECT topic_id, list_sort(list(DISTINCT id)) AS ids FROM u JOIN r USING (u) GROUP BY topic_id""")
+def topic_reference_ids(spark, sf_dir):
+    """Ids of the sources that a topic's found addresses name."""
+    found = table(spark, sf_dir, "search_results", "topic_id", "url").where("topic_id is not null").withColumn("urls", F.array("url"))
+    refs = table(spark, sf_dir, "source_documents", "ref_id", "url").select("url", F.col("ref_id").alias("id"))
+    return sequence.ids_of_urls(found, "topic_id", "urls", refs)
+
+
+@query("""WITH f AS (SELECT tuple_id, any_value(ents) AS ents, any_value(obj_head) AS obj_head FROM feature_bank GROUP BY tuple_id), l AS (SELECT tuple_id, list_concat(CASE WHEN obj_head IS NULL THEN [] ELSE [obj_head] END, coalesce(ents, []), coalesce(ents, [])) AS l FROM f)
+SELECT tuple_id, coalesce(list_transform(list_filter(list_zip(l, range(len(l))), lambda x: list_position(l, x[1]) = x[2] + 1), lambda x: x[1]), []) AS names FROM l""")
+def names_of_units(spark, sf_dir):
+    """Object and entities of a unit, each once, in order."""
+    f = table(spark, sf_dir, "feature_bank", "tuple_id", "ents", "obj_head").groupBy("tuple_id").agg(F.any_value("ents").alias("ents"), F.any_value("obj_head").alias("obj_head"))
+    own = F.when(F.col("obj_head").isNotNull(), F.array("obj_head"))
+    return f.select("tuple_id", text.ordered_union(own, F.col("ents"), F.col("ents")).alias("names"))
+
+
+SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query(rf"SELECT DISTINCT id, length(regexp_replace(content, '^{SPACE}+|{SPACE}+$', '', 'g')) >= 50 AS long_enough FROM search_results WHERE content IS NOT NULL")
+def long_pages(spark, sf_dir):
+    """Pages with enough text to be read."""
+    return table(spark, sf_dir, "search_results", "id", "content").where("content is not null").select("id", text.long_enough(F.col("content")).alias("long_enough")).distinct()
+
+
+@query(r"""WITH t AS (SELECT id AS topic_id, lower(title) AS core FROM topics), c AS (SELECT topic_id, replace(replace(replace(replace(replace(replace(replace(replace(core, '技术白皮书', ''), '白皮书', ''), '技术', ''), '发展', ''), '研究', ''), '系统', ''), '平台', ''), '方案', '') AS core FROM t),
+a AS (SELECT topic_id, list_distinct(list_concat(regexp_extract_all(core, '[a-z][a-z0-9+.\-]{2,}'), flatten(list_transform(regexp_extract_all(core, '[\x{4e00}-\x{9fff}]+'), lambda r: CASE WHEN length(r) <= 3 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: r[i:i + 1]) END)))) AS a FROM c),
+s AS (SELECT DISTINCT ref_id, topic_id, lower(body) AS body FROM source_documents WHERE body IS NOT NULL), j AS (SELECT ref_id, s.topic_id, a, list_filter(a, lambda x: contains(body, x)) AS h FROM s JOIN a USING (topic_id))
+SELECT ref_id, topic_id, bool_or(CASE WHEN len(a) = 0 THEN true WHEN len(list_filter(a, lambda x: regexp_matches(x, '^[a-z]'))) > 0 THEN len(list_filter(h, lambda x: regexp_matches(x, '^[a-z]'))) > 0 ELSE len(h) >= CASE WHEN len(a) <= 2 THEN 1 ELSE 2 END END) AS relevant FROM j GROUP BY ALL""")
+def relevant_sources(spark, sf_dir):
+    """Sources that speak of their topic by its anchors."""
+    topics = table(spark, sf_dir, "topics", "id", "title").select(F.col("id").alias("topic_id"), text.anchors(F.col("title")).alias("a"))
+    s = table(spark, sf_dir, "source_documents", "ref_id", "topic_id", "body").where("body is not null").join(topics, "topic_id")
+    return s.groupBy("ref_id", "topic_id").agg(F.bool_or(text.is_relevant(F.col("a"), F.col("body"))).alias("relevant"))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS book, max(l_linenumber) AS longest FROM lineitem GROUP BY book), p AS (SELECT book, l_returnflag AS category, avg(l_linenumber / longest) AS at_, count(*) AS n FROM lineitem JOIN m ON book = l_orderkey GROUP BY ALL)
+SELECT category, count(*) AS books, round(avg(at_), 6) AS mean_at, round(quantile_cont(at_, 0.5), 6) AS median_at, round(quantile_cont(at_, 0.9), 6) AS p90_at, round(avg(n), 6) AS mean_n FROM p GROUP BY category""")
+def category_place_stats(spark, sf_dir):
+    """Where a category stands in its books, over books."""
+    l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_linenumber").select(F.col("l_orderkey").alias("book"), F.col("l_returnflag").alias("category"), F.col("l_linenumber").alias("seq"))
+    return stats.category_stats(l, "book", "category", "seq").select("category", "books", *(F.round(c, 6).alias(c) for c in ("mean_at", "median_at", "p90_at", "mean_n")))
+
+
+@query("""WITH d AS (SELECT DISTINCT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, n, greatest(0, CAST(ceil((n - 510) / 255.0) AS INTEGER)) AS last FROM d)
+SELECT doc_id, last + 1 AS windows, CAST(last * 255 AS INTEGER) AS last_start, CAST(least(n, last * 255 + 510) AS INTEGER) AS last_end, CAST(least(last, n // 2 // 255) AS INTEGER) AS middle FROM w""")
+def overlapping_windows(spark, sf_dir):
+    """Windows over each text's places, and the one that holds its middle."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.length("text").alias("n")).distinct()
+    w = d.withColumn("w", text.token_windows(F.col("n")))
+    last = F.element_at("w", -1)
+    return w.select("doc_id", F.size("w").alias("windows"), last["start"].alias("last_start"), last["end"].alias("last_end"), text.window_of(F.col("n"), F.floor(F.col("n") / 2))["window"].alias("middle"))
+
+
+@query("""WITH e AS (SELECT DISTINCT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), l AS (SELECT label, unnest(range(len(v))) AS pos, unnest(v) AS x FROM e), c AS (SELECT label, pos, avg(x) AS m FROM l GROUP BY ALL), k AS (SELECT label AS cluster, list(m ORDER BY pos) AS c FROM c GROUP BY label),
+w AS (SELECT vec_id, cluster, 1 / (1 + list_distance(v, c) ** 2) AS w FROM e, k) SELECT vec_id, cluster, round(w / sum(w) OVER (PARTITION BY vec_id), 5) AS p FROM w""")
+def student_t_plain(spark, sf_dir):
+    """Soft shares over plain distances, as the two-view baseline has them."""
+    from ..operators import vectors
+
+    e = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding").dropDuplicates(["vec_id"])
+    centres = vectors.as_arrays(vectors.mean_vectors(e, "label", "embedding"), "label", "centre").withColumnRenamed("label", "cluster")
+    soft = vectors.soft_arrays(e, "vec_id", "embedding", centres, normalise=False).select("vec_id", F.inline("soft"))
+    return soft.select("vec_id", "cluster", F.round("p", 5).alias("p"))

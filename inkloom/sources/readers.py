@@ -1,4 +1,4 @@
-"""Readers of the corpus' files (survey S1, S2, S4, S5, S8-S13, S19-S22, K1-K3, K5, K8).
+"""Readers of the corpus' files (survey S1-S5, S8-S11, S13, S19-S22, K2, K5-K8).
 
 Every reader gives a DataFrame with an explicit schema; files are read by
 executors, never by the driver.
@@ -120,3 +120,9 @@ def listing_lines(items: DataFrame, cluster: str, freq: str, rank: str, item: st
     """(line) of a cluster listing (K2)."""
     g = items.groupBy(cluster).agg(F.sum(freq).alias("f"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, item))), lambda x: x[item]), ", ").alias("body"))
     return g.select(F.format_string("Topic %d (%d): %s", F.col(cluster), F.col("f"), "body").alias("line"))
+
+
+def tasks(df: DataFrame, value: str = "value") -> DataFrame:
+    """(topic, domain) of task files: objects of a domain and its topics."""
+    t = df.select(F.explode(F.from_json(value, "array<struct<domain:string,topics:array<string>>>")).alias("t"))
+    return t.select(F.col("t.domain").alias("domain"), F.explode("t.topics").alias("topic")).where(F.trim("topic") != "").select("topic", "domain").dropDuplicates(["topic"])

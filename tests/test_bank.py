@@ -157,3 +157,76 @@ def test_reports_and_places(spark, tmp_path):
     topics = spark.createDataFrame([("a", "energy"), ("b", "x"), ("c", None)], "id string, domain string")
     known = spark.createDataFrame([("energy", 3)], "domain string, n int")
     assert {x.id: x.route for x in results.report_domain(topics, known).collect()} == {"a": "energy", "b": "generic", "c": "generic"}
+
+
+def test_edges_of_a_graph(spark):
+    from inkloom.operators import graph
+
+    u = spark.createDataFrame([(1, "run", "pump", ["Ada"]), (1, "stop", None, ["Ada", None]), (2, None, "x", ["y"]), (3, "a", "a", None)], "sent_id int, verb string, object string, entities array<string>")
+    near = spark.createDataFrame([("pump", "water", 2.0, "zh"), ("pump", "eau", 5.0, "fr"), ("pump", "w", 0.5, "zh"), ("other", "z", 3.0, "zh"), ("run", "pump", 1.0, "zh")], "src string, dst string, weight double, lang string")
+    got = {(r.src, r.dst): r.weight for r in graph.evidence_edges(u, near).collect()}
+    assert got == {("run", "pump"): 9.0, ("run", "Ada"): 9.0, ("pump", "water"): 2.0}
+    assert graph.evidence_edges(u.where("false")).count() == 0
+
+
+def test_services(spark, tmp_path):
+    from inkloom.functions import services
+
+    pool = services.KeyPool(["bad", "good"])
+
+    def ask(key):
+        if key == "bad":
+            raise RuntimeError("quota")
+        return key
+
+    assert [pool.call(ask) for _ in range(3)] == ["good"] * 3
+    with pytest.raises(RuntimeError):
+        services.KeyPool(["bad"]).call(ask)
+    q = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "q string")
+
+    def engine(key, text):
+        if key == "k1" or text == "b":
+            raise RuntimeError("no")
+        return [{"url": f"u/{text}", "title": "t"}, {"url": "seen"}]
+
+    seen = spark.createDataFrame([("seen",)], "url string")
+    got = sorted((r.q, r.url, r.error) for r in services.searched(q.coalesce(1), "q", engine, ["k1", "k2"], seen).collect())
+    assert got == [("a", "u/a", None), ("b", None, "no")]
+    path = str(tmp_path / "memo")
+
+    def fetch(k):
+        if k == "b":
+            raise RuntimeError("down")
+        return k.upper()
+
+    assert [tuple(r) for r in services.fetched(q, "q", fetch, path, tries=1).collect()] == [("a", "A")]
+    assert sorted(tuple(r) for r in services.fetched(q, "q", str.title, path, tries=1).collect()) == [("a", "A"), ("b", "B")]
+    bad = spark.createDataFrame([(1, None), (2, "x" * 500)], "k int, e string")
+    r = services.failures(bad, "k", F.when(F.col("e").isNotNull(), "error"), F.col("e")).collect()
+    assert len(r) == 1 and len(r[0].detail) == 300
+    plan = spark.createDataFrame([("s", "c1", "平均时延在第二阶段 下降到"), ("s", "c2", "短"), ("s", "c3", "这句话并不在任何一段证据里面")], "section string, child string, quote string")
+    held = spark.createDataFrame([("s", "其中平均时延在第二阶段下降到四十毫秒")], "section string, text string")
+    assert [x.child for x in services.quoted_children(plan, held).collect()] == ["c1"]
+    d = spark.createDataFrame([("p",), ("p",), (None,)], "prompt string")
+    assert sorted((x.prompt or "", x.reply) for x in services.complete(d, "prompt").collect()) == [("", None), ("p", "p"), ("p", "p")]
+
+
+def test_small_columns(spark):
+    from inkloom.operators import contents, sequence, text, units, vectors
+    from inkloom.sources import readers
+
+    r = spark.range(1).select(text.token_windows(F.lit(1000)).alias("w"), text.window_of(F.lit(1000), F.lit(600)).alias("o"), text.ordered_union(F.array(F.lit(2), F.lit(1)), F.lit(None).cast("array<int>"), F.array(F.lit(1), F.lit(3))).alias("u"), text.long_enough(F.lit(None).cast("string")).alias("n")).first()
+    assert [(x.start, x.end) for x in r.w] == [(0, 510), (255, 765), (510, 1000)] and (r.o.window, r.o.offset) == (2, 90) and r.u == [2, 1, 3] and r.n is False
+    parts = spark.createDataFrame([("g", 1, 1, "A"), ("g", 2, 2, "x"), ("g", 3, 1, "B"), ("g", 4, 2, "y"), ("g", 5, 2, "z"), ("g", 6, 3, "q")], "g string, i int, level int, title string")
+    assert [x.number for x in contents.renumbered(parts, "g", ["i"]).orderBy("i").collect()] == ["1", "1.1", "2", "2.1", "2.2", None]
+    refs = spark.createDataFrame([("https://A.example/x/", 7), ("b.example", 3), (None, 9)], "url string, id int")
+    asked = spark.createDataFrame([("k", ["http://a.example/x", "b.example/", None]), ("m", ["zz"]), ("n", None)], "k string, urls array<string>")
+    assert [tuple(x) for x in sequence.ids_of_urls(asked, "k", "urls", refs).collect()] == [("k", [3, 7])]
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (2, [float(i) for i in range(9)]), (3, None)], "i int, v array<double>").coalesce(1)
+    got = [x.v for x in vectors.projected(v, "v", 4).collect()]
+    assert got[0] == [1.0, 2.0, 0.0, 0.0] and len(got[1]) == 4 and got[2] is None
+    assert got[1] == vectors.projected(v.where("i = 2"), "v", 4).first().v
+    t = spark.createDataFrame([('[{"domain": "d", "topics": ["a", " ", "b"]}]',), ("no json",)], "value string")
+    assert sorted(tuple(x) for x in readers.tasks(t).collect()) == [("a", "d"), ("b", "d")]
+    tokens = units.parsed(spark.createDataFrame([(1, "a b"), (2, None)], "sent_id int, sentence string"), lambda s: [units.Token(i, w, w, "NOUN", "ROOT", i) for i, w in enumerate(s.split())])
+    assert tokens.count() == 2
