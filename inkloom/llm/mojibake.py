@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -115,7 +116,7 @@ def _single_spans(text: str, codec: str) -> list[tuple[int, int, str]]:
     back, pattern = _single(codec)
     out, matches = [], list(pattern.finditer(text))
     for m in matches:
-        for x, y, now in _likely_parts(bytes(back[ord(c)] for c in m.group())):
+        for x, y, now in _likely_parts(m.group().translate(back).encode("latin-1")):
             was = m.group()[x:y]
             a, b = m.start() + x, m.start() + y
             before, after = text[a - 1 : a], text[b : b + 1]
@@ -135,7 +136,7 @@ def _single_spans(text: str, codec: str) -> list[tuple[int, int, str]]:
         lines = {text.rfind("\n", 0, a) for a, _, _ in out}
         for m in matches:
             if text.rfind("\n", 0, m.start()) in lines:
-                out += [(m.start() + u.start(), m.start() + u.end(), u.group().decode("utf-8", "replace")) for u in _UTF8.finditer(bytes(back[ord(c)] for c in m.group()))]
+                out += [(m.start() + u.start(), m.start() + u.end(), u.group().decode("utf-8", "replace")) for u in _UTF8.finditer(m.group().translate(back).encode("latin-1"))]
     return out
 
 
@@ -237,12 +238,15 @@ _SHORT = [
 ]
 
 
+@functools.cache
+def _to_latin() -> dict[int, int | None]:
+    """Signs of cp1252's rows 80-9F as the controls of the same bytes."""
+    return {c: b for c, b in _single("cp1252")[0].items() if c > 0xFF}
+
+
 def _back(run: str, codec: str) -> bytes | None:
-    if codec == "cp1252":
-        back = _single(codec)[0]
-        return bytes(back[ord(c)] if ord(c) > 0x7F else ord(c) for c in run) if all(ord(c) < 0x80 or ord(c) in back for c in run) else None
     try:
-        return run.encode(codec)
+        return run.translate(_to_latin()).encode("latin-1") if codec == "cp1252" else run.encode(codec)
     except UnicodeEncodeError:
         return None
 
@@ -259,7 +263,7 @@ def _dense() -> re.Pattern:
 
 def _run_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans of another multibyte encoding than UTF-8."""
-    out = []
+    out, sure_of = [], defaultdict(list)
     dense, pair, kana = _dense().search(text), _pair().search(text), _KANA_LEAD.search(text)
     for kind, pattern, codec, target in _RUNS:
         if not (dense if kind.startswith("han") else kana if kind.startswith("kana") else pair):
@@ -288,6 +292,7 @@ def _run_spans(text: str) -> list[tuple[int, int, str]]:
                     sure = len(now) >= 2 and sum(map(_written, now)) >= 0.6 * len(now) and sum("一" <= c <= "鿿" for c in now) >= 2
                 if sure:
                     out.append((m.start(), m.start() + len(piece), now))
+                    sure_of[codec, target].append(out[-1])
                     # a line that the same pair of encodings reads as a whole is garbled as a whole
                     a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
                     b = b if b >= 0 else len(text)
@@ -299,9 +304,9 @@ def _run_spans(text: str) -> list[tuple[int, int, str]]:
                         if sum(c.isascii() or _written(c) for c in now) >= 0.9 * len(now):
                             out.append((a, b, now))
                     break
-    for kind, letters, codec, target in _SHORT if out else ():
+    for kind, letters, codec, target in _SHORT:
         more = []
-        for m in letters.finditer(text):
+        for m in letters.finditer(text) if sure_of[codec, target] else ():
             if (data := _back(m.group(), codec)) is not None:
                 try:
                     now = data.decode(target)
@@ -309,8 +314,7 @@ def _run_spans(text: str) -> list[tuple[int, int, str]]:
                     continue
                 if all("а" <= c.lower() <= "я" or c in "Ёё" for c in now) if kind == "cyrillic" else all(map(_written, now)):
                     more.append((m.start(), m.end(), now))
-        sure = [x for x in out if _back(text[x[0] : x[1]], codec) is not None and _back(text[x[0] : x[1]], codec).decode(target, "replace") == x[2]]
-        out += _beside(text, sure, more)
+        out += _beside(text, sure_of[codec, target], more) if more else []
     return out
 
 
