@@ -461,8 +461,14 @@ def is_garbled(text: str) -> bool:
 
 
 def restore(text: str) -> str:
-    """Restored until no span is left, however often it was garbled.  Restoring makes a
-    text shorter or its words likelier; one that comes back to an earlier form stops."""
+    """Restored line by line until no span is left, however often it was garbled: no
+    span crosses a line end, and only lines that changed are looked at again.
+    Restoring makes a line shorter or its words likelier; one that comes back to an
+    earlier form stops."""
+    return "\n".join(line if line.isascii() else _restore_line(line) for line in text.split("\n"))
+
+
+def _restore_line(text: str) -> str:
     seen = set()
     while text not in seen and (found := spans(text)):
         seen.add(text)
@@ -493,9 +499,11 @@ def _cluster() -> re.Pattern:
 
 
 def restore_if_odd(text: str) -> str:
-    """restore() for readers that only need long damage mended: text without odd
-    signs is taken as it is."""
-    return restore(text) if _odd().search(text) or _cluster().search(text) else text
+    """restore() for readers that only need long damage mended: lines without odd signs
+    are taken as they are."""
+    if not (_odd().search(text) or _cluster().search(text)):
+        return text
+    return "\n".join(_restore_line(line) if _odd().search(line) or _cluster().search(line) else line for line in text.split("\n"))
 
 
 def garbled_ids(results: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
