@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import boilerplate, clusters, lookalike, mojibake, packing, sentences, site_lines, splitting, templates, tokenizing
-from .common import table, written
+from .common import shared_dir, table, written
 
 
 def _tuple_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +90,16 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("field", "rec_id", "chunk_id", "max_size", "piece", "start", "end", "text")
 
 
+def p5_file_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts of ``documents`` as a few large files in the shared folder, cut by byte
+    ranges without loading any whole; the limit is that of ``Document.text``."""
+    limit = table(spark, sf_dir, "size_limits").where("unit = 'char' and field = 'Document.text' and max_size > 0").agg(F.max("max_size"), F.max_by("overlap", "max_size")).first()
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents", "text").where("text is not null").select(F.col("text").alias("value")).write.text(path)
+    cut = written(splitting.file_ranges(spark, path, limit[0] or splitting.RANGE, limit[1] or 0), "file-ranges")
+    return splitting.piece_texts(cut, splitting.pieces(cut)).select(F.col("rec_id").alias("file"), "piece", "start", "end", "text")
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Both tables of pages as (k, title, t), each row once, without the records of
     p2_found."""
