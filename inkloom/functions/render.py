@@ -1,4 +1,4 @@
-"""Reports: Markdown tables, outlines and HTML (survey K4, K8-K10, F28, L14)."""
+"""Reports: Markdown tables, outlines and HTML (survey K4, K8-K10, F28, H23, L14)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import html
 import re
 from collections.abc import Mapping, Sequence
 
+from pyspark.sql import Column, functions as F
+
 
 def template(text: str, values: Mapping[str, str]) -> str:
     """Prompt with its {names} filled in; a missing one is an error."""
@@ -75,3 +77,18 @@ def to_html(title: str, markdown: str) -> str:
             out.append(f"<p>{inline(line.strip())}</p>")
         i += 1
     return f'<!doctype html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body>{"".join(out)}</body></html>'
+
+
+def rubric(metrics: Mapping[str, str], low: int = 0, high: int = 5) -> str:
+    """Text that tells a judge the metrics and the form of its reply."""
+    lines = [f"{i}. {name}: {told}" for i, (name, told) in enumerate(metrics.items(), 1)]
+    return "\n".join([f"Score each metric from {low} to {high}.", *lines, "Reply with one line per metric: name: score"])
+
+
+def judged_prompt(task: str, metrics: Mapping[str, str], **fields: Column) -> Column:
+    """Prompt column: the task, the rubric and each field under its name; a null field is
+    an empty one (H23)."""
+    parts = [F.lit(task), F.lit(rubric(metrics))]
+    for name, c in fields.items():
+        parts.append(F.concat(F.lit(f"[{name}]\n"), F.coalesce(c, F.lit(""))))
+    return F.concat_ws("\n\n", *parts)

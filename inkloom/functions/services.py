@@ -1,4 +1,4 @@
-"""Boundary to language models and the web (survey §2.10 L*, S23-S25, M4, M5).
+"""Boundary to language models and the web (survey §2.10 L*, F22, F24, H13, S23-S27, M4, M5, X3, X4).
 
 A client is passed in and called in batches inside the tasks, with retries; the
 stub answers by rule, offline, and is no substitute in quality.

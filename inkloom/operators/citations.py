@@ -1,4 +1,4 @@
-"""Citation and claim checks (survey A25-A27, F10, F12, F19, J14, J15, P17, P20, P21)."""
+"""Citation and claim checks (survey A25, A26, F10, F12, F19, J14, J15, P17, P20, P21)."""
 
 from __future__ import annotations
 

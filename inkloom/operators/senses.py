@@ -1,4 +1,4 @@
-"""Choice of word senses over tables (survey A36, F15-F18, H20, J5, M26, P16, P19)."""
+"""Choice of word senses over tables (survey A36, F15-F18, H20, J5, M26, P16, P19, T2)."""
 
 from __future__ import annotations
 
@@ -89,3 +89,15 @@ def is_verb(word: Column, known: Sequence[str], suffixes: Sequence[str], prefixe
     for p in prefixes:
         test = test | (word.startswith(p) & (F.length(word) > len(p)))
     return test if tag is None else test | F.coalesce(F.upper(tag).startswith("V"), F.lit(False))
+
+
+def mask_candidates(masks: Column, most: int = 50) -> Column:
+    """array<struct<word, weight>> of a word of several masked positions, each with its
+    candidates (array<array<struct<word, weight>>>, best first): candidates of equal rank
+    are put together, their weights by geometric mean (T2 behind its model)."""
+    depth = F.least(F.lit(most), F.coalesce(F.array_min(F.transform(masks, lambda m: F.size(m))), F.lit(0)))
+    at = lambda i: F.transform(masks, lambda m: F.get(m, i))
+    weight = lambda i: F.exp(F.aggregate(at(i), F.lit(0.0), lambda s, x: s + F.log(F.greatest(x["weight"], F.lit(1e-12)))) / F.greatest(F.size(masks), F.lit(1)))
+    word = lambda i: F.array_join(F.transform(at(i), lambda x: F.regexp_replace(x["word"], "^##", "")), "")
+    ranks = F.when(depth > 0, F.sequence(F.lit(0), depth - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(ranks, lambda i: F.struct(word(i).alias("word"), weight(i).alias("weight")))

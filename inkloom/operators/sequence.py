@@ -1,4 +1,4 @@
-"""Keep-first, fill-down, top-k, ranks and paths (survey W1-W10, W14, W15, W17, W18, T6, T7, T10, T11, J13, J19-J23, U2)."""
+"""Keep-first, fill-down, top-k, ranks and paths (survey W1-W10, W14, W15, W17, W18, T6, T7, T10, T11, J13, J19-J23, U2, H5)."""
 
 from __future__ import annotations
 
@@ -105,3 +105,13 @@ def ids_of_urls(df: DataFrame, key: str, urls: str, references: DataFrame) -> Da
     known = references.where("url is not null and url <> ''").select(plain(F.col("url")).alias("_u"), "id").distinct()
     each = df.select(key, F.explode(urls).alias("_u")).where("_u is not null and _u <> ''").select(key, plain(F.col("_u")).alias("_u")).distinct()
     return each.join(known, "_u").groupBy(key).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+def offset_ids(df: DataFrame, group: str, query: Sequence[str], rank: str, name: str = "id") -> DataFrame:
+    """``df`` with ids from 1 that run on over a group's queries: the number of results of
+    the queries before, and the rank in its own (H5).  Counts are summed, not rows."""
+    n = df.groupBy(group, *query).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(group).orderBy(*query).rowsBetween(Window.unboundedPreceding, -1)
+    before = n.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(group, *query).orderBy(rank))
+    return df.withColumn("_own", own).join(before, [group, *query]).withColumn(name, F.col("_before") + F.col("_own")).drop("_own", "_before")

@@ -336,3 +336,12 @@ def student_t_plain(spark, sf_dir):
     centres = vectors.as_arrays(vectors.mean_vectors(e, "label", "embedding"), "label", "centre").withColumnRenamed("label", "cluster")
     soft = vectors.soft_arrays(e, "vec_id", "embedding", centres, normalise=False).select("vec_id", F.inline("soft"))
     return soft.select("vec_id", "cluster", F.round("p", 5).alias("p"))
+
+
+@query("""WITH d AS (SELECT DISTINCT topic_id, search_query, id FROM search_results WHERE topic_id IS NOT NULL AND search_query IS NOT NULL), n AS (SELECT topic_id, search_query, count(*) AS n FROM d GROUP BY ALL),
+o AS (SELECT topic_id, search_query, coalesce(sum(n) OVER (PARTITION BY topic_id ORDER BY search_query ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM n)
+SELECT d.topic_id, d.search_query, d.id AS result, CAST(before_ + row_number() OVER (PARTITION BY d.topic_id, d.search_query ORDER BY d.id) AS BIGINT) AS id FROM d JOIN o ON o.topic_id = d.topic_id AND o.search_query = d.search_query""")
+def result_numbers(spark, sf_dir):
+    """Results of a topic's queries numbered through."""
+    d = table(spark, sf_dir, "search_results", "topic_id", "search_query", "id").where("topic_id is not null and search_query is not null").distinct().withColumnRenamed("id", "result")
+    return sequence.offset_ids(d, "topic_id", ["search_query"], "result").select("topic_id", "search_query", "result", "id")

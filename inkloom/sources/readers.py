@@ -1,4 +1,4 @@
-"""Readers of the corpus' files (survey S1-S5, S8-S11, S13, S19-S22, K2, K5-K8).
+"""Readers of the corpus' files (survey S1-S5, S8-S11, S13, S19-S22, K2, K5-K8, H21).
 
 Every reader gives a DataFrame with an explicit schema; files are read by
 executors, never by the driver.
@@ -126,3 +126,12 @@ def tasks(df: DataFrame, value: str = "value") -> DataFrame:
     """(topic, domain) of task files: objects of a domain and its topics."""
     t = df.select(F.explode(F.from_json(value, "array<struct<domain:string,topics:array<string>>>")).alias("t"))
     return t.select(F.col("t.domain").alias("domain"), F.explode("t.topics").alias("topic")).where(F.trim("topic") != "").select("topic", "domain").dropDuplicates(["topic"])
+
+
+def auxiliary_vectors(spark: SparkSession, path: str, key: str, vector: str) -> DataFrame:
+    """(``key``, ``vector``) of a table of extra vectors; an empty table where there is
+    none, so that features of it become zeros (H21)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], f"{key} long, {vector} array<float>")
+    return spark.read.parquet(path).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<float>").alias(vector)).dropDuplicates([key])

@@ -230,3 +230,35 @@ def test_small_columns(spark):
     assert sorted(tuple(x) for x in readers.tasks(t).collect()) == [("a", "d"), ("b", "d")]
     tokens = units.parsed(spark.createDataFrame([(1, "a b"), (2, None)], "sent_id int, sentence string"), lambda s: [units.Token(i, w, w, "NOUN", "ROOT", i) for i, w in enumerate(s.split())])
     assert tokens.count() == 2
+
+
+def test_blocks_over_micro_batches(spark, tmp_path):
+    from inkloom.streaming import windows
+
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    rows = [[("a", 0, "x <tab", False), ("b", 0, "see [^", False)], [("a", 1, "le>1</table> y", False), ("b", 1, "3] end", True)], [("a", 2, " z", True)]]
+    for i, batch in enumerate(rows):
+        spark.createDataFrame(batch, "reply string, seq int, chunk string, last boolean").coalesce(1).write.mode("overwrite").json(str(tmp_path / f"t{i}"))
+        (part,) = (tmp_path / f"t{i}").glob("part-*.json")
+        part.rename(folder / f"{i}.json")
+    chunks = spark.readStream.schema("reply string, seq int, chunk string, last boolean").option("maxFilesPerTrigger", 1).json(str(folder))
+    q = windows.whole_blocks(chunks).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = [(r.reply, r.text) for r in spark.read.parquet(str(out)).orderBy("seq").collect()]
+    assert "".join(t for r, t in got if r == "a") == "x <table>1</table> y z" and "".join(t for r, t in got if r == "b") == "see [^3] end"
+    assert not any("<tab" in t and "</table>" not in t for _, t in got) and not any(t.endswith("[^") for _, t in got)
+
+
+def test_masks_prompts_and_extra_vectors(spark, tmp_path):
+    from inkloom.functions import render
+    from inkloom.sources import readers
+
+    kind = "m array<array<struct<word: string, weight: double>>>"
+    df = spark.createDataFrame([([[("ab", 0.4), ("c", 0.1)], [("##d", 0.9)]],), ([],)], kind).coalesce(1).select(senses.mask_candidates(F.col("m")).alias("c")).collect()
+    assert [(x.word, round(x.weight, 6)) for x in df[0].c] == [("abd", 0.6)] and not df[1].c
+    p = spark.range(1).select(render.judged_prompt("Judge.", {"clear": "is it"}, text=F.lit("T"), more=F.lit(None).cast("string")).alias("p")).first().p
+    assert p.startswith("Judge.\n\nScore each metric from 0 to 5.\n1. clear: is it") and p.endswith("[text]\nT\n\n[more]\n")
+    assert readers.auxiliary_vectors(spark, str(tmp_path / "none"), "k", "v").count() == 0
+    spark.createDataFrame([(1, [1.0]), (1, [1.0])], "k int, v array<double>").write.parquet(str(tmp_path / "some"))
+    assert readers.auxiliary_vectors(spark, str(tmp_path / "some"), "k", "v").count() == 1
