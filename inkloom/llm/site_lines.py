@@ -1,12 +1,13 @@
 """Lines repeated across one site's documents.
 
-Each body is normalised and cut into chunks by its content: a rolling hash over
-the last WINDOW characters decides where a chunk ends.  The hash starts anew at
-each line feed and a line feed always ends a chunk, since the result is asked
-for by line.  Distinct documents are counted per (site, chunk); lines of which
-every chunk is repeated often enough are the candidates, and an exact count of
-distinct documents per (site, line) confirms them.  A repeated line's chunks are
-repeated at least as often as the line, so no line is lost.
+Each body is normalised and cut into chunks by its content, line ends being signs like
+any other: a rolling hash over the last WINDOW characters decides where a chunk ends.
+Chunks whose two ends are decided within one line are the line's own: they are the same
+wherever the line stands.  Distinct documents are counted per (site, chunk); a line is
+a candidate unless one of its own chunks is too rare, and an exact count of distinct
+documents per (site, line) confirms it.  A repeated line's own chunks are repeated at
+least as often as the line, so no line is lost; a line too short for a chunk of its own
+is left to the exact count.
 
 Defined results: rows with null or empty url or null body are left out; blank
 lines never count; repeated rows of one ``ref_id`` count as one document; a site
@@ -24,9 +25,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import written
 
-WINDOW = 8
+WINDOW = 4
 #: A chunk ends on one of DIVISOR hash values, so chunks have this many characters on average.
-DIVISOR = 64
+DIVISOR = 32
 LEAST_DOCS = 5
 LEAST_SHARE = 0.1
 SALTS = 16
@@ -61,31 +62,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def chunk_lines(text: str, window: int = WINDOW, divisor: int = DIVISOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each non-blank line of normalised ``text``: its number from 0, its key,
-    and, over all lines, chunk hashes with the offsets of each line's chunks."""
+    and, over all lines, the hashes of their own chunks with the offsets of each line's."""
     codes = np.frombuffer(("\n" + text + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(codes)
     feed = codes == 10
     value = mix(codes.astype(np.uint64) + np.uint64(0x51ED27))
-    place = np.arange(n)
-    since = place - np.maximum.accumulate(np.where(feed, place, 0))
     rolling = np.zeros(n, np.uint64)
     for j in range(min(window, n)):
-        rolling[j:] += np.where(since[j:] > j, value[: n - j] * np.uint64(pow(int(_B), j, 1 << 64)), np.uint64(0))
-    ends = (mix(rolling) % np.uint64(divisor) == 0) & ~feed
-    ends[:-1] |= feed[1:] & ~feed[:-1]
+        rolling[j:] += value[: n - j] * np.uint64(pow(int(_B), j, 1 << 64))
     power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _B)]))
     back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(np.where(feed, np.uint64(0), value) * power[:n], dtype=np.uint64)])
+    total = np.concatenate([[np.uint64(0)], np.cumsum(value * power[:n], dtype=np.uint64)])
 
     def hashed(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
         return mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64) * np.uint64(seed))
 
-    stop = np.flatnonzero(ends) + 1
-    line = np.cumsum(feed)[stop - 1] - 1
-    start = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
-    start = np.maximum(start, stop - since[stop - 1])
-    chunks = hashed(start, stop, 0x7F4A7C15)
     feeds = np.flatnonzero(feed)
+    cut = np.flatnonzero(mix(rolling) % np.uint64(divisor) == 0) + 1  # a chunk ends before these places
+    start, stop = cut[:-1], cut[1:]
+    line = np.searchsorted(feeds, start, side="right") - 1  # the line that holds a chunk's first sign
+    own = (line >= 0) & (line < len(feeds) - 1) & (start - window > feeds[line]) if len(start) else np.zeros(0, bool)
+    own &= stop <= feeds[np.minimum(line + 1, len(feeds) - 1)]
+    start, stop, line = start[own], stop[own], line[own]
+    chunks = hashed(start, stop, 0x7F4A7C15)
     a, b = feeds[:-1] + 1, feeds[1:]
     full = np.flatnonzero(b > a)
     keys = hashed(a[full], b[full], 0x2545F491)
@@ -131,9 +130,11 @@ def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_share: f
         return counted.join(sizes, "site").where("n >= least").select("site", key)
 
     chunks = frequent(lines.select("site", F.explode("chunks").alias("chunk"), "ref_id"), "chunk")
-    distinct = lines.groupBy("site", "key").agg(F.first("chunks").alias("chunks"))
-    parts = distinct.select("site", "key", F.explode(F.array_distinct("chunks")).alias("chunk"), F.size(F.array_distinct("chunks")).alias("size"))
-    candidates = parts.join(chunks, ["site", "chunk"], "left_semi").groupBy("site", "key").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n = size").select("site", "key")
+    # a line of fewer rows than documents are asked for needs no look at its chunks
+    distinct = lines.groupBy("site", "key").agg(F.first("chunks").alias("chunks"), F.count("*").alias("rows")).where(F.col("rows") >= least_docs).select("site", "key", F.array_distinct("chunks").alias("chunks"))
+    parts = distinct.select("site", "key", F.size("chunks").alias("size"), F.explode_outer("chunks").alias("chunk"))
+    held = parts.join(chunks.withColumn("often", F.lit(1)), ["site", "chunk"], "left").groupBy("site", "key").agg(F.count("often").alias("n"), F.first("size").alias("size"))
+    candidates = held.where("n = size").select("site", "key")
 
     def salted(keys: DataFrame) -> DataFrame:
         return keys.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
