@@ -57,10 +57,16 @@ def term_weight(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column, k1
 LITERAL = 5000
 
 
-def asked_only(tokens: Column, queries: DataFrame, most: int = LITERAL) -> Column:
-    """``tokens`` without those no query has, if the queries have at most ``most``."""
+def asked_only(docs: DataFrame, queries: DataFrame, most: int = LITERAL) -> DataFrame:
+    """``arrays`` without the tokens that no query has, written once: frequencies,
+    lengths and counts are then read from this small table and the texts only once.
+    Where the queries have more than ``most`` tokens nothing is cut here or written."""
+    from ..session import kept
+
     wanted = [r.token for r in queries.select("token").distinct().limit(most + 1).collect()]
-    return F.filter(tokens, lambda t: t.isin(wanted)) if 0 < len(wanted) <= most else tokens
+    if len(wanted) > most:
+        return docs
+    return kept(docs.withColumn("tokens", F.filter("tokens", lambda t: t.isin(wanted)) if wanted else F.array().cast("array<string>")), "asked-tokens")
 
 
 def bm25(docs: DataFrame, keys: Sequence[str], queries: DataFrame, on: Sequence[str] = ("token",), k1: float = K1, b: float = B) -> DataFrame:
@@ -68,10 +74,10 @@ def bm25(docs: DataFrame, keys: Sequence[str], queries: DataFrame, on: Sequence[
     qtf).  ``on`` may add columns that a query and its documents share.
 
     The tokens are worked out once: those that no query has are cut inside their array,
-    and both the counts in a document and those of documents come from what is left."""
+    and lengths, counts in a document and counts of documents come from what is left."""
     shared = [c for c in on if c != "token"]
-    cut = docs.select(*keys, *shared, "dl", F.explode_outer(asked_only(F.col("tokens"), queries)).alias("token")).where("token is not null")
-    hit = cut.join(queries.select("token").distinct(), "token", "left_semi")
+    docs = asked_only(docs, queries)
+    hit = docs.select(*keys, *shared, "dl", F.explode_outer("tokens").alias("token")).where("token is not null").join(queries.select("token").distinct(), "token", "left_semi")
     tf = hit.groupBy(*keys, *shared, "dl", "token").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     scored = tf.join(df, "token").crossJoin(F.broadcast(totals(docs))).join(queries, list(on))
@@ -150,7 +156,7 @@ def claim_postings(passages: DataFrame, passage: str, text: Column, claims: Data
     scores read it several times."""
     from ..session import kept
 
-    hit = arrays(passages, [passage], text).select(passage, "dl", F.explode_outer(asked_only(F.col("tokens"), claims)).alias("token")).where("token is not null")
+    hit = asked_only(arrays(passages, [passage], text), claims).select(passage, "dl", F.explode_outer("tokens").alias("token")).where("token is not null")
     own = hit.join(claims.select("token").distinct(), "token", "left_semi")
     return kept(own.groupBy(passage, "dl", "token").agg(F.count("*").alias("tf")), "claim-postings")
 

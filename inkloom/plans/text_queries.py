@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import citations, retrieval, sequence, text
+from ..session import spread_again
 from .common import registry, table
 
 QUERIES, SQL, query = registry()
@@ -59,20 +60,22 @@ def chunk_token_stats(spark, sf_dir):
 
 
 def _topic_ranking(spark, sf_dir) -> DataFrame:
-    """(topic_id, ref_id, chunk_id, score, …) of each topic over the chunks of its own
-    sources, with the relevance and title bonus (T5, P9)."""
+    """(topic_id, ref_id, chunk_id, chars, score) of each topic over the chunks of its own
+    sources, with the relevance and title bonus (T5).  What a chunk adds to its score is
+    worked out in its own row and carried along, so the chunks are read once."""
     keys = ["ref_id", "chunk_id"]
-    c = sequence.keep_first(table(spark, sf_dir, "evidence_chunks").where("text is not null"), keys, [F.coalesce("title", F.lit("")), F.coalesce("relevance", F.lit(-1.0)), "text"])
+    raw = table(spark, sf_dir, "evidence_chunks", *keys, "title", "relevance", "text").where("text is not null")
+    c = spread_again(sequence.keep_first(raw, keys, [F.coalesce("title", F.lit("")), F.coalesce("relevance", F.lit(-1.0)), "text"]), raw)
     topics = table(spark, sf_dir, "topics", "id", "title").select(F.col("id").alias("topic_id"), F.trim("title").alias("topic"))
     asked = retrieval.query_tokens(topics, "topic_id", F.col("topic")).withColumn("topic_id", F.col("query_id"))
-    owner = table(spark, sf_dir, "source_documents", "ref_id", "topic_id").groupBy("ref_id").agg(F.min("topic_id").alias("topic_id"))
-    arrays = retrieval.arrays(c, keys, F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("text"))).join(owner, "ref_id", "left")
-    s = retrieval.bm25(arrays, keys, asked, on=("topic_id", "token")).withColumnsRenamed({"query_id": "topic_id", "score": "base"})
-    asked = asked.drop("query_id")
-    title = c.select(*keys, F.explode(F.array_distinct(text.tokens(F.coalesce("title", F.lit(""))))).alias("token")).join(owner, "ref_id")
-    bonus = title.join(asked, ["topic_id", "token"]).groupBy(*keys).agg(F.count("*").alias("common"))
-    out = s.join(c.select(*keys, "relevance", F.length("text").alias("chars")), keys).join(bonus, keys, "left")
-    return out.select("topic_id", *keys, "chars", (F.col("base") + 0.35 * F.least(F.lit(0.8), F.coalesce("relevance", F.lit(0.0))) + 0.25 * F.coalesce("common", F.lit(0))).alias("score"))
+    wanted = topics.select("topic_id", F.array_distinct(text.tokens(F.col("topic"))).alias("wanted"))
+    owner = table(spark, sf_dir, "source_documents", "ref_id", "topic_id").groupBy("ref_id").agg(F.min("topic_id").alias("topic_id")).join(wanted, "topic_id", "left")
+    common = F.coalesce(F.size(F.array_intersect(text.tokens(F.coalesce("title", F.lit(""))), F.coalesce("wanted", F.array().cast("array<string>")))), F.lit(0))
+    own = 0.35 * F.least(F.lit(0.8), F.coalesce("relevance", F.lit(0.0))) + 0.25 * common
+    docs = c.join(owner, "ref_id", "left").select(*keys, "topic_id", F.length("text").alias("chars"), own.alias("own"), F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("text")).alias("all"))
+    carried = [*keys, "chars", "own"]
+    s = retrieval.bm25(retrieval.arrays(docs, [*carried, "topic_id"], F.col("all")), carried, asked, on=("topic_id", "token"))
+    return s.select(F.col("query_id").alias("topic_id"), *keys, "chars", (F.col("score") + F.col("own")).alias("score"))
 
 
 RANKED = f"""c AS (SELECT ref_id, chunk_id, min(struct_pack(a := coalesce(title, ''), b := coalesce(relevance, -1.0), text := text, title := title, relevance := relevance)) AS s FROM evidence_chunks WHERE text IS NOT NULL GROUP BY ALL),
@@ -289,7 +292,9 @@ CANDIDATES = "rare AS (SELECT token FROM p GROUP BY token HAVING count(*) <= 200
 def _claims(spark, sf_dir):
     topics = table(spark, sf_dir, "topics", "id", "title").select(F.substring("id", 2, 10).cast("int").alias("q"), "title")
     claims = retrieval.query_tokens(topics, "q", F.col("title"))
-    passages = table(spark, sf_dir, "evidence_chunks", "ref_id", "chunk_id", "text").where("text is not null").groupBy((F.col("ref_id").cast("long") * 1000 + F.col("chunk_id")).alias("pid")).agg(F.max("text").alias("text"))
+    raw = table(spark, sf_dir, "evidence_chunks", "ref_id", "chunk_id", "text").where("text is not null")
+    passages = raw.groupBy((F.col("ref_id").cast("long") * 1000 + F.col("chunk_id")).alias("pid")).agg(F.max("text").alias("text"))
+    passages = spread_again(passages, raw)
     return claims, retrieval.claim_postings(passages, "pid", F.col("text"), claims)
 
 

@@ -57,3 +57,11 @@ def spread(df: DataFrame) -> DataFrame:
     is left as it is read, so a large one is never shuffled for this."""
     cores = min(df.sparkSession.sparkContext.defaultParallelism, FEW)
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread_again(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df``, the outcome of a shuffle of the scanned table ``source``, over as many tasks
+    as there are cores where ``source`` is read in a handful of splits: adaptive
+    execution would put a small table's rows into one task, however much work follows."""
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, FEW)
+    return df.repartition(cores) if source.rdd.getNumPartitions() <= cores else df
