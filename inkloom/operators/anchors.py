@@ -2,13 +2,18 @@
 
 Segments and passages meet over shared tokens; a passage is scored as in
 ``retrieval.lexical_scores``.  The choice of a passage is a ``min_by`` over the
-candidates of a segment, so no segment's candidates are gathered."""
+candidates of a segment, so no segment's candidates are gathered.  Where a whole scope
+meets, its pairs grow with its square and are scored block by block in the tasks, which
+give out the best of a block only."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from . import citations
 from .evidence import words
@@ -18,6 +23,19 @@ from .text import numeric_values
 FACTUAL = r"达到|提升|降低|支持|采用|包括|实现|标准|要求|根据|显示|表明|应当|必须"
 #: Least scores of a passage for a numeric and for another segment.
 NUMERIC, PLAIN, SHORTEST = 4.0, 8.0, 24
+#: What a passage of another source must score at least, and more than one of the cited source.
+OTHER, MORE = 4.0, 1
+#: Segments' tokens up to which the passages' other tokens are cut before they are written.
+VOCABULARY = 20000
+#: Passages and segments of a scope that meet in one task, at about.
+BLOCK = 1 << 14
+#: Far more than the rounding of a score and of the sums behind it.
+NEAR = 1e-6
+
+
+def _score(u: Column, n: Column, m: Column) -> Column:
+    """Of ``u`` shared tokens of ``n`` of a segment and ``m`` of a passage."""
+    return F.round(u + 4.0 * u / n + 2.0 * u / F.sqrt(m.cast("double")), 9)
 
 
 def passage_scores(segments: DataFrame, passages: DataFrame, within: Sequence[str]) -> DataFrame:
@@ -27,13 +45,17 @@ def passage_scores(segments: DataFrame, passages: DataFrame, within: Sequence[st
     asked = segments.select("seg", *within, words(F.col("text")).alias("q")).select("seg", *within, F.size("q").alias("n"), F.explode("q").alias("token"))
     held = passages.select("pid", *within, words(F.col("text")).alias("w")).select("pid", *within, F.size("w").alias("m"), F.explode("w").alias("token"))
     s = asked.join(held, [*within, "token"]).groupBy("seg", "pid").agg(F.count("*").alias("u"), F.first("n").alias("n"), F.first("m").alias("m"))
-    score = F.col("u") + 4.0 * F.col("u") / F.col("n") + 2.0 * F.col("u") / F.sqrt(F.col("m").cast("double"))
-    return s.select("seg", "pid", F.round(score, 9).alias("score"))
+    return s.select("seg", "pid", _score(F.col("u"), F.col("n"), F.col("m")).alias("score"))
+
+
+def _squeezed(c: Column) -> Column:
+    """A text as its numbers are looked for."""
+    return F.translate(F.lower(F.regexp_replace(c, r"\s+", "")), "％～—", "%~-")
 
 
 def has_numbers(segment: Column, passage: Column) -> Column:
     """Whether ``passage`` has every number of ``segment``; true where it has none."""
-    plain = F.translate(F.lower(F.regexp_replace(passage, r"\s+", "")), "％～—", "%~-")
+    plain = _squeezed(passage)
     return F.forall(numeric_values(segment), lambda n: F.contains(plain, n))
 
 
@@ -44,6 +66,87 @@ def _best(scored: DataFrame, segments: DataFrame, passages: DataFrame) -> DataFr
     return full.groupBy("seg").agg(F.max_by(F.struct("pid", "ref", "score"), F.struct(F.col("score"), -F.col("pid"))).alias("b"))
 
 
+def _held(passages: DataFrame, scope: str, segments: DataFrame) -> DataFrame:
+    """``passages`` (pid, ref, text, ``scope``) as (pid, ref, ``scope``, length, digest, m, w,
+    plain), written once: the number of their tokens, those that ``segments`` (q, numbers)
+    have, of all where these are many, and the text for numbers if a segment has any."""
+    from ..session import kept
+
+    wanted = [r.t for r in segments.select(F.explode("q").alias("t")).distinct().limit(VOCABULARY + 1).collect()]
+    numeric = not segments.where(F.size("numbers") > 0).isEmpty()
+    own = F.col("w") if len(wanted) > VOCABULARY else F.filter("w", lambda t: t.isin(wanted)) if wanted else F.array().cast("array<string>")
+    plain = _squeezed(F.col("text")) if numeric else F.lit(None).cast("string")
+    told = passages.select("pid", "ref", scope, F.length("text").alias("length"), F.left(F.sha1("text"), F.lit(16)).alias("digest"), words(F.col("text")).alias("w"), plain.alias("plain"))
+    return kept(told.withColumn("m", F.size("w")).withColumn("w", own), "held-passages")
+
+
+def _meet(asked: pa.Table, held: pa.Table, scope: str, least: float, out: pa.Schema) -> pa.Table:
+    """Of a block's passages those that may be the best of a segment: all within NEAR of
+    the best that has its numbers, of equal counts the least; none below ``least``."""
+    if not asked.num_rows or not held.num_rows:
+        return out.empty_table()
+    held = held.sort_by("pid")
+    q, w = (pc.split_pattern(t[c].combine_chunks(), " ") for t, c in ((asked, "q"), (held, "w")))
+    known = pc.unique(q.flatten())
+    tokens, ends = pc.index_in(q.flatten(), value_set=known).to_numpy(), np.cumsum(pc.list_value_length(q).to_numpy())
+    at = pc.index_in(w.flatten(), value_set=known).fill_null(-1).to_numpy()
+    order = np.argsort(at, kind="stable")
+    rows = np.repeat(np.arange(len(w)), pc.list_value_length(w).to_numpy())[order]
+    begin = np.searchsorted(at[order], np.arange(len(known) + 1))
+    m = held["m"].to_numpy().astype(np.int64)
+    share = 2.0 / np.sqrt(m)
+    numbers, plain = asked["numbers"].to_pylist(), held["plain"].to_pylist() if held["plain"].null_count < held.num_rows else [None] * held.num_rows
+    has = lambda i, own: plain[i] is not None and all(x in plain[i] for x in own)
+    found: list[tuple[np.ndarray, ...]] = []
+    for k, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends)):
+        u = np.bincount(np.concatenate([rows[begin[t] : begin[t + 1]] for t in tokens[a:b]]), minlength=len(m))
+        s = u * (1 + 4.0 / (b - a) + share)
+        if numbers[k]:
+            by = np.flatnonzero(s >= least - NEAR)
+            by = by[np.argsort(-s[by], kind="stable")]
+            best = next((s[i] for i in by if has(i, numbers[k])), -1.0)
+            near = np.array(sorted(i for i in by[s[by] >= best - NEAR] if s[i] <= best + NEAR and has(i, numbers[k])) if best >= 0 else [], dtype=np.int64)
+        else:
+            near = np.flatnonzero(s >= max(s.max(), least) - NEAR)
+        near = near[np.sort(np.unique(u[near] * (m.max() + 1) + m[near], return_index=True)[1])]
+        found.append((np.full(len(near), k), near, u[near], np.full(len(near), b - a)))
+    k, i, u, n = (np.concatenate(x) for x in zip(*found))
+    left, right = asked.take(k), held.take(i)
+    return pa.table([left[scope], left["text"], right["pid"], right["ref"], right["digest"], pa.array(u), pa.array(n), right["m"]], schema=out)
+
+
+def _best_of_scope(own: DataFrame, held: DataFrame, scope: str, least: float) -> DataFrame:
+    """(``scope``, text, any): of a scope's passages that have a text's numbers the one of
+    best score, the least of equals; none below ``least``.
+
+    Equal texts of a scope are asked for once.  A scope of many passages or texts is cut
+    into blocks, each pair of which meets in one task; only the large ones, of which there
+    are at most one a BLOCK of rows, go to all tasks by their count."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    texts = own.where(F.col(scope).isNotNull() & (F.size("q") > 0)).groupBy(scope, "text").agg(F.first("q").alias("q"), F.first("numbers").alias("numbers"))
+    told = held.where(F.col(scope).isNotNull() & (F.size("w") > 0))
+    parts = lambda df, name: F.broadcast(df.groupBy(scope).agg(F.ceil(F.count("*") / BLOCK).alias(name)).where(F.col(name) > 1))
+    big = parts(told, "_parts"), parts(texts, "_shares")
+
+    def cut(df: DataFrame, key: str, own_n: str, other_n: str) -> DataFrame:
+        n, other = F.coalesce(own_n, F.lit(1)), F.coalesce(other_n, F.lit(1))
+        at = F.pmod(F.xxhash64(key), n), F.explode(F.sequence(F.lit(0).cast("long"), other - 1))
+        names = "_part", "_share"
+        both = df.join(big[0], scope, "left").join(big[1], scope, "left")
+        return both.select(*df.columns, *(x.alias(c) for x, c in zip(at, names if own_n == "_parts" else names[::-1])))
+
+    asked = cut(texts.withColumn("q", F.array_join("q", " ")), "text", "_shares", "_parts")
+    given = cut(told.select("pid", "ref", scope, "digest", "m", F.array_join("w", " ").alias("w"), "plain"), "pid", "_parts", "_shares")
+    kinds = {f.name: f.dataType for f in held.schema.fields}
+    out = T.StructType([T.StructField(scope, kinds[scope]), T.StructField("text", T.StringType()), *(T.StructField(c, kinds[c]) for c in ("pid", "ref", "digest")), T.StructField("u", T.LongType()), T.StructField("n", T.LongType()), T.StructField("m", T.IntegerType())])
+    arrow = to_arrow_schema(out)
+    key = [scope, "_part", "_share"]
+    near = asked.groupBy(*key).cogroup(given.groupBy(*key)).applyInArrow(lambda a, h: _meet(a, h, scope, least, arrow), out)
+    scored = near.withColumn("score", _score(F.col("u"), F.col("n"), F.col("m")))
+    return scored.groupBy(scope, "text").agg(F.max_by(F.struct("pid", "ref", "digest", "score"), F.struct(F.col("score"), -F.col("pid"))).alias("any"))
+
+
 def rebound(segments: DataFrame, passages: DataFrame, scope: str, edit: bool = True) -> DataFrame:
     """Segments (seg, ref, text, ``scope``) against passages (pid, ref, text, ``scope``), a row for each reference a segment cites, with the
     passage that the citation is bound to (H1).
@@ -53,21 +156,25 @@ def rebound(segments: DataFrame, passages: DataFrame, scope: str, edit: bool = T
     more.  Where none is left, the segment is dropped if it has a number and may be
     edited; else it keeps its source's longest passage.  (seg, ref, pid, bound_ref,
     anchor, dropped).  The anchor names the source, the passage and the segment."""
-    seg = segments.withColumn("_seg", F.xxhash64("seg", "ref"))
-    one = seg.select(F.col("_seg").alias("seg"), "ref", "text", scope)
-    mine = _best(passage_scores(one, passages, ["ref"]), one, passages).select("seg", F.col("b").alias("mine"))
-    any_ = _best(passage_scores(one, passages, [scope]), one, passages).select("seg", F.col("b").alias("any"))
-    longest = passages.groupBy("ref").agg(F.max_by("pid", F.struct(F.length("text"), -F.col("pid"))).alias("longest"))
-    j = seg.join(mine.withColumnRenamed("seg", "_seg"), "_seg", "left").join(any_.withColumnRenamed("seg", "_seg"), "_seg", "left").join(longest, "ref", "left")
-    other = (F.col("any.ref") != F.col("ref")) & (F.col("any.score") >= F.greatest(F.lit(4.0), F.coalesce("mine.score", F.lit(0.0)) + 1))
-    numeric = F.size(numeric_values(F.col("text"))) > 0
-    found = F.when(other, F.col("any.pid")).otherwise(F.col("mine.pid"))
-    dropped = found.isNull() & numeric & F.lit(edit)
-    pid = F.when(~dropped, F.coalesce(found, F.col("longest")))
-    out = j.select("seg", "ref", "text", pid.alias("pid"), F.when(pid.isNotNull(), F.when(other, F.col("any.ref")).otherwise(F.col("ref"))).alias("bound_ref"), dropped.alias("dropped"))
-    told = out.join(passages.select("pid", F.col("text").alias("_p")), "pid", "left")
-    anchor = F.concat_ws(":", F.col("bound_ref").cast("string"), F.left(F.sha1("_p"), F.lit(16)), F.left(F.sha1("text"), F.lit(12)))
-    return told.select("seg", "ref", "pid", "bound_ref", F.when(F.col("pid").isNotNull(), anchor).alias("anchor"), "dropped")
+    from ..session import kept
+
+    read = segments.select("seg", "ref", "text", scope, words(F.col("text")).alias("q"), numeric_values(F.col("text")).alias("numbers"))
+    own = kept(read.withColumn("_seg", F.xxhash64("seg", "ref")), "cited-segments")
+    held = _held(passages, scope, own)
+    pairs = own.select("_seg", "ref", "q", "numbers").join(held.where(F.size("w") > 0).select("ref", "pid", "digest", "m", F.array_join("w", " ").alias("w"), "plain"), "ref")
+    pairs = pairs.withColumn("u", F.size(F.array_intersect(F.split("w", " "), "q"))).where((F.col("u") > 0) & F.forall("numbers", lambda n: F.contains("plain", n)))
+    scored = pairs.select("_seg", "pid", "digest", _score(F.col("u"), F.size("q"), F.col("m")).alias("score"))
+    mine = scored.groupBy("_seg").agg(F.max_by(F.struct("pid", "digest", "score"), F.struct(F.col("score"), -F.col("pid"))).alias("mine"))
+    longest = held.groupBy("ref").agg(F.max_by(F.struct("pid", "digest"), F.struct("length", -F.col("pid"))).alias("longest"))
+    j = own.join(mine, "_seg", "left").join(_best_of_scope(own, held, scope, OTHER), [scope, "text"], "left").join(longest, "ref", "left")
+    other = (F.col("any.ref") != F.col("ref")) & (F.col("any.score") >= F.greatest(F.lit(OTHER), F.coalesce("mine.score", F.lit(0.0)) + MORE))
+    place = lambda c: F.struct(f"{c}.pid", f"{c}.digest")
+    found = F.when(other, place("any")).when(F.col("mine").isNotNull(), place("mine"))
+    dropped = found.isNull() & (F.size("numbers") > 0) & F.lit(edit)
+    out = j.select("seg", "ref", "text", F.when(~dropped, F.coalesce(found, F.col("longest"))).alias("_at"), F.when(other, F.col("any.ref")).otherwise(F.col("ref")).alias("_ref"), dropped.alias("dropped"))
+    bound = F.col("_at.pid").isNotNull()
+    anchor = F.concat_ws(":", F.col("_ref").cast("string"), F.col("_at.digest"), F.left(F.sha1("text"), F.lit(12)))
+    return out.select("seg", "ref", F.col("_at.pid").alias("pid"), F.when(bound, F.col("_ref")).alias("bound_ref"), F.when(bound, anchor).alias("anchor"), "dropped")
 
 
 def grounded_segments(segments: DataFrame, passages: DataFrame, scope: str, edit: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkloom.operators import anchors, bank, senses
+from inkloom.operators.text import numeric_values
 from inkloom.sources import results
 
 
@@ -93,6 +94,57 @@ def test_rebinding(spark):
     assert sorted(r.new_id for r in ids) == list(range(1, len(ids) + 1))
 
 
+def _moved(spark) -> int:
+    """Rows written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_rebinding_shuffles_no_pairs(spark):
+    """A scope's segments and passages that all share words: their pairs stay in the tasks."""
+    n = 300
+    passages = spark.createDataFrame([(i, i, "t", f"alpha beta gamma delta word{i % 50} " + "more " * (i % 3)) for i in range(n)], "pid int, ref int, topic string, text string")
+    seg = spark.createDataFrame([(i, i, "t", f"alpha beta gamma delta word{i * 7 % 50} own{i}") for i in range(n)], "seg int, ref int, topic string, text string")
+    before = _moved(spark)
+    got = anchors.rebound(seg, passages, "topic").collect()
+    assert len(got) == n and _moved(spark) - before < n * n / 10
+
+
+def test_rebinding_by_blocks(spark, monkeypatch):
+    """Blocks, equal texts, null scopes and more words than are cut against every pair."""
+    import random
+
+    draw = random.Random(5)
+    words = [f"w{i}" if i % 3 else f"词{chr(0x4E00 + i)}" for i in range(30)] + ["42ms", "15%", "99kg"]
+    text = lambda k: " ".join(draw.choices(words, k=k))
+    held = [(i, i // 3, draw.choice("ttttu"), text(12)) for i in range(150)] + [(150, 50, None, text(12)), (151, 50, "t", None), (152, 51, "t", "")]
+    asked = [(i, i % 53, draw.choice(["t", "t", "u", None]), text(draw.randint(2, 6)) if i % 9 else "w1 w2 w4") for i in range(120)] + [(120, 3, "t", None), (121, 3, "t", "")]
+    passages, seg = spark.createDataFrame(held, "pid int, ref int, topic string, text string"), spark.createDataFrame(asked, "seg int, ref int, topic string, text string")
+    cite = seg.where("text is not null")
+    best = lambda within: {r.seg: r.b for r in anchors._best(anchors.passage_scores(cite, passages, within), cite, passages).collect()}
+    mine, anywhere = best(["ref"]), best(["topic"])
+    numeric = {r.seg for r in cite.where(F.size(numeric_values(F.col("text"))) > 0).collect()}
+
+    def want(seg: int, ref: int) -> tuple:
+        own, other = mine.get(seg), anywhere.get(seg)
+        if other and other.ref != ref and other.score >= max(4, (own.score if own else 0) + 1):
+            return other.pid, other.ref, False
+        if own or seg in numeric:
+            return (own.pid, ref, False) if own else (None, None, True)
+        of = [(len(t or ""), -p) for p, r, _, t in held if r == ref and t is not None] or [(0, -p) for p, r, _, _ in held if r == ref]
+        return (-max(of)[1], ref, False) if of else (None, None, False)
+
+    expected = {s: want(s, r) for s, r, _, t in asked if t is not None}
+    for block, vocabulary in ((1 << 14, 20000), (16, 20000), (16, 3)):
+        monkeypatch.setattr(anchors, "BLOCK", block)
+        monkeypatch.setattr(anchors, "VOCABULARY", vocabulary)
+        got = {r.seg: (r.pid, r.bound_ref, r.dropped) for r in anchors.rebound(seg, passages, "topic").collect()}
+        assert {s: got[s] for s in expected} == expected and len(got) == len(asked)
+    assert sum(v[2] for v in expected.values()) and sum(v[1] not in (None, asked[s][1]) for s, v in expected.items())
+
+
 def test_grounding_of_segments(spark):
     passages = spark.createDataFrame(PASSAGES, "pid int, ref int, topic string, text string")
     seg = spark.createDataFrame([(1, "t", "根据测试，系统的平均时延在第二阶段下降到了42ms，效果比较明显。"), (2, "t", "短句42ms"), (3, "t", "根据测试，系统的某项指标在最后一个阶段达到了99ms的水平，令人满意。"), (4, "t", "这是一句没有事实词的普通长句子，只是为了测试而写得很长很长。"), (5, "t", None)], "seg int, topic string, text string")
