@@ -8,7 +8,7 @@ give out the best of a block only."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ FACTUAL = r"达到|提升|降低|支持|采用|包括|实现|标准|要求|根
 NUMERIC, PLAIN, SHORTEST = 4.0, 8.0, 24
 #: What a passage of another source must score at least, and more than one of the cited source.
 OTHER, MORE = 4.0, 1
-#: Segments' tokens up to which the passages' other tokens are cut before they are written.
-VOCABULARY = 20000
+#: Segments' tokens, some bytes each, that go to all tasks, up to which the passages' other tokens are cut before they are written.
+VOCABULARY = 1 << 20
 #: Passages and segments of a scope that meet in one task, at about.
 BLOCK = 1 << 14
 #: Far more than the rounding of a score and of the sums behind it.
@@ -72,12 +72,24 @@ def _held(passages: DataFrame, scope: str, segments: DataFrame) -> DataFrame:
     have, of all where these are many, and the text for numbers if a segment has any."""
     from ..session import kept
 
-    wanted = [r.t for r in segments.select(F.explode("q").alias("t")).distinct().limit(VOCABULARY + 1).collect()]
+    wanted = segments.select(F.explode("q").alias("t")).distinct().limit(VOCABULARY + 1).toArrow()["t"].combine_chunks()
     numeric = not segments.where(F.size("numbers") > 0).isEmpty()
-    own = F.col("w") if len(wanted) > VOCABULARY else F.filter("w", lambda t: t.isin(wanted)) if wanted else F.array().cast("array<string>")
     plain = _squeezed(F.col("text")) if numeric else F.lit(None).cast("string")
     told = passages.select("pid", "ref", scope, F.length("text").alias("length"), F.left(F.sha1("text"), F.lit(16)).alias("digest"), words(F.col("text")).alias("w"), plain.alias("plain"))
-    return kept(told.withColumn("m", F.size("w")).withColumn("w", own), "held-passages")
+    told = told.withColumn("m", F.size("w"))
+    if len(wanted) > VOCABULARY:
+        return kept(told, "held-passages")
+
+    at = told.columns.index("w")
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            w = pc.split_pattern(b["w"], " ")
+            own = pc.is_in(w.flatten(), value_set=wanted)
+            ends = np.concatenate(([0], np.cumsum(own.to_numpy(zero_copy_only=False))))[w.offsets.to_numpy()]
+            yield b.set_column(at, "w", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), w.flatten().filter(own)))
+
+    return kept(told.withColumn("w", F.array_join("w", " ")).mapInArrow(run, told.schema), "held-passages")
 
 
 def _meet(asked: pa.Table, held: pa.Table, scope: str, least: float, out: pa.Schema) -> pa.Table:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import anchors, bank, graph, sequence, stats, text
+from ..session import kept
 from ..sources import results
 from .common import registry, table
 
@@ -208,7 +209,8 @@ def _segments(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     the topic that bounds what they may meet."""
     owner = table(spark, sf_dir, "source_documents", "ref_id", "topic_id", "title").groupBy("ref_id").agg(F.min("topic_id").alias("topic"), F.min("title").alias("title"))
     seg = owner.where("title is not null").select(F.col("ref_id").cast("long").alias("seg"), F.col("ref_id").alias("ref"), F.col("title").alias("text"), "topic")
-    chunks = table(spark, sf_dir, "evidence_chunks", "ref_id", "chunk_id", "text").where("text is not null").groupBy("ref_id", "chunk_id").agg(F.max("text").alias("text"))
+    # one shuffle of the texts for the repeated rows and for the topic
+    chunks = table(spark, sf_dir, "evidence_chunks", "ref_id", "chunk_id", "text").where("text is not null").repartition("ref_id").groupBy("ref_id", "chunk_id").agg(F.max("text").alias("text"))
     pid = F.col("ref_id").cast("long") * (1 << 20) + F.col("chunk_id")
     return seg, chunks.select(pid.alias("pid"), F.col("ref_id").alias("ref"), "text").join(owner.select(F.col("ref_id").alias("ref"), "topic"), "ref")
 
@@ -231,6 +233,7 @@ def grounded_titles(spark, sf_dir):
 def collapsed_sources(spark, sf_dir):
     """One reference a source out of the bound passages."""
     seg, passages = _segments(spark, sf_dir)
+    passages = kept(passages, "passages")
     return anchors.by_source(anchors.rebound(seg, passages, "topic"), passages)
 
 

@@ -112,6 +112,21 @@ def test_rebinding_shuffles_no_pairs(spark):
     assert len(got) == n and _moved(spark) - before < n * n / 10
 
 
+def test_collapsed_sources_shuffle_no_pairs(spark, tmp_path):
+    """The whole query, with repeated rows, over a topic whose titles and chunks all share words."""
+    from inkloom.plans import catalog
+
+    n = 300
+    sources = [(i, "t", f"alpha beta gamma delta word{i}") for i in range(n)]
+    chunks = [(i, k, f"alpha beta gamma delta word{i} part{k}") for i in range(n) for k in (0, 1)]
+    spark.createDataFrame(sources + sources[:9], "ref_id int, topic_id string, title string").write.parquet(f"{tmp_path}/source_documents.parquet")
+    spark.createDataFrame(chunks + chunks[:9], "ref_id int, chunk_id int, text string").write.parquet(f"{tmp_path}/evidence_chunks.parquet")
+    before = _moved(spark)
+    got = catalog.queries()["collapsed_sources"](spark, str(tmp_path)).collect()
+    assert _moved(spark) - before < n * n / 10
+    assert sorted((r.ref, r.pid, r.claims, r.text) for r in got) == [(i, i << 20, 1, chunks[2 * i][2]) for i in range(n)]
+
+
 def test_rebinding_by_blocks(spark, monkeypatch):
     """Blocks, equal texts, null scopes and more words than are cut against every pair."""
     import random
